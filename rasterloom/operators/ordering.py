@@ -52,11 +52,11 @@ def with_slice(df: DataFrame, order: Order, rows_per_slice: int = ROWS_PER_SLICE
     coarse = F.array(*[literal(c[0]) for c in chunks])
     fine = F.array(*([F.array(literal(bounds[0]))] + [F.array(*[literal(b) for b in c]) for c in chunks]))
     key = F.struct(*keys)
-    level1 = F.size(F.filter(coarse, lambda b: b <= F.col("_key")))
-    level2 = F.size(F.filter(F.element_at(fine, F.col("_c") + 1), lambda b: b <= F.col("_key")))
-    return (df.withColumn("_key", key).withColumn("_c", level1)
-              .withColumn("_slice", F.col("_c") * (step + 1) + F.when(F.col("_c") > 0, level2).otherwise(0))
-              .drop("_key", "_c"))
+    level1 = F.size(F.filter(coarse, lambda b: b <= F.col("__key")))
+    level2 = F.size(F.filter(F.element_at(fine, F.col("__lvl") + 1), lambda b: b <= F.col("__key")))
+    return (df.withColumn("__key", key).withColumn("__lvl", level1)
+              .withColumn("_slice", F.col("__lvl") * (step + 1) + F.when(F.col("__lvl") > 0, level2).otherwise(0))
+              .drop("__key", "__lvl"))
 
 
 def running(df: DataFrame, order: Order, by: Sequence[str] = (), rank: str | None = "rn",

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("scoring",)
+FAMILIES = ("scoring", "recoding", "banding", "splitting")
 
 
 def load_queries():
