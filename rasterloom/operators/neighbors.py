@@ -26,6 +26,7 @@ def block_pairs(q: DataFrame, g: DataFrame, key: str, fn: Callable, schema: str,
     def block(salt: int, n: int) -> Column:
         return F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(n)).cast("int")
 
+    g = g.toDF(*g.columns)          # fresh attributes, so both sides may be the same table
     left = q.withColumn("_qb", block(1, bq)).withColumn("_gb", F.explode(F.sequence(F.lit(0), F.lit(bg - 1))))
     right = g.withColumn("_gb", block(2, bg)).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
     return left.groupBy("_qb", "_gb").cogroup(right.groupBy("_qb", "_gb")).applyInPandas(fn, schema)

@@ -270,7 +270,7 @@ def _(t):
 
 def resq(h, w):
     return f"""WITH {PIXELS}, tg AS (SELECT sample_id, h, w, CAST(unnest(range({w})) AS INT) x, y FROM (SELECT *, CAST(unnest(range({h})) AS INT) y FROM rasters)),
-j AS (SELECT tg.sample_id, tg.y, tg.x, p.gt AS v FROM tg JOIN pixels p ON p.sample_id=tg.sample_id AND p.y=tg.y*tg.h//({h}) AND p.x=tg.x*tg.w//({w})) SELECT sample_id, COUNT(*) n, {CHECK} checksum FROM j GROUP BY sample_id"""
+j AS (SELECT tg.sample_id, tg.y, tg.x, p.gt AS v FROM (SELECT *, y*h//({h}) sy, x*w//({w}) sx FROM tg) tg JOIN pixels p ON p.sample_id=tg.sample_id AND p.y=tg.sy AND p.x=tg.sx) SELECT sample_id, COUNT(*) n, {CHECK} checksum FROM j GROUP BY sample_id"""
 
 
 @query("g11_resize_up", resq("23", "17"))
