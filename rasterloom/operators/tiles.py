@@ -188,7 +188,7 @@ def blend_tiles(tiles: DataFrame, values: DataFrame, stride: int = 1) -> DataFra
     """Weighted merge of overlapping tiles; ``tiles`` come from ``tile_overlaps``, values are (raster_id, tile_no, y, x, class_id, value)."""
     cols = ("left", "right", "top", "bottom", "x0", "y0", "w", "h", "width", "height")
     t = tiles.select("raster_id", "tile_no", *[F.floor(F.col(c) / stride).alias(c) for c in cols])
-    d = values.join(t, ["raster_id", "tile_no"])
+    d = values.select("raster_id", "tile_no", "y", "x", "class_id", "value").join(t, ["raster_id", "tile_no"])
     wy = _ramp(F.col("y"), F.col("h"), F.col("top"), F.col("bottom"), F.col("y0") == 0, F.col("y0") + F.col("h") == F.col("height"))
     wx = _ramp(F.col("x"), F.col("w"), F.col("left"), F.col("right"), F.col("x0") == 0, F.col("x0") + F.col("w") == F.col("width"))
     d = d.withColumn("_w", wy * wx).withColumn("y", F.col("y") + F.col("y0")).withColumn("x", F.col("x") + F.col("x0"))
@@ -217,7 +217,7 @@ def uncovered(rasters: DataFrame, tiles: DataFrame) -> DataFrame:
 def stitch(tiles: DataFrame, values: DataFrame, label: str = "label") -> DataFrame:
     """Raster labels from window labels: only the crop part of a window is written, the later window wins."""
     t = tiles.select("raster_id", "tile_no", "x0", "y0", "crop_x", "crop_y", "crop_w", "crop_h")
-    d = values.join(t, ["raster_id", "tile_no"])
+    d = values.select("raster_id", "tile_no", "y", "x", label).join(t, ["raster_id", "tile_no"])
     own = (F.col("y") >= F.col("crop_y")) & (F.col("y") < F.col("crop_y") + F.col("crop_h")) & (F.col("x") >= F.col("crop_x")) & (F.col("x") < F.col("crop_x") + F.col("crop_w"))
     d = d.filter(own).select("raster_id", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), label, "tile_no")
     return d.groupBy("raster_id", "y", "x").agg(F.max_by(label, "tile_no").alias(label))
