@@ -4,6 +4,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once, for use inside array lambdas."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def as_double(vec: Column) -> Column:
     return vec.cast("array<double>")
 
@@ -22,7 +27,7 @@ def norm(vec: Column) -> Column:
 
 def l2_normalize(vec: Column) -> Column:
     """Unit vector; NULL for a zero vector (check_vectors reports those)."""
-    return F.when(norm(vec) > 0, F.transform(as_double(vec), lambda x: x / norm(vec)))
+    return let(norm(vec), lambda n: F.when(n > 0, F.transform(as_double(vec), lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -35,13 +40,12 @@ def argmax(scores: Column) -> Column:
 
 
 def log_sum_exp(scores: Column) -> Column:
-    peak = F.array_max(as_double(scores))
-    return peak + F.log(total(F.transform(as_double(scores), lambda x: F.exp(x - peak))))
+    return let(F.array_max(as_double(scores)),
+               lambda peak: peak + F.log(total(F.transform(as_double(scores), lambda x: F.exp(x - peak)))))
 
 
 def softmax(scores: Column) -> Column:
-    lse = log_sum_exp(scores)
-    return F.transform(as_double(scores), lambda x: F.exp(x - lse))
+    return let(log_sum_exp(scores), lambda z: F.transform(as_double(scores), lambda x: F.exp(x - z)))
 
 
 def sigmoid(x: Column) -> Column:

@@ -62,11 +62,12 @@ def audit_dataset(bands: DataFrame, order: Sequence[str], patch: int, sample: st
 
     ``bands`` has one row per (sample, band) with ``band_index``, ``h`` and ``w``.
     """
-    per = bands.groupBy(sample).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("band_index", band))), lambda s: s[band]), ",").alias("got"),
-        F.max("h").alias("h"), F.max("w").alias("w"))
-    rule = F.when(F.col("got") != ",".join(order), "band_order").when((F.col("h") != patch) | (F.col("w") != patch), "patch_size")
-    return per.withColumn("rule", rule).filter(F.col("rule").isNotNull()).select(sample, "rule", "got", "h", "w")
+    wanted = F.try_element_at(F.array(*[F.lit(b) for b in order]), F.col("band_index") + 1)
+    per = bands.groupBy(sample).agg(F.count("*").alias("n_bands"), F.count_if(~F.col(band).eqNullSafe(wanted)).alias("misplaced"),
+                                    F.max("h").alias("h"), F.max("w").alias("w"))
+    rule = (F.when((F.col("n_bands") != len(order)) | (F.col("misplaced") > 0), "band_order")
+             .when((F.col("h") != patch) | (F.col("w") != patch), "patch_size"))
+    return per.withColumn("rule", rule).filter(F.col("rule").isNotNull()).select(sample, "rule", "n_bands", "misplaced", "h", "w")
 
 
 def audit_label_type(df: DataFrame, key: str, label: str, kind: str, n: int) -> DataFrame:

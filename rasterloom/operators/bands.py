@@ -101,7 +101,7 @@ def impute_stats(stats: DataFrame, order: Sequence[str], imputes: Mapping[str, s
     want = stats.sparkSession.createDataFrame([(i, b, imputes.get(b)) for i, b in enumerate(order)],
                                               "band_index int, want string, source string")
     have = stats.withColumnRenamed(band, "_band")
-    own = want.join(F.broadcast(have), F.col("want") == F.col("_band"), "left_anti")
+    own = want.join(have, F.col("want") == F.col("_band"), "left_anti")
     direct = want.join(have, F.col("want") == F.col("_band")).drop("_band", "source")
     via = own.join(have, F.col("source") == F.col("_band")).drop("_band", "source")
     return direct.unionByName(via).withColumnRenamed("want", band)

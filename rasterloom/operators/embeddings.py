@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import as_double, argmax, dot, l2_normalize, sigmoid, softmax
 from .joins import BROADCAST_ROWS
+from .ordering import with_one
 
 
 def vector_mean(df: DataFrame, by: Sequence[str], vec: str, name: str = "vec", normalize: bool = False) -> DataFrame:
@@ -57,7 +58,7 @@ def linear_predict(df: DataFrame, weights: DataFrame, vec: str, cls: str) -> Dat
     if weights.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         raise ValueError("weight table has too many classes to hold in one row")
     table = weights.agg(F.array_sort(F.collect_list(F.struct(F.col(cls).alias("c"), F.col("weight").alias("w"), F.col("bias").alias("b")))).alias("_w"))
-    both = df.join(F.broadcast(table))            # exactly one row
+    both = with_one(df, table)
     scored = F.transform("_w", lambda r: F.struct((dot(F.col(vec), r["w"]) + r["b"]).alias("s"), (-r["c"]).alias("n")))
     return both.withColumn("_best", F.array_max(scored)).select(
         *df.columns, (-F.col("_best.n")).alias("pred"), F.col("_best.s").alias("score"))

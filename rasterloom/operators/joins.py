@@ -6,9 +6,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import token_index
-from .ordering import percentiles
+from .ordering import percentiles, with_one
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 500_000      # narrow dimension rows, some tens of megabytes at most
 
 
 def lookup_join(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left",
@@ -82,9 +82,9 @@ def embedding_diff(a: DataFrame, b: DataFrame, key: str, vec: str = "embedding",
     per = long.groupBy(key).agg(F.try_divide(F.sum(F.col("a") * F.col("b")),
                                              F.sqrt(F.sum(F.col("a") ** 2)) * F.sqrt(F.sum(F.col("b") ** 2))).alias("c"))
     cos = per.agg(F.avg("c").alias("mean_cosine"), F.min("c").alias("min_cosine"))
-    out = overall.join(F.broadcast(cos)).join(F.broadcast(percentiles(long, [], "d", {"p95_abs": 0.95})))  # one row each
+    out = with_one(overall, cos, percentiles(long, [], "d", {"p95_abs": 0.95}))
     if label:
-        out = out.join(F.broadcast(both.agg(F.count_if(F.col(label) != F.col("_l")).alias("label_mismatches"))))
+        out = with_one(out, both.agg(F.count_if(F.col(label) != F.col("_l")).alias("label_mismatches")))
     return out
 
 

@@ -111,11 +111,12 @@ def label_anchor(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def split_fingerprint(df: DataFrame, split: str, sample: str, label: str) -> DataFrame:
-    """Order-independent digest of (sample, label) pairs of a split, hashed in two levels.
+    """Order-independent digest of the (sample, label) pairs of a split.
 
-    Pairs are cut into 65,536 groups by their digest, so no task sees the whole split.
+    Four seeded hashes are combined by exclusive-or and by sum, so partial digests merge before the shuffle.
     """
-    d = df.select(split, F.sha2(F.concat_ws(":", F.col(sample).cast("string"), F.col(label).cast("string")), 256).alias("d"))
-    parts = d.groupBy(split, F.substring("d", 1, 4).alias("b")).agg(
-        F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("d"))), 256).alias("p"))
-    return parts.groupBy(split).agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("p"))), 256).alias("digest"))
+    hashes = [F.xxhash64(F.lit(seed), F.col(sample), F.col(label)) for seed in range(4)]
+    parts = df.groupBy(split).agg(F.count("*").alias("n"), *[F.bit_xor(h).alias(f"x{i}") for i, h in enumerate(hashes)],
+                                  *[F.sum(h.cast("decimal(38,0)")).alias(f"s{i}") for i, h in enumerate(hashes)])
+    text = F.concat_ws(",", *[F.col(c).cast("string") for c in parts.columns if c != split])
+    return parts.select(split, F.sha2(text, 256).alias("digest"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import clip
 from ..functions.vectors import as_double, log_sum_exp, sigmoid, softmax, total
-from .ordering import agg_join, nth_smallest, running
+from .ordering import nth_smallest, running, with_one
 from .ranking import FLOAT32_EPS
 
 
@@ -110,8 +110,7 @@ def tversky_loss(df: DataFrame, sample: str, label: str, probs: str, alpha: floa
 def _lovasz(df: DataFrame, by: Sequence[str], error: str, fg: str, tie: Sequence[str]) -> DataFrame:
     """Sum over errors, largest first, of relu(error) times the step of the Jaccard loss."""
     ran = running(df, [(error, "desc"), *tie], by, rank="_i",
-                  sums={"_fg": F.col(fg), "_bg": 1 - F.col(fg)})
-    ran = agg_join(ran, by, F.sum(fg).alias("_gts"))
+                  sums={"_fg": F.col(fg), "_bg": 1 - F.col(fg)}, totals={"_gts": fg})
     gts, f, b = F.col("_gts"), F.col("_fg"), F.col("_bg")
     now = 1 - F.try_divide((gts - f).cast("double"), (gts + b).cast("double"))
     prev = 1 - F.try_divide((gts - f + F.col(fg)).cast("double"), (gts + b - 1 + F.col(fg)).cast("double"))
@@ -184,7 +183,7 @@ def ohem_cross_entropy(df: DataFrame, label: str, scores: str, key: Sequence[str
     """Mean cross-entropy of rows whose target probability is below max(n-th smallest, thr)."""
     rows = with_target_prob(df.filter(F.col(label) != ignore), label, scores).select(*key, "_p")
     bound = nth_smallest(rows, "_p", key, min_kept)
-    joined = rows.join(F.broadcast(bound))                      # exactly one row
+    joined = with_one(rows, bound)
     kept = joined.filter(F.col("_p") < F.greatest(F.col("nth"), F.lit(float(thr))))
     return kept.agg(F.avg(-F.log("_p")).alias("loss"), F.count("*").alias("kept"))
 
@@ -202,6 +201,6 @@ def hard_pixels(df: DataFrame, prob: str, label: str, key: Sequence[str], thr: f
         on = list(dict.fromkeys([*by, *key]))
         return df.join(ranked, on, "left").withColumn("weight", F.coalesce("_w", F.lit(0))).drop("_w")
     bound = nth_smallest(valid, prob, key, min_kept, by)
-    joined = df.join(bound, by, "left") if by else df.join(F.broadcast(bound))
+    joined = df.join(bound, by, "left") if by else with_one(df, bound)
     hard = (F.col(label) != ignore) & (F.col(prob) < F.greatest(F.col("nth"), F.lit(float(thr))))
     return joined.withColumn("weight", F.coalesce(hard, F.lit(False)).cast("int")).drop("nth")

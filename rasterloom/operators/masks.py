@@ -1,6 +1,7 @@
 """Instance masks and boxes: run-length codes, boxes, small regions, crop pyramids, suppression."""
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -62,16 +63,19 @@ def region_runs(df: DataFrame, mask: str, value: str) -> DataFrame:
 
 
 def regions(df: DataFrame, mask: str = "sample_id", value: str = "v", cell: int = 64) -> DataFrame:
-    """8-connected regions of set pixels: each run with its region, the first run (y, x0) of the region."""
-    runs = cut_lineage(region_runs(df, mask, value))
-    node = F.struct(F.col(mask).alias("m"), F.col("y").alias("y"), F.col("x0").alias("x"))
+    """8-connected regions of set pixels: each run with the number of its region.
+
+    Runs are numbered after they were written out, so the numbers are the same wherever they are read.
+    """
+    runs = cut_lineage(region_runs(df, mask, value)).withColumn("node", F.monotonically_increasing_id())
+    node = F.col("node")
     reach = F.explode(F.sequence(F.floor((F.col("x0") - 1) / cell), F.floor((F.col("x1") + 1) / cell)))
     a = runs.select(mask, "y", "x0", "x1", node.alias("src"), reach.alias("_c"))
     b = runs.select(mask, (F.col("y") - 1).alias("y"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), node.alias("dst"), reach.alias("_c"))
     touch = a.join(b, [mask, "y", "_c"]).filter((F.col("x0") <= F.col("bx1") + 1) & (F.col("x1") >= F.col("bx0") - 1)).select("src", "dst")
     lone = runs.select(node.alias("src"), node.alias("dst"))
     comp = connected_components(touch.unionByName(lone))
-    return runs.withColumn("node", node).join(comp, "node").drop("node")
+    return runs.join(comp, "node").drop("node")
 
 
 def drop_small_regions(df: DataFrame, area: int, mode: str, mask: str = "sample_id", value: str = "v", cell: int = 64) -> DataFrame:
@@ -82,11 +86,13 @@ def drop_small_regions(df: DataFrame, area: int, mode: str, mask: str = "sample_
     if mode not in ("holes", "islands"):
         raise ValueError(f"unknown mode {mode}")
     work = df.withColumn("_v", F.when(F.col(value) != 0, 0).otherwise(1) if mode == "holes" else F.col(value))
-    runs = regions(work, mask, "_v", cell)
-    size = runs.groupBy(mask, "component").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("_n"))
-    top = size.groupBy(mask).agg(F.max("_n").alias("_top"), F.count_if(F.col("_n") < area).alias("_small"))
-    firsts = size.join(top.select(mask, "_top"), mask).filter("_n = _top").groupBy(mask).agg(F.min("component").alias("_first"))
-    fate = size.join(top, mask).join(firsts, mask)
+    runs = cut_lineage(regions(work, mask, "_v", cell))
+    size = runs.groupBy(mask, "component").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("_n"), F.min(F.struct("y", "x0")).alias("_at"))
+    # the largest region, the first in reading order among equals
+    best = F.max_by(F.struct("_n", "component"), F.struct("_n", -F.col("_at.y"), -F.col("_at.x0"))).alias("_b")
+    top = size.groupBy(mask).agg(best, F.count_if(F.col("_n") < area).alias("_small"))
+    top = cut_lineage(top.select(mask, F.col("_b._n").alias("_top"), F.col("_b.component").alias("_first"), "_small"))
+    fate = size.join(top, mask)
     small = F.col("_n") < area
     gone = small if mode == "holes" else small & ~((F.col("_top") < area) & (F.col("component") == F.col("_first")))
     hit = runs.join(fate.filter(gone).select(mask, "component"), [mask, "component"])
@@ -169,34 +175,57 @@ def box_iou(a: str = "", b: str = "k_") -> Column:
     return F.coalesce(F.try_divide(iw * ih, areas[0] + areas[1] - iw * ih), F.lit(0.0))
 
 
-def nms(df: DataFrame, iou: float, cell: int = 64, image: str = "image", key: str = "box_id", score: str = "score", max_rounds: int = 10_000) -> DataFrame:
+def _cells(df: DataFrame, up: int, keep: Sequence[str]) -> DataFrame:
+    """Each box in the cells it touches on its own level and ``up`` coarser ones (a few cells per level).
+
+    A level-l box is 2^l to 2^(l+1) long and its cells are 2^(l+1) wide, whatever mix of sizes an image holds.
+    """
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("double")
+    d = df.withColumn("_own", F.floor(F.log2(side)).cast("int"))
+    d = d.withColumn("level", F.explode(F.sequence(F.col("_own"), F.col("_own") + up))).withColumn("native", F.col("level") == F.col("_own"))
+    width = F.pow(F.lit(2.0), F.col("level") + 1)
+    for a, lo, hi in (("cx", "x0", "x1"), ("cy", "y0", "y1")):
+        d = d.withColumn(a, F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
+    return d.select(*keep, "level", "cx", "cy", "native")
+
+
+def nms(df: DataFrame, iou: float, image: str = "image", key: str = "box_id", score: str = "score", max_rounds: int = 10_000) -> DataFrame:
     """Greedy suppression by descending score (ties by key), exact, without pairing boxes.
 
-    Overlapping boxes share a grid cell, so a box that leads every cell it touches has no better
-    open rival and is kept; one round keeps all such boxes and drops what they suppress. A cell
-    hands out at most one winner per round, so rounds stay linear in the boxes however dense an
-    image is. Exact copies of a box are reduced to their best one first.
+    Boxes with IoU above t differ in length by less than 1/t, so they share a cell on the level of the
+    larger one. A box that leads there against every box it could conflict with has no better open
+    rival and is kept; a round keeps all such boxes and drops what they suppress. Winners of one cell
+    are few, so the work per round is linear in the boxes however dense an image is. Exact copies of
+    a box are reduced to their best one first.
     """
+    if not 0 < iou < 1:
+        raise ValueError("iou must lie between 0 and 1")
+    up = math.ceil(math.log2(1 / iou))
     order = F.struct(F.col(score).alias("s"), (-F.col(key)).alias("k"))
-    box = ["x0", "y0", "x1", "y1"]
+    box, cell = ["x0", "y0", "x1", "y1"], [image, "level", "cx", "cy"]
     proper = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
     slim = df.select(image, key, score, *box)
-    flat = slim.filter(~proper).select(image, key)                      # zero area: overlaps nothing
-    best = slim.filter(proper).groupBy(image, *box).agg(F.max(order).alias("o")) if iou < 1 else slim.filter(proper).select(image, *box, order.alias("o"))
-    reach = [F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))) for a, b in (("x0", "x1"), ("y0", "y1"))]
-    live = cut_lineage(best.withColumn("cx", reach[0]).withColumn("cy", reach[1]))
-    kept = flat
+    kept = [slim.filter(~proper).select(image, key)]                    # zero area: overlaps nothing
+    live = cut_lineage(slim.filter(proper).groupBy(image, *box).agg(F.max(order).alias("o")))
     for _ in range(max_rounds):
-        if live.limit(1).count() == 0:
-            return df.join(kept, [image, key], "left_semi")
-        leaders = live.groupBy(image, "cx", "cy").agg(F.max("o").alias("lead"))
-        lead = live.join(leaders, [image, "cx", "cy"])
-        won = lead.groupBy(image, *box, "o").agg(F.bool_and(F.col("o") == F.col("lead")).alias("ok")).filter("ok").drop("ok")
+        placed = _cells(live, up, [image, *box, "o"])
+        leaders = placed.groupBy(*cell).agg(F.max("o").alias("_any"), F.max(F.when(F.col("native"), F.col("o"))).alias("_nat"))
+        leads = F.when(F.col("native"), F.col("o") >= F.col("_any")).otherwise(F.col("_nat").isNull() | (F.col("o") > F.col("_nat")))
+        won = placed.join(leaders, cell).groupBy(image, *box, "o").agg(F.bool_and(leads).alias("_ok")).filter("_ok").drop("_ok")
         won = cut_lineage(won)
-        kept = kept.unionByName(won.select(image, (-F.col("o.k")).alias(key)))
-        win_cells = won.select(image, *[F.col(c).alias(f"k_{c}") for c in box], F.col("o").alias("k_o"),
-                               F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))).alias("cx"), "y0", "y1")
-        win_cells = win_cells.withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell)))).drop("y0", "y1")
-        out = live.join(win_cells, [image, "cx", "cy"]).filter((F.col("o") == F.col("k_o")) | (box_iou() > iou)).select(image, "o").distinct()
-        live = cut_lineage(live.join(out, [image, "o"], "left_anti"))
+        kept.append(won.select(image, (-F.col("o.k")).alias(key)))
+        rivals = _cells(won, up, [image, *box, "o"]).select(*cell, F.col("native").alias("k_native"), *[F.col(c).alias(f"k_{c}") for c in box])
+        hit = placed.join(rivals, cell).filter((F.col("native") | F.col("k_native")) & (box_iou() > iou)).select(image, "o").distinct()
+        live = cut_lineage(live.join(hit, [image, "o"], "left_anti"))   # a winner overlaps itself and leaves as well
+        if len(kept) > 32:
+            kept = [cut_lineage(_union(kept))]
+        if live.limit(1).count() == 0:
+            return df.join(_union(kept), [image, key], "left_semi")
     raise RuntimeError(f"suppression did not settle within {max_rounds} rounds")
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

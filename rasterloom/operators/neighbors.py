@@ -11,17 +11,19 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.vectors import l2_normalize
 from ..session import cut_lineage
 
 ROWS_PER_BLOCK = 4096
+WIDE = 4                # gallery blocks per query block in the chunked top-k product
 SIM_DIGITS = 9          # similarities are rounded before ranking, so copies tie exactly
 
 
 def block_pairs(q: DataFrame, g: DataFrame, key: str, fn: Callable, schema: str,
-                rows_per_block: int = ROWS_PER_BLOCK, n_q: int | None = None, n_g: int | None = None) -> DataFrame:
+                rows_per_block: int = ROWS_PER_BLOCK, n_q: int | None = None, n_g: int | None = None, wide: int = 1) -> DataFrame:
     """Run ``fn(query frame, gallery frame) -> frame`` on every pair of blocks."""
     bq = max(1, math.ceil((n_q if n_q is not None else q.count()) / rows_per_block))
-    bg = max(1, math.ceil((n_g if n_g is not None else g.count()) / rows_per_block))
+    bg = max(1, math.ceil((n_g if n_g is not None else g.count()) / (rows_per_block * wide)))
 
     def block(salt: int, n: int) -> Column:
         return F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(n)).cast("int")
@@ -32,14 +34,8 @@ def block_pairs(q: DataFrame, g: DataFrame, key: str, fn: Callable, schema: str,
     return left.groupBy("_qb", "_gb").cogroup(right.groupBy("_qb", "_gb")).applyInPandas(fn, schema)
 
 
-def _unit(vec: str) -> Column:
-    v = F.col(vec).cast("array<double>")
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x / n)
-
-
 def _side(df: DataFrame, key: str, vec: str, label: str | None, normalize: bool, extra: Sequence[str] = ()) -> DataFrame:
-    v = _unit(vec) if normalize else F.col(vec).cast("array<double>")
+    v = l2_normalize(F.col(vec)) if normalize else F.col(vec).cast("array<double>")
     lab = F.lit(None).cast("int") if label is None else F.col(label).cast("int")
     return df.select(F.col(key).cast("bigint").alias("id"), v.alias("v"), lab.alias("label"), *extra)
 
@@ -76,7 +72,7 @@ def nearest(q: DataFrame, g: DataFrame, k: int, key: str = "vec_id", vec: str =
         return pd.concat(parts)
 
     pairs = block_pairs(_side(q, key, vec, label, normalize), _side(g, key, vec, label, normalize), "id", fn,
-                        "q_id bigint, q_label int, g_id bigint, g_label int, sim double", rows_per_block)
+                        "q_id bigint, q_label int, g_id bigint, g_label int, sim double", rows_per_block, wide=WIDE)
     w = Window.partitionBy("q_id").orderBy(F.desc("sim"), "g_id")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

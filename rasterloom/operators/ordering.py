@@ -29,11 +29,15 @@ def _keys(order: Order) -> list[Column]:
     return out
 
 
-def with_slice(df: DataFrame, order: Order, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame | None:
-    """Add ``_slice``, a monotone function of the order key; None when one slice is enough."""
-    n = df.count()
+def with_slice(df: DataFrame, order: Order, by: Sequence[str] = (), rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame | None:
+    """Add ``_slice``, a monotone function of the order key; None when no group exceeds one slice.
+
+    One counting pass decides; only when a group is too large are key tuples sampled as well.
+    """
+    facts = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("all")).first()
+    n = facts["all"] or 0
     k = min(math.ceil(n / rows_per_slice), 4096)
-    if k <= 1:
+    if (facts["top"] or 0) <= rows_per_slice:
         return None
     keys = [c.alias(f"k{i}") for i, c in enumerate(_keys(order))]
     keyed = df.select(*keys)
@@ -60,26 +64,32 @@ def with_slice(df: DataFrame, order: Order, rows_per_slice: int = ROWS_PER_SLICE
 
 
 def running(df: DataFrame, order: Order, by: Sequence[str] = (), rank: str | None = "rn",
-            sums: Mapping[str, str | Column] | None = None,
+            sums: Mapping[str, str | Column] | None = None, totals: Mapping[str, str | Column] | None = None,
             rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Row number and inclusive running sums of each group in ``order`` (which must be total)."""
+    """Row number and inclusive running sums of each group in ``order`` (which must be total).
+
+    ``totals`` adds sums over the whole group at no extra shuffle.
+    """
     sums = {k: (F.col(v) if isinstance(v, str) else v) for k, v in (sums or {}).items()}
+    totals = {k: (F.col(v) if isinstance(v, str) else v) for k, v in (totals or {}).items()}
     by = list(by)
     keys = _keys(order)
-    sliced = with_slice(df, order, rows_per_slice)
+    sliced = with_slice(df, order, by, rows_per_slice)
     local = by if sliced is None else [*by, "_slice"]
     base = df if sliced is None else sliced
     w = Window.partitionBy(*local).orderBy(*keys)
     cum = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = [F.sum(c).over(Window.partitionBy(*by)).alias(k) for k, c in totals.items()] if sliced is None else []
     out = base.select("*", *([F.row_number().over(w).cast("bigint").alias(rank)] if rank else []),
-                      *[F.sum(c).over(cum).alias(k) for k, c in sums.items()])
+                      *[F.sum(c).over(cum).alias(k) for k, c in sums.items()], *whole)
     if sliced is None:
         return out
-    totals = sliced.groupBy(*local).agg(F.count("*").alias("_n"),
-                                        *[F.sum(c).alias(f"_s_{k}") for k, c in sums.items()])
+    parts = sliced.groupBy(*local).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{k}") for k, c in sums.items()],
+                                       *[F.sum(c).alias(f"_t_{k}") for k, c in totals.items()])
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*local, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
-                            *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_s0_{k}") for k in sums])
+    offsets = parts.select(*local, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
+                           *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_s0_{k}") for k in sums],
+                           *[F.sum(f"_t_{k}").over(Window.partitionBy(*by)).alias(k) for k in totals])
     out = out.join(offsets, local)
     if rank:
         out = out.withColumn(rank, F.col(rank) + F.col("_n0"))
@@ -93,6 +103,14 @@ def rank_rows(df: DataFrame, order: Order, by: Sequence[str] = (), name: str = "
     return running(df, order, by, rank=name, rows_per_slice=rows_per_slice)
 
 
+def with_one(df: DataFrame, *ones: DataFrame) -> DataFrame:
+    """Add the columns of one-row tables as scalar subqueries (no join, nothing to broadcast but one row)."""
+    for i, one in enumerate(ones):
+        name = f"__one{i}"
+        df = df.withColumn(name, one.select(F.struct(*one.columns).alias("s")).scalar()).select("*", f"{name}.*").drop(name)
+    return df
+
+
 def agg_join(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
     """Attach group aggregates by aggregate-then-join.
 
@@ -100,8 +118,7 @@ def agg_join(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
     AQE free to broadcast the aggregate or split a hot group.
     """
     if not by:
-        one = df.agg(*aggs)
-        return df.join(F.broadcast(one))       # exactly one row
+        return with_one(df, df.agg(*aggs))
     return df.join(df.groupBy(*by).agg(*aggs), list(by))
 
 
@@ -130,8 +147,7 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, ps: Mapping[str, f
     """
     by = list(by)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    cum = running(counted, [value], by, rank=None, sums={"_cum": "_c"}, rows_per_slice=rows_per_slice)
-    sized = agg_join(cum, by, F.sum("_c").alias("_n"))
+    sized = running(counted, [value], by, rank=None, sums={"_cum": "_c"}, totals={"_n": "_c"}, rows_per_slice=rows_per_slice)
     aggs = []
     for name, p in ps.items():
         at = F.lit(float(p)) * (F.col("_n") - 1)
@@ -144,7 +160,6 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, ps: Mapping[str, f
 
 def nth_smallest(df: DataFrame, value: str, tie: Sequence[str], n: int, by: Sequence[str] = ()) -> DataFrame:
     """Value at 0-based position ``min(n, size-1)`` of each group, as one row per group (``nth``)."""
-    ranked = rank_rows(df, [value, *tie], by)
-    sized = agg_join(ranked, by, F.count("*").alias("_n"))
+    sized = running(df, [value, *tie], by, totals={"_n": F.lit(1)})
     hit = sized.filter(F.col("rn") == F.least(F.lit(n + 1), F.col("_n")))
     return hit.select(*by, F.col(value).alias("nth"))

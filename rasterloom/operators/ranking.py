@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordering import agg_join, running
+from .ordering import running
 
 FLOAT32_EPS = 1.1920928955078125e-07     # fixed value: spacing of 1.0 in 32-bit floats
 
@@ -68,8 +68,7 @@ def map_11pt(df: DataFrame, cls: str, score: str, positive: str, levels: int = 1
     Rows are (class, score, 0/1). Equal scores are one threshold, so they are combined before ranking.
     """
     counted = df.groupBy(cls, score).agg(F.sum(positive).alias("p"), F.count("*").alias("n"))
-    curve = running(counted, [(score, "desc")], [cls], rank=None, sums={"tp": "p", "seen": "n"})
-    curve = agg_join(curve, [cls], F.sum("p").alias("pos"))
+    curve = running(counted, [(score, "desc")], [cls], rank=None, sums={"tp": "p", "seen": "n"}, totals={"pos": "p"})
     recall = F.try_divide(F.col("tp").cast("double"), F.col("pos").cast("double"))
     precision = F.col("tp") / F.col("seen")
     best = [F.max(F.when(recall >= F.lit(i / (levels - 1)), precision)) for i in range(levels)]

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from .ordering import carry_forward, rank_rows
+from .ordering import carry_forward, rank_rows, with_one
 
 
 def fill_steps(log: DataFrame, file: str, pos: str, step: str = "step") -> DataFrame:
@@ -29,7 +29,7 @@ def best_run(df: DataFrame, run: str, epoch: str, score: str) -> DataFrame:
     top = df.groupBy(run).agg(F.max_by(F.struct(epoch, score), F.struct(F.col(score), -F.col(epoch))).alias("t"))
     per = top.select(run, f"t.{epoch}", f"t.{score}")
     winner = per.agg(F.max_by(run, F.struct(F.col(score), -F.col(run))).alias("_w"))
-    return per.join(F.broadcast(winner)).withColumn("best", F.col(run) == F.col("_w")).drop("_w")    # one row
+    return with_one(per, winner).withColumn("best", F.col(run) == F.col("_w")).drop("_w")
 
 
 def fps_stats(df: DataFrame, run: str, order: str, seconds: str, warmup: int = 5) -> tuple[DataFrame, DataFrame]:

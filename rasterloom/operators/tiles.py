@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import sigmoid, softmax
+from .joins import lookup_join
 
 
 def _range(length: Column, stride: int) -> Column:
@@ -188,7 +189,7 @@ def blend_tiles(tiles: DataFrame, values: DataFrame, stride: int = 1) -> DataFra
     """Weighted merge of overlapping tiles; ``tiles`` come from ``tile_overlaps``, values are (raster_id, tile_no, y, x, class_id, value)."""
     cols = ("left", "right", "top", "bottom", "x0", "y0", "w", "h", "width", "height")
     t = tiles.select("raster_id", "tile_no", *[F.floor(F.col(c) / stride).alias(c) for c in cols])
-    d = values.select("raster_id", "tile_no", "y", "x", "class_id", "value").join(t, ["raster_id", "tile_no"])
+    d = lookup_join(values.select("raster_id", "tile_no", "y", "x", "class_id", "value"), t, ["raster_id", "tile_no"], "inner")
     wy = _ramp(F.col("y"), F.col("h"), F.col("top"), F.col("bottom"), F.col("y0") == 0, F.col("y0") + F.col("h") == F.col("height"))
     wx = _ramp(F.col("x"), F.col("w"), F.col("left"), F.col("right"), F.col("x0") == 0, F.col("x0") + F.col("w") == F.col("width"))
     d = d.withColumn("_w", wy * wx).withColumn("y", F.col("y") + F.col("y0")).withColumn("x", F.col("x") + F.col("x0"))
@@ -214,10 +215,36 @@ def uncovered(rasters: DataFrame, tiles: DataFrame) -> DataFrame:
     return rasters.join(gaps("x0", "w", "width").union(gaps("y0", "h", "height")).distinct(), "raster_id", "left_semi")
 
 
-def stitch(tiles: DataFrame, values: DataFrame, label: str = "label") -> DataFrame:
-    """Raster labels from window labels: only the crop part of a window is written, the later window wins."""
+def owned_boxes(tiles: DataFrame) -> DataFrame:
+    """Part of each grid window that no later window overwrites, in raster coordinates [ax, bx) x [ay, by).
+
+    Grids are products of two axes and later windows win, so a window owns its crop up to where the
+    crop of the next column or row starts. Of windows shifted onto the same place the last one stays.
+    """
+    spot = ["raster_id", "x0", "y0"]
+    last = tiles.groupBy(*spot).agg(F.max(F.struct("tile_no", "crop_x", "crop_y", "crop_w", "crop_h")).alias("t")).select(*spot, "t.*")
+    ax, ay = F.col("x0") + F.col("crop_x"), F.col("y0") + F.col("crop_y")
+    row, col = Window.partitionBy("raster_id", "y0").orderBy("x0"), Window.partitionBy("raster_id", "x0").orderBy("y0")
+    last = last.withColumn("ax", ax).withColumn("ay", ay)
+    bx, by = F.col("ax") + F.col("crop_w"), F.col("ay") + F.col("crop_h")
+    return last.select("raster_id", "tile_no", "x0", "y0", "ax", "ay", F.least(bx, F.coalesce(F.lead("ax").over(row), bx)).alias("bx"),
+                       F.least(by, F.coalesce(F.lead("ay").over(col), by)).alias("by"))
+
+
+def stitch(tiles: DataFrame, values: DataFrame, label: str = "label", grid: bool = True) -> DataFrame:
+    """Raster labels from window labels: only the crop part of a window is written, the later window wins.
+
+    Grid windows know beforehand which pixels they own, so nothing is aggregated; ``grid=False`` takes
+    any list of windows and picks the last writer of each pixel.
+    """
+    v = values.select("raster_id", "tile_no", "y", "x", label)
+    if grid:
+        d = lookup_join(v, owned_boxes(tiles), ["raster_id", "tile_no"], "inner")
+        d = d.withColumn("y", F.col("y") + F.col("y0")).withColumn("x", F.col("x") + F.col("x0"))
+        mine = (F.col("y") >= F.col("ay")) & (F.col("y") < F.col("by")) & (F.col("x") >= F.col("ax")) & (F.col("x") < F.col("bx"))
+        return d.filter(mine).select("raster_id", "y", "x", label)
     t = tiles.select("raster_id", "tile_no", "x0", "y0", "crop_x", "crop_y", "crop_w", "crop_h")
-    d = values.select("raster_id", "tile_no", "y", "x", label).join(t, ["raster_id", "tile_no"])
+    d = lookup_join(v, t, ["raster_id", "tile_no"], "inner")
     own = (F.col("y") >= F.col("crop_y")) & (F.col("y") < F.col("crop_y") + F.col("crop_h")) & (F.col("x") >= F.col("crop_x")) & (F.col("x") < F.col("crop_x") + F.col("crop_w"))
     d = d.filter(own).select("raster_id", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), label, "tile_no")
     return d.groupBy("raster_id", "y", "x").agg(F.max_by(label, "tile_no").alias(label))

@@ -5,6 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import configure
+
 
 class Tables:
     """The Parquet tables of one scale factor as attributes."""
@@ -24,7 +26,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, sf: fn(Tables(spark, sf))
+        QUERIES[name] = lambda spark, sf: fn(Tables(configure(spark), sf))
         if sql:
             SQL[name] = sql
         return fn

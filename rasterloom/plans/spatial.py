@@ -172,26 +172,32 @@ def _(t):
     return check(T.stitch(tiles, v), "label", "raster_id")
 
 
-def _pixel_model(cols, const):
+def _pixel_model(stride, value):
+    """A stand-in model: one row per (strided) pixel of each tile."""
     def make():
         def fn(pdf):
+            import numpy as np
             import pandas as pd
-            rows = [(r.raster_id, r.tile_no, y, x) + const(r.tile_no, y, x) for r in pdf.itertuples() for y in range(r.h // cols[1]) for x in range(r.w // cols[1])]
-            return pd.DataFrame(rows, columns=cols[0])
+            h, w = pdf["h"].to_numpy() // stride, pdf["w"].to_numpy() // stride
+            n = h * w
+            at = np.repeat(np.arange(len(pdf)), n)
+            i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            y, x, tile = i // w[at], i % w[at], pdf["tile_no"].to_numpy()[at]
+            return pd.DataFrame({"raster_id": pdf["raster_id"].to_numpy()[at], "tile_no": tile, "y": y, "x": x, **value(tile, y, x)})
         return fn
     return make
 
 
 @query("m9_extract_tiled")
 def _(t):
-    make = _pixel_model((["raster_id", "tile_no", "y", "x", "class_id", "value"], 4), lambda n, y, x: (0, float(n * 10 + y + x)))
+    make = _pixel_model(4, lambda n, y, x: {"class_id": 0, "value": n * 10.0 + y + x})
     return P.extract_tiled(rf(t), make, "raster_id bigint, tile_no int, y int, x int, class_id int, value double", 32, 0.25, 4)
 
 
 @query("m10_infer_raster", f"""WITH {STRICT}, p AS (SELECT *, unnest(range(crop_x, crop_x+crop_w)) x FROM (SELECT *, unnest(range(crop_y, crop_y+crop_h)) y FROM tl)),
 m AS (SELECT raster_id, y+y0 yy, x+x0 xx, arg_max((tile_no+y+x)%5, tile_no) l FROM p GROUP BY ALL) SELECT raster_id, COUNT(*) n, CAST(SUM(l*(yy*37+xx*11+1)) AS BIGINT) checksum FROM m GROUP BY raster_id""")
 def _(t):
-    make = _pixel_model((["raster_id", "tile_no", "y", "x", "label"], 1), lambda n, y, x: ((n + y + x) % 5,))
+    make = _pixel_model(1, lambda n, y, x: {"label": (n + y + x) % 5})
     out = P.infer_raster(rs(t), make, "raster_id bigint, tile_no int, y int, x int, label int", 28, 20)
     return check(out, "label", "raster_id")
 

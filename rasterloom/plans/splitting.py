@@ -311,8 +311,8 @@ def _(t):
 
 
 @query("v4_audit_dataset", """WITH b AS (SELECT p_partkey sample_id, unnest([0,1,2]) i, unnest(CASE WHEN p_partkey%10=3 THEN ['R','B','G'] ELSE ['R','G','B'] END) band, 8+p_size%2 h, 8 w FROM part),
-g AS (SELECT sample_id, string_agg(band, ',' ORDER BY i) got, MAX(h) h, MAX(w) w FROM b GROUP BY sample_id)
-SELECT sample_id, CASE WHEN got<>'R,G,B' THEN 'band_order' ELSE 'patch_size' END AS rule, got, h, w FROM g WHERE got<>'R,G,B' OR h<>8 OR w<>8""")
+g AS (SELECT sample_id, COUNT(*) n_bands, COUNT(*) FILTER (WHERE band<>['R','G','B'][i+1]) misplaced, MAX(h) h, MAX(w) w FROM b GROUP BY sample_id)
+SELECT sample_id, CASE WHEN n_bands<>3 OR misplaced>0 THEN 'band_order' ELSE 'patch_size' END AS rule, n_bands, misplaced, h, w FROM g WHERE n_bands<>3 OR misplaced>0 OR h<>8 OR w<>8""")
 def _(t):
     order = F.when(F.col("p_partkey") % 10 == 3, F.array(F.lit("R"), F.lit("B"), F.lit("G"))).otherwise(F.array(F.lit("R"), F.lit("G"), F.lit("B")))
     b = t.part.select(F.col("p_partkey").alias("sample_id"), (8 + F.col("p_size") % 2).alias("h"), F.lit(8).alias("w"), F.posexplode(order).alias("band_index", "band"))

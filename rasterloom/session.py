@@ -8,6 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Runtime settings every job of this library relies on.
+
+    Size estimates made before a run are far too low after ``explode`` (a few megabytes of sample rows
+    become gigabytes of pixels), so no join is broadcast on an estimate: only on a size measured by AQE
+    at run time, or behind an explicit row count (``lookup_join``).
+    """
+    for key, value in (("spark.sql.adaptive.enabled", "true"), ("spark.sql.adaptive.skewJoin.enabled", "true"),
+                       ("spark.sql.adaptive.forceOptimizeSkewedJoin", "true"),
+                       ("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.autoBroadcastJoinThreshold", "64MB")):
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``.
 

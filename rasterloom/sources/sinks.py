@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import finite_or_null, scale_to_uint16, stem
 from ..operators.labels import recode
+from ..operators.ordering import with_one
 
 
 def prediction_rows(df: DataFrame, path: str = "img_path", mask: str = "pred", reduced: bool = False) -> DataFrame:
@@ -97,8 +98,8 @@ def pack_bundle(manifest: DataFrame, vectors: DataFrame, labels: DataFrame, allo
     dup = manifest.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key, F.lit("duplicate_id").alias("rule"))
     none = joined.filter(F.col("embedding").isNull()).select(key, F.lit("no_vector").alias("rule"))
     facts = joined.agg(F.min(F.size("embedding")).alias("_d"), F.count("label").alias("_l"))
-    shape = joined.join(F.broadcast(facts)).filter(F.size("embedding") != F.col("_d")).select(key, F.lit("shape_drift").alias("rule"))
+    shape = with_one(joined, facts).filter(F.size("embedding") != F.col("_d")).select(key, F.lit("shape_drift").alias("rule"))
     bad = dup.unionByName(none).unionByName(shape)
-    unl = joined.join(F.broadcast(facts)).filter(F.col("label").isNull())                # one row of facts
+    unl = with_one(joined, facts).filter(F.col("label").isNull())
     unl = unl if not allow_unlabeled else unl.filter(F.col("_l") > 0)
     return joined, bad.unionByName(unl.select(key, F.when(F.col("_l") > 0, "mixed_labels").otherwise("no_label").alias("rule")))

@@ -76,6 +76,16 @@ def test_grid_crops_cover_each_pixel(spark):
     assert done.filter("count <> width * height").count() == 0 and done.count() == 29
 
 
+@pytest.mark.parametrize("window,stride", [(16, 10), (12, 12), (18, 5)])
+def test_owned_boxes_agree_with_last_writer(spark, window, stride):
+    r = spark.range(1, 12).selectExpr("id as raster_id", "cast(18 + id % 13 as int) as width", "cast(18 + id % 7 as int) as height")
+    for tiles in (T.grid_strict(r, window, stride), T.grid_centered(r, window, stride)):
+        px = tiles.select("raster_id", "tile_no", F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("y")).withColumn(
+            "x", F.explode(F.sequence(F.lit(0), F.lit(window - 1)))).withColumn("label", F.col("tile_no"))
+        a, b = T.stitch(tiles, px), T.stitch(tiles, px, grid=False)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def test_overlap_errors():
     with pytest.raises(ValueError):
         T.overlap_pixels(32, 32)

@@ -38,6 +38,16 @@ def test_hot_key_is_cut(df):
     assert sliced.groupBy("_slice").count().agg(F.max("count")).first()[0] < 120
 
 
+def test_small_groups_are_not_cut(df):
+    assert O.with_slice(df, ["v", "id"], ["id"], rows_per_slice=20) is None
+
+
+@pytest.mark.parametrize("size", [20, 10_000])
+def test_totals(df, rows, size):
+    got = O.running(df, ["v", "id"], ["g"], totals={"t": "w"}, rows_per_slice=size).select("g", "t").distinct().collect()
+    assert {r["g"]: r["t"] for r in got} == {g: sum(r[3] for r in rows if r[1] == g) for g in {r[1] for r in rows}}
+
+
 def test_string_order(df, rows):
     got = {r["id"]: r["rn"] for r in O.rank_rows(df, ["g", "id"], rows_per_slice=50).collect()}
     for i, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1):
