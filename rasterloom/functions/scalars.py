@@ -37,8 +37,9 @@ def mask_ignore(c: Column, values: Sequence[int], ignore: int = 255) -> Column:
 
 # Grey level of a fundus mask -> class id (disc, cup, background).
 FUNDUS_GREY = {0: 1, 128: 2, 255: 0}
-# Abdominal organ id -> train id, all other organs become background.
-ORGAN_IDS = {1: 1, 2: 2, 3: 3, 4: 4, 6: 5, 7: 6, 8: 7, 11: 8}
+# Abdominal organ id -> train id (aorta, gallbladder, left kidney, right kidney, liver,
+# pancreas, spleen, stomach), all other organs become background.
+ORGAN_IDS = {8: 1, 4: 2, 3: 3, 2: 4, 6: 5, 11: 6, 1: 7, 7: 8}
 
 
 # --- numbers --------------------------------------------------------------------------------
@@ -119,8 +120,12 @@ def stem(c: Column) -> Column:
 
 
 def scene_prefix(c: Column) -> Column:
-    """Leading part of a name before its first digit, trailing underscores dropped."""
-    return F.regexp_replace(F.regexp_extract(c, r"^([^0-9]*)", 1), "_+$", "")
+    """Leading part of a base name before its first digit, without the separator in front of the digit.
+
+    NULL for names without a digit.
+    """
+    lead = F.regexp_extract(basename(c), r"^([^0-9]*)[0-9]", 1)
+    return F.when(basename(c).rlike("[0-9]"), F.substring(lead, F.lit(1), F.greatest(F.length(lead) - 1, F.lit(0))))
 
 
 def tile_indices(c: Column) -> Column:
@@ -128,6 +133,11 @@ def tile_indices(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(r"([0-9]+)"), 1), lambda s: s.cast("bigint"))
 
 
+def tile_pair(c: Column) -> Column:
+    """Row and column token of names such as a_b_2_10_x.tif (third and fourth token)."""
+    return F.array_join(F.slice(F.split(basename(c), "_"), 3, 2), "_")
+
+
 def natural_key(c: Column, width: int = 20) -> Column:
     """String key under which plain ordering equals natural ordering (digit runs as numbers)."""
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"([0-9]+|[^0-9]+)"), 1)

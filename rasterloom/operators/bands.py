@@ -194,9 +194,8 @@ def stretch(df: DataFrame, by: Sequence[str], lo: float = 2, hi: float = 98, val
     Non-finite values take no part in the limits.
     """
     finite = df.filter(is_finite(F.col(value)))
-    lim = percentiles(finite, by, value, {"_lo": lo / 100, "_hi": hi / 100})
-    ext = finite.groupBy(*by).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
-    lim = lim.join(ext, list(by)).select(*by, F.when(F.col("_hi") > F.col("_lo"), F.col("_lo")).otherwise(F.col("_mn")).alias("_a"),
+    lim = percentiles(finite, by, value, {"_lo": lo / 100, "_hi": hi / 100, "_mn": 0.0, "_mx": 1.0})
+    lim = lim.select(*by, F.when(F.col("_hi") > F.col("_lo"), F.col("_lo")).otherwise(F.col("_mn")).alias("_a"),
                                          F.when(F.col("_hi") > F.col("_lo"), F.col("_hi")).otherwise(F.col("_mx")).alias("_b"))
     scaled = clip((F.col(value) - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0)) * 255.0, 0.0, 255.0)
     return (df.join(lim, list(by), "left")

@@ -73,8 +73,7 @@ def pad_to(df: DataFrame, rasters: DataFrame, h: int, w: int, fills: Mapping[str
     oh, ow = F.col("h"), F.col("w")
 
     def shift(old, new):
-        gap = F.lit(new) - old
-        return F.when(gap > 0, F.floor(gap / 2)).otherwise(-F.floor(-gap / 2)).cast("int") if mode == "center" else F.lit(0)
+        return F.floor((F.lit(new) - old) / 2).cast("int") if mode == "center" else F.lit(0)
     sy, sx = shift(oh, h), shift(ow, w)
     kept = df.withColumn("y", F.col("y") + sy).withColumn("x", F.col("x") + sx)
     kept = kept.filter(F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1))
@@ -191,10 +190,9 @@ EDGE_NEIGHBOURS = ((-1, 0), (0, 1), (1, 1), (1, -1))
 
 def edge_map(df: DataFrame, label: str, width: int = 3, ignore: int = 255) -> DataFrame:
     """Boundary pixels (sample_id, y, x) after dilation by a width x width square."""
-    marks = neighbour_diff(df, S, label, EDGE_NEIGHBOURS, ignore).select(S, "y", "x").distinct()
+    marks = neighbour_diff(df, S, label, EDGE_NEIGHBOURS, ignore, carry=["h", "w"]).select(S, "h", "w", "y", "x").distinct()
     lo, hi = width // 2 - (width - 1), width // 2
-    dims = df.select(S, "h", "w").distinct()
-    grown = (marks.join(dims, S).withColumn("y", F.explode(F.sequence(F.greatest(F.col("y") + lo, F.lit(0)), F.least(F.col("y") + hi, F.col("h") - 1))))
+    grown = (marks.withColumn("y", F.explode(F.sequence(F.greatest(F.col("y") + lo, F.lit(0)), F.least(F.col("y") + hi, F.col("h") - 1))))
              .withColumn("x", F.explode(F.sequence(F.greatest(F.col("x") + lo, F.lit(0)), F.least(F.col("x") + hi, F.col("w") - 1)))))
     return grown.select(S, "y", "x").distinct()
 

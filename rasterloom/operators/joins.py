@@ -46,18 +46,20 @@ def unknown_classes(train: DataFrame, other: DataFrame, label: str) -> DataFrame
 
 
 def neighbour_diff(pixels: DataFrame, sample: str, value: str, offsets: Sequence[tuple[int, int]] = ((1, 0), (0, 1)),
-                   ignore: int | None = None) -> DataFrame:
-    """Pixel pairs (pixel, neighbour at dy, dx) with different values, by a shifted equi-join."""
+                   ignore: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Pixel pairs (pixel, neighbour at dy, dx) with different values, by a shifted equi-join.
+
+    ``carry`` columns of the pixel stay in the result.
+    """
     shift = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets]))
+    if ignore is not None:
+        pixels = pixels.filter(F.col(value) != ignore)
     base = pixels.select(sample, "y", "x", F.col(value).alias("v"))
-    moved = base.select("*", shift.alias("o")).select(
-        sample, F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("v").alias("v0"), "o.dy", "o.dx",
+    moved = pixels.select(sample, "y", "x", *carry, F.col(value).alias("v"), shift.alias("o")).select(
+        sample, *carry, F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("v").alias("v0"), "o.dy", "o.dx",
         (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
     both = moved.join(base, [sample, "y", "x"])
-    differs = F.col("v0") != F.col("v")
-    if ignore is not None:
-        differs = differs & (F.col("v0") != ignore) & (F.col("v") != ignore)
-    return both.filter(differs).select(sample, F.col("y0").alias("y"), F.col("x0").alias("x"), "dy", "dx", "v0", "v")
+    return both.filter(F.col("v0") != F.col("v")).select(sample, *carry, F.col("y0").alias("y"), F.col("x0").alias("x"), "dy", "dx", "v0", "v")
 
 
 def pair_dates(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -62,10 +62,13 @@ def random_palette(classes: DataFrame, seed: int = 42) -> DataFrame:
                                         for c, s in (("r", 0), ("g", 8), ("b", 16))])
 
 
-def collapse_channels(df: DataFrame, keys: Sequence[str], channel: str, value: str, background: int) -> DataFrame:
-    """One-hot channels -> channel index per pixel, the last active channel wins; none active -> background."""
+def collapse_channels(df: DataFrame, keys: Sequence[str], channel: str, value: str, n_channels: int) -> DataFrame:
+    """Channel stack -> one label per pixel: the last active channel wins.
+
+    Channel j becomes label j + 1, the last channel is background (0); no active channel is 0 as well.
+    """
     top = F.max(F.when(F.col(value) != 0, F.col(channel)))
-    return df.groupBy(*keys).agg(F.coalesce(top, F.lit(background)).cast("int").alias("label"))
+    return df.groupBy(*keys).agg(F.coalesce((top + 1) % n_channels, F.lit(0)).cast("int").alias("label"))
 
 
 def class_masks(df: DataFrame, sample: str, label: str, ignore: int = 255) -> DataFrame:

@@ -129,10 +129,8 @@ def carry_forward(df: DataFrame, value: str, by: Sequence[str], pos: str, name:
     sliced = df.withColumn("_slice", F.floor(F.col(pos) / rows_per_slice))
     w = Window.partitionBy(*by, "_slice").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = sliced.withColumn("_last", F.last(value, ignorenulls=True).over(w))
-    ends = (sliced.filter(F.col(value).isNotNull())
-                  .groupBy(*by, "_slice").agg(F.max_by(value, pos).alias("_end")))
+    marks = sliced.groupBy(*by, "_slice").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(pos))).alias("_end"))
     # carry of a slice = end value of the nearest earlier slice that has one
-    marks = (sliced.select(*by, "_slice").distinct().join(ends, [*by, "_slice"], "left"))
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = marks.select(*by, "_slice", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
     filled = F.coalesce(F.col("_last"), F.col("_carry"), *([] if default is None else [F.lit(default)]))

@@ -40,10 +40,12 @@ def fps_stats(df: DataFrame, run: str, order: str, seconds: str, warmup: int = 5
 
 
 def zoo_entries(df: DataFrame, text: str, title_re: str, kind_re: str, url_re: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Title, kind tag and distinct checkpoint URLs of each document, by regular expressions."""
+    """Title, kind tag and distinct lower-cased URLs of each document; documents without URLs are left out."""
     c = F.col(text)
-    return df.select(*keys, F.regexp_extract(c, title_re, 1).alias("title"), F.regexp_extract(c, kind_re, 1).alias("kind"),
-                     F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(url_re), 1))).alias("urls"))
+    found = F.transform(F.regexp_extract_all(c, F.lit(url_re), 1), lambda u: F.lower(F.trim(u)))
+    rows = df.select(*keys, F.trim(F.replace(F.regexp_extract(c, title_re, 1), F.lit("#"), F.lit(""))).alias("title"),
+                     F.regexp_extract(c, kind_re, 1).alias("kind"), F.array_sort(F.array_distinct(found)).alias("urls"))
+    return rows.filter(F.size("urls") > 0)
 
 
 def zoo_stats(entries: DataFrame) -> DataFrame:

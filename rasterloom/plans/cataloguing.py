@@ -41,30 +41,30 @@ CASE WHEN doc_id%2=0 THEN lang ELSE 'default' END AS dataset FROM documents, (SE
 def _(t):
     def sample(k, p):
         return F.struct(F.concat_ws("_", "doc_id", F.lit(k)).alias("sample_id"), F.concat(F.lit(p), "source", F.lit(".tif")).alias("img_path"), F.array(F.lit("p1"), F.lit("/p2")).alias("img_paths"),
-                        F.concat(F.lit("m/"), "doc_id", F.lit(".png")).alias("seg_map_path"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("dataset"))
+                        F.concat(F.lit("m/"), "doc_id", F.lit(".png")).alias("seg_map_path"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("dataset_name"))
     two = F.array(sample("0", "/abs/"), sample("1", "rel/"))
     text = F.when(F.col("doc_id") % 3 == 0, F.to_json(two)).otherwise(F.to_json(F.struct(two.alias("samples"))))
-    out = S.parse_manifest(t.documents.select("doc_id", text.alias("text")), "text", "/root", keys=["doc_id"])
+    out = S.parse_manifest(t.documents.select("doc_id", text.alias("text")), "text", "/root", keys=["doc_id"]).drop("valid_mask_path", "embedding_path")
     return out.withColumn("img_paths", F.array_join("img_paths", ","))
 
 
-DEC = """SELECT doc_id, 'imagesTr/' || doc_id || '.nii' AS img_path, 'labelsTr/' || doc_id || '.nii' AS seg_map_path, source AS dataset FROM documents"""
+DEC = """SELECT doc_id, lang || ',x' AS classes, 'imagesTr/' || doc_id || '.nii' AS img_path, 'labelsTr/' || doc_id || '.nii' AS seg_map_path, source AS dataset FROM documents"""
 
 
 def _decathlon(t):
     return t.documents.select("doc_id", F.to_json(F.struct(
-        F.col("source").alias("name"), F.array(F.struct(F.concat(F.lit("./imagesTr/"), "doc_id", F.lit(".nii")).alias("image"), F.concat(F.lit("./labelsTr/"), "doc_id", F.lit(".nii")).alias("label"))).alias("training"),
+        F.col("source").alias("name"), F.struct(F.col("lang").alias("0"), F.lit("x").alias("1")).alias("labels"), F.array(F.struct(F.concat(F.lit("./imagesTr/"), "doc_id", F.lit(".nii")).alias("image"), F.concat(F.lit("./labelsTr/"), "doc_id", F.lit(".nii")).alias("label"))).alias("training"),
         F.array(F.concat(F.lit("./imagesTs/"), "doc_id", F.lit(".nii")), F.lit("x.nii")).alias("test"))).alias("text"))
 
 
 @query("sc5_read_decathlon", DEC)
 def _(t):
-    return S.parse_decathlon(_decathlon(t), "text", keys=["doc_id"])
+    return S.parse_decathlon(_decathlon(t), "text", keys=["doc_id"]).withColumn("classes", F.array_join("classes", ","))
 
 
 @query("sc5_read_decathlon_test", "SELECT doc_id, unnest(['imagesTs/' || doc_id || '.nii', 'x.nii']) AS img_path, NULL::VARCHAR AS seg_map_path, source AS dataset FROM documents")
 def _(t):
-    return S.parse_decathlon(_decathlon(t), "text", test=True, keys=["doc_id"])
+    return S.parse_decathlon(_decathlon(t), "text", test=True, keys=["doc_id"]).drop("classes")
 
 
 @query("sc6_read_geojson_folds", """SELECT o_orderkey AS patch_id, CAST(o_orderkey%5+1 AS INT) AS fold, m.k AS modality, CASE m.k WHEN 'S2' THEN strftime(o_orderdate, '%Y%m%d') || ',20190101' ELSE '20180902,' || strftime(o_orderdate, '%Y%m%d') END AS dates FROM orders, (VALUES ('S2'),('S1A')) m(k) WHERE o_orderkey%5+1 IN (1,3,4)""")

@@ -123,8 +123,8 @@ def _(t):
     return check(pixels(t).withColumn("v", S.lookup(grey, S.FUNDUS_GREY)), "v")
 
 
-@query("p11_organ_recode", "SELECT l_suppkey, COUNT(*) n, CAST(SUM(l_orderkey * CASE CAST(l_quantity AS INT)%14 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 "
-       "WHEN 6 THEN 5 WHEN 7 THEN 6 WHEN 8 THEN 7 WHEN 11 THEN 8 ELSE 0 END) AS BIGINT) checksum FROM lineitem GROUP BY l_suppkey")
+@query("p11_organ_recode", "SELECT l_suppkey, COUNT(*) n, CAST(SUM(l_orderkey * CASE CAST(l_quantity AS INT)%14 WHEN 8 THEN 1 WHEN 4 THEN 2 WHEN 3 THEN 3 WHEN 2 THEN 4 "
+       "WHEN 6 THEN 5 WHEN 11 THEN 6 WHEN 1 THEN 7 WHEN 7 THEN 8 ELSE 0 END) AS BIGINT) checksum FROM lineitem GROUP BY l_suppkey")
 def _(t):
     organ = S.lookup(F.col("l_quantity").cast("int") % 14, S.ORGAN_IDS, 0)
     return t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum(F.col("l_orderkey") * organ).alias("checksum"))
@@ -136,10 +136,10 @@ def _(t):
 
 
 @query("p13_collapse_channels", f"""WITH {PIXELS}, ch AS (SELECT sample_id, y, x, unnest([0,1,2]) c, unnest([x%2, y%2, CASE WHEN gt=2 THEN 1 ELSE 0 END]) v FROM pixels),
-l AS (SELECT sample_id, y, x, COALESCE(MAX(CASE WHEN v<>0 THEN c END), 3) v FROM ch GROUP BY ALL) SELECT sample_id, COUNT(*) n, {CHECK} checksum FROM l GROUP BY sample_id""")
+l AS (SELECT sample_id, y, x, COALESCE((MAX(CASE WHEN v<>0 THEN c END)+1)%3, 0) v FROM ch GROUP BY ALL) SELECT sample_id, COUNT(*) n, {CHECK} checksum FROM l GROUP BY sample_id""")
 def _(t):
     ch = pixels(t).select("sample_id", "y", "x", F.posexplode(F.array(F.col("x") % 2, F.col("y") % 2, (F.col("gt") == 2).cast("int"))).alias("c", "v"))
-    return check(L.collapse_channels(ch, ["sample_id", "y", "x"], "c", "v", 3), "label")
+    return check(L.collapse_channels(ch, ["sample_id", "y", "x"], "c", "v", n_channels=3), "label")
 
 
 @query("p14_mask_ignore", pix_check("CASE WHEN gt IN (3,4) THEN 255 ELSE gt END"))
@@ -206,11 +206,11 @@ def _(t):
     return t.orders.select("o_orderkey", S.date_from_name(name, "_", 1).cast("bigint").alias("days"))
 
 
-@query("p35_parse_name", r"""SELECT page_id, regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^(.*?)(\.[^.]*)?$', 1) AS stem, rtrim(regexp_extract(url, '^([^0-9]*)', 1), '_') AS scene,
-array_to_string(list_transform(regexp_extract_all(url, '([0-9]+)', 1), lambda s: CAST(s AS BIGINT)), ',') AS tiles FROM pages""")
+@query("p35_parse_name", r"""SELECT page_id, regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^(.*?)(\.[^.]*)?$', 1) AS stem, CASE WHEN regexp_matches(b, '[0-9]') THEN substr(regexp_extract(b, '^([^0-9]*)[0-9]', 1), 1, CAST(GREATEST(length(regexp_extract(b, '^([^0-9]*)[0-9]', 1))-1,0) AS INT)) END AS scene, array_to_string(list_slice(string_split(b, '_'), 3, 4), '_') AS pair,
+array_to_string(list_transform(regexp_extract_all(url, '([0-9]+)', 1), lambda s: CAST(s AS BIGINT)), ',') AS tiles FROM (SELECT *, regexp_extract(url, '([^/]*)$', 1) AS b FROM (SELECT page_id, replace(replace(url, '?page=', '_9_'), '-', '_') AS url FROM pages))""")
 def _(t):
-    u = F.col("url")
-    return t.pages.select("page_id", S.stem(u).alias("stem"), S.scene_prefix(u).alias("scene"),
+    u = F.replace(F.replace("url", F.lit("?page="), F.lit("_9_")), F.lit("-"), F.lit("_"))
+    return t.pages.select("page_id", S.stem(u).alias("stem"), S.scene_prefix(u).alias("scene"), S.tile_pair(u).alias("pair"),
                           F.array_join(S.tile_indices(u), ",").alias("tiles"))
 
 

@@ -269,7 +269,7 @@ def _(t):
     return pad_check(G.pad_to(pixels(t), rasters(t), 12, 12, {"gt": 255, "pred": 0}))
 
 
-@query("g7_pad_center", padq("CASE WHEN h<12 THEN (12-h)//2 ELSE -((h-12)//2) END", "CASE WHEN w<12 THEN (12-w)//2 ELSE -((w-12)//2) END"))
+@query("g7_pad_center", padq("CAST(floor((12-h)/2.0) AS INT)", "CAST(floor((12-w)/2.0) AS INT)"))
 def _(t):
     return pad_check(G.pad_to(pixels(t), rasters(t), 12, 12, {"gt": 255, "pred": 0}, "center"))
 

@@ -260,7 +260,8 @@ def _(t):
 
 
 TITLE, KIND, HREF = r"<title>([^<]*)</title>", r"""<html lang="([a-z]+)">""", r'href="([^"]+)"'
-ZOO = f"""z AS (SELECT page_id, regexp_extract(html, '{TITLE}', 1) title, regexp_extract(html, '{KIND}', 1) kind, list_sort(list_distinct(regexp_extract_all(html, '{HREF}', 1))) urls FROM pages)"""
+ZOO = f"""z AS (SELECT page_id, trim(replace(regexp_extract(html, '{TITLE}', 1), '#', '')) title, regexp_extract(html, '{KIND}', 1) kind,
+list_sort(list_distinct(list_transform(regexp_extract_all(html, '{HREF}', 1), lambda u: lower(trim(u))))) urls FROM pages WHERE len(regexp_extract_all(html, '{HREF}', 1)) > 0)"""
 
 
 @query("sc12_scan_model_zoo", f"WITH {ZOO} SELECT page_id, title, kind, array_to_string(urls, ' ') AS urls FROM z")

@@ -77,7 +77,8 @@ def _texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
-SAMPLE = "sample_id string, img_path string, img_paths array<string>, seg_map_path string, dataset string"
+SAMPLE = ("sample_id string, img_path string, img_paths array<string>, seg_map_path string, valid_mask_path string, "
+          "embedding_path string, dataset_name string")
 
 
 def parse_manifest(df: DataFrame, text: str, root: str, dataset: str = "default", keys: Sequence[str] = ()) -> DataFrame:
@@ -89,7 +90,7 @@ def parse_manifest(df: DataFrame, text: str, root: str, dataset: str = "default"
         return F.when(p.startswith("/"), p).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), p))
     rows = df.select(*keys, F.explode(samples).alias("s")).select(*keys, "s.*")
     return rows.select(*keys, "sample_id", full(F.col("img_path")).alias("img_path"), F.transform("img_paths", full).alias("img_paths"),
-                       full(F.col("seg_map_path")).alias("seg_map_path"), F.coalesce("dataset", F.lit(dataset)).alias("dataset"))
+                       *[full(F.col(c)).alias(c) for c in ("seg_map_path", "valid_mask_path", "embedding_path")], F.coalesce("dataset_name", F.lit(dataset)).alias("dataset"))
 
 
 def _struct(ddl: str) -> str:
@@ -101,17 +102,18 @@ def read_manifest(spark: SparkSession, path: str, root: str) -> DataFrame:
 
 
 def parse_decathlon(df: DataFrame, text: str, test: bool = False, keys: Sequence[str] = ()) -> DataFrame:
-    """Training entries are {image, label}, test entries plain paths; a leading "./" is dropped."""
-    j = F.from_json(text, "name string, modality map<string,string>, training array<struct<image: string, label: string>>, test array<string>")
+    """Training entries are {image, label}, test entries plain paths; a leading "./" is dropped, name and classes are attached."""
+    j = F.from_json(text, "name string, modality map<string,string>, labels map<string,string>, training array<struct<image: string, label: string>>, test array<string>")
 
     def bare(c):
         return F.regexp_replace(c, r"^\./", "")
     base = df.select(*keys, j.alias("j"))
+    meta = [F.col("j.name").alias("dataset"), F.map_values("j.labels").alias("classes")]
     if test:
-        return base.select(*keys, F.explode("j.test").alias("p"), F.col("j.name").alias("dataset")).select(
-            *keys, bare(F.col("p")).alias("img_path"), F.lit(None).cast("string").alias("seg_map_path"), "dataset")
-    return base.select(*keys, F.explode("j.training").alias("s"), F.col("j.name").alias("dataset")).select(
-        *keys, bare(F.col("s.image")).alias("img_path"), bare(F.col("s.label")).alias("seg_map_path"), "dataset")
+        return base.select(*keys, F.explode("j.test").alias("p"), *meta).select(
+            *keys, bare(F.col("p")).alias("img_path"), F.lit(None).cast("string").alias("seg_map_path"), "dataset", "classes")
+    return base.select(*keys, F.explode("j.training").alias("s"), *meta).select(
+        *keys, bare(F.col("s.image")).alias("img_path"), bare(F.col("s.label")).alias("seg_map_path"), "dataset", "classes")
 
 
 def read_decathlon(spark: SparkSession, path: str, test: bool = False) -> DataFrame:
@@ -197,7 +199,8 @@ def scan_model_zoo(spark: SparkSession, glob: str) -> DataFrame:
     """Title, kind and checkpoint URLs of README documents, one row per file."""
     from ..operators.runlog import zoo_entries
     texts = _texts(spark, glob).withColumn("file", F.input_file_name())
-    return zoo_entries(texts, "value", r"(?m)^#\s+(.+)$", r"\[([A-Z]+)\]", r"(https?://[^\s)\"]+\.pth)", ["file"])
+    # fixed values: first line, tag comment and download link patterns
+    return zoo_entries(texts, "value", r"^([^\n]*)", r"<!--\s*\[([A-Z]*?)\]\s*-->", r"(https?://download.*\.pth)", ["file"])
 
 
 def explode_targets(df: DataFrame, *arrays: str) -> DataFrame:

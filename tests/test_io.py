@@ -85,8 +85,11 @@ def test_runlog_resets_per_file(spark, folder):
 
 
 def test_zoo_and_class_folders(spark, folder):
-    put(folder, "c/x/README.md", "# Fancy Net\n[ALGORITHM]\n[m](https://h/x_a.pth) [m](https://h/x_a.pth) [m](https://h/x_b.pth)\n")
-    r = S.scan_model_zoo(spark, f"{folder}/c/*/README.md").first()
+    put(folder, "c/x/README.md", "# Fancy Net\n<!-- [ALGORITHM] -->\n[m](https://download.h/x_A.pth)\n[m](https://download.h/x_a.pth)\n[m](https://download.h/x_b.pth)\n")
+    put(folder, "c/y/README.md", "# Empty\n<!-- [OTHERS] -->\n")
+    zoo = S.scan_model_zoo(spark, f"{folder}/c/*/README.md").collect()
+    assert len(zoo) == 1
+    r = zoo[0]
     assert (r["title"], r["kind"], len(r["urls"])) == ("Fancy Net", "ALGORITHM", 2)
     for n in ("n2/a", "n1/b", "n1/c"):
         put(folder, f"t/{n}.JPEG", "x")
