@@ -92,6 +92,8 @@ def select_bands(df: DataFrame, order: Sequence[str], imputes: Mapping[str, str]
         F.struct(F.lit(i).alias("band_index"), F.lit(n).alias("_b"), F.lit(p).alias("_p")) for i, n, p in targets]))
         for src, targets in served.items()]
     out = df.withColumn("_t", F.coalesce(*rows)).select(*keys, "value", F.inline("_t"))
+    if not any(name in imputes for name in order):
+        return out.select(*keys, "band_index", F.col("_b").alias(band), "value")      # nothing to choose between
     best = F.min_by("value", "_p").alias("value")
     return out.groupBy(*keys, "band_index", F.col("_b").alias(band)).agg(best)
 

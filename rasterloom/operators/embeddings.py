@@ -6,9 +6,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import as_double, argmax, dot, l2_normalize, sigmoid, softmax
-from .joins import BROADCAST_ROWS
+from .neighbors import block_pairs
 from .ordering import with_one
 
+FOLD_ROWS = 1000        # class rows that may travel as one array value
+
 
 def vector_mean(df: DataFrame, by: Sequence[str], vec: str, name: str = "vec", normalize: bool = False) -> DataFrame:
     """Mean vector per group: partial sums per (group, dimension), then one short list per group."""
@@ -49,16 +51,34 @@ def decode_scores(df: DataFrame, scores: str, pred: str = "pred", prob: str | No
     return out if prob is None else out.withColumn(prob, F.array_max(softmax(F.col(scores))))
 
 
-def linear_predict(df: DataFrame, weights: DataFrame, vec: str, cls: str) -> DataFrame:
-    """Score every vector with every class row (class, weight, bias); keeps the best class per vector.
+def linear_predict(df: DataFrame, weights: DataFrame, vec: str, cls: str, key: str | None = None) -> DataFrame:
+    """Best class of every vector under class rows (class, weight, bias): adds pred and score.
 
-    The weight table has one row per class. It is folded into one array value, so the big side is
-    read once and never shuffled; a table beyond the broadcast bound is refused.
+    Few classes are folded into one value, so the big side is read once and never shuffled. Beyond
+    ``FOLD_ROWS`` classes the scores come from block products, for which ``key`` names a unique row id.
     """
-    if weights.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError("weight table has too many classes to hold in one row")
-    table = weights.agg(F.array_sort(F.collect_list(F.struct(F.col(cls).alias("c"), F.col("weight").alias("w"), F.col("bias").alias("b")))).alias("_w"))
-    both = with_one(df, table)
-    scored = F.transform("_w", lambda r: F.struct((dot(F.col(vec), r["w"]) + r["b"]).alias("s"), (-r["c"]).alias("n")))
-    return both.withColumn("_best", F.array_max(scored)).select(
-        *df.columns, (-F.col("_best.n")).alias("pred"), F.col("_best.s").alias("score"))
+    if weights.limit(FOLD_ROWS + 1).count() <= FOLD_ROWS:
+        row = F.struct(F.col(cls).alias("c"), F.col("weight").alias("w"), F.col("bias").alias("b"))
+        both = with_one(df, weights.agg(F.array_sort(F.collect_list(row)).alias("_w")))
+        scored = F.transform("_w", lambda r: F.struct((dot(F.col(vec), r["w"]) + r["b"]).alias("s"), (-r["c"]).alias("n")))
+        return both.withColumn("_best", F.array_max(scored)).select(
+            *df.columns, (-F.col("_best.n")).alias("pred"), F.col("_best.s").alias("score"))
+    if key is None:
+        raise ValueError(f"more than {FOLD_ROWS} classes: name the key column of the rows")
+
+    def best(a, b):
+        import numpy as np
+        import pandas as pd
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "pred": [], "score": []})
+        b = b.sort_values("id")
+        s = np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T + b["bias"].to_numpy()[None, :]
+        top = s.argmax(axis=1)
+        return pd.DataFrame({"id": a["id"], "pred": b["id"].to_numpy()[top], "score": s[np.arange(len(a)), top]})
+
+    rows = df.select(F.col(key).cast("bigint").alias("id"), as_double(F.col(vec)).alias("v"))
+    table = weights.select(F.col(cls).cast("bigint").alias("id"), as_double(F.col("weight")).alias("v"), "bias")
+    found = block_pairs(rows, table, "id", best, "id bigint, pred bigint, score double")
+    top = found.groupBy("id").agg(F.max(F.struct("score", -F.col("pred"))).alias("_t"))
+    return df.join(top.withColumnRenamed("id", key), key).select(
+        *df.columns, (-F.col("_t.col2")).cast(weights.schema[cls].dataType).alias("pred"), F.col("_t.score").alias("score"))

@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .ordering import agg_join, hash_order, rank_rows
+from .ordering import Order, hash_order, rank_rows, running
 
 GROUP_LIMIT = 1000     # up to this k Spark limits each group before the shuffle
 
@@ -21,15 +21,20 @@ def sort_manifest(df: DataFrame, key: str) -> DataFrame:
     return df.orderBy(key)
 
 
-def topk(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k: int, name: str = "rank") -> DataFrame:
-    """First k rows of each group; k up to the group limit is cut on the map side."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+def topk(df: DataFrame, by: Sequence[str], order: Order, k: int, name: str = "rank") -> DataFrame:
+    """First k rows of each group in a total order (names, or (name, "desc") for numbers).
+
+    Up to the group limit Spark cuts each group on the map side; a larger k takes sliced ranks.
+    """
+    if k > GROUP_LIMIT:
+        return rank_rows(df, order, by, name).filter(F.col(name) <= k).withColumn(name, F.col(name).cast("int"))
+    keys = [F.col(o) if isinstance(o, str) else (F.desc(o[0]) if o[1] == "desc" else F.asc(o[0])) for o in order]
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*keys))).filter(F.col(name) <= k)
 
 
 def spot_rows(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """First, middle and last row in a total order."""
-    ranked = agg_join(rank_rows(df, order, name="rn"), [], F.count("*").alias("_n"))
+    ranked = running(df, order, totals={"_n": F.lit(1)})
     return ranked.filter(F.col("rn").isin(1) | (F.col("rn") == F.floor(F.col("_n") / 2) + 1) | (F.col("rn") == F.col("_n"))).drop("_n")
 
 
@@ -86,7 +91,7 @@ def _class_ranked(df: DataFrame, label: str, key: str, seed: int | None, extra:
     base = df if seed is None else df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in (*extra, key)]))
     order = [key] if seed is None else ["_h", key]
     by = [*extra, label]
-    return agg_join(rank_rows(base, order, by, name="_rn"), by, F.count("*").alias("_n")).drop("_h")
+    return running(base, order, by, rank="_rn", totals={"_n": F.lit(1)}).drop("_h")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, p: float = 0.1, seed: int | None = None) -> DataFrame:
@@ -109,11 +114,7 @@ def balanced_sample(df: DataFrame, label: str, key: str, per_class: int, seed: i
     """min(per_class, size) rows of each class without replacement, ordered by key."""
     valid = df.filter((F.col(label) != ignore) & (F.col(label) >= 0))
     base, order = _ordered(valid, key, seed)
-    if per_class <= GROUP_LIMIT:
-        kept = topk(base, [label], order, per_class, "_rn")
-    else:
-        kept = rank_rows(base, order, [label], name="_rn").filter(F.col("_rn") <= per_class)
-    return kept.drop("_rn", "_h").orderBy(key)
+    return topk(base, [label], order, per_class, "_rn").drop("_rn", "_h").orderBy(key)
 
 
 def rebalance_multilabel(df: DataFrame, key: str, labels: str, percent: float, seed: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import spread
 from .registry import Tables
 
 IGNORE = 255
@@ -14,8 +15,8 @@ IGNORE = 255
 # --- pixel grids: one sample per part, side 8..16 ------------------------------------------------
 def rasters(t: Tables) -> DataFrame:
     """sample_id, h, w (not square)."""
-    return t.part.select(F.col("p_partkey").alias("sample_id"), (8 + F.col("p_size") % 9).cast("int").alias("h"),
-                         (8 + F.col("p_partkey") % 7).cast("int").alias("w"))
+    return spread(t.part.select(F.col("p_partkey").alias("sample_id"), (8 + F.col("p_size") % 9).cast("int").alias("h"),
+                                (8 + F.col("p_partkey") % 7).cast("int").alias("w")))
 
 
 RASTERS = """rasters AS (SELECT p_partkey AS sample_id, CAST(8 + p_size % 9 AS INT) AS h,

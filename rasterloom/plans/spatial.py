@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import geometry as G, labels as L, masks as K, tiles as T
+from ..session import spread
 from . import reports as P
 from .inputs import BLOBS, PIXELS, RASTERS, SCORES, blobs, grid, pixels, rasters, scores
 from .recoding import CHECK, check, pix_check
@@ -15,7 +16,7 @@ RS = "rs AS (SELECT p_partkey AS raster_id, CAST(30 + p_size AS INT) AS width, C
 
 
 def rs(t):
-    return t.part.select(F.col("p_partkey").alias("raster_id"), (30 + F.col("p_size")).cast("int").alias("width"), (25 + F.col("p_partkey") % 50).cast("int").alias("height"))
+    return spread(t.part).select(F.col("p_partkey").alias("raster_id"), (30 + F.col("p_size")).cast("int").alias("width"), (25 + F.col("p_partkey") % 50).cast("int").alias("height"))
 
 
 G1 = f"""WITH {RS}, ys AS (SELECT *, unnest(range(0, height, 20)) y FROM rs), g AS (SELECT *, unnest(range(0, width, 20)) x FROM ys),
@@ -99,7 +100,7 @@ ov AS (SELECT *, GREATEST(0,COALESCE(LAG(x0+w) OVER r-x0,0)) "left", GREATEST(0,
 
 
 def rf(t):
-    return t.part.select(F.col("p_partkey").alias("raster_id"), (32 + 4 * (F.col("p_size") % 9)).cast("int").alias("width"), (24 + 4 * (F.col("p_partkey") % 11)).cast("int").alias("height"))
+    return spread(t.part).select(F.col("p_partkey").alias("raster_id"), (32 + 4 * (F.col("p_size") % 9)).cast("int").alias("width"), (24 + 4 * (F.col("p_partkey") % 11)).cast("int").alias("height"))
 
 
 @query("g20_feature_tiles", f"WITH {FT} SELECT * FROM ft")

@@ -22,7 +22,7 @@ def _(t):
 
 @query("l2_topk", "SELECT o_custkey, o_orderkey, CAST(r AS INT) AS rank FROM (SELECT o_custkey, o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) r FROM orders) WHERE r <= 3")
 def _(t):
-    return S.topk(t.orders, ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 3).select("o_custkey", "o_orderkey", "rank")
+    return S.topk(t.orders, ["o_custkey"], [("o_totalprice", "desc"), "o_orderkey"], 3).select("o_custkey", "o_orderkey", "rank")
 
 
 @query("l3_spot_rows", f"WITH {DOC} SELECT doc_id, rn FROM d WHERE rn IN (1, n//2+1, n)")

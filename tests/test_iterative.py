@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import clustering as C, graph, masks as K, neighbors as N
+from rasterloom.operators import clustering as C, embeddings as E, graph, masks as K, neighbors as N
 from rasterloom.plans import reports as P
 
 
@@ -156,6 +156,25 @@ def test_silhouette_matches_brute_force(cloud):
     assert C.silhouette(df, "label", "embedding").first()["silhouette"] == pytest.approx(np.mean(s))
 
 
+def test_many_clusters_take_blocks(spark, cloud, monkeypatch):
+    v, df = cloud
+    want = C.silhouette(df, "label", "embedding").first()["silhouette"]
+    monkeypatch.setattr(C, "FOLD_ROWS", 2)
+    with pytest.raises(ValueError):
+        C.silhouette(df, "label", "embedding")
+    assert C.silhouette(df, "label", "embedding", "vec_id").first()["silhouette"] == pytest.approx(want)
+
+
+def test_many_classes_take_blocks(spark, cloud, monkeypatch):
+    _, df = cloud
+    w = E.class_means(df, "label", "embedding").withColumn("bias", F.col("label") * 0.05)
+    want = {r["vec_id"]: r["pred"] for r in E.linear_predict(df, w, "embedding", "label").collect()}
+    monkeypatch.setattr(E, "FOLD_ROWS", 2)
+    with pytest.raises(ValueError):
+        E.linear_predict(df, w, "embedding", "label")
+    assert {r["vec_id"]: r["pred"] for r in E.linear_predict(df, w, "embedding", "label", "vec_id").collect()} == want
+
+
 def test_silhouette_is_null_for_one_cluster(cloud):
     assert C.silhouette(cloud[1].withColumn("label", F.lit(0)), "label", "embedding").first()["silhouette"] is None
 
