@@ -62,11 +62,12 @@ def nearest(q: DataFrame, g: DataFrame, k: int, key: str = "vec_id", vec: str =
                 sim[qid[:, None] == gid[None, :]] = -np.inf
             kk = min(k, sim.shape[1])
             edge = np.partition(sim, sim.shape[1] - kk, axis=1)[:, sim.shape[1] - kk]
-            r, c = np.nonzero((sim >= edge[:, None]) & np.isfinite(sim))
+            above, tied = sim > edge[:, None], sim == edge[:, None]
+            room = kk - above.sum(axis=1)           # copies tie: the first ones by id fill up to k
+            tied &= np.cumsum(tied, axis=1, dtype=np.int32) <= room[:, None]
+            r, c = np.nonzero((above | tied) & np.isfinite(sim))
             order = np.lexsort((c, -sim[r, c], r))
             r, c = r[order], c[order]
-            rank = np.arange(len(r)) - np.searchsorted(r, r)
-            r, c = r[rank < kk], c[rank < kk]
             parts.append(pd.DataFrame({"q_id": qid[r], "q_label": part["label"].to_numpy()[r], "g_id": gid[c],
                                        "g_label": b["label"].to_numpy()[c], "sim": sim[r, c]}))
         return pd.concat(parts)
