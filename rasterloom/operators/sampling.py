@@ -171,8 +171,8 @@ def foreground_voxel(df: DataFrame, sample: str, label: str, key: Sequence[str],
     """One pseudo-random voxel of one pseudo-random foreground class per sample, as two min-by-hash aggregates."""
     fg = df.filter(F.col(label) != background)
     pick = fg.select(sample, label).distinct().groupBy(sample).agg(F.min_by(label, hash_order(seed, sample, label)).alias(label))
-    best = F.min_by(F.struct(*key), hash_order(seed + 1, sample, *key)).alias("v")
-    return fg.join(pick, [sample, label]).groupBy(sample, label).agg(best).select(sample, label, "v.*")
+    best = F.min_by(F.struct(*key), hash_order(seed + 1, sample, *key)).alias("__voxel")
+    return fg.join(pick, [sample, label]).groupBy(sample, label).agg(best).select(sample, label, "__voxel.*")
 
 
 def mix_partners(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:

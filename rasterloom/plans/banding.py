@@ -81,13 +81,13 @@ def _(t):
     return summ(B.rerange(band_pixels(t), ["sample_id"], -1.0, 3.0))
 
 
-@query("p22_select_bands", f"""WITH {BAND_PIXELS}, src AS (SELECT * FROM band_pixels WHERE NOT (band='G' AND sample_id%2=0)),
+@query("p22_select_bands", f"""WITH {BAND_PIXELS}, src AS (SELECT sample_id, y, x, CASE WHEN band='G' AND sample_id%2=0 THEN 'unused' ELSE band END AS band, value FROM band_pixels),
 o AS (SELECT s.sample_id, s.y, s.x, 0 AS band_index, 'B' AS band, s.value FROM src s WHERE band='B'
  UNION ALL SELECT sample_id, y, x, 1, 'G', COALESCE(MAX(CASE WHEN band='G' THEN value END), MAX(CASE WHEN band='R' THEN value END)) FROM src GROUP BY ALL
  UNION ALL SELECT sample_id, y, x, 2, 'N', value FROM src WHERE band='R')
 SELECT sample_id, band, band_index, COUNT(*) n, ROUND(SUM(value*(y+1)),4) a FROM o GROUP BY ALL""")
 def _(t):
-    src = band_pixels(t).filter(~((F.col("band") == "G") & (F.col("sample_id") % 2 == 0)))
+    src = band_pixels(t).withColumn("band", F.when((F.col("band") == "G") & (F.col("sample_id") % 2 == 0), "unused").otherwise(F.col("band")))
     out = B.select_bands(src, ["B", "G", "N"], {"G": "R", "N": "R"})
     return out.groupBy("sample_id", "band", "band_index").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value") * (F.col("y") + 1)), 4).alias("a"))
 
@@ -242,8 +242,8 @@ def _(t):
     return J.present(t.documents.select("doc_id"), t.labels.filter("quality = 1"), "doc_id")
 
 
-@query("j15_fill_missing_masks", """SELECT p_partkey, CASE WHEN p_partkey%3=0 THEN repeat('1', 4) ELSE repeat('0', CAST(2*(p_size%3+1) AS INT)) END AS labels FROM part""")
+@query("j15_fill_missing_masks", """SELECT p_partkey, CASE WHEN p_type='ECONOMY' THEN repeat('1', 4) ELSE repeat('0', CAST(2*(p_size%3+1) AS INT)) END AS labels FROM part""")
 def _(t):
     img = t.part.select("p_partkey", F.lit(2).alias("h"), (F.col("p_size") % 3 + 1).alias("w"))
-    masks = t.part.filter("p_partkey % 3 = 0").select("p_partkey", F.array_repeat(F.lit(1), 4).alias("labels"))
+    masks = t.part.filter("p_type = 'ECONOMY'").select("p_partkey", F.array_repeat(F.lit(1), 4).alias("labels"))
     return J.fill_missing_masks(img, masks, "p_partkey").select("p_partkey", F.array_join("labels", "").alias("labels"))

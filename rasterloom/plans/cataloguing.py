@@ -10,13 +10,13 @@ from .inputs import RUNLOG, runlog
 from .registry import query
 from .scoring import AREA_SQL, r6
 
-PATHS = "im AS (SELECT doc_id, '/data/img/' || source || '/' || doc_id || '.jpg' AS path FROM documents), an AS (SELECT '/data/ann/' || source || '/' || doc_id || '.png' AS path FROM documents WHERE doc_id % 7 <> 2)"
+PATHS = "im AS (SELECT doc_id, '/data/img/' || source || '/' || doc_id || '.jpg' AS path FROM documents), an AS (SELECT '/data/ann/' || source || '/' || doc_id || '.png' AS path FROM documents WHERE lang <> 'fr')"
 
 
 def paths(t):
     d = t.documents
     return (d.select(F.concat(F.lit("/data/img/"), "source", F.lit("/"), "doc_id", F.lit(".jpg")).alias("path")),
-            d.filter("doc_id % 7 <> 2").select(F.concat(F.lit("/data/ann/"), "source", F.lit("/"), "doc_id", F.lit(".png")).alias("path")))
+            d.filter("lang <> 'fr'").select(F.concat(F.lit("/data/ann/"), "source", F.lit("/"), "doc_id", F.lit(".png")).alias("path")))
 
 
 @query("sc1_scan_pairs", f"WITH {PATHS} SELECT replace(replace(im.path,'/data/img/',''),'.jpg','') AS stem, im.path AS img_path, an.path AS seg_map_path FROM im LEFT JOIN an ON replace(replace(an.path,'/data/ann/',''),'.png','') = replace(replace(im.path,'/data/img/',''),'.jpg','')")
@@ -24,9 +24,9 @@ def _(t):
     return S.pair_paths(*paths(t), ".jpg", ".png", "/data/img", "/data/ann")
 
 
-@query("sc2_scan_split", "SELECT doc_id, 'img/' || source || '_' || doc_id || '.jpg' AS img_path, 'ann/' || source || '_' || doc_id || '.png' AS seg_map_path FROM documents WHERE doc_id % 10 <> 0")
+@query("sc2_scan_split", "SELECT doc_id, 'img/' || source || '_' || doc_id || '.jpg' AS img_path, 'ann/' || source || '_' || doc_id || '.png' AS seg_map_path FROM documents WHERE lang <> 'de'")
 def _(t):
-    name = F.when(F.col("doc_id") % 10 == 0, "  ").otherwise(F.concat(F.lit(" "), "source", F.lit("_"), "doc_id", F.lit("  ")))
+    name = F.when(F.col("lang") == "de", "  ").otherwise(F.concat(F.lit(" "), "source", F.lit("_"), "doc_id", F.lit("  ")))
     return S.split_paths(t.documents.select("doc_id", name.alias("value")), "img", "ann", ".jpg", ".png")
 
 
@@ -202,16 +202,16 @@ def _(t):
     return K.stack_results({"x": d.groupBy("lang").agg(F.count("*").alias("n")), "y": d.groupBy("source").agg(F.count("*").alias("n"))})
 
 
-PACK = """m AS (SELECT CASE WHEN vec_id%100=4 THEN vec_id-1 ELSE vec_id END sample_id FROM embeddings), v AS (SELECT vec_id sample_id, CASE WHEN label=1 THEN 60 ELSE 64 END d FROM embeddings WHERE vec_id%50<>10),
-l AS (SELECT vec_id sample_id, label FROM embeddings WHERE vec_id%60<>7), j AS (SELECT m.sample_id, d, label FROM m LEFT JOIN v USING (sample_id) LEFT JOIN l USING (sample_id))"""
+PACK = """m AS (SELECT CASE WHEN vec_id%100=4 THEN vec_id-1 ELSE vec_id END sample_id FROM embeddings), v AS (SELECT vec_id sample_id, CASE WHEN label=1 THEN 60 ELSE 64 END d FROM embeddings WHERE label<>3),
+l AS (SELECT vec_id sample_id, label FROM embeddings WHERE label<>5), j AS (SELECT m.sample_id, d, label FROM m LEFT JOIN v USING (sample_id) LEFT JOIN l USING (sample_id))"""
 
 
 def _pack(t):
     v = F.col("vec_id")
     e = t.embeddings
     m = e.select(F.when(v % 100 == 4, v - 1).otherwise(v).alias("sample_id"))
-    vec = e.filter(v % 50 != 10).select(v.alias("sample_id"), F.when(F.col("label") == 1, F.slice("embedding", 1, 60)).otherwise(F.col("embedding")).alias("embedding"))
-    return K.pack_bundle(m, vec, e.filter(v % 60 != 7).select(v.alias("sample_id"), "label"))
+    vec = e.filter("label <> 3").select(v.alias("sample_id"), F.when(F.col("label") == 1, F.slice("embedding", 1, 60)).otherwise(F.col("embedding")).alias("embedding"))
+    return K.pack_bundle(m, vec, e.filter("label <> 5").select(v.alias("sample_id"), "label"))
 
 
 @query("sk10_pack_bundle", f"WITH {PACK} SELECT sample_id, d AS dim, label FROM j")

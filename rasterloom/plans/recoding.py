@@ -275,7 +275,7 @@ def _(t):
     return r6(linear_predict(t.embeddings.select("vec_id", "embedding"), w, "embedding", "label").select("vec_id", "pred", "score"))
 
 
-@query("p43_score")
+@query("p43_score", "SELECT vec_id, ROUND(list_sum(CAST(embedding AS DOUBLE[])),6) AS score FROM embeddings")
 def _(t):
     from ..operators.scoring import score
 
@@ -285,7 +285,7 @@ def _(t):
             m = np.stack(pdf["embedding"].to_numpy()).astype("float64")
             return pdf[["vec_id"]].assign(score=m.sum(axis=1))
         return fn
-    return score(t.embeddings.select("vec_id", "embedding"), make, "vec_id bigint, score double", batch_size=512)
+    return r6(score(t.embeddings.select("vec_id", "embedding"), make, "vec_id bigint, score double", batch_size=512))
 
 
 # --- filters ---------------------------------------------------------------------------------------

@@ -118,11 +118,14 @@ def _(t):
     return T.tile_overlaps(T.feature_tiles(rf(t), 32, 0.25, 4))
 
 
-@query("a32_blend_tiles", f"""WITH {FT}, f AS (SELECT raster_id, tile_no, x0//4 x0, y0//4 y0, w//4 w, h//4 h, width//4 fw, height//4 fh, "left"//4 l, "right"//4 r, "top"//4 tp, bottom//4 bt FROM ov),
+BLEND = f"""WITH {FT}, f AS (SELECT raster_id, tile_no, x0//4 x0, y0//4 y0, w//4 w, h//4 h, width//4 fw, height//4 fh, "left"//4 l, "right"//4 r, "top"//4 tp, bottom//4 bt FROM ov),
 p AS (SELECT *, unnest(range(w)) x FROM (SELECT *, unnest(range(h)) y FROM f)),
 q AS (SELECT *, LEAST(CASE WHEN l>0 AND x0<>0 AND x<l THEN CASE WHEN l=1 THEN 0.5 ELSE 1.0/(l+1)+x*(1-1.0/(l+1))/(l-1) END ELSE 1.0 END, CASE WHEN r>0 AND x0+w<>fw AND x>=w-r THEN CASE WHEN r=1 THEN 1.0 ELSE 1+(x-(w-r))*(1.0/(r+1)-1)/(r-1) END ELSE 1.0 END)
  * LEAST(CASE WHEN tp>0 AND y0<>0 AND y<tp THEN CASE WHEN tp=1 THEN 0.5 ELSE 1.0/(tp+1)+y*(1-1.0/(tp+1))/(tp-1) END ELSE 1.0 END, CASE WHEN bt>0 AND y0+h<>fh AND y>=h-bt THEN CASE WHEN bt=1 THEN 1.0 ELSE 1+(y-(h-bt))*(1.0/(bt+1)-1)/(bt-1) END ELSE 1.0 END) wt FROM p)
-SELECT raster_id, CAST(y+y0 AS BIGINT) y, CAST(x+x0 AS BIGINT) x, 0 AS class_id, ROUND(SUM(wt*(tile_no*10+y+x))/GREATEST(SUM(wt),1e-6),6) AS value FROM q GROUP BY ALL""")
+SELECT raster_id, CAST(y+y0 AS BIGINT) y, CAST(x+x0 AS BIGINT) x, 0 AS class_id, ROUND(SUM(wt*(tile_no*10+y+x))/GREATEST(SUM(wt),1e-6),6) AS value FROM q GROUP BY ALL"""
+
+
+@query("a32_blend_tiles", BLEND)
 def _(t):
     ov = T.tile_overlaps(T.feature_tiles(rf(t), 32, 0.25, 4))
     v = ov.withColumn("y", F.explode(F.sequence(F.lit(0), (F.col("h") / 4).cast("int") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), (F.col("w") / 4).cast("int") - 1)))
@@ -189,10 +192,10 @@ def _pixel_model(stride, value):
     return make
 
 
-@query("m9_extract_tiled")
+@query("m9_extract_tiled", BLEND)
 def _(t):
     make = _pixel_model(4, lambda n, y, x: {"class_id": 0, "value": n * 10.0 + y + x})
-    return P.extract_tiled(rf(t), make, "raster_id bigint, tile_no int, y int, x int, class_id int, value double", 32, 0.25, 4)
+    return r6(P.extract_tiled(rf(t), make, "raster_id bigint, tile_no int, y int, x int, class_id int, value double", 32, 0.25, 4))
 
 
 @query("m10_infer_raster", f"""WITH {STRICT}, p AS (SELECT *, unnest(range(crop_x, crop_x+crop_w)) x FROM (SELECT *, unnest(range(crop_y, crop_y+crop_h)) y FROM tl)),

@@ -210,9 +210,9 @@ def _(t):
     return S.check_disjoint(parts(t), "partition", "split", "sample_name")
 
 
-@query("u4_diff_names", "(SELECT user_id, 'unexpected' AS side FROM (SELECT user_id FROM events EXCEPT SELECT c_custkey FROM customer WHERE c_custkey>=5)) UNION ALL (SELECT c_custkey, 'missing' FROM (SELECT c_custkey FROM customer WHERE c_custkey>=5 EXCEPT SELECT user_id FROM events))")
+@query("u4_diff_names", "(SELECT user_id, 'unexpected' AS side FROM (SELECT user_id FROM events EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment<>'BUILDING')) UNION ALL (SELECT c_custkey, 'missing' FROM (SELECT c_custkey FROM customer WHERE c_mktsegment<>'BUILDING' EXCEPT SELECT user_id FROM events))")
 def _(t):
-    return S.diff_names(t.events.select("user_id"), t.customer.filter("c_custkey >= 5").select("c_custkey"))
+    return S.diff_names(t.events.select("user_id"), t.customer.filter("c_mktsegment <> 'BUILDING'").select("c_custkey"))
 
 
 @query("u5_concat_datasets", "SELECT doc_id, lang, NULL::INT AS quality, 0 AS dataset_index FROM documents UNION ALL SELECT doc_id, NULL, quality, 1 FROM labels")
@@ -284,7 +284,7 @@ def _(t):
 
 
 MAN = """m AS (SELECT CASE WHEN doc_id%50=7 THEN doc_id-1 ELSE doc_id END sample_id, lang AS split, CASE WHEN doc_id%97=3 THEN 'v0' ELSE 'v1' END AS format, source || '/' || doc_id AS path FROM documents),
-fi AS (SELECT source || '/' || doc_id AS path FROM documents WHERE doc_id%41<>5), ve AS (SELECT vec_id sample_id, label, embedding FROM embeddings)"""
+fi AS (SELECT source || '/' || doc_id AS path FROM documents WHERE source<>'src5'), ve AS (SELECT vec_id sample_id, label, embedding FROM embeddings)"""
 
 
 @query("v2_audit_manifest", f"""WITH {MAN}, sz AS (SELECT split, COUNT(*) n FROM m GROUP BY split), u AS (
@@ -296,18 +296,18 @@ def _(t):
     d = F.col("doc_id")
     m = t.documents.select(F.when(d % 50 == 7, d - 1).otherwise(d).alias("sample_id"), F.col("lang").alias("split"), F.when(d % 97 == 3, "v0").otherwise("v1").alias("format"),
                            F.concat_ws("/", "source", "doc_id").alias("path"))
-    files = t.documents.filter("doc_id % 41 <> 5").select(F.concat_ws("/", "source", "doc_id").alias("path"))
+    files = t.documents.filter("source <> 'src5'").select(F.concat_ws("/", "source", "doc_id").alias("path"))
     vec = t.embeddings.select(F.col("vec_id").alias("sample_id"), F.when(F.col("label") == 2, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")).alias("embedding"))
     return V.audit_manifest(m, files, vec, {"en": 100, "fr": 100, "de": 100}, "v1", 64)
 
 
 @query("v3_audit_partition", f"""WITH {PARTS}, c AS (SELECT partition, sample_name, split, COUNT(*) c FROM pt GROUP BY ALL), g AS (SELECT partition, sample_name, COUNT(*) s, MAX(c) m FROM c GROUP BY ALL)
 SELECT partition, CAST(sample_name AS VARCHAR) sample_name, CASE WHEN s>1 THEN 'in_several_splits' ELSE 'duplicate' END AS rule FROM g WHERE s>1 OR m>1
-UNION ALL SELECT partition, CAST(sample_name AS VARCHAR), 'not_in_dataset' FROM pt WHERE sample_name NOT IN (SELECT c_custkey FROM customer WHERE c_custkey > 20)
+UNION ALL SELECT partition, CAST(sample_name AS VARCHAR), 'not_in_dataset' FROM pt WHERE sample_name NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'MACHINERY')
 UNION ALL SELECT DISTINCT partition, 'holdout', 'empty_split' FROM pt""")
 def _(t):
     p = parts(t).withColumn("sample_name", F.col("sample_name").cast("string"))
-    names = t.customer.filter("c_custkey > 20").select(F.col("c_custkey").cast("string").alias("sample_name"))
+    names = t.customer.filter("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").cast("string").alias("sample_name"))
     return V.audit_partition(p, names, ["click", "view", "holdout"])
 
 
@@ -351,9 +351,9 @@ def _(t):
     return V.audit_shapes(t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("h"), F.lit(5).alias("w")), "l_orderkey")
 
 
-@query("v9_audit_counts", "SELECT COALESCE(l.doc_id, d.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'no_prediction' ELSE 'no_sample' END AS rule FROM (SELECT doc_id FROM labels) l FULL OUTER JOIN (SELECT doc_id FROM documents WHERE doc_id >= 5) d USING (doc_id) WHERE l.doc_id IS NULL OR d.doc_id IS NULL")
+@query("v9_audit_counts", "SELECT COALESCE(l.doc_id, d.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'no_prediction' ELSE 'no_sample' END AS rule FROM (SELECT doc_id FROM labels) l FULL OUTER JOIN (SELECT doc_id FROM documents WHERE lang <> 'de') d USING (doc_id) WHERE l.doc_id IS NULL OR d.doc_id IS NULL")
 def _(t):
-    return V.audit_counts(t.labels, t.documents.filter("doc_id >= 5"), "doc_id")
+    return V.audit_counts(t.labels, t.documents.filter("lang <> 'de'"), "doc_id")
 
 
 @query("sc9_embedding_contract", "SELECT COUNT(*) AS \"rows\", 0::BIGINT AS null_vectors, MIN(len(embedding))::INT AS min_dim, MAX(len(embedding))::INT AS max_dim, 0::BIGINT AS non_finite, COUNT(*) FILTER (WHERE label<0) AS negative_labels FROM embeddings")
