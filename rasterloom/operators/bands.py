@@ -14,8 +14,14 @@ from .ordering import agg_join, hash_order, percentiles, rank_rows
 PROFILE = {"p0_1": 0.001, "p1": 0.01, "p5": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99, "p99_9": 0.999}
 
 
-def band_stats(df: DataFrame, band: str = "band", value: str = "value", approx: bool = False) -> DataFrame:
-    """Min, max, mean, population deviation and profile quantiles of each band."""
+def band_stats(df: DataFrame, band: str = "band", value: str = "value", approx: bool = False, per_sample: int | None = None,
+               sample: str = "sample_id", key: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """Min, max, mean, population deviation and profile quantiles of each band.
+
+    ``per_sample`` profiles at most that many seeded values of each sample and band (``key`` identifies a value).
+    """
+    if per_sample is not None:
+        df = sample_values(df, [sample, band], key, per_sample, seed)
     base = df.groupBy(band).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),
                                 F.stddev_pop(value).alias("std"))
     if approx:
@@ -193,7 +199,8 @@ def clean_bands(df: DataFrame, keep: Sequence[str], scales: Mapping[str, float],
 def stretch(df: DataFrame, by: Sequence[str], lo: float = 2, hi: float = 98, value: str = "value") -> DataFrame:
     """Percentile stretch to 0..255 per group: falls back to min/max, constant or empty groups give 0.
 
-    Non-finite values take no part in the limits.
+    Non-finite values take no part in the limits. Scaled values are rounded to nine digits before they
+    are truncated, so rounding noise of the limits cannot move an exact integer down.
     """
     finite = df.filter(is_finite(F.col(value)))
     lim = percentiles(finite, by, value, {"_lo": lo / 100, "_hi": hi / 100, "_mn": 0.0, "_mx": 1.0})
@@ -201,4 +208,4 @@ def stretch(df: DataFrame, by: Sequence[str], lo: float = 2, hi: float = 98, val
                                          F.when(F.col("_hi") > F.col("_lo"), F.col("_hi")).otherwise(F.col("_mx")).alias("_b"))
     scaled = clip((F.col(value) - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0)) * 255.0, 0.0, 255.0)
     return (df.join(lim, list(by), "left")
-              .withColumn(value, F.coalesce(F.floor(F.nanvl(scaled, F.lit(0.0))).cast("int"), F.lit(0))).drop("_a", "_b"))
+              .withColumn(value, F.coalesce(F.floor(F.round(F.nanvl(scaled, F.lit(0.0)), 9)).cast("int"), F.lit(0))).drop("_a", "_b"))

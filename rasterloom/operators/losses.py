@@ -12,7 +12,12 @@ from .ranking import FLOAT32_EPS
 
 
 def reduce_loss(loss: Column, reduction: str = "mean", avg_factor: float | None = None) -> Column:
-    """Aggregate expression for a per-row loss; an explicit factor gets a float32 epsilon."""
+    """Reduction of a per-row loss: none leaves it as it is, sum and mean are aggregates.
+
+    An explicit factor replaces the row count of the mean and gets a float32 epsilon.
+    """
+    if reduction == "none":
+        return loss
     if reduction == "sum":
         if avg_factor is not None:
             raise ValueError("avg_factor can not be used with reduction='sum'")

@@ -146,6 +146,13 @@ def retrieval_details(top: DataFrame, facts: DataFrame, capacity: int, k_values:
     return per.select("q_id", "q_label", "relevant", "first_rank", *cols)
 
 
+def top_lists(top: DataFrame) -> DataFrame:
+    """Ranked ids, labels and similarities of each query as arrays (k entries each)."""
+    packed = top.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "g_id", "g_label", "sim"))).alias("_l"))
+    return packed.select("q_id", F.col("_l.g_id").alias("top_ids"), F.col("_l.g_label").alias("top_labels"),
+                         F.col("_l.sim").alias("top_similarities"))
+
+
 def retrieval_summary(details: DataFrame, k_values: Sequence[int] = (1, 5, 10, 20)) -> DataFrame:
     names = {"hit_rate_at": "hit_at", "precision_at": "precision_at", "recall_at": "recall_at", "map_at": "ap_at"}
     return details.agg(F.count("*").alias("queries"), F.avg(F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0))).alias("mrr"),

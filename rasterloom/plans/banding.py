@@ -163,7 +163,7 @@ def _(t):
 
 
 @query("p46_stretch", f"""WITH {BAND_PIXELS}, l AS (SELECT sample_id, band, quantile_cont(value,0.02) lo, quantile_cont(value,0.98) hi FROM band_pixels GROUP BY ALL),
-t AS (SELECT p.sample_id, y, x, p.band, floor(LEAST(GREATEST((value-lo)/(hi-lo)*255.0,0),255)) AS value FROM band_pixels p JOIN l ON l.sample_id=p.sample_id AND l.band=p.band) SELECT {SUMM} FROM t GROUP BY ALL""")
+t AS (SELECT p.sample_id, y, x, p.band, floor(ROUND(LEAST(GREATEST((value-lo)/(hi-lo)*255.0,0),255),9)) AS value FROM band_pixels p JOIN l ON l.sample_id=p.sample_id AND l.band=p.band) SELECT {SUMM} FROM t GROUP BY ALL""")
 def _(t):
     return summ(B.stretch(band_pixels(t), ["sample_id", "band"]).withColumn("value", F.col("value").cast("double")))
 

@@ -54,6 +54,12 @@ def _(t):
     return r6(P.retrieval_report(t.embeddings, t.embeddings, KS, same=True)[1])
 
 
+@query("w3_top_lists", f"WITH {SIM} SELECT q_id, string_agg(CAST(g_id AS VARCHAR), ',' ORDER BY r) AS top_ids, string_agg(CAST(g_label AS VARCHAR), ',' ORDER BY r) AS top_labels FROM rk WHERE r<=10 GROUP BY q_id")
+def _(t):
+    lists = N.top_lists(N.nearest(t.embeddings, t.embeddings, 10, exclude_self=True))
+    return lists.select("q_id", F.array_join("top_ids", ",").alias("top_ids"), F.array_join("top_labels", ",").alias("top_labels"))
+
+
 @query("m2_retrieval_report", f"WITH {RET} SELECT COUNT(*) queries, ROUND(AVG(COALESCE(1.0/first_rank,0)),6) mrr, " + ", ".join(
     f"ROUND(AVG({s}_at_{k}),6) {o}_at_{k}" for k in KS for s, o in (("hit", "hit_rate"), ("precision", "precision"), ("recall", "recall"), ("ap", "map"))) + " FROM dt")
 def _(t):

@@ -277,6 +277,18 @@ def _(t):
     return z.withColumn("all_kinds", F.col("all_kinds").cast("int"))
 
 
+# --- named steps -------------------------------------------------------------------------------------
+@query("apply_steps", f"WITH {PIXELS} SELECT sample_id, COUNT(*) n, CAST(SUM(gt) AS BIGINT) total FROM (SELECT sample_id, CASE WHEN gt=4 THEN 255 ELSE gt END gt FROM pixels WHERE gt<>255) GROUP BY sample_id")
+def _(t):
+    from ..functions.scalars import mask_ignore
+    from ..operators.filters import valid_rows
+    from ..operators.geometry import flip
+    from ..operators.steps import apply_steps
+    steps = [("valid", valid_rows, {}), ("flip", flip, {"direction": "vertical"}), ("drop_all", lambda df: df.limit(0), {}),
+             ("ignore", lambda df, values: df.withColumn("gt", mask_ignore(F.col("gt"), values)), {"values": [4]})]
+    return apply_steps(pixels(t), steps, skip={"drop_all"}).groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("gt").alias("total"))
+
+
 # --- audits ------------------------------------------------------------------------------------------
 @query("v1_audit_labels", f"WITH {PIXELS} SELECT sample_id, array_to_string(list_sort(list(DISTINCT gt)), ',') bad_values, COUNT(*) pixels FROM pixels WHERE gt NOT BETWEEN 0 AND 2 AND gt<>255 GROUP BY sample_id")
 def _(t):

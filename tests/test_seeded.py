@@ -2,6 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rasterloom.operators.steps import apply_steps
 from rasterloom.operators import bands as B, geometry as G, labels as L, metrics as M, sampling as S
 
 
@@ -91,6 +92,22 @@ def test_sample_values(spark):
     assert got.count() == 36 and got.columns == ["s", "id"]
 
 
+def test_band_stats_of_sampled_values(spark):
+    df = spark.range(900).selectExpr("id % 3 as sample_id", "id", "'b' as band", "cast(id as double) as value")
+    r = B.band_stats(df, per_sample=50, key=["id"]).first()
+    assert 0 <= r["min"] < r["median"] < r["max"] <= 899 and abs(r["mean"] - 450) < 120
+    exact = B.band_stats(df).first()
+    assert exact["median"] == 449.5 and abs(B.band_stats(df, approx=True).first()["median"] - 449.5) <= 1
+
+
+def test_steps(spark):
+    df = spark.range(5)
+    steps = [("a", lambda d, n: d.filter(F.col("id") < n), {"n": 3}), ("b", lambda d: d.limit(0), {})]
+    assert apply_steps(df, steps, skip=["b"]).count() == 3
+    with pytest.raises(KeyError):
+        apply_steps(df, steps, skip=["c"])
+
+
 def test_random_palette_and_fingerprint(spark):
     pal = L.random_palette(spark.range(30).selectExpr("id as class_id"))
     assert pal.filter("r between 0 and 255 and g between 0 and 255 and b between 0 and 255").count() == 30
