@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, simhash, toxicity
+from . import decontaminate, licences, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +70,54 @@ def op10(spark, sf):
     n_hit = decontaminate.covered(F.col("hits"))
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+# --- 1: quality rules --------------------------------------------------------------------------------
+OP1_SQL = rf"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+place AS (SELECT r, i, list_slice(w, i, i + 4) AS x FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM doc WHERE len(w) >= 5)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM place) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY r),
+line AS (SELECT r, length(x) AS c, length(x) - length(replace(x, ' ', '')) + 1 AS blanks, x FROM (SELECT r, unnest(lines) AS x FROM doc)),
+judged AS (SELECT r, c, NOT regexp_matches(x, '{quality.END.replace("'", "''")}') OR (length(x) - length(replace(x, '|', ''))) * 4 > blanks
+    OR (length(x) - length(replace(x, '!!', ''))) * 2 > blanks OR (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) * 2 > blanks
+    OR regexp_matches(x, '{quality.BOILERPLATE}') AS bad FROM line),
+loss AS (SELECT r, sum(c) AS c, coalesce(sum(c) FILTER (NOT bad), 0) AS ok, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad FROM judged GROUP BY r),
+base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_bad, 0) AS BIGINT) AS n_failed_lines,
+    CASE WHEN c > 0 THEN 1 - CAST(ok AS DOUBLE) / c ELSE 0 END AS loss
+    FROM doc LEFT JOIN rep USING (r) LEFT JOIN loss USING (r)),
+judge AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, n_failed_lines, NOT base_failed AND loss <= 0.4 AS kept FROM judge
+"""
+
+
+@query("op1_quality", OP1_SQL)
+def op1(spark, sf):
+    return quality.quality(table(spark, sf, "documents")).drop("loss", "cleaned")
+
+
+# --- 6: licences --------------------------------------------------------------------------------------
+def _op6_sql() -> str:
+    known = ", ".join(f"('{s}', '{i}')" for s, i in licences.SENTENCES.items())
+    rules = ", ".join(f"({k}, '{name}', ',{','.join(seq)},')" for k, (name, seq) in enumerate(licences.RULES, 1))
+    return rf"""
+WITH known(s, id) AS (VALUES {known}), rules(rank, licence, seq) AS (VALUES {rules}),
+doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?][\x20\x09-\x0D]+|\n') AS parts FROM documents),
+part AS (SELECT r, k, trim(regexp_replace(lower(parts[k]), '[^a-z0-9]+', ' ', 'g')) AS s FROM (SELECT r, parts, unnest(range(1, len(parts) + 1)) AS k FROM doc)),
+ids AS (SELECT r, string_agg(id, ',' ORDER BY k) AS ids, count(*) AS n FROM part JOIN known USING (s) GROUP BY r),
+hits AS (SELECT r, string_agg(CAST(rank AS VARCHAR), ',' ORDER BY rank) AS ranks, arg_min(licence, rank) AS licence FROM ids, rules
+    WHERE contains(',' || ids || ',', seq) GROUP BY r)
+SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(n, 0) AS n_sentences, coalesce(ranks, '') AS rule_ranks, licence
+FROM doc LEFT JOIN ids USING (r) LEFT JOIN hits USING (r)
+"""
+
+
+@query("op6_licences", _op6_sql())
+def op6(spark, sf):
+    found = licences.licences(table(spark, sf, "documents"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.size("sentence_ids").cast("bigint").alias("n_sentences"),
+                        F.array_join(F.col("rule_ranks").cast("array<string>"), ",").alias("rule_ranks"), "licence")
