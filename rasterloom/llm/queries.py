@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, licences, quality, simhash, toxicity
+from . import decontaminate, licences, linededup, pii, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -121,3 +121,17 @@ def op6(spark, sf):
     found = licences.licences(table(spark, sf, "documents"))
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.size("sentence_ids").cast("bigint").alias("n_sentences"),
                         F.array_join(F.col("rule_ranks").cast("array<string>"), ",").alias("rule_ranks"), "licence")
+
+
+# --- 2: personal data -----------------------------------------------------------------------------------
+@query("op2_personal_data")
+def op2(spark, sf):
+    return pii.personal_data(table(spark, sf, "documents")).drop("base")
+
+
+# --- 8: line dedup -----------------------------------------------------------------------------------------
+@query("op8_line_dedup")
+def op8(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    cut = linededup.drop_repeated_lines(docs)
+    return cut.select("doc_id", F.length("text").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
