@@ -3,9 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, licences, linededup, pii, quality, simhash, toxicity
+from ..session import scratch_path
+from . import decontaminate, licences, linededup, pii, quality, repair, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,3 +137,11 @@ def op8(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     cut = linededup.drop_repeated_lines(docs)
     return cut.select("doc_id", F.length("text").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+# --- 5: token files -------------------------------------------------------------------------------------------
+@query("op5_token_files")
+def op5(spark, sf):
+    path = scratch_path(spark, "token-shards")
+    repair.write_shards(table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return repair.read_documents(spark, path)
