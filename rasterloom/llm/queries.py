@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import decontaminate, licences, linededup, pii, quality, repair, simhash, toxicity
+from . import bytebpe, decontaminate, licences, linededup, pii, quality, repair, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -145,3 +145,11 @@ def op5(spark, sf):
     path = scratch_path(spark, "token-shards")
     repair.write_shards(table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return repair.read_documents(spark, path)
+
+
+# --- 3: byte-level BPE ------------------------------------------------------------------------------------------
+@query("op3_byte_bpe")
+def op3(spark, sf):
+    docs = table(spark, sf, "documents")
+    codec = bytebpe.build_codec(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bytebpe.round_trip(docs, codec)
