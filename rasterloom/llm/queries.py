@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import bytebpe, decontaminate, licences, linededup, pii, quality, repair, simhash, toxicity
+from . import bytebpe, decontaminate, licences, linededup, pii, ppm, quality, repair, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -153,3 +153,10 @@ def op3(spark, sf):
     docs = table(spark, sf, "documents")
     codec = bytebpe.build_codec(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return bytebpe.round_trip(docs, codec)
+
+
+# --- 4: language-model scores --------------------------------------------------------------------------------------
+@query("op4_ppm")
+def op4(spark, sf):
+    found = ppm.ppm_scores(table(spark, sf, "documents"), remainder(5) != 1)
+    return found.select("doc_id", (remainder(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
