@@ -19,6 +19,8 @@ an empty table gives an empty result; other columns are not read.
 """
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,13 +34,15 @@ FREE_BITS = 10
 BLOCK = 65536
 
 
-def simhash(text: bytes | None, shingle: int = 3) -> int:
-    """Fingerprint of one UTF-8 text as a signed 64-bit integer."""
+def simhash(text: bytes | None, shingle: int = 3, distinct: bool = False) -> int:
+    """Fingerprint of one UTF-8 text as a signed 64-bit integer. ``distinct``: the votes of the set of single words."""
     words = (text or b"").lower().split()
     if not words:
         return 0
     line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
+    if distinct:
+        hashes = [digest(w, 42) for w in set(words)]
+    elif len(words) <= shingle:
         hashes = [digest(line, 42)]
     else:
         ends = np.cumsum([len(w) + 1 for w in words]) - 1
@@ -156,8 +160,90 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def jaccard_links(texts: list[bytes], similarity: float = 0.8, shingle: int = 5) -> list[int]:
+    """For each text the index of the first text of its group, groups being connected by pairs with a Jaccard similarity
+    of their sets of word shingles of at least ``similarity`` (a shorter text is one shingle)."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append(frozenset(tuple(w[i:i + shingle]) for i in range(max(1, len(w) - shingle + 1))))
+    root, members = list(range(len(texts))), {}
+    for i, own in enumerate(sets):
+        mine = i
+        for lead in list(members):
+            if lead == mine:
+                continue
+            for j in members[lead]:                        # one link joins the groups, so the rest need not be compared
+                other = sets[j]
+                small, large = sorted((len(own), len(other)))
+                if small >= similarity * large:
+                    both = len(own & other)
+                    if both >= similarity * (small + large - both):
+                        low, high = min(lead, mine), max(lead, mine)
+                        moved = members.pop(high, [i])
+                        members.setdefault(low, []).extend(moved)
+                        mine = low
+                        break
+        members.setdefault(mine, [])
+        if i not in members[mine]:
+            members[mine].append(i)
+    for lead, own in members.items():
+        for i in own:
+            root[i] = lead
+    return root
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5,
+                          radius: int = 6, block_docs: int = 500) -> DataFrame:
+    """(doc_id, group): group is the smallest doc_id connected by near copies: pairs with a Jaccard similarity of their word
+    shingles of at least ``similarity``. Every doc_id is listed once.
+
+    Exact copies collapse first. The covering hash finds candidates among fingerprints of the sets of words, at a radius
+    that pairs of that similarity rarely exceed (measured recall: README); the texts of each candidate class are then
+    compared exactly. A class is cut into blocks of ``block_docs`` texts and each pair of blocks is a task of its own, so
+    no class is gathered in one place. A text is not compared with further members of its own group.
+    """
+    kind = dict(docs.dtypes)[id_col]
+    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
+                                              pa.array([simhash(t, distinct=True) for t in texts], pa.int64())], names=["doc_id", "text_key", "fp"])
+
+    prints = stored(named.mapInArrow(run, f"doc_id {kind}, text_key string, fp bigint"), "text-prints")
+    texts = stored(prints.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "distinct-texts")
+    links = stored(covering_links(texts.select("fp").distinct(), radius), "text-links")
+    roots = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    placed = texts.join(roots, "fp", "left").select("text_key", "rep", F.coalesce("root", "fp").alias("root"))
+    # classes of two texts or more, their texts dealt into blocks
+    sizes = placed.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block_docs).cast("int"))
+    block = F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int")
+    chosen = stored(placed.join(sizes, "root").select("text_key", "rep", "root", "blocks", block.alias("block")), "candidate-texts")
+    keyed = chosen.select(F.col("rep").alias("doc_id"), "text_key", "root", "blocks", "block")
+    with_text = named.join(keyed, named["doc_id"].eqNullSafe(keyed["doc_id"])).filter(F.sha2("text", 256) == F.col("text_key")).dropDuplicates(["text_key"])
+    pairs = with_text.select("root", "text_key", "text", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = pairs.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "text_key", "text")
+
+    def verify(group: pa.Table) -> pa.Table:
+        keys, own = group["text_key"].to_pylist(), group["text"].cast(pa.binary()).to_pylist()
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        lead = jaccard_links([own[k] for k in order], similarity, shingle)
+        found = [(keys[order[a]], keys[order[b]]) for a, b in enumerate(lead) if a != b]
+        return pa.table({"src": pa.array([a for a, _ in found], pa.string()), "dst": pa.array([b for _, b in found], pa.string())})
+
+    verified = stored(pairs.groupBy("root", "i", "j").applyInArrow(verify, "src string, dst string").distinct(), "verified-links")
+    groups = connected_components(verified).select(F.col("node").alias("text_key"), "component")
+    named_groups = texts.join(groups, "text_key", "left").select("text_key", "rep", F.coalesce("component", "text_key").alias("component"))
+    least = named_groups.groupBy("component").agg(F.min("rep").alias("group"))
+    final = named_groups.join(least, "component").select("text_key", "group")
+    return prints.join(final, "text_key").groupBy("doc_id").agg(F.min("group").alias("group"))
+
+
 def near_duplicates_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is the smallest of its component; of repeated rows with that id, all stay."""
-    keep = simhash_components(docs, id_col, text_col, **options).filter("doc_id <=> component_id")
-    ids = keep.select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(ids[id_col]), "left_semi")
+    """Rows of ``docs`` whose doc_id is the smallest of its group of near copies; of repeated rows of that doc_id one stays."""
+    groups = stored(near_duplicate_groups(docs, id_col, text_col, **options).filter("doc_id <=> group").select(F.col("doc_id").alias(id_col)), "kept")
+    kept = docs.join(groups, docs[id_col].eqNullSafe(groups[id_col]), "left_semi")
+    repeated = docs.groupBy(id_col).count().filter("count > 1").limit(1)
+    return kept.dropDuplicates([id_col]) if repeated.count() else kept

@@ -18,6 +18,7 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -163,3 +164,15 @@ def score_toxicity(docs: DataFrame, model: BagModel, id_col: str = "doc_id", tex
         return {"doc_id": ids, "score": scores, "spans": spans}
 
     return arrow_map(named, run, f"doc_id {dict(named.dtypes)['doc_id']}, score double, spans array<struct<start:int,end:int,score:double>>", "doc_id", "text")
+
+
+def drop_toxic(docs: DataFrame, model: BagModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` with a score below ``threshold``; no shuffle, all columns pass through."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([shared.value.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
