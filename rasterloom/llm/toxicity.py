@@ -82,8 +82,12 @@ class BagModel:
         return [(a, b, float(p)) for (a, b), p in zip(spans, 1 / (1 + np.exp(-self.sentence_logits(text))))]
 
 
-def fit_bags(texts: list[str | None], labels: list[int], bits: int = 18, rounds: int = 120, rate: float = 0.3, l2: float = 1e-5) -> BagModel:
-    """Maximum likelihood by Adagrad over the whole sample."""
+def fit_bags(texts: list[str | None], labels: list[int], bits: int = 18, rounds: int = 600, rate: float = 1.0, l1: float = 2e-5, bias: float = -9.0) -> BagModel:
+    """Maximum likelihood by Adagrad over the whole sample, weights kept at zero or above and sparse (soft threshold ``l1``).
+
+    Evidence can only speak for toxicity, and the fixed ``bias`` keeps a sentence without evidence near zero, so a long
+    clean document does not add up to a toxic one.
+    """
     y_all = np.array(labels, float)
     if not len(y_all) or y_all.min() == y_all.max():
         return BagModel(bits, constant=float(y_all.mean()) if len(y_all) else 0.0)
@@ -108,13 +112,14 @@ def fit_bags(texts: list[str | None], labels: list[int], bits: int = 18, rounds:
     if not n_sent:
         return BagModel(bits, constant=float(y_all.mean()))
     ids, cols = np.unique(np.array(cols), return_inverse=True)
-    # a feature of a single bag can only repeat that bag's label
+    # features of three bags or more, with a larger share of the toxic bags than of the others
     sent, bag, y = np.array(sent), np.array(bag), np.array(y, float)
     pairs = np.unique(cols * len(y) + bag[sent])
-    ok = (np.bincount(pairs // len(y), minlength=len(ids)) >= 3)[cols]
-    cols, sent = cols[ok], sent[ok]
-    w, b = np.zeros(len(ids)), -4.0
-    gw, gb = np.full(len(ids), 1e-6), 1e-6
+    held, toxic = (np.bincount(pairs // len(y), v, minlength=len(ids)) for v in (None, y[pairs % len(y)]))
+    able = (held >= 3) & (toxic / max(1, y.sum()) > 1.5 * (held - toxic) / max(1, (1 - y).sum()))
+    cols, sent, ids = (np.cumsum(able) - 1)[cols[able[cols]]], sent[able[cols]], ids[able]
+    w, b = np.full(len(ids), 0.5), bias
+    gw = np.full(len(ids), 1e-8)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for _ in range(rounds):
         z = b + np.bincount(sent, w[cols], n_sent)
@@ -123,12 +128,10 @@ def fit_bags(texts: list[str | None], labels: list[int], bits: int = 18, rounds:
         none = np.exp(np.clip(log_none, -50, -1e-9))
         slope = np.where(y > 0, -none / (1 - none), 1.0) * weight / len(y)
         dz = slope[bag] * p
-        dw = np.bincount(cols, dz[sent], len(ids)) + l2 * w
-        db = dz.sum()
+        dw = np.bincount(cols, dz[sent], len(ids))
         gw += dw * dw
-        gb += db * db
-        w -= rate * dw / np.sqrt(gw)
-        b -= rate * db / np.sqrt(gb)
+        step = rate / np.sqrt(gw)
+        w = np.maximum(w - step * (dw + l1), 0.0)
     full = np.zeros(1 << bits)
     full[ids] = w
     return BagModel(bits, float(b), full)
