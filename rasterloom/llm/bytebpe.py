@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import arrow_map, let
 
-SLOT_BITS = 18
+SLOT_BITS = 15
 CACHE_WORDS = 300_000
 
 
@@ -83,17 +83,15 @@ class RankMap:
     starts: Column
     codes: Column
     bytes_: Column
-    whole: DataFrame
 
     @staticmethod
-    def of(spark, ranks: dict[bytes, int]) -> RankMap:
+    def of(ranks: dict[bytes, int]) -> RankMap:
         slots: dict[int, list[int]] = {}
         for (a, b), m in sorted(pair_ranks(ranks).items()):
             slots.setdefault((a * 40503 + b * 10007) % (1 << SLOT_BITS), []).append(a << 40 | b << 20 | m)
         sizes = [len(slots.get(s, [])) for s in range(1 << SLOT_BITS)]
         starts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-        whole = spark.createDataFrame(sorted((k, v) for k, v in ranks.items()), "bytes binary, id int")
-        return RankMap(_literal(starts, "int"), _literal([c for s in sorted(slots) for c in slots[s]], "bigint"), _literal([ranks[bytes([i])] for i in range(256)], "bigint"), whole)
+        return RankMap(_literal(starts, "int"), _literal([c for s in sorted(slots) for c in slots[s]], "bigint"), _literal([ranks[bytes([i])] for i in range(256)], "bigint"))
 
     def joined(self, a: Column, b: Column) -> Column:
         """Id of the pair's bytes, or null."""
@@ -117,13 +115,9 @@ class RankMap:
 
 
 def encode_pieces(pieces: DataFrame, ranks: dict[bytes, int], piece_col: str = "piece") -> DataFrame:
-    """(piece, ids): the distinct pieces of a table encoded by the higher-order fold."""
-    spark = pieces.sparkSession
-    ranked = RankMap.of(spark, ranks)
-    own = pieces.select(F.col(piece_col).alias("piece")).filter("piece <> ''").distinct().withColumn("bytes", F.encode("piece", "UTF-8"))
-    whole = own.join(F.broadcast(ranked.whole), "bytes", "left")         # one row per token of the vocabulary
-    ids = F.when(F.col("id").isNotNull(), F.array(F.col("id").cast("bigint"))).otherwise(ranked.ids(F.col("bytes")))
-    return whole.repartition(F.col("piece")).select("piece", ids.alias("ids"))
+    """(piece, ids): the distinct pieces of a table encoded by the higher-order fold. Pieces that are tokens are not among them."""
+    own = pieces.select(F.col(piece_col).alias("piece")).filter("piece <> ''").distinct()
+    return own.select("piece", RankMap.of(ranks).ids(F.encode("piece", "UTF-8")).alias("ids"))
 
 
 # --- texts ------------------------------------------------------------------------------------------------
@@ -135,7 +129,7 @@ def _words(text: str) -> list[str] | None:
     return parts
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = 200_000) -> DataFrame:
+def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = 100_000) -> DataFrame:
     """(word, n): the most frequent blank-separated words of all texts; counts are combined in each batch first."""
     def run(batches):
         import pyarrow as pa
@@ -211,15 +205,18 @@ class Codec:
         return b"".join(map(self._tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def build_codec(docs: DataFrame, path: str, pattern: str, text_col: str = "text", dictionary_words: int = 200_000) -> Codec:
+def build_codec(docs: DataFrame, path: str, pattern: str, text_col: str = "text", dictionary_words: int = 100_000) -> Codec:
     """A codec whose dictionary holds the most frequent words of ``docs``, encoded by the higher-order fold."""
     ranks = read_ranks(path)
     words = [r[0] for r in frequent_words(docs, text_col, dictionary_words).select("word").collect()]
     spark, split = docs.sparkSession, regex.compile(pattern)
     pieces = {w: split.findall(" " + w) for w in words if len(w) <= 64}
     distinct = sorted({p for own in pieces.values() for p in own})
-    table = spark.createDataFrame([(p,) for p in distinct], "piece string")
-    coded = {r["piece"]: np.array(r["ids"], "<u4").tobytes() for r in encode_pieces(table, ranks).collect()} if distinct else {}
+    coded = {p: np.array([ranks[p.encode()]], "<u4").tobytes() for p in distinct if p.encode() in ranks}
+    folded = [(p,) for p in distinct if p not in coded]
+    if folded:
+        table = spark.createDataFrame(folded, "piece string")
+        coded |= {r["piece"]: np.array(r["ids"], "<u4").tobytes() for r in encode_pieces(table, ranks).toLocalIterator()}
     return Codec(ranks, pattern, {w: b"".join(coded[p] for p in own) for w, own in pieces.items()})
 
 

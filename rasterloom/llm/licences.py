@@ -72,8 +72,8 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     ids = F.filter(F.transform(plain, lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
     found = docs.select(F.col(id_col).alias("doc_id"), ids.alias("sentence_ids"))
     line = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
-    ranked = F.filter(F.array(*[F.when(F.contains(line, F.lit(f",{','.join(seq)},")), F.struct(F.lit(i).alias("rank"), F.lit(name).alias("licence")))
-                                for i, (name, seq) in enumerate(order, 1)]), lambda x: x.isNotNull())
-    out = found.withColumn("hits", ranked)
+    ranks = F.array(*[F.when(F.contains(line, F.lit(f",{','.join(seq)},")), F.struct(F.lit(i).alias("rank"), F.lit(name).alias("licence")))
+                      for i, (name, seq) in enumerate(order, 1)]).cast("array<struct<rank:int,licence:string>>")
+    out = found.withColumn("hits", F.filter(ranks, lambda x: x.isNotNull()))
     return out.select("doc_id", "sentence_ids", F.col("hits.rank").alias("rule_ranks"), F.get(F.col("hits.licence"), F.lit(0)).alias("licence"),
                       F.array_distinct(F.col("hits.licence")).alias("licences"))

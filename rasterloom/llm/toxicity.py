@@ -15,6 +15,7 @@ score is the share of toxic rows (0 without rows); other columns are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -92,8 +93,7 @@ def fit_bags(texts: list[str | None], labels: list[int], bits: int = 18, rounds:
     if not len(y_all) or y_all.min() == y_all.max():
         return BagModel(bits, constant=float(y_all.mean()) if len(y_all) else 0.0)
     cache: dict[str, list[int]] = {}
-    cols, sent, bag, n_sent = [], [], [], 0
-    y = []
+    cols, sizes, bag, y = array("i"), array("i"), array("i"), []
     for text, label in zip(texts, labels):
         found = False
         for s in SENTENCE.findall(text or ""):
@@ -104,16 +104,17 @@ def fit_bags(texts: list[str | None], labels: list[int], bits: int = 18, rounds:
                 own.update(cache[t])
             if own:
                 cols.extend(sorted(own))
-                sent.extend([n_sent] * len(own))
+                sizes.append(len(own))
                 bag.append(len(y))
-                n_sent, found = n_sent + 1, True
+                found = True
         if found:
             y.append(label)
+    n_sent = len(sizes)
     if not n_sent:
         return BagModel(bits, constant=float(y_all.mean()))
-    ids, cols = np.unique(np.array(cols), return_inverse=True)
+    ids, cols = np.unique(np.frombuffer(cols, np.int32), return_inverse=True)
     # features of three bags or more, with a larger share of the toxic bags than of the others
-    sent, bag, y = np.array(sent), np.array(bag), np.array(y, float)
+    sent, bag, y = np.repeat(np.arange(n_sent), sizes), np.array(bag, np.int64), np.array(y, float)
     pairs = np.unique(cols * len(y) + bag[sent])
     held, toxic = (np.bincount(pairs // len(y), v, minlength=len(ids)) for v in (None, y[pairs % len(y)]))
     able = (held >= 3) & (toxic / max(1, y.sum()) > 1.5 * (held - toxic) / max(1, (1 - y).sum()))
