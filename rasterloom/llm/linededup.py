@@ -9,8 +9,8 @@ position of the rolling hash is looked at as well: each run of ``roll`` lines is
 they cover every repeated passage of two lines and more, and every repeated long line, wherever it stands.
 
 Chunks whose hash occurs more than once are compared as bytes (grouped by their text); the first occurrence, by doc_id
-and place, stays, lines of all others are removed. Hashes are counted before any text moves: only text that occurs again
-is shuffled, and the counts are combined before the shuffle, so a passage that a third of all documents hold is no hot
+and place, stays, lines of all others are removed. Hashes are counted before any text moves: only chunks that occur again
+are compared, and the counts are combined before the shuffle, so a passage that a third of all documents hold is no hot
 group. Documents are joined back by doc_id and text hash.
 
 Defined results: lines without a word are never removed by themselves; a null text stays null and an empty one empty;
@@ -55,24 +55,40 @@ def chunks(text: str | None, roll: int = 2, divisor: int = 4, long_words: int =
     return [(s, k) for s, k in out if any(n_words[s:s + k])]
 
 
-def _occurrences(with_text: bool, roll: int, divisor: int, long_words: int):
+def _signed(code: int) -> int:
+    return code - (1 << 64) if code >> 63 else code
+
+
+def _spots(roll: int, divisor: int, long_words: int):
+    """(doc, text hash, start, lines, code) of all chunks."""
     def run(batches):
         for b in batches:
             ids, hashes, texts = (b.column(k).to_pylist() for k in range(3))
-            out = {"doc": [], "text_hash": [], "start": [], "lines": [], "code": [], "chunk": []}
+            out = [[] for _ in range(5)]
             for doc, h, text in zip(ids, hashes, texts):
                 lines = (text or "").split("\n")
                 for s, k in chunks(text, roll, divisor, long_words):
-                    chunk = "\n".join(lines[s:s + k])
-                    code = xxhash.xxh64_intdigest(chunk)
-                    for name, v in zip(out, (doc, h, s, k, code - (1 << 64) if code >> 63 else code, chunk)):
-                        out[name].append(v)
-            names = list(out) if with_text else list(out)[:-1]
-            kinds = [b.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, kinds)], names=names)
+                    for column, v in zip(out, (doc, h, s, k, _signed(xxhash.xxh64_intdigest("\n".join(lines[s:s + k]))))):
+                        column.append(v)
+            kinds = [b.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=["doc", "text_hash", "start", "lines", "code"])
     return run
 
 
+def _chunk_texts(batches):
+    """The text of each listed spot of a document."""
+    for b in batches:
+        names = ["doc", "text_hash", "start", "lines", "code", "chunk"]
+        out = [[] for _ in names]
+        for doc, h, text, spots in zip(*(b.column(k).to_pylist() for k in range(4))):
+            lines = text.split("\n")
+            for x in spots:
+                for column, v in zip(out, (doc, h, x["start"], x["lines"], x["code"], "\n".join(lines[x["start"]:x["start"] + x["lines"]]))):
+                    column.append(v)
+        kinds = [b.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=names)
+
+
 def _cut(batches):
     for b in batches:
         row, texts, gone = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
@@ -90,10 +106,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     columns = f"doc {kind}, text_hash bigint, start int, lines int, code bigint"
-    spots = base.mapInArrow(_occurrences(False, roll, divisor, long_words), columns)
-    codes = stored(spots.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").select("code"), "repeated-codes")
-    texts = base.mapInArrow(_occurrences(True, roll, divisor, long_words), columns + ", chunk string").join(codes, "code", "left_semi")
-    again = stored(texts, "repeated-chunks")
+    spots = stored(base.mapInArrow(_spots(roll, divisor, long_words), columns), "chunk-codes")
+    codes = spots.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").select("code")
+    listed = (spots.join(codes, "code", "left_semi").groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "lines", "code")).alias("spots"))
+                   .withColumnsRenamed({"doc": "doc1", "text_hash": "hash1"}))
+    # equal rows are one document
+    texts = base.join(listed, F.col("doc").eqNullSafe(F.col("doc1")) & (F.col("text_hash") == F.col("hash1"))).select("doc", "text_hash", "text", "spots")
+    again = stored(texts.mapInArrow(_chunk_texts, columns + ", chunk string"), "repeated-chunks")
     # the byte comparison: equal text, not only equal hash
     first = (again.groupBy("code", "chunk").agg(F.min(F.struct("doc", "text_hash", "start")).alias("first"), F.count("*").alias("n"))
                   .filter("n > 1").withColumn("same", F.sha2("chunk", 256)).select("code", "same", "first"))
