@@ -23,11 +23,11 @@ def _rule(df: DataFrame, rule: str, key: str, detail) -> DataFrame:
 
 
 def audit_manifest(manifest: DataFrame, files: DataFrame, vectors: DataFrame, expected: dict[str, int], fmt: str,
-                   dim: int, first: int = 100) -> DataFrame:
+                   dim: int) -> DataFrame:
     """Format tag, unknown splits, split counts, duplicate ids, missing files, vector size, non-finite vectors.
 
     ``manifest`` has (sample_id, split, format, path), ``files`` (path), ``vectors`` (sample_id, embedding).
-    The report lists the first violations in (rule, key) order.
+    The report lists every violation; ``count_violations`` adds them up.
     """
     sizes = manifest.groupBy("split").agg(F.count("*").alias("n"))
     want = F.create_map(*[F.lit(x) for kv in expected.items() for x in kv])
@@ -43,7 +43,12 @@ def audit_manifest(manifest: DataFrame, files: DataFrame, vectors: DataFrame, ex
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.orderBy("rule", "key").limit(first)
+    return out
+
+
+def count_violations(report: DataFrame) -> DataFrame:
+    """Violations of each rule and of all rules (NULL), from the rows of an audit."""
+    return report.rollup("rule").agg(F.count("*").alias("n"))
 
 
 def audit_partition(partitions: DataFrame, names: DataFrame, expected_splits: Sequence[str], partition: str = "partition",

@@ -41,20 +41,24 @@ def sample_values(df: DataFrame, by: Sequence[str], key: Sequence[str], per_samp
 def _scaled(method: str, v: Column) -> Column:
     mean, std = F.col("mean"), F.col("std")
     if method == "standardize":
-        return (v - mean) / std
+        return F.try_divide(v - mean, std)
     if method in ("two_sigma", "one_sigma"):
         k = 2.0 if method == "two_sigma" else 1.0
-        return (v - (mean - k * std)) / (2 * k * std)
+        return F.try_divide(v - (mean - k * std), 2 * k * std)
     if method == "min_max":
-        return (v - F.col("min")) / (F.col("max") - F.col("min"))
+        return F.try_divide(v - F.col("min"), F.col("max") - F.col("min"))
     raise ValueError(f"unknown scaling {method}")
 
 
 def normalize(df: DataFrame, stats: DataFrame, method: str = "standardize", band: str = "band", value: str = "value") -> DataFrame:
-    """Scale by band statistics: standardize, one_sigma, two_sigma (both unclipped) or min_max."""
+    """Scale by band statistics: standardize, one_sigma, two_sigma (both unclipped) or min_max.
+
+    A band without spread gives NULL; rows of a band without statistics pass unchanged.
+    """
     cols = [c for c in stats.columns if c != band]
-    joined = lookup_join(df, stats, [band], "inner")
-    return joined.withColumn(value, _scaled(method, F.col(value).cast("double"))).drop(*cols)
+    joined = lookup_join(df, stats.withColumn("_known", F.lit(True)), [band])
+    v = F.col(value).cast("double")
+    return joined.withColumn(value, F.when(F.col("_known"), _scaled(method, v)).otherwise(v)).drop(*cols, "_known")
 
 
 def normalize_modalities(df: DataFrame, stats: DataFrame, on: Sequence[str], value: str = "value") -> DataFrame:
@@ -129,8 +133,7 @@ def rgb_to_bands(df: DataFrame, stats: DataFrame, rgb: Mapping[str, str], bands:
         scaled = {"s2": v, "0_1": v * 10000.0, "0_255": v * (10000.0 / 255.0)}[mode]
     colour = F.create_map(*[F.lit(x) for kv in rgb.items() for x in kv])
     mapped = (df.withColumn("value", scaled).withColumn("band", F.element_at(colour, F.col("band"))).drop("_mx"))
-    real = lookup_join(mapped, stats.select("band", "mean", "std"), ["band"], "inner").withColumn(
-        "value", _scaled("two_sigma" if k == 2.0 else "one_sigma", F.col("value"))).drop("mean", "std")
+    real = normalize(mapped.filter(F.col("band").isNotNull()), stats.select("band", "mean", "std"), "two_sigma" if k == 2.0 else "one_sigma")
     rest = [b for b in bands if b not in rgb.values()]
     if not rest:
         return real

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import as_double, argmax, dot, l2_normalize, sigmoid, softmax
+from ..session import cut_lineage
 from .neighbors import block_pairs
 from .ordering import with_one
 
@@ -55,7 +56,7 @@ def linear_predict(df: DataFrame, weights: DataFrame, vec: str, cls: str, key: s
     """Best class of every vector under class rows (class, weight, bias): adds pred and score.
 
     Few classes are folded into one value, so the big side is read once and never shuffled. Beyond
-    ``FOLD_ROWS`` classes the scores come from block products, for which ``key`` names a unique row id.
+    ``FOLD_ROWS`` classes the scores come from block products, by ``key``, a unique row id, or numbers given here.
     """
     if weights.limit(FOLD_ROWS + 1).count() <= FOLD_ROWS:
         row = F.struct(F.col(cls).alias("c"), F.col("weight").alias("w"), F.col("bias").alias("b"))
@@ -63,8 +64,9 @@ def linear_predict(df: DataFrame, weights: DataFrame, vec: str, cls: str, key: s
         scored = F.transform("_w", lambda r: F.struct((dot(F.col(vec), r["w"]) + r["b"]).alias("s"), (-r["c"]).alias("n")))
         return both.withColumn("_best", F.array_max(scored)).select(
             *df.columns, (-F.col("_best.n")).alias("pred"), F.col("_best.s").alias("score"))
+    columns = df.columns
     if key is None:
-        raise ValueError(f"more than {FOLD_ROWS} classes: name the key column of the rows")
+        key, df = "__row", cut_lineage(df.withColumn("__row", F.monotonically_increasing_id()))
 
     def best(a, b):
         import numpy as np
@@ -81,4 +83,4 @@ def linear_predict(df: DataFrame, weights: DataFrame, vec: str, cls: str, key: s
     found = block_pairs(rows, table, "id", best, "id bigint, pred bigint, score double")
     top = found.groupBy("id").agg(F.max(F.struct("score", -F.col("pred"))).alias("_t"))
     return df.join(top.withColumnRenamed("id", key), key).select(
-        *df.columns, (-F.col("_t.col2")).cast(weights.schema[cls].dataType).alias("pred"), F.col("_t.score").alias("score"))
+        *columns, (-F.col("_t.col2")).cast(weights.schema[cls].dataType).alias("pred"), F.col("_t.score").alias("score"))

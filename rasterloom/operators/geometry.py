@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .joins import neighbour_diff
-from .ordering import hash_order
+from .ordering import drawn, hash_order
 
 S = "sample_id"
 
@@ -133,18 +133,27 @@ def cutout(df: DataFrame, boxes: DataFrame, fills: Mapping[str, object], cell: i
     return marked.drop("_hit")
 
 
-def random_crop(df: DataFrame, size: int, max_ratio: float, label: str, seed: int, tries: int = 10, ignore: int = 255) -> DataFrame:
-    """Seeded crop offsets, the first of ``tries`` whose largest class stays below ``max_ratio`` (else the last)."""
-    dims = df.select(S, "h", "w").distinct().filter((F.col("h") >= size) & (F.col("w") >= size))
-    off = [F.pmod(F.xxhash64(F.lit(seed), F.col(S), F.col("try"), F.lit(a)), F.col(d) - size + 1).cast("int").alias(f"o{a}") for a, d in (("y", "h"), ("x", "w"))]
-    cand = dims.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).select(S, "try", *off)
-    inside = (F.col("y") >= F.col("oy")) & (F.col("y") < F.col("oy") + size) & (F.col("x") >= F.col("ox")) & (F.col("x") < F.col("ox") + size)
-    hits = df.select(S, "y", "x", label).join(cand, S).filter(inside & (F.col(label) != ignore))
+def random_crop(df: DataFrame, size: int, max_ratio: float, label: str, seed: int, tries: int = 10, ignore: int = 255, cell: int = 64) -> DataFrame:
+    """Seeded crop offsets, the first of ``tries`` whose largest class stays below ``max_ratio`` (else the last).
+
+    A side shorter than ``size`` is kept whole. Candidate boxes meet pixels through coarse cells, so a pixel is copied only
+    for the tries that hold it and a large sample is no single key.
+    """
+    high, wide = F.least(F.col("h"), F.lit(size)), F.least(F.col("w"), F.lit(size))
+    dims = df.select(S, "h", "w").distinct()
+    tried = dims.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    boxes = tried.select(S, "try", high.alias("bh"), wide.alias("bw"), *[drawn(F.col(d) - n + 1, seed, F.col(S).cast("string"), F.col("try").cast("string"), a).cast("int").alias(f"o{a}")
+                                                                         for a, d, n in (("y", "h", high), ("x", "w", wide))])
+    cells = lambda a, n: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(a) + F.col(n) - 1) / cell)))
+    spread_boxes = boxes.withColumn("_cy", cells("oy", "bh")).withColumn("_cx", cells("ox", "bw"))
+    keyed = df.select(S, "y", "x", label, F.floor(F.col("y") / cell).alias("_cy"), F.floor(F.col("x") / cell).alias("_cx"))
+    inside = (F.col("y") >= F.col("oy")) & (F.col("y") < F.col("oy") + F.col("bh")) & (F.col("x") >= F.col("ox")) & (F.col("x") < F.col("ox") + F.col("bw"))
+    hits = keyed.join(spread_boxes, [S, "_cy", "_cx"]).filter(inside & (F.col(label) != ignore))
     per = hits.groupBy(S, "try", label).agg(F.count("*").alias("c")).groupBy(S, "try").agg(
         ((F.count("*") > 1) & (F.max("c") / F.sum("c") < max_ratio)).alias("ok"))
-    scored = cand.join(per, [S, "try"], "left").withColumn("_k", F.when(F.col("ok"), F.col("try")).otherwise(F.lit(tries)))
-    pick = scored.groupBy(S).agg(F.min_by(F.struct("oy", "ox"), F.struct("_k", -F.col("try"))).alias("o")).select(S, "o.oy", "o.ox")
-    return crop(df.join(pick, S), F.col("oy"), F.col("ox"), size, size).drop("oy", "ox")
+    scored = boxes.join(per, [S, "try"], "left").withColumn("_k", F.when(F.col("ok"), F.col("try")).otherwise(F.lit(tries)))
+    pick = scored.groupBy(S).agg(F.min_by(F.struct("oy", "ox", "bh", "bw"), F.struct("_k", -F.col("try"))).alias("o")).select(S, "o.*")
+    return crop(df.join(pick, S), F.col("oy"), F.col("ox"), F.col("bh"), F.col("bw")).drop("oy", "ox", "bh", "bw")
 
 
 def mosaic(df: DataFrame, partners: DataFrame, scale: tuple[int, int], center: tuple[int, int], label: str, fill: int = 255) -> DataFrame:

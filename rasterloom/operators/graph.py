@@ -12,7 +12,7 @@ def _mark(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of an edge; the component is its smallest node.
 
     Each step is a minimum per node, combined before the shuffle, and a join back, so a node
@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     nodes = edges.select(F.explode(F.array(src, dst)).alias("node")).distinct()
     e = cut_lineage(e)
     mark = _mark(e)
-    for _ in range(max_rounds):
+    while True:
         # large star: larger neighbours of u hang below the smallest node around u
         sym = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = agg_join(sym, ["a"], F.least(F.min("b"), F.min("a")).alias("m"))
@@ -36,7 +36,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if new == mark:
             break
         mark = new
-    else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     root = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_r"))
     return nodes.join(root, "node", "left").select("node", F.coalesce("_r", "node").alias("component"))

@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.scalars import token_index
 from .ordering import percentiles, with_one
 
-BROADCAST_ROWS = 500_000      # narrow dimension rows, some tens of megabytes at most
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000      # of a dimension table
 
 
 def lookup_join(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left",
                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a dimension table, broadcast only when it is counted to be small.
+    """Join a dimension table, broadcast only when its rows and its bytes (as JSON text) are counted to be few.
 
     Larger tables take an ordinary shuffle join, where AQE splits hot keys.
     """
-    small = table.limit(max_rows + 1).count() <= max_rows
+    size = table.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    small = size["n"] <= max_rows and (size["bytes"] or 0) <= BROADCAST_BYTES
     return df.join(F.broadcast(table) if small else table, list(on), how)
 
 

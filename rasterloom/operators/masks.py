@@ -189,7 +189,7 @@ def _cells(df: DataFrame, up: int, keep: Sequence[str]) -> DataFrame:
     return d.select(*keep, "level", "cx", "cy", "native")
 
 
-def nms(df: DataFrame, iou: float, image: str = "image", key: str = "box_id", score: str = "score", max_rounds: int = 10_000) -> DataFrame:
+def nms(df: DataFrame, iou: float, image: str = "image", key: str = "box_id", score: str = "score") -> DataFrame:
     """Greedy suppression by descending score (ties by key), exact, without pairing boxes.
 
     Boxes with IoU above t differ in length by less than 1/t, so they share a cell on the level of the
@@ -207,7 +207,7 @@ def nms(df: DataFrame, iou: float, image: str = "image", key: str = "box_id", sc
     slim = df.select(image, key, score, *box)
     kept = [slim.filter(~proper).select(image, key)]                    # zero area: overlaps nothing
     live = cut_lineage(slim.filter(proper).groupBy(image, *box).agg(F.max(order).alias("o")))
-    for _ in range(max_rounds):
+    while True:
         placed = _cells(live, up, [image, *box, "o"])
         leaders = placed.groupBy(*cell).agg(F.max("o").alias("_any"), F.max(F.when(F.col("native"), F.col("o"))).alias("_nat"))
         leads = F.when(F.col("native"), F.col("o") >= F.col("_any")).otherwise(F.col("_nat").isNull() | (F.col("o") > F.col("_nat")))
@@ -221,7 +221,6 @@ def nms(df: DataFrame, iou: float, image: str = "image", key: str = "box_id", sc
             kept = [cut_lineage(_union(kept))]
         if live.limit(1).count() == 0:
             return df.join(_union(kept), [image, key], "left_semi")
-    raise RuntimeError(f"suppression did not settle within {max_rounds} rounds")
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:

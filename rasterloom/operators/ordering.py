@@ -3,7 +3,7 @@
 A plain window sorts each group in one task. These helpers cut every group into slices of the
 order key, rank inside the slices and add the totals of the earlier slices. The slice bounds are
 sampled key tuples, so a hot key value is cut as well (its tie-break column is part of the tuple);
-the bounds only steer balance, results stay exact whatever was sampled.
+the bounds only steer balance, results stay exact whatever was sampled. NULL is a group like any other.
 """
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 ROWS_PER_SLICE = 500_000
 Order = Sequence["str | tuple[str, str]"]
 
@@ -21,46 +23,42 @@ def hash_order(seed: int, *cols: str) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
 
 
+def drawn(n: Column, *parts: Column | int | str) -> Column:
+    """A pseudo-random whole number from 0 to n - 1, from the MD5 of the parts joined by colons; any engine can repeat it."""
+    text = F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), n)
+
+
 def _keys(order: Order) -> list[Column]:
+    """Sort columns; NULL comes first in ascending and last in descending order, as in any Spark sort."""
     out = []
     for item in order:
         name, direction = (item, "asc") if isinstance(item, str) else item
-        out.append(F.col(name) if direction == "asc" else -F.col(name))
+        out.append(F.asc(name) if direction == "asc" else F.desc(name))
     return out
 
 
 def with_slice(df: DataFrame, order: Order, by: Sequence[str] = (), rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame | None:
     """Add ``_slice``, a monotone function of the order key; None when no group exceeds one slice.
 
-    One counting pass decides; only when a group is too large are key tuples sampled as well.
+    A counting pass decides. Slices are the partitions of a range partitioning by the whole order key (Spark samples it, so
+    any type, NULL and direction will do, and a hot leading value is cut by its tie-break columns); there are as many as
+    the rows need. The result is checkpointed, because a second evaluation could sample other bounds.
     """
     facts = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("all")).first()
-    n = facts["all"] or 0
-    k = min(math.ceil(n / rows_per_slice), 4096)
     if (facts["top"] or 0) <= rows_per_slice:
         return None
-    keys = [c.alias(f"k{i}") for i, c in enumerate(_keys(order))]
-    keyed = df.select(*keys)
-    picked = sorted(tuple(r) for r in keyed.sample(False, min(1.0, 30.0 * k / n), seed=17).collect())
-    bounds = sorted({picked[i * len(picked) // k] for i in range(1, k)})
-    if not bounds:
-        return None
-    types = [f.dataType for f in keyed.schema.fields]
+    slices = math.ceil(facts["all"] / rows_per_slice)
+    return cut_lineage(df.repartitionByRange(slices, *_keys(order)).withColumn("_slice", F.spark_partition_id()))
 
-    def literal(row):
-        return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(row, types))])
 
-    # two levels of bounds: about 2*sqrt(k) comparisons per row instead of k
-    step = max(1, math.isqrt(len(bounds)))
-    chunks = [bounds[i:i + step] for i in range(0, len(bounds), step)]
-    coarse = F.array(*[literal(c[0]) for c in chunks])
-    fine = F.array(*([F.array(literal(bounds[0]))] + [F.array(*[literal(b) for b in c]) for c in chunks]))
-    key = F.struct(*keys)
-    level1 = F.size(F.filter(coarse, lambda b: b <= F.col("__key")))
-    level2 = F.size(F.filter(F.element_at(fine, F.col("__lvl") + 1), lambda b: b <= F.col("__key")))
-    return (df.withColumn("__key", key).withColumn("__lvl", level1)
-              .withColumn("_slice", F.col("__lvl") * (step + 1) + F.when(F.col("__lvl") > 0, level2).otherwise(0))
-              .drop("__key", "__lvl"))
+def same_keys(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of equal name where NULL equals NULL; the columns appear once."""
+    if not on:
+        return left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
+    named = right.withColumnsRenamed({c: f"__on_{c}" for c in on})
+    both = left.join(named, [F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on], how)
+    return both.drop(*[f"__on_{c}" for c in on])
 
 
 def running(df: DataFrame, order: Order, by: Sequence[str] = (), rank: str | None = "rn",
@@ -90,7 +88,7 @@ def running(df: DataFrame, order: Order, by: Sequence[str] = (), rank: str | Non
     offsets = parts.select(*local, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
                            *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_s0_{k}") for k in sums],
                            *[F.sum(f"_t_{k}").over(Window.partitionBy(*by)).alias(k) for k in totals])
-    out = out.join(offsets, local)
+    out = same_keys(out, offsets, local)
     if rank:
         out = out.withColumn(rank, F.col(rank) + F.col("_n0"))
     for k in sums:
@@ -119,7 +117,7 @@ def agg_join(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
     """
     if not by:
         return with_one(df, df.agg(*aggs))
-    return df.join(df.groupBy(*by).agg(*aggs), list(by))
+    return same_keys(df, df.groupBy(*by).agg(*aggs), by)
 
 
 def carry_forward(df: DataFrame, value: str, by: Sequence[str], pos: str, name: str,
@@ -134,7 +132,7 @@ def carry_forward(df: DataFrame, value: str, by: Sequence[str], pos: str, name:
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = marks.select(*by, "_slice", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
     filled = F.coalesce(F.col("_last"), F.col("_carry"), *([] if default is None else [F.lit(default)]))
-    return local.join(carry, [*by, "_slice"]).withColumn(name, filled).drop("_slice", "_last", "_carry")
+    return same_keys(local, carry, [*by, "_slice"]).withColumn(name, filled).drop("_slice", "_last", "_carry")
 
 
 def percentiles(df: DataFrame, by: Sequence[str], value: str, ps: Mapping[str, float],

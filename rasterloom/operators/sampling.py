@@ -22,7 +22,7 @@ def sort_manifest(df: DataFrame, key: str) -> DataFrame:
 
 
 def topk(df: DataFrame, by: Sequence[str], order: Order, k: int, name: str = "rank") -> DataFrame:
-    """First k rows of each group in a total order (names, or (name, "desc") for numbers).
+    """First k rows of each group in a total order (names, or (name, "desc")); NULL first ascending, last descending, for every k.
 
     Up to the group limit Spark cuts each group on the map side; a larger k takes sliced ranks.
     """

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("scoring", "recoding", "banding", "splitting", "neighbours", "spatial", "cataloguing")
+FAMILIES = ("scoring", "recoding", "banding", "splitting", "neighbours", "spatial", "cataloguing", "edges")
 
 
 def load_queries():

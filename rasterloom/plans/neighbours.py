@@ -68,7 +68,7 @@ def _(t):
 
 @query("m2_retrieval_balanced")
 def _(t):
-    return r6(P.retrieval_report(t.embeddings, t.embeddings, (1, 5), same=True, per_class=20)[0])
+    return r6(P.retrieval_report(t.embeddings, t.embeddings, KS, same=True, per_class=20)[0])
 
 
 M1 = VOTE + ", valid AS (SELECT q_label gt, pred FROM pr)" + CM.replace("range(6)", "range(10)")
@@ -179,12 +179,12 @@ def _(t):
 
 @query("m4_dbscan_report")
 def _(t):
-    return P.dbscan_report(t.embeddings, min_samples=(5,), multipliers=(0.9, 1.0))
+    return P.dbscan_report(t.embeddings)
 
 
 @query("m3_kmeans_report")
 def _(t):
-    return P.kmeans_report(t.embeddings, n_init=2, max_iter=30)
+    return P.kmeans_report(t.embeddings)
 
 
 def _parts(t):
@@ -197,10 +197,10 @@ def _parts(t):
 
 @query("m5_linear_probe")
 def _(t):
-    return P.linear_probe(*_parts(t), 10, regs=(0.001, 0.1), max_iter=20)
+    return P.linear_probe(*_parts(t), 10, max_iter=100)
 
 
 @query("m6_logreg_sweep")
 def _(t):
     train, valid, _ = _parts(t)
-    return P.logreg_sweep(train, valid, [0.1, 1.0, 10.0], max_iter=20)
+    return P.logreg_sweep(train, valid, [0.1, 1.0, 10.0])

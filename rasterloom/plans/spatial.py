@@ -314,9 +314,18 @@ def _(t):
     return check(G.cutout(pixels(t), b, {"gt": 255}, cell=4), "gt")
 
 
-@query("g9_random_crop")
+RCROP = PIXELS + """, tried AS (SELECT sample_id, t, least(h, 9) bh, least(w, 9) bw,
+ CAST(('0x' || substr(md5('3:' || sample_id || ':' || t || ':y'), 1, 8))::BIGINT % (h - least(h, 9) + 1) AS INT) oy,
+ CAST(('0x' || substr(md5('3:' || sample_id || ':' || t || ':x'), 1, 8))::BIGINT % (w - least(w, 9) + 1) AS INT) ox FROM rasters, (SELECT unnest(range(10)) t)),
+ cl AS (SELECT sample_id, t, gt, COUNT(*) c FROM pixels JOIN tried USING (sample_id) WHERE y>=oy AND y<oy+bh AND x>=ox AND x<ox+bw AND gt<>255 GROUP BY ALL),
+ okt AS (SELECT sample_id, t, COUNT(*)>1 AND MAX(c)/SUM(c)<0.4 ok FROM cl GROUP BY ALL),
+ pick AS (SELECT sample_id, arg_min(t, CASE WHEN ok THEN t ELSE 100-t END) t FROM okt GROUP BY ALL),
+ got AS (SELECT sample_id, p.y-oy AS y, p.x-ox AS x, gt AS v FROM pixels p JOIN tried USING (sample_id) JOIN pick USING (sample_id, t) WHERE p.y>=oy AND p.y<oy+bh AND p.x>=ox AND p.x<ox+bw)"""
+
+
+@query("g9_random_crop", f"WITH {RCROP} SELECT sample_id, COUNT(*) n, {CHECK} checksum FROM got GROUP BY sample_id")
 def _(t):
-    return check(G.random_crop(pixels(t), 6, 0.4, "gt", seed=3), "gt")
+    return check(G.random_crop(pixels(t), 9, 0.4, "gt", seed=3, cell=4), "gt")
 
 
 MOS = PIXELS + """, n AS (SELECT COUNT(*) n FROM part), mem AS (SELECT p_partkey sample_id, CAST(s AS INT) slot, CASE WHEN s=0 THEN p_partkey ELSE (p_partkey*7+s*13)%n END src FROM part, n, (SELECT unnest(range(4)) s)),

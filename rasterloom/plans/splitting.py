@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audits as V, labels as L, runlog as LG, sampling as S
 from .inputs import PIXELS, RUNLOG, pixels, runlog
-from .registry import query
+from .registry import SQL, query
 from .scoring import r6
 
 DOC = "d AS (SELECT doc_id, source, lang, ROW_NUMBER() OVER (ORDER BY doc_id) rn, COUNT(*) OVER () n FROM documents)"
@@ -303,8 +303,12 @@ fi AS (SELECT source || '/' || doc_id AS path FROM documents WHERE source<>'src5
 SELECT 'format' AS rule, CAST(sample_id AS VARCHAR) AS key, format AS detail FROM m WHERE format<>'v1' UNION ALL SELECT 'split', CAST(sample_id AS VARCHAR), split FROM m WHERE split NOT IN ('en','fr','de')
 UNION ALL SELECT 'split_count', split, CAST(n AS VARCHAR) FROM sz WHERE split IN ('en','fr','de') AND n<>100 UNION ALL SELECT 'duplicate_id', CAST(sample_id AS VARCHAR), CAST(COUNT(*) AS VARCHAR) FROM m GROUP BY sample_id HAVING COUNT(*)>1
 UNION ALL SELECT 'missing_file', CAST(sample_id AS VARCHAR), path FROM m WHERE path NOT IN (SELECT path FROM fi) UNION ALL SELECT 'vector_size', CAST(sample_id AS VARCHAR), '63' FROM ve WHERE label=2)
-SELECT rule, key, detail FROM u ORDER BY rule, key LIMIT 100""")
+SELECT rule, key, detail FROM u""")
 def _(t):
+    return _manifest_audit(t)
+
+
+def _manifest_audit(t):
     d = F.col("doc_id")
     m = t.documents.select(F.when(d % 50 == 7, d - 1).otherwise(d).alias("sample_id"), F.col("lang").alias("split"), F.when(d % 97 == 3, "v0").otherwise("v1").alias("format"),
                            F.concat_ws("/", "source", "doc_id").alias("path"))
@@ -313,6 +317,11 @@ def _(t):
     return V.audit_manifest(m, files, vec, {"en": 100, "fr": 100, "de": 100}, "v1", 64)
 
 
+@query("v2_audit_counts", SQL["v2_audit_manifest"].replace("SELECT rule, key, detail FROM u", "SELECT rule, COUNT(*) n FROM u GROUP BY ROLLUP(rule)"))
+def _(t):
+    return V.count_violations(_manifest_audit(t))
+
+
 @query("v3_audit_partition", f"""WITH {PARTS}, c AS (SELECT partition, sample_name, split, COUNT(*) c FROM pt GROUP BY ALL), g AS (SELECT partition, sample_name, COUNT(*) s, MAX(c) m FROM c GROUP BY ALL)
 SELECT partition, CAST(sample_name AS VARCHAR) sample_name, CASE WHEN s>1 THEN 'in_several_splits' ELSE 'duplicate' END AS rule FROM g WHERE s>1 OR m>1
 UNION ALL SELECT partition, CAST(sample_name AS VARCHAR), 'not_in_dataset' FROM pt WHERE sample_name NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'MACHINERY')

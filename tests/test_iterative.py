@@ -160,8 +160,7 @@ def test_many_clusters_take_blocks(spark, cloud, monkeypatch):
     v, df = cloud
     want = C.silhouette(df, "label", "embedding").first()["silhouette"]
     monkeypatch.setattr(C, "FOLD_ROWS", 2)
-    with pytest.raises(ValueError):
-        C.silhouette(df, "label", "embedding")
+    assert C.silhouette(df, "label", "embedding").first()["silhouette"] == pytest.approx(want)
     assert C.silhouette(df, "label", "embedding", "vec_id").first()["silhouette"] == pytest.approx(want)
 
 
@@ -170,8 +169,7 @@ def test_many_classes_take_blocks(spark, cloud, monkeypatch):
     w = E.class_means(df, "label", "embedding").withColumn("bias", F.col("label") * 0.05)
     want = {r["vec_id"]: r["pred"] for r in E.linear_predict(df, w, "embedding", "label").collect()}
     monkeypatch.setattr(E, "FOLD_ROWS", 2)
-    with pytest.raises(ValueError):
-        E.linear_predict(df, w, "embedding", "label")
+    assert {r["vec_id"]: r["pred"] for r in E.linear_predict(df, w, "embedding", "label").collect()} == want
     assert {r["vec_id"]: r["pred"] for r in E.linear_predict(df, w, "embedding", "label", "vec_id").collect()} == want
 
 
