@@ -114,14 +114,46 @@ def jaccard(a, b, k=5):
 
 
 def without_repeated_lines(rows, chunks):
-    """[(row, text)] after removal of all but the first occurrence of each chunk; rows with equal id and text are one document."""
-    keyed = {(i is not None, i or 0, h): (i, t) for i, t in rows for h in [t]if t is not None}
-    places = defaultdict(list)
-    for key, (_, t) in keyed.items():
+    """[(doc_id, text)] after removal of all but the first occurrence of each chunk; rows with equal id and text are one document."""
+    places, drop = set(), defaultdict(set)
+    for known, i, t in sorted({(i is not None, i or 0, t) for i, t in rows if t is not None}):
         lines = t.split("\n")
-        for s, k in chunks(t):
-            places["\n".join(lines[s:s + k])].append((key, s, k))
-    return keyed, places
+        for s, k in sorted(chunks(t)):
+            chunk = "\n".join(lines[s:s + k])
+            if chunk in places:
+                drop[known, i, t].update(range(s, s + k))
+            places.add(chunk)
+    out = []
+    for i, t in rows:
+        gone = drop.get((i is not None, i or 0, t), ())
+        out.append((i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone) if gone else t))
+    return out
+
+
+def item_words(text):
+    return "".join(c if ord(c) > 127 or c.isalnum() else " " for c in (text or "").encode().lower().decode()).split()
+
+
+def benchmark_hits(rows, items, window=10):
+    """[(doc_id, n_words, n_hit, item ids)] by comparing every window with every place."""
+    windows = [(i, tuple(w[k:k + min(window, len(w))])) for i, t in items for w in [item_words(t)] if w for k in range(len(w) - min(window, len(w)) + 1)]
+    out = []
+    for i, t in rows:
+        w, hit, ids = item_words(t), set(), set()
+        for item, win in windows:
+            for k in range(len(w) - len(win) + 1):
+                if tuple(w[k:k + len(win)]) == win:
+                    hit |= set(range(k, k + len(win)))
+                    ids |= {str(item)} if item is not None else set()
+        out.append((i, len(w), len(hit), ",".join(sorted(ids))))
+    return out
+
+
+def one_of_each_group(rows, similarity=0.8):
+    """Rows whose id is the smallest of a group connected by similar texts; of equal ids the first row."""
+    rows = sorted({i: (i, t) for i, t in rows}.values())
+    comp = components(len(rows), lambda a, b: jaccard(rows[a][1], rows[b][1]) >= similarity)
+    return [r for k, r in enumerate(rows) if comp[k] == k]
 
 
 def pii_spans(text):

@@ -155,7 +155,7 @@ def test_token_files(spark, docs, odd, empty, tmp_path):
         want.append((i, at, len(ids), cases.crc(ids)))
         at += len(ids)
     for k, df in enumerate((docs, odd)):
-        repair.write_shards(df, str(tmp_path / f"s{k}"), path, shard_ids=700, least=2)
+        repair.write_shards(df, str(tmp_path / f"s{k}"), path, shard_ids=300, least=2)
         assert rows(repair.read_documents(spark, str(tmp_path / f"s{k}")), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
     shard = spark.read.parquet(str(tmp_path / "s0")).orderBy("part", "block").first().asDict()
     assert len(shard["rules"]) > 0
@@ -207,20 +207,7 @@ def test_toxicity_held_out(spark, empty):
 
 # --- line dedup -----------------------------------------------------------------------------------------------------------
 def test_line_dedup_by_brute_force(docs, odd, empty):
-    distinct = sorted({(i is not None, i or 0, t) for i, t in TEXTS if t is not None})
-    import xxhash  # noqa: F401 - the order of rows with one doc_id follows the text hash in Spark; here no id has two texts
-    places, drop = {}, {}
-    for known, i, t in distinct:
-        lines = t.split("\n")
-        for s, k in sorted(linededup.chunks(t)):
-            chunk = "\n".join(lines[s:s + k])
-            if chunk in places:
-                drop.setdefault((known, i, t), set()).update(range(s, s + k))
-            places.setdefault(chunk, (i, s))
-    want = []
-    for i, t in TEXTS:
-        gone = drop.get((i is not None, i or 0, t), set())
-        want.append((i, t if t is None or not gone else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)))
+    want = cases.without_repeated_lines(TEXTS, linededup.chunks)
     got = linededup.drop_repeated_lines(docs)
     assert got.columns == docs.columns and rows(got, "doc_id", "text") == sorted(want, key=repr)
     assert got.filter(F.contains("text", F.lit(cases.LONG_LINE))).count() == 1
@@ -286,17 +273,7 @@ def test_decontamination_by_brute_force(spark, docs, odd, empty):
     texts = dict(TEXTS)
     items = [(1, " ".join(texts[1].split()[2:20])), (2, "and déjà, VU!"), (3, None), (4, ""), (5, "x"), (6, texts[2].upper()), (7, "no such words anywhere at all in here my friend"), (2, "la la la"), (None, "two blanks")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    split = lambda t: "".join(c if ord(c) > 127 or c.isalnum() else " " for c in (t or "").encode().lower().decode()).split()
-    windows = [(i, tuple(w[k:k + min(10, len(w))])) for i, t in items for w in [split(t)] if w for k in range(len(w) - min(10, len(w)) + 1)]
-    want = []
-    for i, t in TEXTS:
-        w, hit, ids = split(t), set(), set()
-        for item, win in windows:
-            for k in range(len(w) - len(win) + 1):
-                if tuple(w[k:k + len(win)]) == win:
-                    hit |= set(range(k, k + len(win)))
-                    ids |= {str(item)} if item is not None else set()
-        want.append((i, len(w), len(hit), ",".join(sorted(ids))))
+    want = cases.benchmark_hits(TEXTS, items)
     for df, slices in ((docs, 500_000), (odd, 7)):
         found = decontaminate.benchmark_hits(df, bench, slice_rows=slices)
         found = found.select("doc_id", "n_words", decontaminate.covered(F.col("hits")).alias("n_hit"), F.array_join("item_ids", ",").alias("ids"))
