@@ -7,7 +7,8 @@ from ..operators import metrics as M
 from ..sources import manifests as S, sinks as K
 from ..streaming import jobs as ST
 from .inputs import RUNLOG, runlog
-from .registry import query
+from ..session import scratch_path
+from .registry import SQL, query
 from .scoring import AREA_SQL, r6
 
 PATHS = "im AS (SELECT doc_id, '/data/img/' || source || '/' || doc_id || '.jpg' AS path FROM documents), an AS (SELECT '/data/ann/' || source || '/' || doc_id || '.png' AS path FROM documents WHERE lang <> 'fr')"
@@ -233,6 +234,16 @@ def _stream(t, table):
 LP = "valid AS (SELECT 0 AS sample_id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END gt, CASE l_linestatus WHEN 'F' THEN 0 ELSE 2 END pred FROM lineitem)"
 
 
+def _late_events(t):
+    """The events as four files, the newest first, one file a batch."""
+    events, folder = t.events, scratch_path(t.spark, "late-events")
+    top = events.agg(F.max("event_id")).first()[0] or 0
+    for i in range(4):
+        part = events.filter(F.floor(F.col("event_id") * 4 / F.lit(top + 1)) == 3 - i)
+        part.coalesce(1).write.parquet(f"{folder}/f{i}")
+    return ST.file_stream(t.spark, f"{folder}/f*", events.schema, files_per_batch=1)
+
+
 def _pairs(df):
     return df.select(F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("gt"), F.when(F.col("l_linestatus") == "F", 0).otherwise(2).alias("pred"))
 
@@ -250,11 +261,20 @@ def _(t):
 @query("st2_stream_windowed_metrics", "SELECT CAST(ts AS DATE) AS day, event_type, COUNT(*) n, ROUND(SUM(value),4) total, MAX(value) AS top FROM events GROUP BY ALL")
 def _(t):
     # event times carry no zone: read them as UTC whatever the session zone is
-    events = _stream(t, "events").withColumn("ts", F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z"))))
+    return _windows(_stream(t, "events"))
+
+
+def _windows(stream):
+    events = stream.withColumn("ts", F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z"))))
     w = ST.stream_windowed_metrics(events, "ts", "1 day", "2 days", "value", ["event_type"])
     return w.select(F.date_from_unix_date(F.floor(F.unix_seconds("w.start") / 86400).cast("int")).alias("day"), "event_type", "n", F.round("total", 4).alias("total"), "top")
 
 
+@query("st2_stream_late_files", SQL["st2_stream_windowed_metrics"])
+def _(t):
+    return _windows(_late_events(t))
+
+
 @query("st3_stream_fill_steps", f"WITH {RUNLOG} SELECT file, pos, key, value, CAST(COALESCE(last_value(NULLIF(step,0) IGNORE NULLS) OVER (PARTITION BY file ORDER BY pos ROWS UNBOUNDED PRECEDING),0) AS BIGINT) AS step FROM runlog")
 def _(t):
     class Streamed:
@@ -262,6 +282,13 @@ def _(t):
     return ST.stream_fill_steps(runlog(Streamed), "file", "pos").select("file", "pos", "key", "value", "step")
 
 
+@query("st3_stream_late_files", SQL["st3_stream_fill_steps"])
+def _(t):
+    class Streamed:
+        events = _late_events(t)
+    return ST.stream_fill_steps(runlog(Streamed), "file", "pos").select("file", "pos", "key", "value", "step")
+
+
 @query("st4_stream_score", "SELECT event_id, ROUND(value*2+1,6) AS score FROM events")
 def _(t):
     def make():

@@ -112,12 +112,12 @@ def test_append_results_formats(spark, folder):
         assert getattr(reader, ext)(f"{folder}/o.{ext}").count() == 2
 
 
-def pairs(spark, folder):
+def pairs(spark, folder, newest_first=False):
     df = spark.range(4000).selectExpr("id", "cast(id % 4 as int) as gt", "cast((id * 7 + id div 9) % 4 as int) as pred", "timestamp_seconds(1700000000 + id * 60) as ts",
                                       "cast(id % 13 as double) as value", "id % 6 as file", "case when id % 5 = 0 then id else null end as step", "'loss' as key")
-    for i in range(4):          # files arrive in time order
-        df.filter(F.floor(F.col("id") / 1000) == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return df, ST.file_stream(spark, f"{folder}/in", df.schema, files_per_batch=1)
+    for i in reversed(range(4)) if newest_first else range(4):
+        df.filter(F.floor(F.col("id") / 1000) == i).coalesce(1).write.parquet(f"{folder}/in/{3 - i if newest_first else i}")
+    return df, ST.file_stream(spark, f"{folder}/in/*", df.schema, files_per_batch=1)
 
 
 def test_stream_metrics_equal_batch(spark, folder):
@@ -126,14 +126,17 @@ def test_stream_metrics_equal_batch(spark, folder):
     assert got == {r["class_id"]: tuple(r) for r in M.total_areas(df, 4).collect()}
 
 
-def test_stream_windows_equal_batch(spark, folder):
-    df, stream = pairs(spark, folder)
-    got = ST.stream_windowed_metrics(stream, "ts", "6 hours", "1 day", "value")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ST.windowed_metrics(df, "ts", "6 hours", "value").collect()))
+@pytest.mark.parametrize("newest_first", [False, True])
+def test_stream_windows_equal_batch(spark, folder, newest_first):
+    df, stream = pairs(spark, folder, newest_first)
+    got = ST.stream_windowed_metrics(stream, "ts", "6 hours", "1 hour", "value")
+    assert (got.agg(F.sum("n_late")).first()[0] > 0) == newest_first
+    assert sorted(map(tuple, got.drop("n_late").collect())) == sorted(map(tuple, ST.windowed_metrics(df, "ts", "6 hours", "value").collect()))
 
 
-def test_stream_fill_equals_batch(spark, folder):
-    df, stream = pairs(spark, folder)
+@pytest.mark.parametrize("newest_first", [False, True])
+def test_stream_fill_equals_batch(spark, folder, newest_first):
+    df, stream = pairs(spark, folder, newest_first)
     got = {(r["file"], r["pos"]): r["step"] for r in ST.stream_fill_steps(stream, "file", "id").collect()}
     want = {(r["file"], r["id"]): r["step"] for r in LG.fill_steps(df, "file", "id").collect()}
     assert got == want
