@@ -62,20 +62,63 @@ def region_runs(df: DataFrame, mask: str, value: str) -> DataFrame:
     return on.groupBy(mask, "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
 
 
-def regions(df: DataFrame, mask: str = "sample_id", value: str = "v", cell: int = 64) -> DataFrame:
+RUNS_PER_CALL = 50_000
+
+
+def _label_block(runs):
+    """Runs of whole row blocks (``_k`` names the block) with ``local``, the smallest node of their region inside the block."""
+    runs = runs.sort_values(["_k", "y", "x0"], ignore_index=True)
+    block = runs.pop("_k").tolist()
+    y, x0, x1, node = (runs[c].tolist() for c in ("y", "x0", "x1", "node"))
+    root = list(range(len(y)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    above, start, at = [], 0, 0
+    for i in range(len(y)):
+        if i and (y[i] != y[i - 1] or block[i] != block[i - 1]):
+            above = list(range(start, i)) if y[i] == y[i - 1] + 1 and block[i] == block[i - 1] else []
+            start, at = i, 0
+        while at < len(above) and x1[above[at]] < x0[i] - 1:
+            at += 1
+        k = at
+        while k < len(above) and x0[above[k]] <= x1[i] + 1:
+            p, q = find(i), find(above[k])
+            root[max(p, q)] = min(p, q)
+            k += 1
+    least = {}
+    for i in range(len(y)):
+        least[find(i)] = min(least.get(find(i), node[i]), node[i])
+    return runs.assign(local=[least[find(i)] for i in range(len(y))])
+
+
+def regions(df: DataFrame, mask: str = "sample_id", value: str = "v", cell: int = 64, block: int = 64) -> DataFrame:
     """8-connected regions of set pixels: each run with the number of its region.
 
+    Runs are labelled inside blocks of ``block`` rows; only regions that touch across a block border enter the graph.
     Runs are numbered after they were written out, so the numbers are the same wherever they are read.
     """
     runs = cut_lineage(region_runs(df, mask, value)).withColumn("node", F.monotonically_increasing_id())
-    node = F.col("node")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema.fields) + ", local bigint"
+    # many small blocks share a task call; a block is never split
+    groups = 1 + runs.count() // RUNS_PER_CALL
+    keyed = runs.withColumn("_k", F.struct(F.col(mask).alias("m"), F.floor(F.col("y") / block).alias("b"))).withColumn("_k", F.to_json("_k"))
+    dealt = keyed.groupBy(F.pmod(F.xxhash64("_k"), F.lit(groups)))
+    local = cut_lineage(dealt.applyInPandas(_label_block, schema).drop("node"))
+    edge = F.pmod(F.col("y"), F.lit(block))
     reach = F.explode(F.sequence(F.floor((F.col("x0") - 1) / cell), F.floor((F.col("x1") + 1) / cell)))
-    a = runs.select(mask, "y", "x0", "x1", node.alias("src"), reach.alias("_c"))
-    b = runs.select(mask, (F.col("y") - 1).alias("y"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), node.alias("dst"), reach.alias("_c"))
-    touch = a.join(b, [mask, "y", "_c"]).filter((F.col("x0") <= F.col("bx1") + 1) & (F.col("x1") >= F.col("bx0") - 1)).select("src", "dst")
-    lone = runs.select(node.alias("src"), node.alias("dst"))
-    comp = connected_components(touch.unionByName(lone))
-    return runs.join(comp, "node").drop("node")
+    a = local.filter(edge == 0).select(mask, "y", "x0", "x1", F.col("local").alias("src"), reach.alias("_c"))
+    b = local.filter(edge == block - 1).select(mask, (F.col("y") + 1).alias("y"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("local").alias("dst"), reach.alias("_c"))
+    touch = a.join(b, [mask, "y", "_c"]).filter((F.col("x0") <= F.col("bx1") + 1) & (F.col("x1") >= F.col("bx0") - 1)).select("src", "dst").distinct()
+    touch = cut_lineage(touch)
+    if not touch.take(1):
+        return local.withColumnRenamed("local", "component")
+    comp = connected_components(touch).withColumnRenamed("node", "local")
+    return local.join(comp, "local", "left").withColumn("component", F.coalesce("component", "local")).drop("local")
 
 
 def drop_small_regions(df: DataFrame, area: int, mode: str, mask: str = "sample_id", value: str = "v", cell: int = 64) -> DataFrame:

@@ -77,6 +77,20 @@ def test_small_regions(spark):
     assert kept.filter("changed").count() == 0
 
 
+def test_regions_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = ["".join(rng.choice(["0", "1"], 40, p=[0.55, 0.45])) for _ in range(30)]
+    want = None
+    for cell, block in ((64, 64), (8, 4), (4, 1)):
+        runs = K.regions(grid_mask(spark, rows), cell=cell, block=block).collect()
+        groups = {}
+        for r in runs:
+            groups.setdefault(r["component"], set()).add((r["y"], r["x0"], r["x1"]))
+        got = sorted(map(sorted, groups.values()))
+        want = want or got
+        assert got == want and len(got) > 3
+
+
 def test_regions_cross_cells(spark):
     rows = ["1" * 40, "0" * 39 + "1", "1" * 40]
     assert K.regions(grid_mask(spark, rows), cell=4).select("component").distinct().count() == 1
