@@ -68,6 +68,11 @@ def normalize_modalities(df: DataFrame, stats: DataFrame, on: Sequence[str], val
     return joined.withColumn(value, F.coalesce(scaled, F.col(value))).drop("mean", "std")
 
 
+def scale_depth(df: DataFrame, factor: float, value: str = "depth") -> DataFrame:
+    """Raw depth to metres (or any unit) by a constant factor; NULL stays NULL."""
+    return df.withColumn(value, F.col(value).cast("double") * factor)
+
+
 def fold_stats(stats: DataFrame, folds: Sequence[int], eps: float = 1e-6, band: str = "band") -> DataFrame:
     """Mean over folds of the fold means and deviations; the deviation is floored."""
     return (stats.filter(F.col("fold").isin(list(folds))).groupBy(band)

@@ -70,6 +70,18 @@ def pair_dates(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.join(right, key).withColumn("same_shape", (F.col("h") == F.col("h2")) & (F.col("w") == F.col("w2")))
 
 
+def compare_exports(a: DataFrame, b: DataFrame, key: str, vec: str = "embedding", label: str = "label") -> DataFrame:
+    """Rows of two exports that do not agree: key, rule (missing_left, missing_right, size, label or values) and the largest |a-b|."""
+    left = a.select(key, F.col(vec).alias("_a"), F.col(label).alias("_la"), F.lit(True).alias("_in_a"))
+    right = b.select(key, F.col(vec).alias("_b"), F.col(label).alias("_lb"), F.lit(True).alias("_in_b"))
+    both = left.join(right, key, "full")
+    gap = F.array_max(F.zip_with("_a", "_b", lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
+    same_size = F.size("_a") == F.size("_b")
+    rule = (F.when(F.col("_in_a").isNull(), "missing_left").when(F.col("_in_b").isNull(), "missing_right").when(~same_size, "size")
+             .when(~F.col("_la").eqNullSafe(F.col("_lb")), "label").when(gap > 0, "values"))
+    return both.select(key, rule.alias("rule"), F.when(same_size, gap).alias("max_abs")).filter("rule IS NOT NULL")
+
+
 def embedding_diff(a: DataFrame, b: DataFrame, key: str, vec: str = "embedding", label: str | None = None) -> DataFrame:
     """One row comparing two exports: max, mean and 95th percentile of |a-b|, mean cosine, label mismatches.
 

@@ -224,10 +224,22 @@ def _(t):
     return r6(J.embedding_diff(a, b, "vec_id", label="label"))
 
 
-@query("j12_compare", "SELECT a.vec_id, a.label, b.label AS other FROM embeddings a JOIN embeddings b USING (vec_id) WHERE a.label <> (b.label * 3) % 10")
+EXPORTS = """a AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 19 <> 4),
+b AS (SELECT vec_id, CASE WHEN vec_id % 7 = 1 THEN label + 1 ELSE label END AS label, CASE WHEN vec_id % 11 = 2 THEN embedding[1:63] WHEN vec_id % 5 = 3 THEN list_transform(embedding, lambda x: x * 2) ELSE embedding END AS embedding
+ FROM embeddings WHERE vec_id % 17 <> 3)"""
+
+
+@query("j12_compare", f"""WITH {EXPORTS}, j AS (SELECT COALESCE(a.vec_id, b.vec_id) vec_id, a.vec_id ka, b.vec_id kb, a.label la, b.label lb, a.embedding ea, b.embedding eb FROM a FULL JOIN b ON a.vec_id = b.vec_id),
+g AS (SELECT *, list_max(list_transform(range(1, len(ea) + 1), lambda i: abs(ea[i]::DOUBLE - eb[i]::DOUBLE))) gap FROM j),
+r AS (SELECT vec_id, CASE WHEN ka IS NULL THEN 'missing_left' WHEN kb IS NULL THEN 'missing_right' WHEN len(ea) <> len(eb) THEN 'size' WHEN la <> lb THEN 'label' WHEN gap > 0 THEN 'values' END AS rule,
+ CASE WHEN len(ea) = len(eb) THEN gap END AS max_abs FROM g)
+SELECT vec_id, rule, ROUND(max_abs, 6) AS max_abs FROM r WHERE rule IS NOT NULL""")
 def _(t):
-    b = t.embeddings.select("vec_id", F.col("label").alias("other"))
-    return J.pair(t.embeddings.select("vec_id", "label"), b, "vec_id").filter(F.col("label") != F.col("other") * 3 % 10)
+    k = F.col("vec_id")
+    a = t.embeddings.filter(k % 19 != 4)
+    other = F.when(k % 11 == 2, F.slice("embedding", 1, 63)).when(k % 5 == 3, F.transform("embedding", lambda x: x * 2)).otherwise(F.col("embedding"))
+    b = t.embeddings.filter(k % 17 != 3).select("vec_id", F.when(k % 7 == 1, F.col("label") + 1).otherwise(F.col("label")).alias("label"), other.alias("embedding"))
+    return J.compare_exports(a, b, "vec_id").withColumn("max_abs", F.round("max_abs", 6))
 
 
 @query("j13_densify_bands", """WITH b AS (SELECT DISTINCT o_custkey s, o_orderdate d, o_orderpriority band FROM orders), f AS (SELECT o_custkey s, o_orderdate d, o_orderpriority band, MAX(o_totalprice) AS value FROM orders GROUP BY ALL)

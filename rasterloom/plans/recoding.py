@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S, vectors as V
-from ..operators import filters as FL, labels as L, ranking as R
+from ..operators import bands as B, filters as FL, labels as L, ranking as R
 from .inputs import BAND_PIXELS, BANDS, PIXELS, SCORES, band_pixels, bands, pixels, rasters, scores
 from .registry import query
 from .scoring import r6
@@ -182,7 +182,14 @@ def _(t):
 
 @query("p44_scale_depth", "SELECT l_orderkey, ROUND(SUM(l_extendedprice*0.001),6) depth FROM lineitem GROUP BY l_orderkey")
 def _(t):
-    return t.lineitem.groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_extendedprice") * 0.001), 6).alias("depth"))
+    scaled = B.scale_depth(t.lineitem, 0.001, "l_extendedprice")
+    return scaled.groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 6).alias("depth"))
+
+
+@query("s_clean_text", r"""SELECT doc_id, md5(trim(regexp_replace(lower(replace(replace(replace(replace(replace(text,'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',chr(39)),'&amp;','&')), '\s+', ' ', 'g'))) AS md5 FROM documents""")
+def _(t):
+    from ..functions.scalars import clean_text
+    return t.documents.select("doc_id", F.md5(clean_text(F.col("text"))).alias("md5"))
 
 
 # --- dates and names -----------------------------------------------------------------------------

@@ -476,6 +476,19 @@ def _(t):
     return K.near_edge(b, 5).select("box_id", "near_crop_edge")
 
 
+@query("k10_uncrop_points", f"WITH {PIXELS} SELECT sample_id, COUNT(*) n, SUM(x + 30) sx, SUM(y + 10) sy, SUM((x + 30) * (y + 10) * gt) checksum FROM pixels GROUP BY sample_id")
+def _(t):
+    moved = K.uncrop_points(pixels(t).withColumn("crop_x0", F.lit(30)).withColumn("crop_y0", F.lit(10)))
+    return moved.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y") * F.col("gt")).alias("checksum"))
+
+
+@query("k10_centre_boxes", f"WITH {BOX} SELECT box_id, CAST(x0 AS DOUBLE) x0, CAST(y0 AS DOUBLE) y0, CAST(x1 AS DOUBLE) x1, CAST(y1 AS DOUBLE) y1 FROM bx")
+def _(t):
+    from ..functions.scalars import cxcywh_to_xyxy, xyxy_to_cxcywh
+    back = cxcywh_to_xyxy(*xyxy_to_cxcywh(*[F.col(n) for n in ("x0", "y0", "x1", "y1")]))
+    return boxes(t).select("box_id", *[c.cast("double").alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), back)])
+
+
 @query("k10_uncrop", f"WITH {BOX} SELECT box_id, x0+30 AS x, y0+10 AS y, x1-x0 AS w, y1-y0 AS h, (x0+x1+60)/2 AS cx, (y0+y1+20)/2 AS cy FROM bx")
 def _(t):
     from ..functions.scalars import xyxy_to_cxcywh, xyxy_to_xywh
