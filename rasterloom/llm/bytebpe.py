@@ -26,7 +26,7 @@ import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_map, let
+from .common import arrow_map, let, stored
 
 SLOT_BITS = 15
 CACHE_WORDS = 300_000
@@ -130,7 +130,10 @@ def _words(text: str) -> list[str] | None:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = 100_000) -> DataFrame:
-    """(word, n): the most frequent blank-separated words of all texts; counts are combined in each batch first."""
+    """(word, n): the most frequent blank-separated words of all texts, at most ``limit``; counts are combined in each batch first.
+
+    Words are taken by levels of their count (64 for each doubling), a level wholly or not at all, so only the sizes of the levels reach the driver.
+    """
     def run(batches):
         import pyarrow as pa
         from collections import Counter
@@ -141,8 +144,14 @@ def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = 100_000
             seen.pop("", None)
             yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
 
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n bigint")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
+    words = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n bigint")
+    counted = stored(words.groupBy("word").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n") * 64)), "word-counts")
+    room, least = limit, None
+    for level, n in sorted(counted.groupBy("level").count().collect(), reverse=True):          # at most 64 levels for each doubling
+        if n > room:
+            break
+        room, least = room - n, level
+    return counted.filter(F.col("level") >= least if least is not None else F.lit(False)).select("word", "n")
 
 
 @dataclass
