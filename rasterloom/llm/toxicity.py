@@ -94,8 +94,9 @@ def fit_bags(texts: list[str | None], labels: list[int], bits: int = 18, rounds:
         return BagModel(bits, constant=float(y_all.mean()) if len(y_all) else 0.0)
     cache: dict[str, list[int]] = {}
     cols, sizes, bag, y = array("i"), array("i"), array("i"), []
+    held, toxic = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)          # bags with a feature
     for text, label in zip(texts, labels):
-        found = False
+        seen = set()
         for s in SENTENCE.findall(text or ""):
             own = set()
             for t in set(s.split()):
@@ -106,19 +107,21 @@ def fit_bags(texts: list[str | None], labels: list[int], bits: int = 18, rounds:
                 cols.extend(sorted(own))
                 sizes.append(len(own))
                 bag.append(len(y))
-                found = True
-        if found:
+                seen |= own
+        if seen:
             y.append(label)
+            at = np.fromiter(seen, np.int64, len(seen))
+            held[at] += 1
+            toxic[at] += label > 0
     n_sent = len(sizes)
     if not n_sent:
         return BagModel(bits, constant=float(y_all.mean()))
-    ids, cols = np.unique(np.frombuffer(cols, np.int32), return_inverse=True)
+    bag, y = np.array(bag, np.int64), np.array(y, float)
     # features of three bags or more, with a larger share of the toxic bags than of the others
-    sent, bag, y = np.repeat(np.arange(n_sent), sizes), np.array(bag, np.int64), np.array(y, float)
-    pairs = np.unique(cols * len(y) + bag[sent])
-    held, toxic = (np.bincount(pairs // len(y), v, minlength=len(ids)) for v in (None, y[pairs % len(y)]))
     able = (held >= 3) & (toxic / max(1, y.sum()) > 1.5 * (held - toxic) / max(1, (1 - y).sum()))
-    cols, sent, ids = (np.cumsum(able) - 1)[cols[able[cols]]], sent[able[cols]], ids[able]
+    ids, cols = np.flatnonzero(able), np.frombuffer(cols, np.int32)
+    sent = np.repeat(np.arange(n_sent, dtype=np.int32), sizes)[able[cols]].astype(np.int64)
+    cols = (np.cumsum(able) - 1)[cols[able[cols]]]
     w, b = np.full(len(ids), 0.5), bias
     gw = np.full(len(ids), 1e-8)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
