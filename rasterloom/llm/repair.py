@@ -9,8 +9,8 @@ A round counts pairs in a hash table of fixed size (one representative pair in e
 linear in the shard and needs no sort. Shards are rows of a Parquet table in the folder that is passed: Spark's commit
 protocol makes the write safe against lost executors, and every store that Spark reads will do.
 
-Words repeat, so the tokenizer is asked once for each distinct blank-separated chunk of a worker's texts; the vocabulary
-never joins text across white space.
+Words repeat, so the tokenizer is asked once for each distinct chunk between white space of a worker's texts (the
+vocabulary never joins text across white space); a text's ids are gathered by numpy.
 
 Defined results: a null or empty text is its end id alone; rows with equal doc_id are ordered by text; null doc_ids come
 first; an empty table gives an empty folder and an empty result; other columns are not read.
@@ -19,52 +19,123 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SLOT_BITS = 20
+SLOT_BITS = 18
 CACHE_WORDS = 400_000
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + other.index(b)) for b in range(256)]
+
+
 class ChunkEncoder:
-    """Ids (little-endian unsigned 32-bit) of whole texts, through two generations of a bounded cache of chunks."""
+    """Ids (little-endian unsigned 32-bit) of whole texts, through two generations of a bounded cache of chunks.
+
+    A chunk of letters up to U+00FF, with or without one full stop or comma behind it, goes to the library's merge model
+    directly: normalising changes nothing but its case, and the split pattern leaves the word and the mark as they are. All other
+    chunks are encoded as one text; offsets tell which ids belong to which chunk.
+    """
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
-        self.new, self.old = {}, {}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.new, self.old, self.words = {}, {}, {}
+        # the short way is taken only if the vocabulary's own normaliser and pattern treat such words as described
+        probe = ["Word", "word.", "ÉTÉ,", "straße", "Ñandú", "x", "ÀÿÖß."]
+        self.short = all(self.letter_chunk(c) == self.encode(c) for c in probe)
+        self.words.clear()
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def letter_chunk(self, chunk: str) -> bytes | None:
+        """Ids of a chunk of letters, or None if it is not one."""
+        mark = chunk[-1]
+        core, mark = (chunk[:-1], mark) if mark in ".," else (chunk, "")
+        if not core.isalpha() or max(core) > "ÿ":
+            return None
+        core = core.lower()
+        got = self.words.get(core)
+        if got is None:
+            if len(self.words) >= CACHE_WORDS:
+                self.words.clear()
+            plain = core if core.isascii() else "".join([self.letters[b] for b in core.encode()])
+            got = self.words[core] = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+        return got + self.letter_mark(mark) if mark else got
+
+    def letter_mark(self, mark: str) -> bytes:
+        got = self.words.get(mark)
+        if got is None:
+            got = self.words[mark] = self.encode(mark)
+        return got
 
     def chunks(self, chunks: list[str]) -> None:
-        """Encode new chunks as one text; the offsets tell which ids belong to which chunk."""
-        for at in range(0, len(chunks), 20_000):
-            own = chunks[at:at + 20_000]
+        """Encode new chunks."""
+        rest = []
+        for c in chunks:
+            own = self.letter_chunk(c) if self.short else None
+            if own is None:
+                rest.append(c)
+            else:
+                self.new[c] = own
+        for at in range(0, len(rest), 20_000):
+            own = rest[at:at + 20_000]
             e = self.tokenizer.encode(" ".join(own), add_special_tokens=False)
             starts = np.cumsum([0, *[len(c) + 1 for c in own]])
             cuts = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), starts).tolist()
-            flat = np.array(e.ids, "<u4").tobytes()
+            flat = array("I", e.ids).tobytes()
             self.new.update((c, flat[4 * a:4 * b]) for c, a, b in zip(own, cuts, cuts[1:]))
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() for t in texts]
+    def of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        found = list(map(self.new.get, chunks))
         missing = []
-        for chunk in set().union(*split) - self.new.keys():
-            got = self.old.get(chunk)
+        for i, got in enumerate(found):
             if got is None:
-                missing.append(chunk)
-            else:
-                self.new[chunk] = got
-        self.chunks(missing)
-        get = self.new.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
+                got = self.old.get(chunks[i])
+                if got is None:
+                    missing.append(i)
+                else:
+                    self.new[chunks[i]] = found[i] = got
+        self.chunks([chunks[i] for i in missing])
+        for i in missing:
+            found[i] = self.new[chunks[i]]
         if len(self.new) > CACHE_WORDS:
             self.old, self.new = self.new, {}
-        return out
+        return found
+
+    def texts(self, column: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with its end id; number of ids of each text). Null is an empty text."""
+        lists = pc.ascii_split_whitespace(column.fill_null(""))
+        coded, bounds = lists.flatten().dictionary_encode(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        distinct = coded.dictionary.to_pylist()
+        at = {c: i for i, c in enumerate(distinct) if not c}          # white space at the ends leaves empty chunks
+        pieces = self.of([c for c in distinct if c])
+        for i in at.values():
+            pieces.insert(i, b"")
+        pieces.append(np.array([end_id], "<u4").tobytes())
+        # one entry for each chunk and one for the end of each text
+        order = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], len(distinct))
+        flat, sizes = np.frombuffer(b"".join(pieces), "<u4"), np.array([len(p) // 4 for p in pieces])
+        starts, own = np.cumsum(sizes) - sizes, sizes[order]
+        ends = np.cumsum(own)
+        ids = flat[np.repeat(starts[order] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+        last = ends[bounds[1:] + np.arange(len(column))] if len(column) else np.empty(0, np.int64)
+        return ids, np.diff(np.concatenate([[0], last]))
 
 
 _ENCODERS: dict[int, ChunkEncoder] = {}
@@ -148,11 +219,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, i
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     from pyspark.sql.pandas.types import to_arrow_type
     id_type = to_arrow_type(docs.schema[id_col].dataType)
-    end = np.array([end_id], "<u4").tobytes()
 
-    def shard(part, block, before, ids, parts):
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        counts = np.array([len(p) // 4 for p in parts])
+    def shard(part, block, before, ids, flat, counts):
         last = np.zeros(len(flat), bool)
         last[np.cumsum(counts) - 1] = True
         symbols, ends, rules, lengths = replace_pairs(flat, last, first_new, **grammar)
@@ -164,20 +232,22 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, i
         return pa.RecordBatch.from_arrays(cols, names=["part", "block", "before", "n_ids", "docs", "counts", "symbol_counts", "rules", "rule_lengths", "symbols"])
 
     def run(batches):
-        part, block, before, size, ids, parts = TaskContext.get().partitionId(), 0, 0, 0, [], []
+        part, block, before, size = TaskContext.get().partitionId(), 0, 0, 0
+        ids, flat, counts = [], [], []
         enc = encoder(spec.value)
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                piece = b.slice(at, 2000)
-                for i, p in zip(piece.column(0).to_pylist(), enc.texts([t or "" for t in piece.column(1).to_pylist()])):
-                    ids.append(i)
-                    parts.append(p + end)
-                    size += len(p) // 4 + 1
-                    if size >= shard_ids:
-                        yield shard(part, block, before, ids, parts)
-                        block, before, size, ids, parts = block + 1, before + size, 0, [], []
+            for at in range(0, b.num_rows, 500):
+                piece = b.slice(at, 500)
+                own, n = enc.texts(piece.column(1), end_id)
+                ids += piece.column(0).to_pylist()
+                flat.append(own)
+                counts.append(n)
+                size += len(own)
+                if size >= shard_ids:
+                    yield shard(part, block, before, ids, np.concatenate(flat), np.concatenate(counts))
+                    block, before, size, ids, flat, counts = block + 1, before + size, 0, [], [], []
         if ids:
-            yield shard(part, block, before, ids, parts)
+            yield shard(part, block, before, ids, np.concatenate(flat), np.concatenate(counts))
 
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(
