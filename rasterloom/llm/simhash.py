@@ -127,7 +127,9 @@ def _bucket_links(radius: int):
 
 def covering_links(fps: DataFrame, radius: int = 3, bucket_rows: int = 2000) -> DataFrame:
     """(src, dst): links that connect all distinct values of ``fp`` within ``radius`` bits; at most one per value and bucket."""
-    rows = fps.select("fp", F.lit(0).cast("bigint").alias("bucket"), F.lit(0).cast("bigint").alias("used"))
+    # narrow rows are spread before the masks multiply them, or few tasks would hold all buckets
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = fps.select("fp", F.lit(0).cast("bigint").alias("bucket"), F.lit(0).cast("bigint").alias("used")).repartition(parts, "fp")
     links, level = None, 0
     while True:
         masks = F.array(*[F.lit(m).cast("bigint") for m in covering_masks(radius, level)])
@@ -138,8 +140,7 @@ def covering_links(fps: DataFrame, radius: int = 3, bucket_rows: int = 2000) ->
         hot = stored(counts.filter((F.col("n") > bucket_rows) & (F.col("bits") < BITS - FREE_BITS)).select("bucket"), "hot-buckets")
         any_hot = bool(hot.take(1))
         small = rows.join(hot, "bucket", "left_anti") if any_hot else rows
-        parts = fps.sparkSession.conf.get("spark.sql.shuffle.partitions")
-        sorted_rows = small.select("bucket", "fp").repartition(int(parts), "bucket").sortWithinPartitions("bucket")
+        sorted_rows = small.select("bucket", "fp").repartition(parts, "bucket").sortWithinPartitions("bucket")
         found = sorted_rows.mapInArrow(_bucket_links(radius), "src bigint, dst bigint")
         links = found if links is None else links.union(found)
         if not any_hot:
