@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import connected_components
+from ..operators.ordering import agg_join
 from .common import arrow_map, stored
 
 BITS = 64
@@ -73,25 +74,31 @@ def covering_masks(radius: int, level: int = 0) -> list[int]:
     return [signed(sum(1 << i for i in range(BITS) if bin(own[i] & v).count("1") % 2)) for v in range(1, vectors + 1)]
 
 
+def smallest_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node it is connected with by the links (a, b)."""
+    root = np.arange(n)
+    while True:                                        # smallest label of both ends, then jump to the label's label
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
 def linked_roots(fps: np.ndarray, radius: int) -> np.ndarray:
     """For each of the distinct values the smallest value it is connected with by links inside this bucket."""
     fps = np.sort(fps)
-    u, root = fps.view(np.uint64), np.arange(len(fps))
+    u = fps.view(np.uint64)
     step = max(1, 4_000_000 // max(1, len(fps)))
     links = []
     for at in range(0, len(u), step):
         a, b = np.nonzero(np.bitwise_count(u[at:at + step, None] ^ u[None, :]) <= radius)
         links.append((a[b > a + at] + at, b[b > a + at]))
     a, b = (np.concatenate(x) for x in zip(*links))
-    while True:                                        # smallest label of both ends, then jump to the label's label
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if np.array_equal(new, root):
-            return fps[root]
-        root = new
+    return fps[smallest_labels(len(fps), a, b)]
 
 
 def _bucket_links(radius: int):
@@ -194,14 +201,121 @@ def jaccard_links(texts: list[bytes], similarity: float = 0.8, shingle: int = 5)
     return root
 
 
+def shingle_codes(text: bytes, shingle: int = 5) -> np.ndarray:
+    """The distinct 64-bit codes of the word shingles that ``jaccard_links`` compares, ascending."""
+    words = text.lower().split()
+    h, n = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), max(1, len(words) - shingle + 1)
+    code = np.zeros(n, np.uint64)
+    for j in range(min(shingle, len(words))):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + h[j:j + n]
+    code ^= code >> np.uint64(31)
+    code *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(code ^ code >> np.uint64(29))
+
+
+def prefix_codes(codes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The codes of which a set with at least ``similarity`` holds one: all but ceil(similarity x size) - 1, rare ones first.
+    ``counts`` belong to the sorted ``common`` codes, others count as none; ties are ascending."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, codes), len(common) - 1)
+        codes = codes[np.argsort(np.where(common[at] == codes, counts[at], 0), kind="stable")]
+    return codes[:len(codes) - int(np.ceil(similarity * len(codes) - 1e-9)) + 1]
+
+
+def _prefix_bucket_links(similarity: float):
+    def run(batches):
+        """Rows (code, fp, size, place) come sorted by code; a code may cross batches. Links connect the pairs whose sizes and
+        places allow the similarity."""
+        def links(code, fp, size, place):
+            left, found = np.arange(len(code)), []
+            for step in range(1, len(code)):
+                left = left[left + step < len(code)]
+                left = left[code[left] == code[left + step]]
+                if not len(left):
+                    break
+                a, b = left, left + step
+                small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+                # at the first code in common all further ones lie behind both places
+                most = np.minimum(size[a] - place[a], size[b] - place[b])
+                ok = (fp[a] != fp[b]) & (small >= similarity * large - 1e-6) & (most >= similarity / (1 + similarity) * (small + large) - 1e-6)
+                found.append((fp[a[ok]], fp[b[ok]]))
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found))
+                own, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+                root = own[smallest_labels(len(own), at[:len(a)], at[len(a):])]
+                yield pa.RecordBatch.from_arrays([pa.array(own[root != own]), pa.array(root[root != own])], names=["src", "dst"])
+
+        rest = [np.empty(0, np.int64)] * 4
+        for batch in batches:
+            rows = [np.concatenate([r, batch.column(k).to_numpy(zero_copy_only=False)]) for k, r in enumerate(rest)]
+            if not len(rows[0]):
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            rest = [r[last:] for r in rows]
+            if last:
+                yield from links(*(r[:last] for r in rows))
+        yield from links(*rest)
+    return run
+
+
+def prefix_links(named: DataFrame, similarity: float = 0.8, shingle: int = 5, bucket_rows: int = 1000, sample: int = 8,
+                 common_rows: int = 10, most_common: int = 1_000_000) -> DataFrame:
+    """(src, dst): links between fingerprints (of the sets of words) that connect those of all pairs of texts whose sets of word
+    shingles have a Jaccard similarity of at least ``similarity``. ``named`` has doc_id and text, which is not null.
+
+    Two such sets have one of the first size - ceil(similarity x size) + 1 shingles in common, in any order all texts share.
+    Shingles of more than about ``common_rows`` texts (the ``most_common`` of them) come last, by their count on one text of
+    ``sample``: the order is a matter of cost, not of the result. A shingle that still has more than ``bucket_rows`` prefixes links the texts of neighbouring size classes with the
+    smallest of them, by aggregation and without pairs.
+    """
+    spark = named.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def codes_of(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                texts = b.column(0).slice(at, 500).cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_codes(t, shingle) for t in texts]).view(np.int64))], names=["code"])
+
+    drawn = named.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
+    counts = drawn.mapInArrow(codes_of, "code bigint").groupBy("code").count().filter(F.col("count") * sample > common_rows)
+    found = counts.orderBy(F.desc("count"), "code").limit(most_common).toArrow()
+    codes, rows = found["code"].to_numpy().astype(np.int64).view(np.uint64), found["count"].to_numpy()
+    common = spark.sparkContext.broadcast((np.sort(codes), rows[np.argsort(codes)]))
+
+    def prefixes(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                texts = b.column(0).slice(at, 500).cast(pa.binary()).to_pylist()
+                codes = [shingle_codes(t, shingle) for t in texts]
+                own = [prefix_codes(c, *common.value, similarity).view(np.int64) for c in codes]
+                each = np.array([len(c) for c in own])
+                values = [np.concatenate(own), np.repeat(np.array([simhash(t, distinct=True) for t in texts], np.int64), each),
+                          np.repeat(np.array([len(c) for c in codes]), each), np.concatenate([np.arange(n) for n in each])]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["code", "fp", "size", "place"])
+
+    # copies have equal rows, which are combined before the shuffle
+    columns = ["code", "fp", "size", "place"]
+    rows = stored(named.select("text").mapInArrow(prefixes, "code bigint, fp bigint, size bigint, place bigint").groupBy(*columns).agg(F.lit(1).alias("one")).drop("one"), "prefixes")
+    shared = stored(rows.groupBy("code").count().filter("count > 1"), "shared-codes")
+    some = rows.join(shared.filter(F.col("count") <= bucket_rows), "code", "left_semi").select(*columns)
+    links = some.repartition(parts, "code").sortWithinPartitions("code").mapInArrow(_prefix_bucket_links(similarity), "src bigint, dst bigint")
+    hot = rows.join(shared.filter(F.col("count") > bucket_rows), "code", "left_semi")
+    # sizes of similar sets lie in one class or in neighbouring ones
+    size_class = F.floor(F.log(F.col("size").cast("double")) / (-1.001 * float(np.log(similarity))))
+    hot = hot.select("code", "fp", F.explode(F.array(size_class, size_class + 1)).alias("class")).distinct()
+    stars = agg_join(hot, ["code", "class"], F.min("fp").alias("low")).filter("fp <> low").select(F.col("fp").alias("src"), F.col("low").alias("dst"))
+    return links.union(stars).distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5,
-                          radius: int = 6, block_docs: int = 500) -> DataFrame:
+                          radius: int = 6, block_docs: int = 500, **prefix) -> DataFrame:
     """(doc_id, group): group is the smallest doc_id connected by near copies: pairs with a Jaccard similarity of their word
     shingles of at least ``similarity``. Every doc_id is listed once.
 
-    Exact copies collapse first. The covering hash finds candidates among fingerprints of the sets of words, at a radius
-    that pairs of that similarity rarely exceed (measured recall: README); the texts of each candidate class are then
-    compared exactly. A class is cut into blocks of ``block_docs`` texts and each pair of blocks is a task of its own, so
+    Exact copies collapse first. Candidates are the pairs within ``radius`` of the covering hash, over fingerprints of the sets of
+    words, and all pairs that ``prefix_links`` (which takes ``prefix``) cannot rule out, so none of the similarity is missed; the
+    texts of each candidate class are then compared exactly. A class is cut into blocks of ``block_docs`` texts and each pair of blocks is a task of its own, so
     no class is gathered in one place. A text is not compared with further members of its own group.
     """
     kind = dict(docs.dtypes)[id_col]
@@ -215,7 +329,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     prints = stored(named.mapInArrow(run, f"doc_id {kind}, text_key string, fp bigint"), "text-prints")
     texts = stored(prints.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "distinct-texts")
-    links = stored(covering_links(texts.select("fp").distinct(), radius), "text-links")
+    near = covering_links(texts.select("fp").distinct(), radius)
+    links = stored(near.union(prefix_links(named, similarity, shingle, **prefix)).distinct(), "text-links")
     roots = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     placed = texts.join(roots, "fp", "left").select("text_key", "rep", F.coalesce("root", "fp").alias("root"))
     # classes of two texts or more, their texts dealt into blocks

@@ -268,6 +268,26 @@ def test_near_duplicate_groups(spark, docs, empty):
     assert simhash.near_duplicates_dropped(empty).count() == 0
 
 
+def test_near_copies_of_every_kind(spark):
+    """Appended, prefixed and short near copies, whose fingerprints may lie far apart."""
+    rng = random.Random(4)
+    own = []
+    for k in range(60):
+        w = [f"w{int(rng.paretovariate(0.7)) % 5000}" for _ in range(rng.choice([9, 12, 40, 150, 400]))]
+        more = [f"w{int(rng.paretovariate(0.7)) % 5000}" for _ in range(max(1, len(w) // 6))]
+        own += [(3 * k, " ".join(w)), (3 * k + 1, " ".join(w + more)), (3 * k + 2, " ".join(more + w) if k % 2 else " ".join(w[:-1]))]
+    own += [(900, " "), (901, ""), (902, "two words"), (903, "Two  words")]
+    pairs = [(a, b) for a in range(len(own)) for b in range(a) if cases.jaccard(own[a][1], own[b][1]) >= 0.8]
+    prints = [simhash.simhash(t.encode(), distinct=True) for _, t in own]
+    far = [(a, b) for a, b in pairs if bin((prints[a] ^ prints[b]) & (2 ** 64 - 1)).count("1") > 6]
+    assert len(far) > 10
+    comp = cases.components(len(own), lambda a, b: (a, b) in set(pairs))
+    want = sorted(((i, own[c][0]) for (i, _), c in zip(own, comp)), key=repr)
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    for prefix in ({}, {"bucket_rows": 1, "sample": 1, "common_rows": 2}):
+        assert rows(simhash.near_duplicate_groups(df, **prefix), "doc_id", "group") == want
+
+
 # --- decontamination ------------------------------------------------------------------------------------------------------------
 def test_decontamination_by_brute_force(spark, docs, odd, empty):
     texts = dict(TEXTS)
