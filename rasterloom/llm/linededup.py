@@ -13,6 +13,9 @@ and place, stays, lines of all others are removed. Hashes are counted before any
 are compared, and the counts are combined before the shuffle, so a passage that a third of all documents hold is no hot
 group. Documents are joined back by doc_id and text hash.
 
+A run of repeated lines is cut only if it is a passage: two lines or more with a letter or digit, or a line of ``long_words``. A
+repeated heading with its blank line, or a short line between brackets, stays.
+
 Defined results: lines without a word are never removed by themselves; a null text stays null and an empty one empty;
 rows with equal doc_id and text are one document (all keep or lose the same lines; between equal rows nothing is removed);
 a null doc_id sorts first; a document that loses all its lines stays with an empty text; an empty table gives an empty
@@ -89,16 +92,31 @@ def _chunk_texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=names)
 
 
-def _cut(batches):
-    for b in batches:
-        row, texts, gone = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
-        out = []
-        for text, spans in zip(texts, gone):
-            if spans:
-                drop = {i for s in spans for i in range(s["start"], s["start"] + s["lines"])}
-                text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
-            out.append(text)
-        yield pa.RecordBatch.from_arrays([row, pa.array(out, pa.string())], names=["row", "text"])
+def passages(lines: list[str], drop: set[int], long_words: int = 50) -> set[int]:
+    """The listed lines whose unbroken run has two lines with a letter or digit, or a line of ``long_words`` words."""
+    out, run = set(), []
+    for i in sorted(drop):
+        run = run + [i] if run and run[-1] == i - 1 else [i]
+        if i + 1 not in drop:
+            spoken = sum(any(map(str.isalnum, lines[k])) for k in run)
+            if spoken > 1 or any(len(WORD.findall(lines[k])) >= long_words for k in run):
+                out.update(run)
+    return out
+
+
+def _cut(long_words: int):
+    def run(batches):
+        for b in batches:
+            row, texts, gone = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
+            out = []
+            for text, spans in zip(texts, gone):
+                if spans:
+                    lines = text.split("\n")
+                    drop = passages(lines, {i for s in spans for i in range(s["start"], s["start"] + s["lines"])}, long_words)
+                    text = "\n".join(x for i, x in enumerate(lines) if i not in drop)
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([row, pa.array(out, pa.string())], names=["row", "text"])
+    return run
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", roll: int = 2, divisor: int = 4, long_words: int = 50) -> DataFrame:
@@ -130,5 +148,5 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = rows.join(per_doc, F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("text_hash")), "left")
     other = [c for c in docs.columns if c != text_col]
     cut = joined.select(F.struct(*[F.col("row")[c].alias(c) for c in other]).alias("row"), "text", "gone").mapInArrow(
-        _cut, T.StructType([T.StructField("row", T.StructType([docs.schema[c] for c in other])), T.StructField("text", T.StringType())]))
+        _cut(long_words), T.StructType([T.StructField("row", T.StructType([docs.schema[c] for c in other])), T.StructField("text", T.StringType())]))
     return cut.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -216,6 +216,14 @@ def test_line_dedup_by_brute_force(docs, odd, empty):
     assert linededup.drop_repeated_lines(empty).count() == 0
 
 
+def test_repeated_scraps_stay(spark):
+    """A heading with its blank line, brackets, and one short line beside a bracket are no passages; two lines with words are."""
+    own = [(k, f"Introduction\n\nText of number {k} alone.\n  }}\n}}\nOnly {k} here.\nreturn x\n}}\nAgain {k}.\nOne line.\n\nAnother line.\nEnd {k}.") for k in range(3)]
+    got = dict(rows(linededup.drop_repeated_lines(spark.createDataFrame(own, "doc_id long, text string")), "doc_id", "text"))
+    assert got[0] == own[0][1]
+    assert all(got[k] == own[k][1].replace("One line.\n\nAnother line.\n", "") for k in (1, 2))
+
+
 # --- SimHash ------------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("radius,level", [(3, 0), (3, 2), (6, 0)])
 def test_masks_cover_every_pair_within_the_radius(radius, level):
