@@ -1,7 +1,9 @@
 """Licence recognition by sentences and ordered rules, with DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, runs of anything but letters and digits become one blank)
-and looked up in a short table of known licence sentences. The identifiers found, in text order, are matched against
+A text is normalised (lower case, runs of anything but letters and digits become one blank) except for marks where a sentence
+may begin or end: a full stop, exclamation or question mark before white space, and, inside a sentence as well, a newline and a
+colon or semicolon before white space. So hard-wrapped sentences, with comment marks or indentation, are found as well as
+whole lines; of several known sentences from one place the longest counts. The identifiers found, in text order, are matched against
 licence rules: a rule is a sequence of identifiers that must follow each other without another identifier between them,
 and rules are ordered, so a whole licence text outranks a mention by name. Both tables are small fixed parameters and
 become map literals, so there is neither a join nor a shuffle.
@@ -11,6 +13,8 @@ place; repeated rows are scanned alike; an empty table gives an empty result; ot
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 #: Known licence sentences, normalised, and their identifiers (fixed values).
@@ -53,7 +57,9 @@ RULES = [
     ("CC-BY-4.0", ["cc-by-name"]),
     ("Proprietary", ["reserved"]),
 ]
-SENTENCE_END = r"[.!?][\x20\x09-\x0D]+|\n"
+SENTENCE_END = r"[.!?][\x20\x09-\x0D]+"
+SOFT_END = r"[:;](?=[\x20\x09-\x0D])"
+PLAIN_SENTENCE = re.compile("[a-z0-9]+(?: [a-z0-9]+)*")
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None,
@@ -64,16 +70,19 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     the licence of the first of them, ``licences`` all of them without repetition, in rule order.
     """
     known, order = SENTENCES if sentences is None else sentences, RULES if rules is None else rules
-    # only short enough sentences can be known: the others are not normalised
-    longest = max([len(s) for s in known], default=0) * 2 + 16
-    parts = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), SENTENCE_END), lambda s: F.length(s) <= longest)
-    plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    # \x01 ends a sentence, a newline may stand at its ends or inside
+    marked = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SENTENCE_END, "\x01")
+    marked = F.regexp_replace(F.regexp_replace(marked, SOFT_END, "\n"), "[^a-z0-9\n\x01]+", " ")
+    longest_first = sorted(filter(PLAIN_SENTENCE.fullmatch, known), key=len, reverse=True)
+    wrapped = "|".join(s.replace(" ", r"[ \n]++") for s in longest_first)
+    found = F.regexp_extract_all(marked, F.lit(rf"(?:^|[\n\x01]) *+({wrapped})(?= *+(?:[\n\x01]|\z))"), F.lit(1)) if wrapped else F.array().cast("array<string>")
+    plain = F.transform(found, lambda s: F.regexp_replace(s, r"[ \n]+", " "))
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else F.lit(None).cast("map<string,string>")
     ids = F.filter(F.transform(plain, lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
-    found = docs.select(F.col(id_col).alias("doc_id"), ids.alias("sentence_ids"))
+    named = docs.select(F.col(id_col).alias("doc_id"), ids.alias("sentence_ids"))
     line = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
     ranks = F.array(*[F.when(F.contains(line, F.lit(f",{','.join(seq)},")), F.struct(F.lit(i).alias("rank"), F.lit(name).alias("licence")))
                       for i, (name, seq) in enumerate(order, 1)]).cast("array<struct<rank:int,licence:string>>")
-    out = found.withColumn("hits", F.filter(ranks, lambda x: x.isNotNull()))
+    out = named.withColumn("hits", F.filter(ranks, lambda x: x.isNotNull()))
     return out.select("doc_id", "sentence_ids", F.col("hits.rank").alias("rule_ranks"), F.get(F.col("hits.licence"), F.lit(0)).alias("licence"),
                       F.array_distinct(F.col("hits.licence")).alias("licences"))

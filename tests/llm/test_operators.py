@@ -66,6 +66,33 @@ def test_licence_rules(spark, docs, empty):
     assert licences.licences(df, sentences={}, rules=[]).filter("licence IS NOT NULL").count() == 0
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+    whole = {
+        "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+                "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+        "GPL-3.0-or-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+                             "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."],
+        "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+                         "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+                         "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+                         "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+        "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "    http://www.apache.org/licenses/LICENSE-2.0"],
+    }
+    full = {"MIT": 2, "GPL-3.0-or-later": 3, "BSD-3-Clause": 4, "Apache-2.0": 1}
+    data = []
+    for name, parts in whole.items():
+        for width in (40, 72, 79):
+            for mark in ("", "# ", " * ", "//" + " " * 300):
+                lines = [mark + x for p in parts for x in [*textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False), ""]]
+                data.append((name, full[name], "Copyright (c) 2020 Some One\nAll rights reserved.\n\n" + "\n".join(lines) + "\n\nimport os\n"))
+    got = licences.licences(spark.createDataFrame(data, "doc_id string, rank int, text string").withColumn("doc_id", F.concat_ws(":", "doc_id", "rank"))).collect()
+    assert len(got) == len(data)
+    for r in got:
+        name, rank = r["doc_id"].split(":")
+        assert r["licence"] == name and r["rule_ranks"][0] == int(rank), r
+
+
 # --- personal data ------------------------------------------------------------------------------------------
 def test_pattern_spans_by_brute_force():
     rng = random.Random(1)
