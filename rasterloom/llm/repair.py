@@ -10,7 +10,8 @@ linear in the shard and needs no sort. Shards are rows of a Parquet table in the
 protocol makes the write safe against lost executors, and every store that Spark reads will do.
 
 Words repeat, so the tokenizer is asked once for each distinct chunk between white space of a worker's texts (the
-vocabulary never joins text across white space); a text's ids are gathered by numpy.
+vocabulary never joins text across white space, and its added tokens hold none); a text's ids are gathered by numpy.
+An added token inside a text is its one id, as the tokenizers library has it by default.
 
 Defined results: a null or empty text is its end id alone; rows with equal doc_id are ordered by text; null doc_ids come
 first; an empty table gives an empty folder and an empty result; other columns are not read.
@@ -51,7 +52,6 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.new, self.old, self.words = {}, {}, {}
         # the short way is taken only if the vocabulary's own normaliser and pattern treat such words as described

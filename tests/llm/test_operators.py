@@ -191,6 +191,21 @@ def test_token_files(spark, docs, odd, empty, tmp_path):
     assert repair.read_documents(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_added_tokens_inside_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    own = ["end <|endoftext|> next", "<|startoftext|>", "a<|endoftext|><|startoftext|>b. c", "plain words, and more.", "<|endoftext|>\n\tx <|ENDOFTEXT|> <|endoftext |>", "word.<|endoftext|>Word <|startoftext|>"]
+    want, at = [], 0
+    for i, t in enumerate(own):
+        ids = library.encode(t, add_special_tokens=False).ids + [2]
+        want.append((i, at, len(ids), cases.crc(ids)))
+        at += len(ids)
+    repair.write_shards(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"), str(tmp_path / "added"), path)
+    assert rows(repair.read_documents(spark, str(tmp_path / "added")), "doc_id", "start", "n_tokens", "ids_crc32") == want
+    assert library.encode(own[0], add_special_tokens=False).ids == [806, 49407, 1131]
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(0)
     for size, kinds in ((0, 3), (1, 3), (5000, 3), (20000, 50)):
