@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import bytebpe, decontaminate, licences, linededup, pii, ppm, quality, repair, simhash, toxicity
+from . import align, bytebpe, decontaminate, licences, linededup, lloyd, pii, ppm, quality, repair, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -160,3 +160,54 @@ def op3(spark, sf):
 def op4(spark, sf):
     found = ppm.ppm_scores(table(spark, sf, "documents"), remainder(5) != 1)
     return found.select("doc_id", (remainder(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# --- 11: alignment of two tokenizers --------------------------------------------------------------------------------
+@query("op11_alignment")
+def op11(spark, sf):
+    pair = align.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = align.aligned(table(spark, sf, "documents"), pair)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+# --- 12: web archives -----------------------------------------------------------------------------------------------
+OP12_SQL = """
+WITH page AS (SELECT page_id, coalesce(html, '') AS t, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+kept AS (SELECT t, max(page_id) AS kept FROM page WHERE n >= 1000 GROUP BY t),
+marked AS (SELECT page_id, n, page.t, kept, kept IS NOT NULL AND kept IS DISTINCT FROM page_id AS again FROM page LEFT JOIN kept ON page.t = kept.t AND n >= 1000)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(t) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN kept END AS refers_to FROM marked
+"""
+
+
+@query("op12_warc", OP12_SQL)
+def op12(spark, sf):
+    path = scratch_path(spark, "warc")
+    warc.write_warc(warc.with_revisits(table(spark, sf, "pages")), path)
+    return warc.page_records(spark, path)
+
+
+# --- 13: centroid clustering ----------------------------------------------------------------------------------------
+def _op13_sql(rounds: int = 10) -> str:
+    nearest = """a{i} AS MATERIALIZED (SELECT r, v, c, d FROM (SELECT kept.r, kept.v, c{i}.c,
+    CAST(list_sum(list_transform(list_zip(kept.v, c{i}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept, c{i})
+    QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+    update = """c{j} AS MATERIALIZED (SELECT c, list(f ORDER BY j) AS v FROM (SELECT c, j, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS f FROM (
+    SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY c, j)) GROUP BY c
+    UNION ALL SELECT c, v FROM c{i} WHERE c NOT IN (SELECT c FROM a{i}))"""
+    steps = [x.format(i=i, j=i + 1) for i in range(rounds) for x in (nearest, update)]
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < 8),
+{", ".join([*steps, nearest.format(i=rounds)])},
+each AS (SELECT c, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, cluster_inertia, (SELECT CAST(sum(d) AS BIGINT) FROM a{rounds}) AS inertia,
+  sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN each USING (c) JOIN c{rounds} USING (c)
+"""
+
+
+@query("op13_clusters", _op13_sql())
+def op13(spark, sf):
+    return lloyd.clusters(table(spark, sf, "embeddings"))[0]

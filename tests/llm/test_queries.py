@@ -21,13 +21,17 @@ COLUMNS = {
     "op8_": {"doc_id": "bigint", "text_sha256": "string"},
     "op9_": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op10_": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"},
+    "op11_": {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint", "count_sum": "bigint", "groups_sha256": "string"},
+    "op12_": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
+    "op13_": {"vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string"},
 }
+INPUT = {"op12_": "pages", "op13_": "embeddings"}
 
 
 def test_one_query_for_each_operator():
     for prefix in COLUMNS:
         assert sum(name.startswith(prefix) for name in entry.queries()) == 1
-    assert "pipeline" in entry.queries() and set(queries.SQL) == {"op1_quality", "op6_licences", "op10_decontamination"}
+    assert "pipeline" in entry.queries() and set(queries.SQL) == {"op1_quality", "op6_licences", "op10_decontamination", "op12_warc", "op13_clusters"}
 
 
 @pytest.mark.parametrize("prefix", sorted(COLUMNS))
@@ -35,7 +39,7 @@ def test_contract_columns_and_rows(spark, prefix):
     name = next(n for n in queries.QUERIES if n.startswith(prefix))
     out = queries.QUERIES[name](spark, SF)
     assert COLUMNS[prefix].items() <= dict(out.dtypes).items()
-    assert out.count() == duck(SF).sql("select count(*) from documents").fetchall()[0][0]
+    assert out.count() == duck(SF).sql(f"select count(*) from {INPUT.get(prefix, 'documents')}").fetchall()[0][0]
 
 
 def test_pipeline_by_brute_force(spark, tmp_path):
