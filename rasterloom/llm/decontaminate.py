@@ -49,14 +49,17 @@ def _windows(items: DataFrame, item_col: str, text_col: str, window: int, shingl
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                   item_text: str = "text", window: int = 10, shingle: int = 3, slice_rows: int = 500_000) -> DataFrame:
-    """One row per document: doc_id, n_words, hits (array of distinct (start, m), words counted from 0), item_ids (sorted strings)."""
+                   item_text: str = "text", window: int = 10, shingle: int = 3, slice_rows: int = 500_000, with_key: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_words, hits (array of distinct (start, m), words counted from 0), item_ids (sorted strings) and,
+    if asked for, text_key (SHA-256 of the text)."""
     spark = docs.sparkSession
     windows = stored(_windows(items, item_col, item_text, window, shingle), "windows")
     sizes = [r[0] for r in windows.groupBy("size").count().orderBy("size").select("size").collect()]   # 1 to ``shingle``
     size_of = reduce(lambda rest, s: F.when(F.col("size") == s, shingles(F.col("w"), s)).otherwise(rest), sizes, F.array().cast("array<bigint>"))
     tokens = windows.select("*", F.posexplode(size_of).alias("off", "token"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), item_words(F.col(text_col)).alias("words"))
+    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) if with_key else F.lit(None).cast("string")
+    texts = docs.select(F.col(id_col).alias("doc_id"), key.alias("text_key"), item_words(F.col(text_col)).alias("words"))
+    own = ["doc_id", *["text_key"] * with_key]
     # a sentinel at place 0 keeps documents without a hit
     all_shingles = lambda w: F.concat(F.array(F.lit(None).cast("bigint")), *[shingles(w, s) for s in sizes])
     n_slices = -(-windows.count() // slice_rows) or 1
@@ -69,7 +72,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
         return seen.join(F.broadcast(part), "token").groupBy("token").agg(F.count("*").alias("n"))
 
     if not sizes:
-        return texts.select("doc_id", F.size("words").cast("bigint").alias("n_words"),
+        return texts.select(*own, F.size("words").cast("bigint").alias("n_words"),
                             F.array().cast("array<struct<start:int,m:int>>").alias("hits"), F.array().cast("array<string>").alias("item_ids"))
     seen = stored(reduce(DataFrame.union, [counts(k) for k in range(n_slices)]), "token-counts")
     # a window with a token that no document has cannot occur
@@ -77,12 +80,12 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
                     .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "token")).alias("rarest")).filter("rarest.n > 0"))
     prefix = stored(ranked.select("rarest.token", "rarest.off", "w", "item_ids", F.col("size"),
                                   F.pmod(F.xxhash64("w"), F.lit(n_slices)).alias("slice")), "prefixes")
-    keyed = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "words", F.size("words").alias("n"))
+    keyed = texts.select(F.monotonically_increasing_id().alias("row"), *own, "words", F.size("words").alias("n"))
     base = sizes and {s: i for i, s in enumerate(sizes)}
 
     def hits(k: int) -> DataFrame:
         part = prefix.filter(F.col("slice") == k).drop("slice")
-        flat = keyed.select("row", "doc_id", "n", "words", F.posexplode(all_shingles(F.col("words"))).alias("place", "token"))
+        flat = keyed.select("row", *own, "n", "words", F.posexplode(all_shingles(F.col("words"))).alias("place", "token"))
         # places of size s follow those of the smaller sizes
         before = {s: sum(([F.greatest(F.col("n") - t + 1, F.lit(0)) for t in sizes[:base[s]]]), F.lit(1)) for s in sizes}
         offset = reduce(lambda rest, s: F.when(F.col("size") == s, before[s]).otherwise(rest), sizes, F.lit(None).cast("int"))
@@ -90,10 +93,10 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
         joined = flat.join(F.broadcast(part), "token", "left")
         hit = F.when((start >= 0) & (start + F.size("w") <= F.col("n")), F.expr("w") == F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("w")))
         return (joined.filter((F.col("place") == 0) | hit)
-                      .select("row", "doc_id", "n", F.when(F.col("place") > 0, F.struct(start.alias("start"), F.size("w").alias("m"))).alias("hit"), "item_ids"))
+                      .select("row", *own, "n", F.when(F.col("place") > 0, F.struct(start.alias("start"), F.size("w").alias("m"))).alias("hit"), "item_ids"))
 
     found = reduce(DataFrame.union, [hits(k) for k in range(n_slices)])
-    return (found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n").cast("bigint").alias("n_words"), F.collect_set("hit").alias("hits"),
+    return (found.groupBy("row").agg(*[F.first(c).alias(c) for c in own], F.first("n").cast("bigint").alias("n_words"), F.collect_set("hit").alias("hits"),
                                      F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids")).drop("row"))
 
 
@@ -103,6 +106,8 @@ def covered(hits: Column) -> Column:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` without a benchmark window. Rows of one doc_id go together if any of them is hit."""
-    bad = benchmark_hits(docs, items, id_col, text_col, **options).filter("size(hits) > 0").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad[id_col]), "left_anti")
+    """Rows of ``docs`` without a benchmark window. Each text is judged by itself, also where ids are null or used twice."""
+    found = benchmark_hits(docs, items, id_col, text_col, with_key=True, **options).filter("size(hits) > 0")
+    bad = stored(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "hit-documents")
+    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    return docs.withColumn("__text", key).join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_anti").drop("__text")

@@ -31,13 +31,18 @@ def remainder(k: int):
     return F.crc32(F.col("doc_id").cast("string")) % k
 
 
+def held_out(k: int):
+    """A null id is not held out (nor used for training)."""
+    return F.coalesce(remainder(k) == 1, F.lit(False)).alias("held_out")
+
+
 # --- 7: toxicity ----------------------------------------------------------------------------------
 @query("op7_toxicity")
 def op7(spark, sf):
     docs = table(spark, sf, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf, "labels"), remainder(3) != 1)
     scored = toxicity.score_toxicity(docs, model)
-    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    return scored.select("doc_id", held_out(3), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
                          F.size("spans").alias("n_offending"))
 
 
@@ -159,7 +164,7 @@ def op3(spark, sf):
 @query("op4_ppm")
 def op4(spark, sf):
     found = ppm.ppm_scores(table(spark, sf, "documents"), remainder(5) != 1)
-    return found.select("doc_id", (remainder(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", held_out(5), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 # --- 11: alignment of two tokenizers --------------------------------------------------------------------------------

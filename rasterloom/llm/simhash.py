@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import connected_components
+from ..operators.joins import lookup_join
 from ..operators.ordering import agg_join
 from .common import arrow_map, stored
 
@@ -168,41 +169,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def jaccard_links(texts: list[bytes], similarity: float = 0.8, shingle: int = 5) -> list[int]:
-    """For each text the index of the first text of its group, groups being connected by pairs with a Jaccard similarity
-    of their sets of word shingles of at least ``similarity`` (a shorter text is one shingle)."""
-    sets = []
-    for t in texts:
-        w = t.lower().split()
-        sets.append(frozenset(tuple(w[i:i + shingle]) for i in range(max(1, len(w) - shingle + 1))))
-    root, members = list(range(len(texts))), {}
-    for i, own in enumerate(sets):
-        mine = i
-        for lead in list(members):
-            if lead == mine:
-                continue
-            for j in members[lead]:                        # one link joins the groups, so the rest need not be compared
-                other = sets[j]
-                small, large = sorted((len(own), len(other)))
-                if small >= similarity * large:
-                    both = len(own & other)
-                    if both >= similarity * (small + large - both):
-                        low, high = min(lead, mine), max(lead, mine)
-                        moved = members.pop(high, [i])
-                        members.setdefault(low, []).extend(moved)
-                        mine = low
-                        break
-        members.setdefault(mine, [])
-        if i not in members[mine]:
-            members[mine].append(i)
-    for lead, own in members.items():
-        for i in own:
-            root[i] = lead
-    return root
-
-
 def shingle_codes(text: bytes, shingle: int = 5) -> np.ndarray:
-    """The distinct 64-bit codes of the word shingles that ``jaccard_links`` compares, ascending."""
+    """The distinct 64-bit codes of the word shingles of a text (a shorter text is one shingle), ascending."""
     words = text.lower().split()
     h, n = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), max(1, len(words) - shingle + 1)
     code = np.zeros(n, np.uint64)
@@ -213,6 +181,38 @@ def shingle_codes(text: bytes, shingle: int = 5) -> np.ndarray:
     return np.unique(code ^ code >> np.uint64(29))
 
 
+def shared_counts(sets: list[np.ndarray], dense: int = 32, columns: int = 4096) -> np.ndarray:
+    """Numbers of common codes of all pairs of sets. Codes of many sets are multiplied as a matrix, the others listed by pairs."""
+    n = len(sets)
+    both = np.zeros((n, n), np.float32)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    code, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times >= dense
+    column = np.cumsum(often) - 1
+    for at in range(0, int(often.sum()), columns):
+        hit = often[place] & (column[place] >= at) & (column[place] < at + columns)
+        m = np.zeros((n, min(columns, int(often.sum()) - at)), np.float32)
+        m[owner[hit], column[place[hit]] - at] = 1
+        both += m @ m.T
+    few = np.flatnonzero(~often[place] & (times[place] > 1))
+    few = few[np.argsort(place[few], kind="stable")]
+    own, key = owner[few], place[few]
+    for step in range(1, dense):
+        a = np.flatnonzero(key[step:] == key[:-step]) if step < len(key) else np.empty(0, np.int64)
+        if not len(a):
+            break
+        np.add.at(both, (own[a], own[a + step]), 1)
+        np.add.at(both, (own[a + step], own[a]), 1)
+    return both
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a < b) of sets with at least this Jaccard similarity."""
+    both, size = shared_counts(sets), np.array([len(s) for s in sets], float)
+    a, b = np.nonzero(np.triu(both >= similarity * (size[:, None] + size[None, :] - both), 1))
+    return a, b
+
+
 def prefix_codes(codes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The codes of which a set with at least ``similarity`` holds one: all but ceil(similarity x size) - 1, rare ones first.
     ``counts`` belong to the sorted ``common`` codes, others count as none; ties are ascending."""
@@ -222,51 +222,89 @@ def prefix_codes(codes: np.ndarray, common: np.ndarray, counts: np.ndarray, simi
     return codes[:len(codes) - int(np.ceil(similarity * len(codes) - 1e-9)) + 1]
 
 
-def _prefix_bucket_links(similarity: float):
+def _candidate_links(similarity: float, bucket_rows: int):
+    """Rows (key, code, node, packed size and place) come sorted by key; a key may cross batches. A key of up to ``bucket_rows`` nodes links the
+    pairs whose sizes and places allow the similarity. A larger one, and each slice of a code dealt to several keys, links the
+    nodes of neighbouring size classes with the smallest of them; for a dealt code these are rows (code, size class, node) of their own,
+    to be linked across its slices."""
+    widest = -1.001 * float(np.log(similarity))
+
+    def unpaired(node, size):
+        """(node, smallest node of a size class): sizes of similar sets lie in one class or in neighbouring ones."""
+        level = np.floor(np.log(size) / widest).astype(np.int64)
+        node, level = np.concatenate([node, node]), np.concatenate([level, level + 1])
+        order = np.lexsort((node, level))
+        node, level = node[order], level[order]
+        first = np.flatnonzero(np.diff(level, prepend=-1))
+        low = np.repeat(node[first], np.diff(first, append=len(level)))
+        return node, low, node[first], level[first]
+
+    def links(key, code, node, packed, dealt):
+        size, place = packed >> 32, packed & 0xFFFFFFFF
+        cuts = np.flatnonzero(np.diff(key)) + 1
+        bounds = np.concatenate([[0], cuts, [len(key)]])
+        length = np.diff(bounds)
+        each = np.repeat(length, length)
+        star = (each > bucket_rows) | dealt
+        out, level_rows = [], []
+        left = np.flatnonzero(~star & (each > 1))
+        for step in range(1, bucket_rows):
+            left = left[left + step < len(key)]
+            left = left[key[left] == key[left + step]]
+            if not len(left):
+                break
+            a, b = left, left + step
+            small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+            # at the first code in common all further ones lie behind both places
+            most = np.minimum(size[a] - place[a], size[b] - place[b])
+            ok = (node[a] != node[b]) & (small >= similarity * large - 1e-6) & (most >= similarity / (1 + similarity) * (small + large) - 1e-6)
+            out.append((node[a[ok]], node[b[ok]]))
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()) if star.any() else ():
+            if star[s]:
+                a, b, low, level = unpaired(node[s:e], size[s:e])
+                out.append((a[a != b], b[a != b]))
+                if dealt[s]:
+                    level_rows.append((np.full(len(low), code[s]), level, low))
+        src, dst = (np.concatenate([x[k] for x in out] or [np.empty(0, np.int64)]) for k in (0, 1))
+        if len(src):
+            # one link to the smallest connected node for each node of this stretch of rows
+            own, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+            root = own[smallest_labels(len(own), at[:len(src)], at[len(src):])]
+            src, dst = own[root != own], root[root != own]
+        extra = [np.concatenate([x[k] for x in level_rows] or [np.empty(0, np.int64)]) for k in range(3)]
+        n, m = len(src), len(extra[0])
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(src), pa.array(extra[2])]), pa.concat_arrays([pa.array(dst), pa.nulls(m, pa.int64())]),
+                                          pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(extra[0])]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(extra[1])])],
+                                         names=["src", "dst", "code", "level"])
+
     def run(batches):
-        """Rows (code, fp, size, place) come sorted by code; a code may cross batches. Links connect the pairs whose sizes and
-        places allow the similarity."""
-        def links(code, fp, size, place):
-            left, found = np.arange(len(code)), []
-            for step in range(1, len(code)):
-                left = left[left + step < len(code)]
-                left = left[code[left] == code[left + step]]
-                if not len(left):
-                    break
-                a, b = left, left + step
-                small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-                # at the first code in common all further ones lie behind both places
-                most = np.minimum(size[a] - place[a], size[b] - place[b])
-                ok = (fp[a] != fp[b]) & (small >= similarity * large - 1e-6) & (most >= similarity / (1 + similarity) * (small + large) - 1e-6)
-                found.append((fp[a[ok]], fp[b[ok]]))
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found))
-                own, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-                root = own[smallest_labels(len(own), at[:len(a)], at[len(a):])]
-                yield pa.RecordBatch.from_arrays([pa.array(own[root != own]), pa.array(root[root != own])], names=["src", "dst"])
-
-        rest = [np.empty(0, np.int64)] * 4
+        rest = None
         for batch in batches:
-            rows = [np.concatenate([r, batch.column(k).to_numpy(zero_copy_only=False)]) for k, r in enumerate(rest)]
+            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            rows = [np.concatenate([r, x]) for r, x in zip(rest, rows)] if rest else rows
             if not len(rows[0]):
                 continue
             last = int(np.searchsorted(rows[0], rows[0][-1]))
             rest = [r[last:] for r in rows]
+            if len(rest[0]) > 8 * bucket_rows + 100_000:        # a very frequent code need not be held: the same node comes from each task once
+                keep = np.unique(rest[2], return_index=True)[1]
+                rest = [r[keep] for r in rest]
             if last:
                 yield from links(*(r[:last] for r in rows))
-        yield from links(*rest)
+        if rest and len(rest[0]):
+            yield from links(*rest)
     return run
 
 
-def prefix_links(named: DataFrame, similarity: float = 0.8, shingle: int = 5, bucket_rows: int = 1000, sample: int = 8,
-                 common_rows: int = 10, most_common: int = 1_000_000) -> DataFrame:
-    """(src, dst): links between fingerprints (of the sets of words) that connect those of all pairs of texts whose sets of word
-    shingles have a Jaccard similarity of at least ``similarity``. ``named`` has doc_id and text, which is not null.
+def prefix_links(named: DataFrame, similarity: float = 0.8, shingle: int = 5, bucket_rows: int = 64, sample: int = 8,
+                 common_rows: int = 10, most_common: int = 1_000_000, deal_rows: int = 20_000) -> DataFrame:
+    """(src, dst): links between nodes (``text_node``) that connect those of all pairs of texts whose sets of word shingles have a Jaccard
+    similarity of at least ``similarity``. ``named`` has doc_id and text, which is not null.
 
     Two such sets have one of the first size - ceil(similarity x size) + 1 shingles in common, in any order all texts share.
     Shingles of more than about ``common_rows`` texts (the ``most_common`` of them) come last, by their count on one text of
-    ``sample``: the order is a matter of cost, not of the result. A shingle that still has more than ``bucket_rows`` prefixes links the texts of neighbouring size classes with the
-    smallest of them, by aggregation and without pairs.
+    ``sample``; those of more than about ``deal_rows`` texts are dealt to several keys. Order and dealing are matters of cost, not of the
+    result. Rows are shuffled once, 24 bytes each, and a text's copies inside one task once.
     """
     spark = named.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -284,82 +322,159 @@ def prefix_links(named: DataFrame, similarity: float = 0.8, shingle: int = 5, bu
     common = spark.sparkContext.broadcast((np.sort(codes), rows[np.argsort(codes)]))
 
     def prefixes(batches):
+        seen = set()
+        known, counts = common.value
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                texts = b.column(0).slice(at, 500).cast(pa.binary()).to_pylist()
-                codes = [shingle_codes(t, shingle) for t in texts]
-                own = [prefix_codes(c, *common.value, similarity).view(np.int64) for c in codes]
+                texts = {text_node(t): t for t in b.column(0).slice(at, 500).cast(pa.binary()).to_pylist()}
+                texts = {k: t for k, t in texts.items() if k not in seen}
+                if not texts:
+                    continue
+                seen.update(texts)
+                codes = [shingle_codes(t, shingle) for t in texts.values()]
+                own = [prefix_codes(c, known, counts, similarity) for c in codes]
                 each = np.array([len(c) for c in own])
-                values = [np.concatenate(own), np.repeat(np.array([simhash(t, distinct=True) for t in texts], np.int64), each),
-                          np.repeat(np.array([len(c) for c in codes]), each), np.concatenate([np.arange(n) for n in each])]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["code", "fp", "size", "place"])
-
-    # copies have equal rows, which are combined before the shuffle
-    columns = ["code", "fp", "size", "place"]
-    rows = stored(named.select("text").mapInArrow(prefixes, "code bigint, fp bigint, size bigint, place bigint").groupBy(*columns).agg(F.lit(1).alias("one")).drop("one"), "prefixes")
-    shared = stored(rows.groupBy("code").count().filter("count > 1"), "shared-codes")
-    some = rows.join(shared.filter(F.col("count") <= bucket_rows), "code", "left_semi").select(*columns)
-    links = some.repartition(parts, "code").sortWithinPartitions("code").mapInArrow(_prefix_bucket_links(similarity), "src bigint, dst bigint")
-    hot = rows.join(shared.filter(F.col("count") > bucket_rows), "code", "left_semi")
-    # sizes of similar sets lie in one class or in neighbouring ones
-    size_class = F.floor(F.log(F.col("size").cast("double")) / (-1.001 * float(np.log(similarity))))
-    hot = hot.select("code", "fp", F.explode(F.array(size_class, size_class + 1)).alias("class")).distinct()
-    stars = agg_join(hot, ["code", "class"], F.min("fp").alias("low")).filter("fp <> low").select(F.col("fp").alias("src"), F.col("low").alias("dst"))
-    return links.union(stars).distinct()
-
-
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5,
-                          radius: int = 6, block_docs: int = 500, **prefix) -> DataFrame:
-    """(doc_id, group): group is the smallest doc_id connected by near copies: pairs with a Jaccard similarity of their word
-    shingles of at least ``similarity``. Every doc_id is listed once.
-
-    Exact copies collapse first. Candidates are the pairs within ``radius`` of the covering hash, over fingerprints of the sets of
-    words, and all pairs that ``prefix_links`` (which takes ``prefix``) cannot rule out, so none of the similarity is missed; the
-    texts of each candidate class are then compared exactly. A class is cut into blocks of ``block_docs`` texts and each pair of blocks is a task of its own, so
-    no class is gathered in one place. A text is not compared with further members of its own group.
-    """
-    kind = dict(docs.dtypes)[id_col]
-    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+                code, node = np.concatenate(own), np.repeat(np.array(list(texts), np.int64), each)
+                packed = np.repeat(np.array([len(c) for c in codes]), each) << 32 | np.concatenate([np.arange(n) for n in each])
+                # slices of very frequent codes, by node
+                deal = np.ones(len(code), np.int64)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                    deal = np.where(known[place] == code, 1 + counts[place] * sample // deal_rows, 1)
+                slice_ = (node.view(np.uint64) % deal.astype(np.uint64)).astype(np.int64)
+                key = code.view(np.int64) ^ (slice_ * 0x61C8864680B583EB & 0x7FFFFFFFFFFFFFFF)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(code.view(np.int64)), pa.array(node), pa.array(packed), pa.array(deal > 1)],
+                                                 names=["key", "code", "node", "packed", "dealt"])
+
+    rows = named.select("text").mapInArrow(prefixes, "key bigint, code bigint, node bigint, packed bigint, dealt boolean")
+    found = stored(rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(
+        _candidate_links(similarity, bucket_rows), "src bigint, dst bigint, code bigint, level bigint"), "candidates")
+    slices = found.filter("code IS NOT NULL")
+    across = agg_join(slices, ["code", "level"], F.min("src").alias("low")).filter("src <> low").select("src", F.col("low").alias("dst"))
+    return found.filter("code IS NULL").select("src", "dst").union(across).distinct()
+
+
+def text_node(text: bytes) -> int:
+    """A signed 64-bit name of a text's words."""
+    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 42)).view(np.int64))
+
+
+def text_prints(named: DataFrame) -> DataFrame:
+    """(doc_id, text_key, node, fp) of each row: SHA-256 of the text, the name of its words, the SimHash of its shingles."""
+    kind = dict(named.dtypes)["doc_id"]
 
     def run(batches):
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
-                                              pa.array([simhash(t, distinct=True) for t in texts], pa.int64())], names=["doc_id", "text_key", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(t).digest() for t in texts]), pa.array([text_node(t) for t in texts], pa.int64()),
+                                              pa.array([simhash(t) for t in texts], pa.int64())], names=["doc_id", "text_key", "node", "fp"])
+
+    return named.mapInArrow(run, f"doc_id {kind}, text_key binary, node bigint, fp bigint")
+
+
+def _compare(similarity: float, shingle: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Links inside one pair of blocks; texts already known to belong together (equal ``part``) are not compared."""
+        keys, parts = group["text_key"].to_pylist(), group["part"].to_pylist()
+        by = {}
+        for k, p, t in zip(keys, parts, group["text"].cast(pa.binary()).to_pylist()):
+            by.setdefault(k, (p, t))                                  # an anchor may be a member too
+        keys = sorted(by)
+        a, b = similar([shingle_codes(by[k][1], shingle) for k in keys], similarity)
+        names = {p: i for i, p in enumerate(dict.fromkeys(by[k][0] for k in keys))}
+        part = np.array([names[by[k][0]] for k in keys])
+        apart = part[a] != part[b]
+        root = smallest_labels(len(keys), a[apart], b[apart])
+        moved = np.flatnonzero(root != np.arange(len(keys))).tolist()
+        return pa.table({"src": pa.array([keys[i] for i in moved], pa.binary()), "dst": pa.array([keys[root[i]] for i in moved], pa.binary())})
+    return run
 
-    prints = stored(named.mapInArrow(run, f"doc_id {kind}, text_key string, fp bigint"), "text-prints")
-    texts = stored(prints.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "distinct-texts")
-    near = covering_links(texts.select("fp").distinct(), radius)
-    links = stored(near.union(prefix_links(named, similarity, shingle, **prefix)).distinct(), "text-links")
-    roots = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    placed = texts.join(roots, "fp", "left").select("text_key", "rep", F.coalesce("root", "fp").alias("root"))
-    # classes of two texts or more, their texts dealt into blocks
-    sizes = placed.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block_docs).cast("int"))
-    block = F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int")
-    chosen = stored(placed.join(sizes, "root").select("text_key", "rep", "root", "blocks", block.alias("block")), "candidate-texts")
-    keyed = chosen.select(F.col("rep").alias("doc_id"), "text_key", "root", "blocks", "block")
-    with_text = named.join(keyed, named["doc_id"].eqNullSafe(keyed["doc_id"])).filter(F.sha2("text", 256) == F.col("text_key")).dropDuplicates(["text_key"])
-    pairs = with_text.select("root", "text_key", "text", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "text_key", "text")
-
-    def verify(group: pa.Table) -> pa.Table:
-        keys, own = group["text_key"].to_pylist(), group["text"].cast(pa.binary()).to_pylist()
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        lead = jaccard_links([own[k] for k in order], similarity, shingle)
-        found = [(keys[order[a]], keys[order[b]]) for a, b in enumerate(lead) if a != b]
-        return pa.table({"src": pa.array([a for a, _ in found], pa.string()), "dst": pa.array([b for _, b in found], pa.string())})
-
-    verified = stored(pairs.groupBy("root", "i", "j").applyInArrow(verify, "src string, dst string").distinct(), "verified-links")
+
+def verified_links(members: DataFrame, similarity: float, shingle: int, block_docs: int, block_bytes: int, anchors: int = 8) -> DataFrame:
+    """(src, dst): links that connect the texts (text_key) of each ``class`` that are connected by similar pairs.
+
+    ``members`` has class, text_key, text. A class is cut into blocks. First each block is compared in itself, together with the same few
+    ``anchors`` of the class, which joins the blocks of a group of near copies. Then only texts that are still apart are
+    compared: those outside the class's largest part with each other and with it. A task holds two blocks at most.
+    """
+    schema = "src binary, dst binary"
+    sizes = members.groupBy("class").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / block_docs), F.ceil(F.col("bytes") / block_bytes)).cast("int")
+    dealt = members.join(sizes.select("class", blocks.alias("blocks")), "class").withColumn("h", F.xxhash64("text_key"))
+    dealt = stored(dealt.withColumn("block", F.pmod("h", "blocks").cast("int")), "members")
+    many = dealt.filter("blocks > 1").select("class", "blocks", "text_key")
+    chosen = many.groupBy("class").agg(F.first("blocks").alias("all"), F.slice(F.sort_array(F.collect_set(F.when(F.xxhash64("text_key") % F.greatest("blocks", F.lit(1)) == 0, F.col("text_key")))), 1, anchors).alias("keys"))
+    anchor = chosen.select("class", "all", F.explode("keys").alias("text_key")).join(dealt.select("class", "text_key", "text"), ["class", "text_key"])
+    anchor = anchor.select("class", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("block"), "text_key", "text")
+    own = dealt.select("class", "block", "text_key", "text").union(anchor).withColumn("part", F.col("text_key"))
+    first = stored(own.groupBy("class", "block").applyInArrow(_compare(similarity, shingle), schema).distinct(), "links-inside")
+    if not many.take(1):
+        return first
+    parts = connected_components(first).select(F.col("node").alias("text_key"), F.col("component").alias("part"))
+    known = stored(dealt.filter("blocks > 1").join(parts, "text_key", "left").withColumn("part", F.coalesce("part", "text_key")), "parts")
+    most = known.groupBy("class", "part").count().groupBy("class").agg(F.max(F.struct("count", "part")).alias("m")).select("class", F.col("m.part").alias("largest"))
+    known = known.join(most, "class").withColumn("inside", F.col("part") == F.col("largest"))
+    rest = known.filter(~F.col("inside")).groupBy("class").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum(F.octet_length("text")) / block_bytes)).cast("int").alias("rest"))
+    apart = known.join(rest, "class")
+    # outsiders: block j of ``rest``; they meet each other (kind 0) and every block of the largest part (kind 1)
+    j = F.pmod(F.xxhash64("text_key"), "rest").cast("int")
+    outside = apart.filter(~F.col("inside")).withColumn("j", j)
+    among = outside.select("class", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("o"), "j", "text_key", "text", "part")
+    among = among.select("class", "kind", F.least("o", "j").cast("int").alias("i"), F.greatest("o", "j").cast("int").alias("j"), "text_key", "text", "part")
+    meet = outside.select("class", F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "j", "text_key", "text", "part")
+    inner = apart.filter("inside").select("class", F.lit(1).alias("kind"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("j"),
+                                          "text_key", "text", "part")
+    across = among.union(meet).union(inner).groupBy("class", "kind", "i", "j").applyInArrow(_compare(similarity, shingle), schema)
+    return first.union(stored(across.distinct(), "links-across")).distinct()
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5,
+                          radius: int = 3, block_docs: int = 1000, block_bytes: int = 8_000_000, **prefix) -> DataFrame:
+    """(doc_id, text_key, group, kept) for each different pair of id and text: group is the smallest doc_id connected by near copies, pairs
+    with a Jaccard similarity of their sets of word shingles of at least ``similarity``; one pair of each group is kept, that with the
+    smallest id (null last), then the smallest text_key (SHA-256).
+
+    Candidates are the pairs within ``radius`` bits of the covering SimHash search, which joins most copies, and all pairs that
+    ``prefix_links`` (which takes ``prefix``) cannot rule out, so none of the similarity is missed. Classes of texts connected by candidates are
+    compared by their sets of 64-bit shingle codes (``verified_links``).
+    """
+    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    prints = stored(text_prints(named), "text-prints")
+    nodes = prints.select("node", "fp").distinct()
+    firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    covering = covering_links(firsts.select("fp"), radius)
+    ends = firsts.select(F.col("fp").alias("src"), F.col("first").alias("a")), firsts.select(F.col("fp").alias("dst"), F.col("first").alias("b"))
+    near = covering.join(ends[0], "src").join(ends[1], "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    same = nodes.join(firsts, "fp").filter("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
+    links = stored(near.union(same).union(prefix_links(named, similarity, shingle, **prefix)).distinct(), "text-links")
+    classes = connected_components(links).select("node", F.col("component").alias("class"))
+    texts = stored(prints.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("node").alias("node")).join(classes, "node", "left")
+                   .select("text_key", "rep", F.coalesce("class", "node").alias("class")), "distinct-texts")
+    several = texts.groupBy("class").count().filter("count > 1").select("class")
+    chosen = texts.join(several, "class").select("class", "text_key", "rep")
+    # the texts of classes of two or more, found by their ids; the key tells which of the rows of an id is meant
+    keyed = chosen.select(F.xxhash64("rep").alias("place"), "rep", "text_key", "class")
+    with_text = lookup_join(named.withColumn("place", F.xxhash64("doc_id")), keyed, ["place"], "inner")
+    members = with_text.filter(F.col("doc_id").eqNullSafe(F.col("rep")) & (F.unhex(F.sha2("text", 256)) == F.col("text_key")))
+    members = members.select("class", "text_key", "text").dropDuplicates(["text_key"])
+    verified = stored(verified_links(members, similarity, shingle, block_docs, block_bytes), "verified-links")
     groups = connected_components(verified).select(F.col("node").alias("text_key"), "component")
-    named_groups = texts.join(groups, "text_key", "left").select("text_key", "rep", F.coalesce("component", "text_key").alias("component"))
-    least = named_groups.groupBy("component").agg(F.min("rep").alias("group"))
-    final = named_groups.join(least, "component").select("text_key", "group")
-    return prints.join(final, "text_key").groupBy("doc_id").agg(F.min("group").alias("group"))
+    placed = texts.join(groups, "text_key", "left").select("text_key", "rep", F.coalesce("component", "text_key").alias("component"))
+    best = placed.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "text_key")).alias("best"))
+    final = placed.join(best, "component").select("text_key", F.col("best.rep").alias("group"), F.col("best.text_key").alias("best_key"))
+    kept = F.col("doc_id").eqNullSafe(F.col("group")) & (F.col("text_key") == F.col("best_key"))
+    return prints.select("doc_id", "text_key").distinct().join(final, "text_key").select("doc_id", "text_key", "group", kept.alias("kept"))
 
 
 def near_duplicates_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is the smallest of its group of near copies; of repeated rows of that doc_id one stays."""
-    groups = stored(near_duplicate_groups(docs, id_col, text_col, **options).filter("doc_id <=> group").select(F.col("doc_id").alias(id_col)), "kept")
-    kept = docs.join(groups, docs[id_col].eqNullSafe(groups[id_col]), "left_semi")
-    repeated = docs.groupBy(id_col).count().filter("count > 1").limit(1)
-    return kept.dropDuplicates([id_col]) if repeated.count() else kept
+    """One row of ``docs`` for each group of near copies (``kept`` above); of equal rows of id and text one stays. Null ids are no bond: their rows are
+    judged by their texts."""
+    gone = near_duplicate_groups(docs, id_col, text_col, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    gone = stored(gone, "dropped")
+    key = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    kept = docs.withColumn("__text", key).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_anti")
+    again = stored(kept.groupBy(id_col, "__text").count().filter("count > 1").select(F.col(id_col).alias("__id"), F.col("__text").alias("__key")), "repeated")
+    if again.take(1):
+        equal = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
+        kept = kept.join(again, equal, "left_anti").union(kept.join(again, equal, "left_semi").dropDuplicates([id_col, "__text"]))
+    return kept.drop("__text")

@@ -1,4 +1,5 @@
 """Text operators against brute force, on ordinary texts and on nulls, empty and long texts, ties, repeated rows and empty tables."""
+import hashlib
 import random
 import zlib
 
@@ -348,7 +349,47 @@ def test_decontamination_by_brute_force(spark, docs, odd, empty):
         found = decontaminate.benchmark_hits(df, bench, slice_rows=slices)
         found = found.select("doc_id", "n_words", decontaminate.covered(F.col("hits")).alias("n_hit"), F.array_join("item_ids", ",").alias("ids"))
         assert rows(found, "doc_id", "n_words", "n_hit", "ids") == sorted(want, key=repr)
+    twice = spark.createDataFrame([(None, "a clean text without an id"), (None, texts[1]), (4, texts[1]), (4, "another clean text of a used id"), (5, None)], "doc_id long, text string")
+    assert rows(decontaminate.decontaminated(twice, bench), "text") == [("a clean text without an id",), ("another clean text of a used id",), (None,)]
     clean = [(i,) for i, _, n, _ in want if not n]
     assert rows(decontaminate.decontaminated(docs, bench), "doc_id") == sorted(clean, key=repr)
     assert decontaminate.benchmark_hits(docs, bench.limit(0)).count() == len(TEXTS)
     assert decontaminate.benchmark_hits(empty, bench).count() == 0
+
+
+def test_near_copies_of_a_large_group(spark):
+    """Stars whose ends lie apart, a shingle in very many texts, null and reused ids: by brute force with every way of dealing."""
+    rng = random.Random(6)
+    word = lambda: f"v{rng.randrange(3000)}"
+    base, phrase = [word() for _ in range(70)], "one very common phrase of many texts"
+    own = [(500, " ".join(base))]
+    for k in range(40):                                        # near the base, not near each other
+        w = list(base)
+        w[10 + k] = f"new{k}"
+        own.append((600 + k, " ".join(w)))
+    for k in range(60):                                        # short texts, mostly the same phrase
+        own.append((700 + k, phrase + " " + " ".join(word() for _ in range(k % 4))))
+    for k in range(6):
+        own.append((800 + k, " ".join(word() for _ in range(30)) + " " + phrase))
+    own += [(None, "a text without an id that nobody else has at all"), (None, "another text without an id and quite different words"),
+            (None, "A text  without an id that nobody else has at all"), (900, "one id and two texts this is the first of them"),
+            (900, "second of the same number with other words entirely"), (901, "one id and two texts this is the first of them"), (None, None), (902, " ")]
+    own += own[:2]
+    texts = sorted({(i, t or "") for i, t in own}, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).digest()))
+    comp = cases.components(len(texts), lambda a, b: cases.jaccard(texts[a][1], texts[b][1]) >= 0.8)
+    want = sorted(texts[k] for k, c in enumerate(comp) if k == c and texts[k][0] is not None)
+    nulls = sorted(texts[k][1] for k, c in enumerate(comp) if k == c and texts[k][0] is None)
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(4)
+    odd = df.select("*", *[F.lit(1).alias(c) for c in ("class", "node", "fp", "text_key", "group", "kept", "place", "rep", "part", "count")])
+    for d, options in ((df, {}), (odd, {"block_docs": 7, "bucket_rows": 4, "sample": 1, "common_rows": 2, "deal_rows": 10}), (df, {"block_docs": 3, "bucket_rows": 1})):
+        kept = [(r["doc_id"], r["text"] or "") for r in simhash.near_duplicates_dropped(d, **options).collect()]
+        assert sorted(r for r in kept if r[0] is not None) == want
+        assert sorted(t for i, t in kept if i is None) == nulls
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(3)
+    for n, most in ((1, 5), (12, 30), (80, 60)):
+        sets = [np.unique(rng.integers(0, most, rng.integers(1, most))).astype(np.uint64) for _ in range(n)]
+        both = simhash.shared_counts(sets, dense=6, columns=7)
+        assert all(both[a, b] == len(set(sets[a].tolist()) & set(sets[b].tolist())) for a in range(n) for b in range(n) if a != b)
