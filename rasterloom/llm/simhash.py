@@ -223,10 +223,10 @@ def prefix_codes(codes: np.ndarray, common: np.ndarray, counts: np.ndarray, simi
 
 
 def _candidate_links(similarity: float, bucket_rows: int):
-    """Rows (key, code, node, packed size and place) come sorted by key; a key may cross batches. A key of up to ``bucket_rows`` nodes links the
-    pairs whose sizes and places allow the similarity. A larger one, and each slice of a code dealt to several keys, links the
-    nodes of neighbouring size classes with the smallest of them; for a dealt code these are rows (code, size class, node) of their own,
-    to be linked across its slices."""
+    """Rows (key, code, node, size) come sorted by key; a key may cross batches. A key of up to ``bucket_rows`` nodes lists the
+    pairs whose sizes allow the similarity, with both sizes and the number of such keys. A larger one, and each slice of a code
+    dealt to several keys, links the nodes of neighbouring size classes with the smallest of them; for a dealt code these are rows (code, size
+    class, node) of their own, to be linked across its slices."""
     widest = -1.001 * float(np.log(similarity))
 
     def unpaired(node, size):
@@ -239,14 +239,16 @@ def _candidate_links(similarity: float, bucket_rows: int):
         low = np.repeat(node[first], np.diff(first, append=len(level)))
         return node, low, node[first], level[first]
 
-    def links(key, code, node, packed, dealt):
-        size, place = packed >> 32, packed & 0xFFFFFFFF
+    def links(key, code, node, size, dealt):
+        first = np.ones(len(key), bool)                              # a text comes from each task that has a copy
+        first[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, code, node, size, dealt = (x[first] for x in (key, code, node, size, dealt))
         cuts = np.flatnonzero(np.diff(key)) + 1
         bounds = np.concatenate([[0], cuts, [len(key)]])
         length = np.diff(bounds)
         each = np.repeat(length, length)
         star = (each > bucket_rows) | dealt
-        out, level_rows = [], []
+        pairs, stars, levels = [np.empty((0, 4), np.int64)], [np.empty((0, 2), np.int64)], [np.empty((0, 3), np.int64)]
         left = np.flatnonzero(~star & (each > 1))
         for step in range(1, bucket_rows):
             left = left[left + step < len(key)]
@@ -255,27 +257,28 @@ def _candidate_links(similarity: float, bucket_rows: int):
                 break
             a, b = left, left + step
             small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-            # at the first code in common all further ones lie behind both places
-            most = np.minimum(size[a] - place[a], size[b] - place[b])
-            ok = (node[a] != node[b]) & (small >= similarity * large - 1e-6) & (most >= similarity / (1 + similarity) * (small + large) - 1e-6)
-            out.append((node[a[ok]], node[b[ok]]))
+            ok = small >= similarity * large - 1e-6
+            pairs.append(np.stack([node[a[ok]], node[b[ok]], size[a[ok]], size[b[ok]]], 1))
         for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()) if star.any() else ():
             if star[s]:
                 a, b, low, level = unpaired(node[s:e], size[s:e])
-                out.append((a[a != b], b[a != b]))
+                stars.append(np.stack([a[a != b], b[a != b]], 1))
                 if dealt[s]:
-                    level_rows.append((np.full(len(low), code[s]), level, low))
-        src, dst = (np.concatenate([x[k] for x in out] or [np.empty(0, np.int64)]) for k in (0, 1))
-        if len(src):
-            # one link to the smallest connected node for each node of this stretch of rows
-            own, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
-            root = own[smallest_labels(len(own), at[:len(src)], at[len(src):])]
-            src, dst = own[root != own], root[root != own]
-        extra = [np.concatenate([x[k] for x in level_rows] or [np.empty(0, np.int64)]) for k in range(3)]
-        n, m = len(src), len(extra[0])
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(src), pa.array(extra[2])]), pa.concat_arrays([pa.array(dst), pa.nulls(m, pa.int64())]),
-                                          pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(extra[0])]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(extra[1])])],
-                                         names=["src", "dst", "code", "level"])
+                    levels.append(np.stack([np.full(len(low), code[s]), level, low], 1))
+        pairs, stars, levels = (np.concatenate(x) for x in (pairs, stars, levels))
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        pairs = pairs[order]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(pairs[:, :2], axis=0) != 0).any(1)]) if len(pairs) else np.empty(0, bool))
+        times = np.diff(new, append=len(pairs))
+        pairs, stars = pairs[new], np.unique(stars, axis=0)
+        n, m, k = len(pairs), len(stars), len(levels)
+        none = lambda *sizes: pa.nulls(sum(sizes), pa.int64())
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([pairs[:, 0], stars[:, 0], levels[:, 2]])), pa.concat_arrays([pa.array(np.concatenate([pairs[:, 1], stars[:, 1]])), none(k)]),
+            pa.concat_arrays([pa.array(pairs[:, 2].copy()), none(m, k)]), pa.concat_arrays([pa.array(pairs[:, 3].copy()), none(m, k)]),
+            pa.concat_arrays([pa.array(times.astype(np.int64)), none(m, k)]),
+            pa.concat_arrays([none(n, m), pa.array(levels[:, 0].copy())]), pa.concat_arrays([none(n, m), pa.array(levels[:, 1].copy())])],
+            names=["src", "dst", "src_size", "dst_size", "times", "code", "level"])
 
     def run(batches):
         rest = None
@@ -296,12 +299,14 @@ def _candidate_links(similarity: float, bucket_rows: int):
     return run
 
 
-def prefix_links(named: DataFrame, similarity: float = 0.8, shingle: int = 5, bucket_rows: int = 64, sample: int = 8,
+def prefix_links(named: DataFrame, similarity: float = 0.8, shingle: int = 5, bucket_rows: int = 32, sample: int = 8,
                  common_rows: int = 10, most_common: int = 1_000_000, deal_rows: int = 20_000) -> DataFrame:
     """(src, dst): links between nodes (``text_node``) that connect those of all pairs of texts whose sets of word shingles have a Jaccard
     similarity of at least ``similarity``. ``named`` has doc_id and text, which is not null.
 
-    Two such sets have one of the first size - ceil(similarity x size) + 1 shingles in common, in any order all texts share.
+    Two such sets have one of the first size - ceil(similarity x size) + 1 shingles in common, in any order all texts share. What
+    they have in common lies in both prefixes or behind the one that ends first, so the common prefix shingles of a pair are
+    counted, and a pair is dropped if even all that lies behind would be too little.
     Shingles of more than about ``common_rows`` texts (the ``most_common`` of them) come last, by their count on one text of
     ``sample``; those of more than about ``deal_rows`` texts are dealt to several keys. Order and dealing are matters of cost, not of the
     result. Rows are shuffled once, 24 bytes each, and a text's copies inside one task once.
@@ -335,7 +340,7 @@ def prefix_links(named: DataFrame, similarity: float = 0.8, shingle: int = 5, bu
                 own = [prefix_codes(c, known, counts, similarity) for c in codes]
                 each = np.array([len(c) for c in own])
                 code, node = np.concatenate(own), np.repeat(np.array(list(texts), np.int64), each)
-                packed = np.repeat(np.array([len(c) for c in codes]), each) << 32 | np.concatenate([np.arange(n) for n in each])
+                size = np.repeat(np.array([len(c) for c in codes], np.int32), each)
                 # slices of very frequent codes, by node
                 deal = np.ones(len(code), np.int64)
                 if len(known):
@@ -343,15 +348,20 @@ def prefix_links(named: DataFrame, similarity: float = 0.8, shingle: int = 5, bu
                     deal = np.where(known[place] == code, 1 + counts[place] * sample // deal_rows, 1)
                 slice_ = (node.view(np.uint64) % deal.astype(np.uint64)).astype(np.int64)
                 key = code.view(np.int64) ^ (slice_ * 0x61C8864680B583EB & 0x7FFFFFFFFFFFFFFF)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(code.view(np.int64)), pa.array(node), pa.array(packed), pa.array(deal > 1)],
-                                                 names=["key", "code", "node", "packed", "dealt"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(code.view(np.int64)), pa.array(node), pa.array(size), pa.array(deal > 1)],
+                                                 names=["key", "code", "node", "size", "dealt"])
 
-    rows = named.select("text").mapInArrow(prefixes, "key bigint, code bigint, node bigint, packed bigint, dealt boolean")
+    rows = named.select("text").mapInArrow(prefixes, "key bigint, code bigint, node bigint, size int, dealt boolean")
     found = stored(rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(
-        _candidate_links(similarity, bucket_rows), "src bigint, dst bigint, code bigint, level bigint"), "candidates")
+        _candidate_links(similarity, bucket_rows), "src bigint, dst bigint, src_size bigint, dst_size bigint, times bigint, code bigint, level bigint"), "candidates")
     slices = found.filter("code IS NOT NULL")
     across = agg_join(slices, ["code", "level"], F.min("src").alias("low")).filter("src <> low").select("src", F.col("low").alias("dst"))
-    return found.filter("code IS NULL").select("src", "dst").union(across).distinct()
+    stars = found.filter("code IS NULL AND times IS NULL").select("src", "dst")
+    # a pair without a frequent code in common has ``times`` of its common codes in both prefixes, and no more than what lies behind the larger prefix outside
+    pairs = found.filter("times IS NOT NULL").groupBy("src", "dst", "src_size", "dst_size").agg(F.sum("times").alias("times"))
+    behind = F.ceil(F.lit(similarity) * F.greatest("src_size", "dst_size") - 1e-9) - 1
+    needed = F.lit(similarity / (1 + similarity)) * (F.col("src_size") + F.col("dst_size")) - 1e-6
+    return stars.union(across).union(pairs.filter(F.col("times") + behind >= needed).select("src", "dst")).distinct()
 
 
 def text_node(text: bytes) -> int:
@@ -400,8 +410,9 @@ def verified_links(members: DataFrame, similarity: float, shingle: int, block_do
     schema = "src binary, dst binary"
     sizes = members.groupBy("class").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / block_docs), F.ceil(F.col("bytes") / block_bytes)).cast("int")
-    dealt = members.join(sizes.select("class", blocks.alias("blocks")), "class").withColumn("h", F.xxhash64("text_key"))
-    dealt = stored(dealt.withColumn("block", F.pmod("h", "blocks").cast("int")), "members")
+    large = stored(sizes.select("class", blocks.alias("blocks")).filter("blocks > 1"), "large-classes")
+    dealt = lookup_join(members, large, ["class"]).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = stored(dealt.withColumn("block", F.pmod(F.xxhash64("text_key"), "blocks").cast("int")), "members")
     many = dealt.filter("blocks > 1").select("class", "blocks", "text_key")
     chosen = many.groupBy("class").agg(F.first("blocks").alias("all"), F.slice(F.sort_array(F.collect_set(F.when(F.xxhash64("text_key") % F.greatest("blocks", F.lit(1)) == 0, F.col("text_key")))), 1, anchors).alias("keys"))
     anchor = chosen.select("class", "all", F.explode("keys").alias("text_key")).join(dealt.select("class", "text_key", "text"), ["class", "text_key"])
@@ -413,9 +424,9 @@ def verified_links(members: DataFrame, similarity: float, shingle: int, block_do
     parts = connected_components(first).select(F.col("node").alias("text_key"), F.col("component").alias("part"))
     known = stored(dealt.filter("blocks > 1").join(parts, "text_key", "left").withColumn("part", F.coalesce("part", "text_key")), "parts")
     most = known.groupBy("class", "part").count().groupBy("class").agg(F.max(F.struct("count", "part")).alias("m")).select("class", F.col("m.part").alias("largest"))
-    known = known.join(most, "class").withColumn("inside", F.col("part") == F.col("largest"))
+    known = lookup_join(known, most, ["class"], "inner").withColumn("inside", F.col("part") == F.col("largest"))
     rest = known.filter(~F.col("inside")).groupBy("class").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum(F.octet_length("text")) / block_bytes)).cast("int").alias("rest"))
-    apart = known.join(rest, "class")
+    apart = lookup_join(known, rest, ["class"], "inner")
     # outsiders: block j of ``rest``; they meet each other (kind 0) and every block of the largest part (kind 1)
     j = F.pmod(F.xxhash64("text_key"), "rest").cast("int")
     outside = apart.filter(~F.col("inside")).withColumn("j", j)
@@ -451,12 +462,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = stored(prints.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("node").alias("node")).join(classes, "node", "left")
                    .select("text_key", "rep", F.coalesce("class", "node").alias("class")), "distinct-texts")
     several = texts.groupBy("class").count().filter("count > 1").select("class")
-    chosen = texts.join(several, "class").select("class", "text_key", "rep")
+    chosen = stored(texts.join(several, "class").select("class", "text_key", "rep"), "candidate-texts")
     # the texts of classes of two or more, found by their ids; the key tells which of the rows of an id is meant
     keyed = chosen.select(F.xxhash64("rep").alias("place"), "rep", "text_key", "class")
     with_text = lookup_join(named.withColumn("place", F.xxhash64("doc_id")), keyed, ["place"], "inner")
     members = with_text.filter(F.col("doc_id").eqNullSafe(F.col("rep")) & (F.unhex(F.sha2("text", 256)) == F.col("text_key")))
-    members = members.select("class", "text_key", "text").dropDuplicates(["text_key"])
+    members = stored(members.select("class", "text_key", "text").dropDuplicates(["text_key"]), "candidate-members")
     verified = stored(verified_links(members, similarity, shingle, block_docs, block_bytes), "verified-links")
     groups = connected_components(verified).select(F.col("node").alias("text_key"), "component")
     placed = texts.join(groups, "text_key", "left").select("text_key", "rep", F.coalesce("component", "text_key").alias("component"))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_map
+from .common import arrow_map, stored
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 STRIP = ".,;:!?\"'()[]{}<>|#$%&*~`-_/\\=+"
@@ -83,45 +84,60 @@ class BagModel:
         return [(a, b, float(p)) for (a, b), p in zip(spans, 1 / (1 + np.exp(-self.sentence_logits(text))))]
 
 
-def fit_bags(texts: list[str | None], labels: list[int], bits: int = 18, rounds: int = 600, rate: float = 1.0, l1: float = 2e-5, bias: float = -9.0) -> BagModel:
+def bag_features(text: str | None, bits: int, cache: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed features of all sentences, number of features of each sentence that has any)."""
+    cols, sizes = array("i"), array("i")
+    for s in SENTENCE.findall(text or ""):
+        own = set()
+        for t in set(s.split()):
+            if t not in cache:
+                cache[t] = features(t, bits)
+            own.update(cache[t])
+        if own:
+            cols.extend(sorted(own))
+            sizes.append(len(own))
+    return np.array(cols, np.int32), np.array(sizes, np.int32)
+
+
+def fit_bags(texts: list[str | None], labels: list[int], bits: int = 18, **options) -> BagModel:
+    """``fit_features`` of texts in memory."""
+    cache = {}
+    bags = [(y, *bag_features(t, bits, cache)) for t, y in zip(texts, labels)]
+    return fit_features(lambda: iter(bags), bits, **options)
+
+
+def fit_features(bags: Callable[[], Iterator[tuple[int, np.ndarray, np.ndarray]]], bits: int = 18, rounds: int = 600, rate: float = 1.0, l1: float = 2e-5,
+                 bias: float = -9.0) -> BagModel:
     """Maximum likelihood by Adagrad over the whole sample, weights kept at zero or above and sparse (soft threshold ``l1``).
 
     Evidence can only speak for toxicity, and the fixed ``bias`` keeps a sentence without evidence near zero, so a long
-    clean document does not add up to a toxic one.
+    clean document does not add up to a toxic one. ``bags()`` yields (label, features, sizes) of each text, and is read twice: the
+    first time features are counted, the second time only those that may have a weight are held.
     """
-    y_all = np.array(labels, float)
-    if not len(y_all) or y_all.min() == y_all.max():
-        return BagModel(bits, constant=float(y_all.mean()) if len(y_all) else 0.0)
-    cache: dict[str, list[int]] = {}
-    cols, sizes, bag, y = array("i"), array("i"), array("i"), []
-    held, toxic = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)          # bags with a feature
-    for text, label in zip(texts, labels):
-        seen = set()
-        for s in SENTENCE.findall(text or ""):
-            own = set()
-            for t in set(s.split()):
-                if t not in cache:
-                    cache[t] = features(t, bits)
-                own.update(cache[t])
-            if own:
-                cols.extend(sorted(own))
-                sizes.append(len(own))
-                bag.append(len(y))
-                seen |= own
-        if seen:
+    held, toxic, y, y_all = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), [], []          # bags with a feature
+    for label, cols, sizes in bags():
+        y_all.append(label)
+        if len(sizes):
             y.append(label)
-            at = np.fromiter(seen, np.int64, len(seen))
+            at = np.unique(cols)
             held[at] += 1
             toxic[at] += label > 0
-    n_sent = len(sizes)
-    if not n_sent:
-        return BagModel(bits, constant=float(y_all.mean()))
-    bag, y = np.array(bag, np.int64), np.array(y, float)
+    y_all = np.array(y_all, float)
+    if not len(y) or y_all.min() == y_all.max():
+        return BagModel(bits, constant=float(y_all.mean()) if len(y_all) else 0.0)
+    y = np.array(y, float)
     # features of three bags or more, with a larger share of the toxic bags than of the others
     able = (held >= 3) & (toxic / max(1, y.sum()) > 1.5 * (held - toxic) / max(1, (1 - y).sum()))
-    ids, cols = np.flatnonzero(able), np.frombuffer(cols, np.int32)
-    sent = np.repeat(np.arange(n_sent, dtype=np.int32), sizes)[able[cols]].astype(np.int64)
-    cols = (np.cumsum(able) - 1)[cols[able[cols]]]
+    ids, column, n_sent = np.flatnonzero(able), np.cumsum(able) - 1, 0
+    sents, kept, owner = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+    for _, cols, sizes in bags():
+        if len(sizes):
+            use = able[cols]
+            sents.append(np.repeat(np.arange(n_sent, n_sent + len(sizes)), sizes)[use])
+            kept.append(column[cols[use]])
+            owner.append(len(sizes))
+            n_sent += len(sizes)
+    sent, cols, bag = np.concatenate(sents), np.concatenate(kept), np.repeat(np.arange(len(owner)), owner)
     w, b = np.full(len(ids), 0.5), bias
     gw = np.full(len(ids), 1e-8)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
@@ -142,10 +158,10 @@ def fit_bags(texts: list[str | None], labels: list[int], bits: int = 18, rounds:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-                 label_col: str = "toxic", train_rows: int = 1500) -> BagModel:
+                 label_col: str = "toxic", train_rows: int = 1500, bits: int = 18) -> BagModel:
     """Fit on at most ``train_rows`` rows of each label (those with the smallest hash of their doc_id, of the rows where ``use``).
 
-    ``use`` is an expression over ``doc_id``.
+    ``use`` is an expression over ``doc_id``. The executors make the features; the driver sees no text.
     """
     marked = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL")
                     .groupBy("doc_id").agg(F.max(F.when(F.col("label") > 0, 1).otherwise(0)).alias("label")))
@@ -153,9 +169,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None,
     order = F.xxhash64("doc_id")
     chosen = [r[0] for y in (0, 1) for r in marked.filter(F.col("label") == y).orderBy(order, "doc_id").limit(train_rows).select("doc_id").collect()]
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isin(chosen))
-    rows = own.groupBy("doc_id").agg(F.min("text").alias("text")).join(marked, "doc_id").collect() if chosen else []
-    rows.sort(key=lambda r: str(r["doc_id"]))
-    return fit_bags([r["text"] for r in rows], [r["label"] for r in rows])
+    rows = own.groupBy("doc_id").agg(F.min("text").alias("text")).join(marked, "doc_id").select(F.col("doc_id").cast("string").alias("key"), "label", "text")
+
+    def run(batches):
+        cache = {}
+        for b in batches:
+            bags = [bag_features(t, bits, cache) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([x[k].tobytes() for x in bags], pa.binary()) for k in (0, 1)]],
+                                             names=["key", "label", "cols", "sizes"])
+
+    bags = stored(rows.mapInArrow(run, "key string, label int, cols binary, sizes binary").orderBy("key"), "bags")
+    ints = lambda data: np.frombuffer(data, np.int32)
+    return fit_features(lambda: ((r["label"], ints(r["cols"]), ints(r["sizes"])) for r in bags.orderBy("key").toLocalIterator()), bits)
 
 
 def score_toxicity(docs: DataFrame, model: BagModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
