@@ -219,3 +219,55 @@ def test_probe_learns_separable_classes(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     r = P.linear_probe(df.filter("vec_id < 50"), df.filter("vec_id between 50 and 69"), df.filter("vec_id >= 70"), 3, regs=(0.01, 1.0), max_iter=20).first()
     assert r["accuracy"] > 0.9
+
+
+def test_dbscan_settings_match_single_runs(spark):
+    from rasterloom.operators import density as D
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(6, 5))
+    v = np.concatenate([centres[i % 6] + rng.normal(scale=0.02 + 0.05 * (i % 3), size=5) for i in range(150)]).reshape(-1, 5)
+    v[40:44] = v[40]
+    df = spark.createDataFrame([(int(i) * 3 - 50, int(i) % 4, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, label int, embedding array<double>")
+    settings = [(3, 0.002), (3, 0.02), (8, 0.004), (8, 0.05), (200, 0.05)]
+    got = {}
+    for block in (4096, 40):
+        found = D.dbscan_settings(df, settings, rows_per_block=block).collect()
+        assert len(found) == len(settings) * len(v)
+        for r in found:
+            assert got.setdefault((r["setting"], r["vec_id"]), r["component"]) == r["component"]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for s, (m, eps) in enumerate(settings[:4]):
+        want = {int(k) * 3 - 50: None if c is None else int(c) * 3 - 50 for k, c in brute_dbscan(unit, eps, m).items()}
+        assert {k: c for (t, k), c in got.items() if t == s} == want
+    assert all(c is None for (t, _), c in got.items() if t == 4)
+    report = D.dbscan_report(df, (3, 8), (0.9, 1.1)).collect()
+    for r in report[:1]:
+        rows = df.join(C.cluster_ids(C.dbscan(df, r["eps"], r["min_samples"])), "vec_id")
+        one = C.cluster_scores(rows, "label", "cluster", "embedding").first()
+        assert abs(r["noise_ratio"] + r["coverage"] - 1) < 1e-12 and r["eps"] > 0
+        for name in ("hungarian_accuracy", "nmi", "ari", "purity", "silhouette", "n_clusters"):
+            a, b = r[f"all_{name}"], one[name]
+            assert a == b or abs(a - b) < 1e-9, name
+    assert len(report) == 4
+
+
+def test_assignment_of_many_clusters(spark):
+    """3,000 labels and clusters in components of known optimum; small dense tables against the whole matrix."""
+    rows = []
+    for k in range(1500):
+        rows += [(2 * k, 2 * k, 5), (2 * k, 2 * k + 1, 4), (2 * k + 1, 2 * k, 4), (2 * k + 1, 2 * k + 1, 1)]      # crossing is better: 8 of 14
+    total = sum(n for *_, n in rows)
+    table = spark.createDataFrame([(a, b, n, total) for a, b, n in rows], "label int, cluster int, n long, total long")
+    for limit in (200_000, 10):
+        assert abs(C.hungarian_accuracy(table, driver_cells=limit).first()[0] - 1500 * 8 / total) < 1e-12
+    rng = np.random.default_rng(2)
+    cells = [(g, a, b, int(rng.integers(0, 9))) for g in range(3) for a in range(5) for b in range(4 + g)]
+    whole = {g: sum(n for h, *_, n in cells if h == g) for g in range(3)}
+    many = spark.createDataFrame([(g, a, b, n, whole[g]) for g, a, b, n in cells if n], "g int, label int, cluster int, n long, total long")
+    for r in C.hungarian_accuracy(many, ["g"]).collect():
+        m = np.zeros((5, 4 + r["g"]))
+        for g, a, b, n in cells:
+            if g == r["g"]:
+                m[a, b] = n
+        assert abs(r["hungarian_accuracy"] - C.assign_max(m) / whole[r["g"]]) < 1e-12
+    assert C.hungarian_accuracy(table.limit(0)).first()[0] is None
