@@ -217,15 +217,24 @@ class Codec:
 def build_codec(docs: DataFrame, path: str, pattern: str, text_col: str = "text", dictionary_words: int = 100_000) -> Codec:
     """A codec whose dictionary holds the most frequent words of ``docs``, encoded by the higher-order fold."""
     ranks = read_ranks(path)
-    words = [r[0] for r in frequent_words(docs, text_col, dictionary_words).select("word").collect()]
+    words = frequent_words(docs, text_col, dictionary_words).select("word").toArrow()["word"].to_pylist()
     spark, split = docs.sparkSession, regex.compile(pattern)
     pieces = {w: split.findall(" " + w) for w in words if len(w) <= 64}
     distinct = sorted({p for own in pieces.values() for p in own})
     coded = {p: np.array([ranks[p.encode()]], "<u4").tobytes() for p in distinct if p.encode() in ranks}
-    folded = [(p,) for p in distinct if p not in coded]
+    folded = [p for p in distinct if p not in coded]
     if folded:
-        table = spark.createDataFrame(folded, "piece string")
-        coded |= {r["piece"]: np.array(r["ids"], "<u4").tobytes() for r in encode_pieces(table, ranks).toLocalIterator()}
+        import pyarrow as pa
+        # the literal map would be written out in every description of the plan that the driver keeps
+        length = "spark.sql.maxPlanStringLength"
+        before = spark.conf.get(length)
+        spark.conf.set(length, "10000")
+        try:
+            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            table = spark.createDataFrame(pa.table({"piece": pa.array(folded, pa.string())})).repartition(parts, "piece")
+            coded |= {r["piece"]: np.array(r["ids"], "<u4").tobytes() for r in stored(encode_pieces(table, ranks), "pieces").toLocalIterator()}
+        finally:
+            spark.conf.set(length, before)
     return Codec(ranks, pattern, {w: b"".join(coded[p] for p in own) for w, own in pieces.items()})
 
 
