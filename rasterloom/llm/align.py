@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from array import array
 from dataclasses import dataclass
 from itertools import chain
 
@@ -31,6 +33,7 @@ from .common import stored
 from .repair import byte_letters
 
 PIECE = 1 << 20
+CACHE_PIECES = 300_000
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -61,19 +64,62 @@ class Loaded:
         # decimal ids with what follows them: inside and at the end of an A run, inside and at the end of a B run
         decimal = [[b"%d%s" % (i, mark) for i in range(n)] for n, marks in ((len(self.a), b",|"), (len(self.b), b",;")) for mark in (marks[:1], marks[1:])]
         self.decimal = np.array(list(chain(*decimal)), object)
-
-    def encode(self, texts: list[bytes | None]) -> list[tuple[list[int], list[int]]]:
-        """(ids of A, ids of B) of each text; empty lists where the tokens do not give back the bytes."""
-        plain = [(t or b"").decode("utf-8", "replace") for t in texts]
-        some = [i for i, t in enumerate(plain) if t]
-        first = self.first.encode_batch([" " + plain[i] for i in some], add_special_tokens=False)
-        second = self.second.encode([plain[i] for i in some], num_threads=1)
-        out: list[tuple[list[int], list[int]]] = [([], [])] * len(texts)
-        for i, a, b in zip(some, first, second):
-            want, a = b" " + texts[i], a.ids
-            if b"".join(map(self.a.__getitem__, a)) == want == b"".join(map(self.b.__getitem__, b)):
-                out[i] = (a, b)
-        return out
+        # a piece of B with a blank behind another character would join what the pieces keep apart: then a text is one piece
+        joins = any("▁" in self.second.id_to_piece(i).lstrip("▁") for i in range(len(self.b)))
+        self.blank = re.compile(r"(?!)" if joins else r"(?<=\S) (?=\S)")
+        self.clear()
+
+    def slots(self, pieces: list[str]) -> np.ndarray:
+        """Places of pieces in the cache; new ones are encoded."""
+        if len(self.place) > CACHE_PIECES or len(self.store[0]) > 8 * CACHE_PIECES:
+            self.clear()
+        new = list(dict.fromkeys(p for p in pieces if p not in self.place))
+        for at in range(0, len(new), 5000):
+            own = new[at:at + 5000]
+            whole = [" " + p for p in own]
+            first = [e.ids for e in self.first.encode_batch(whole, add_special_tokens=False)]
+            second = self.second.encode(own, num_threads=1)
+            self.place.update(zip(own, range(len(self.good), len(self.good) + len(own))))
+            self.good.extend(self.same("".join(whole), first, second) or [bool(self.same(w, [a], [b])) for w, a, b in zip(whole, first, second)])
+            for store, size, ids in zip(self.store, self.size, (first, second)):
+                store.extend(chain.from_iterable(ids))
+                size.extend(map(len, ids))
+        return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+
+    def same(self, whole: str, first: list[list[int]], second: list[list[int]]) -> list[bool] | None:
+        """True for each piece if the tokens of both give back the bytes of all."""
+        data = whole.encode()
+        ok = all(b"".join(map(table.__getitem__, chain.from_iterable(ids))) == data for table, ids in ((self.a, first), (self.b, second)))
+        return [True] * len(first) if ok else None
+
+    def clear(self) -> None:
+        self.place, self.good = {}, array("b")
+        self.store, self.size = (array("I"), array("I")), (array("I"), array("I"))
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of A of all texts, their number in each text, ids of B, their number); none where the tokens do not give back the bytes.
+
+        Pieces between single blanks are encoded once: neither tokenizer joins what lies on both sides of a blank between two
+        characters that are not white space."""
+        pieces, n_pieces = [], []
+        for t in texts:
+            try:
+                own = (t or b"").decode()
+                own = self.blank.split(own) if own else []
+            except UnicodeDecodeError:
+                own = []
+            pieces += own
+            n_pieces.append(len(own))
+        at, of = self.slots(pieces), np.repeat(np.arange(len(texts)), n_pieces)
+        bad = np.unique(of[np.array(self.good, bool)[at] == 0])
+        use = ~np.isin(of, bad)
+        at, of, out = at[use], of[use], []
+        for store, size in zip(self.store, self.size):
+            flat, size = np.array(store, np.int64), np.array(size, np.int64)
+            start, own = np.cumsum(size) - size, size[at]
+            ends = np.cumsum(own)
+            out += [flat[np.repeat(start[at] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)], np.bincount(of, own, len(texts)).astype(np.int64)]
+        return tuple(out)
 
 
 _LOADED: dict[str, Loaded] = {}
@@ -118,26 +164,25 @@ def shared_cuts(a_ends: np.ndarray, b_ends: np.ndarray, a_texts: np.ndarray) ->
     return np.sort(np.concatenate(done))
 
 
-def align(pairs: list[tuple[list[int], list[int]]], tokens: Loaded) -> dict:
+def align(encoded: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tokens: Loaded) -> dict:
     """Groups and links of some texts: counts per text, the groups as text, and (text, pair code, times) of distinct links."""
-    n_a, n_b = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
-    a, b = (np.fromiter(chain.from_iterable(p[k] for p in pairs), np.int64, int(n.sum())) for k, n in ((0, n_a), (1, n_b)))
+    a, n_a, b, n_b = encoded
     full = np.flatnonzero(n_a)
-    out = {"n_a": n_a, "n_b": n_b, "n_groups": np.zeros(len(pairs), np.int64), "n_links": np.zeros(len(pairs), np.int64), "groups": [b""] * len(pairs)}
+    out = {"n_a": n_a, "n_b": n_b, "n_groups": np.zeros(len(n_a), np.int64), "n_links": np.zeros(len(n_a), np.int64), "groups": [b""] * len(n_a)}
     if not len(full):
         return out | {"text": full, "code": full, "times": full}
     a_ends, b_ends = np.cumsum(tokens.size_a[a]), np.cumsum(tokens.size_b[b])
     a_last = shared_cuts(a_ends, b_ends, np.cumsum(n_a)[full] - 1)
     b_last = np.searchsorted(b_ends, a_ends[a_last])
-    text_of = np.repeat(np.arange(len(pairs)), n_a)
-    out["n_groups"] = np.bincount(text_of[a_last], minlength=len(pairs))
+    text_of = np.repeat(np.arange(len(n_a)), n_a)
+    out["n_groups"] = np.bincount(text_of[a_last], minlength=len(n_a))
     # links: one for each stretch between neighbouring ends
     ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
     ends = ends[np.diff(ends, append=ends[-1] + 1) > 0]
     i, j = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
     width = len(tokens.a) * len(tokens.b)
     key, times = np.unique(text_of[i] * width + a[i] * len(tokens.b) + b[j], return_counts=True)
-    out["n_links"] = np.bincount(text_of[i], minlength=len(pairs))
+    out["n_links"] = np.bincount(text_of[i], minlength=len(n_a))
     # groups as text: the tokens of a group, A before B, each with the mark that follows it
     a_group, b_group = (np.repeat(np.arange(len(x)), np.diff(x, prepend=-1)) for x in (a_last, b_last))
     b_before, a_before = np.concatenate([[0], b_last + 1]), a_last + 1
