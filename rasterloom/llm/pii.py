@@ -252,12 +252,7 @@ def field_spans(text: str, model: Field, taken: list[tuple[str, int, int]]) -> l
     touched = lambda a, b: any(a < y and b > x for x, y in used)
     by_len: dict[int, list] = {}
     for run, before, after in found:
-        if len(run) > 64:                                  # tables of numbers: pieces of 64 tokens, each decoded by itself
-            pieces = [run[i:i + 64] for i in range(0, len(run), 64)]
-        else:
-            pieces = [run]
-        for p in pieces:
-            by_len.setdefault(len(p), []).append((p, token_features([text[a:b] for a, b in p], before, after)))
+        by_len.setdefault(len(run), []).append((run, token_features([text[a:b] for a, b in run], before, after)))
     out = []
     for rows in by_len.values():
         for (run, _), path in zip(rows, model.viterbi(np.array([f for _, f in rows]))):

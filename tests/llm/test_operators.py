@@ -393,3 +393,11 @@ def test_shared_counts():
         sets = [np.unique(rng.integers(0, most, rng.integers(1, most))).astype(np.uint64) for _ in range(n)]
         both = simhash.shared_counts(sets, dense=6, columns=7)
         assert all(both[a, b] == len(set(sets[a].tolist()) & set(sets[b].tolist())) for a in range(n) for b in range(n) if a != b)
+
+
+def test_long_runs_of_numbers():
+    """A phone number is found behind any number of number tokens, since runs are decoded whole."""
+    model = pii.train_field(pii.labelled_lines())
+    for k in [*range(0, 300, 7), 62, 63, 64, 65, 127, 128, 2000]:
+        text = "table " + " ".join(str(10 + i % 80) for i in range(k)) + " (212) 555-0199 now"
+        assert [text[a:b] for kind, a, b in pii.field_spans(text, model, []) if kind == "phone"] == ["(212) 555-0199"], k
