@@ -5,8 +5,8 @@ replaced by new ids (nonterminals), again and again; no pair crosses the end of
 (left, right), the expansion length of each nonterminal, the replaced sequence and the number of symbols and ids of each
 document, so any document can be found by adding up counts and expanded by itself.
 
-A round counts pairs in a hash table of fixed size (one representative pair in each slot, compared exactly), so it is
-linear in the shard and needs no sort. Shards are rows of a Parquet table in the folder that is passed: Spark's commit
+A round counts pairs in a hash table of fixed size first; only pairs in slots that reach the threshold are counted exactly.
+Rounds end when no pair is frequent. Shards are rows of a Parquet table in the folder that is passed: Spark's commit
 protocol makes the write safe against lost executors, and every store that Spark reads will do.
 
 Words repeat, so the tokenizer is asked once for each distinct chunk between white space of a worker's texts (the
@@ -29,7 +29,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SLOT_BITS = 18
+SLOT_BITS = 20
+SLICE_BYTES = 8 << 20
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"          # ASCII marks; the apostrophe starts pieces of its own
 CACHE_WORDS = 400_000
 
 
@@ -43,8 +45,8 @@ def byte_letters() -> list[str]:
 class ChunkEncoder:
     """Ids (little-endian unsigned 32-bit) of whole texts, through two generations of a bounded cache of chunks.
 
-    A chunk of letters up to U+00FF, with or without one full stop or comma behind it, goes to the library's merge model
-    directly: normalising changes nothing but its case, and the split pattern leaves the word and the mark as they are. All other
+    A chunk of letters up to U+00FF, with or without a run of ASCII marks behind it, goes to the library's merge model
+    directly: normalising changes nothing but its case, and the split pattern leaves the word and the run as they are. All other
     chunks are encoded as one text; offsets tell which ids belong to which chunk.
     """
 
@@ -55,7 +57,7 @@ class ChunkEncoder:
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.new, self.old, self.words = {}, {}, {}
         # the short way is taken only if the vocabulary's own normaliser and pattern treat such words as described
-        probe = ["Word", "word.", "ÉTÉ,", "straße", "Ñandú", "x", "ÀÿÖß."]
+        probe = ["Word", "word.", "ÉTÉ,", "straße", "Ñandú", "x", "ÀÿÖß.", "No!!", "été,###", f"a{MARKS}"]
         self.short = all(self.letter_chunk(c) == self.encode(c) for c in probe)
         self.words.clear()
 
@@ -63,10 +65,14 @@ class ChunkEncoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def letter_chunk(self, chunk: str) -> bytes | None:
-        """Ids of a chunk of letters, or None if it is not one."""
-        mark = chunk[-1]
-        core, mark = (chunk[:-1], mark) if mark in ".," else (chunk, "")
-        if not core.isalpha() or max(core) > "ÿ":
+        """Ids of a chunk of letters, with or without marks behind it, or None if it is not one."""
+        core, marks = chunk, ""
+        if not core.isalpha():
+            core = chunk.rstrip(MARKS)
+            marks = chunk[len(core):]
+            if not core.isalpha():
+                return None
+        if not core.isascii() and max(core) > "ÿ":
             return None
         core = core.lower()
         got = self.words.get(core)
@@ -75,7 +81,7 @@ class ChunkEncoder:
                 self.words.clear()
             plain = core if core.isascii() else "".join([self.letters[b] for b in core.encode()])
             got = self.words[core] = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
-        return got + self.letter_mark(mark) if mark else got
+        return got + self.letter_mark(marks) if marks else got
 
     def letter_mark(self, mark: str) -> bytes:
         got = self.words.get(mark)
@@ -149,45 +155,44 @@ def encoder(spec: str) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
-def replace_pairs(ids: np.ndarray, last: np.ndarray, first_new: int, rounds: int = 5, per_round: int = 8192, least: int = 8):
-    """(symbols, last flags, rules, rule lengths). ``last`` marks the last id of each document."""
+def replace_pairs(ids: np.ndarray, last: np.ndarray, first_new: int, least: int = 8):
+    """(symbols, last flags, rules, rule lengths). ``last`` marks the last id of each document.
+
+    Rounds go on until no pair of neighbours occurs ``least`` times. A round replaces every frequent pair wherever it stands, so
+    the next one looks only at places beside the symbols it made.
+    """
     seq, last = ids.astype(np.int64), last.copy()
     rules, lengths = [np.empty((0, 2), np.int64)], np.empty(0, np.int64)
-    slots, made = 1 << SLOT_BITS, 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        a, b = seq[:-1], seq[1:]
-        slot = ((a * 0x9E3779B1 + b) * 0x85EBCA6B >> 7) & (slots - 1)
-        slot[last[:-1]] = slots
-        n = np.bincount(slot, minlength=slots + 1)
-        n[slots] = 0
-        floor = max(least, int(np.partition(n, -per_round)[-per_round]))
-        at = np.flatnonzero((n >= floor)[slot])
-        if not len(at):
+    slots, made, since = 1 << SLOT_BITS, 0, 0
+    while len(seq) > 1:
+        new = seq >= since
+        at = np.flatnonzero((new[:-1] | new[1:]) & ~last[:-1])
+        code = seq[at] << 32 | seq[at + 1]
+        own = (code ^ code >> 29) * 0x9E3779B97F4A7C1 >> 31 & (slots - 1)
+        full = (np.bincount(own, minlength=slots) >= least)[own]
+        at, code = at[full], code[full]
+        chosen, times = np.unique(code, return_counts=True)
+        chosen = chosen[times >= least]
+        if not len(chosen):
             break
-        own, code = slot[at], a[at] << 32 | b[at]
-        chosen = np.full(slots + 1, -1, np.int64)
-        chosen[own] = code
-        same = chosen[own] == code
-        at, own = at[same], own[same]
-        fit = (np.bincount(own, minlength=slots + 1) >= least)[own]
+        own = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
+        fit = chosen[own] == code
         at, own = at[fit], own[fit]
-        if not len(at):
-            break
         # overlapping places: every other one of a run, from the left
         start = np.concatenate([[True], np.diff(at) > 1])
         run = at[start][np.cumsum(start) - 1]
         even = (at - run) % 2 == 0
         at, own = at[even], own[even]
-        used = np.unique(own)
-        pairs = np.stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF], 1)
-        name = np.zeros(slots + 1, np.int64)
+        name = np.zeros(len(chosen), np.int64)
+        name[own] = 1
+        used = np.flatnonzero(name)
         name[used] = first_new + made + np.arange(len(used))
+        pairs = np.stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF], 1)
         known = np.concatenate([lengths, [0]])
         size = lambda s: np.where(s >= first_new, known[np.where(s >= first_new, s - first_new, len(lengths))], 1)
         lengths = np.concatenate([lengths, size(pairs[:, 0]) + size(pairs[:, 1])])
         rules.append(pairs)
+        since = first_new + made
         made += len(used)
         seq[at] = name[own]
         last[at] = last[at + 1]
@@ -236,8 +241,12 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, i
         ids, flat, counts = [], [], []
         enc = encoder(spec.value)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                piece = b.slice(at, 500)
+            done = np.cumsum(pc.binary_length(b.column(1)).fill_null(0).to_numpy(), dtype=np.int64)
+            at = 0
+            while at < b.num_rows:
+                # whole texts up to SLICE_BYTES, one at least
+                end = max(at + 1, int(np.searchsorted(done, SLICE_BYTES + (done[at - 1] if at else 0), "right")))
+                piece, at = b.slice(at, end - at), end
                 own, n = enc.texts(piece.column(1), end_id)
                 ids += piece.column(0).to_pylist()
                 flat.append(own)

@@ -2,6 +2,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -220,6 +221,34 @@ def test_grammar_round_trip():
         assert size < 100 or len(symbols) < 0.8 * size
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 500, 300)
+    for least, ids in ((8, np.tile(passage, 40)), (2, rng.integers(0, 9, 4000)), (3, np.zeros(1000, np.int64)), (8, rng.integers(0, 40, 30000))):
+        last = np.zeros(len(ids), bool)
+        last[299::300] = True
+        symbols, ends, rules, lengths = repair.replace_pairs(ids, last, 1000, least=least)
+        assert (repair.expand(symbols, rules, 1000) == ids).all()
+        pairs = Counter((a, b) for a, b, end in zip(symbols.tolist(), symbols[1:].tolist(), ends.tolist()) if not end)
+        assert max(pairs.values(), default=0) < least
+        if least == 8 and len(ids) == 12000:
+            assert lengths.max() == 300 and len(symbols) == 40
+
+
+def test_token_chunks_equal_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    library, own, rng = Tokenizer.from_str(spec), repair.ChunkEncoder(spec), random.Random(11)
+    assert own.short
+    parts = ["abc", "ÉT", "ß", "Ω", "1", "42", "'s", "'", "!", "!!", ",###", "$$$", "_", "-", "<|", "|>", "endoftext", "<|endoftext|>", "\u0301", "…", "İ", "ª"]
+    texts = [" ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(rng.randint(0, 12))) for _ in range(1500)] + [None, "", " \n "]
+    ids, sizes = own.texts(pa.array(texts, pa.string()), 2)
+    want = [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 # --- toxicity ----------------------------------------------------------------------------------------------------------
 def test_toxicity_held_out(spark, empty):
     rng = random.Random(5)
