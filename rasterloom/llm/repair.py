@@ -66,22 +66,21 @@ class ChunkEncoder:
 
     def letter_chunk(self, chunk: str) -> bytes | None:
         """Ids of a chunk of letters, with or without marks behind it, or None if it is not one."""
-        core, marks = chunk, ""
-        if not core.isalpha():
-            core = chunk.rstrip(MARKS)
-            marks = chunk[len(core):]
-            if not core.isalpha():
-                return None
-        if not core.isascii() and max(core) > "ÿ":
+        core = chunk if chunk.isalpha() else chunk.rstrip(MARKS)
+        if not core.isalpha() or not core.isascii() and max(core) > "ÿ":
             return None
-        core = core.lower()
-        got = self.words.get(core)
+        low = core.lower()
+        got = self.words.get(low)
         if got is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            plain = core if core.isascii() else "".join([self.letters[b] for b in core.encode()])
-            got = self.words[core] = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
-        return got + self.letter_mark(marks) if marks else got
+            got = self.word(low)
+        return got if len(core) == len(chunk) else got + self.letter_mark(chunk[len(core):])
+
+    def word(self, word: str) -> bytes:
+        if len(self.words) >= CACHE_WORDS:
+            self.words.clear()
+        plain = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        got = self.words[word] = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+        return got
 
     def letter_mark(self, mark: str) -> bytes:
         got = self.words.get(mark)
@@ -135,11 +134,13 @@ class ChunkEncoder:
             pieces.insert(i, b"")
         pieces.append(np.array([end_id], "<u4").tobytes())
         # one entry for each chunk and one for the end of each text
-        order = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], len(distinct))
-        flat, sizes = np.frombuffer(b"".join(pieces), "<u4"), np.array([len(p) // 4 for p in pieces])
+        order = np.insert(coded.indices.to_numpy(), bounds[1:], len(distinct))
+        flat, sizes = np.frombuffer(b"".join(pieces), "<u4"), np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         starts, own = np.cumsum(sizes) - sizes, sizes[order]
         ends = np.cumsum(own)
-        ids = flat[np.repeat(starts[order] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+        total = int(ends[-1]) if len(ends) else 0
+        small = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        ids = flat[np.repeat((starts[order] - (ends - own)).astype(small), own) + np.arange(total, dtype=small)]
         last = ends[bounds[1:] + np.arange(len(column))] if len(column) else np.empty(0, np.int64)
         return ids, np.diff(np.concatenate([[0], last]))
 
@@ -202,18 +203,35 @@ def replace_pairs(ids: np.ndarray, last: np.ndarray, first_new: int, least: int
     return seq, last, np.concatenate(rules), lengths
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first_new: int) -> np.ndarray:
-    """The ids of a sequence of symbols; works on any slice of a shard."""
-    seq = symbols.astype(np.int64)
+def descend(symbols: np.ndarray, rules: np.ndarray, first_new: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, place of the symbol that each id comes from), replacing symbols level by level."""
+    seq, owner = symbols.astype(np.int64), np.arange(len(symbols))
     while True:
         rule = seq >= first_new
         if not rule.any():
-            return seq
-        at = np.cumsum(np.concatenate([[0], 1 + rule[:-1]]))
-        out = np.empty(len(seq) + int(rule.sum()), np.int64)
-        out[at] = np.where(rule, rules[np.where(rule, seq - first_new, 0), 0] if len(rules) else seq, seq)
-        out[at[rule] + 1] = rules[seq[rule] - first_new, 1]
-        seq = out
+            return seq, owner
+        at = np.cumsum(np.concatenate([[0], 1 + rule[:-1]]))[rule]
+        own = rules[seq[rule] - first_new]
+        owner, seq = np.repeat(owner, 1 + rule), np.repeat(seq, 1 + rule)
+        seq[at], seq[at + 1] = own[:, 0], own[:, 1]
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, first_new: int) -> np.ndarray:
+    """The ids of a sequence of symbols; works on any slice of a shard. In long ones rules are expanded once and looked up."""
+    seq = symbols.astype(np.int64)
+    if len(seq) < 4 * len(rules):
+        return descend(seq, rules, first_new)[0]
+    rule = seq >= first_new
+    if not rule.any():
+        return seq
+    table, owner = descend(rules.ravel(), rules, first_new)
+    sizes = np.bincount(owner // 2, minlength=len(rules))
+    named = seq[rule] - first_new
+    own, start = np.ones(len(seq), np.int64), np.arange(len(table), len(table) + len(seq))
+    own[rule], start[rule] = sizes[named], (np.cumsum(sizes) - sizes)[named]
+    flat = np.concatenate([table, np.where(rule, 0, seq)])
+    ends = np.cumsum(own)
+    return flat[np.repeat(start - (ends - own), own) + np.arange(ends[-1])]
 
 
 def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
