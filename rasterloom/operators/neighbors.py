@@ -1,8 +1,9 @@
 """Exact cosine neighbours by blocks.
 
-Queries and gallery are hashed into blocks of bounded size; every block pair is one matrix product
-inside one task, which returns at most k rows per query (or one count), never the pairs. Nothing
-is collected on the driver and no side needs to fit into one executor.
+Queries and gallery are cut into blocks of bounded size; a block pair is one matrix product
+inside one task, which returns at most k rows per query (or one count), never the pairs. No side needs
+to fit into one executor. A gallery of several blocks is cut into balls around pivots: a query meets its own
+ball first, then only the balls whose bound q.p + |q| radius reaches its k-th similarity so far.
 """
 from __future__ import annotations
 
@@ -16,6 +17,8 @@ from ..session import cut_lineage
 
 ROWS_PER_BLOCK = 4096
 WIDE = 4                # gallery blocks per query block in the chunked top-k product
+PIVOTS = 1024           # balls at most; larger balls are cut into parts, so only this many vectors reach the driver
+BOUND_SLACK = 1e-7      # above the rounding of similarities and of the bounds
 SIM_DIGITS = 9          # similarities are rounded before ranking, so copies tie exactly
 
 
@@ -58,6 +61,7 @@ def nearest(q: DataFrame, g: DataFrame, k: int, key: str = "vec_id", vec: str =
             part = a.iloc[s:s + 512]
             qid = part["id"].to_numpy()
             sim = np.round(np.stack(part["v"].to_numpy()) @ gv.T, digits)
+            sim[~np.isfinite(sim)] = -np.inf
             if exclude_self:
                 sim[qid[:, None] == gid[None, :]] = -np.inf
             kk = min(k, sim.shape[1])
@@ -72,10 +76,95 @@ def nearest(q: DataFrame, g: DataFrame, k: int, key: str = "vec_id", vec: str =
                                        "g_label": b["label"].to_numpy()[c], "sim": sim[r, c]}))
         return pd.concat(parts)
 
-    pairs = block_pairs(_side(q, key, vec, label, normalize), _side(g, key, vec, label, normalize), "id", fn,
-                        "q_id bigint, q_label int, g_id bigint, g_label int, sim double", rows_per_block, wide=WIDE)
+    schema = "q_id bigint, q_label int, g_id bigint, g_label int, sim double"
     w = Window.partitionBy("q_id").orderBy(F.desc("sim"), "g_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    qs, gs = _side(q, key, vec, label, normalize), _side(g, key, vec, label, normalize)
+    n_g = gs.count()
+    n_balls = min(PIVOTS, math.ceil(n_g / (rows_per_block * WIDE)))
+    if n_balls < 2:
+        return best(block_pairs(qs, gs, "id", fn, schema, rows_per_block, n_g=n_g, wide=WIDE))
+    balls = Balls(qs, gs, n_balls, rows_per_block)
+    first = cut_lineage(best(balls.products(balls.own(), fn, schema)).drop("rank"))
+    edges = first.groupBy(F.col("q_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("sim")).alias("edge"))
+    return best(first.unionByName(balls.products(balls.open(edges), fn, schema)))
+
+
+class Balls:
+    """Queries and gallery by nearest pivot, cut into parts of bounded size.
+
+    Pivots are gallery rows in hash order. A ball of many copies has several parts; every part is a block of its own.
+    """
+
+    def __init__(self, queries: DataFrame, gallery: DataFrame, n: int, rows_per_block: int):
+        import numpy as np
+        spark = gallery.sparkSession
+        rows = gallery.orderBy(F.xxhash64("id"), "id").limit(n).select("v").collect()
+        self.pivots = pivots = spark.sparkContext.broadcast(np.array([r["v"] for r in rows], float))
+
+        def place(batches):
+            for b in batches:
+                v = np.stack(b["v"].to_numpy()) if len(b) else np.empty((0, pivots.value.shape[1]))
+                p = pivots.value
+                far = (p * p).sum(axis=1)[None, :] - 2 * (v @ p.T)
+                ball = far.argmin(axis=1)
+                yield b.assign(ball=ball.astype("int32"), gap=np.linalg.norm(v - p[ball], axis=1))
+
+        schema = "id bigint, v array<double>, label int, ball int, gap double"
+        g = cut_lineage(gallery.mapInPandas(place, schema))
+        q = cut_lineage(queries.mapInPandas(place, schema))
+        facts = g.groupBy("ball").agg(F.ceil(F.count("*") / (rows_per_block * WIDE)).cast("int").alias("g_parts"),
+                                      F.max(F.when(~F.isnan("gap"), F.col("gap"))).alias("radius")).collect()       # one row a ball
+        self.radii = {r["ball"]: r["radius"] or 0.0 for r in facts}
+        self.parts = spark.createDataFrame([(r["ball"], r["g_parts"]) for r in facts], "g_ball int, g_parts int")
+        q_parts = q.groupBy("ball").agg(F.ceil(F.count("*") / rows_per_block).cast("int").alias("q_parts")).collect()
+        q_parts = spark.createDataFrame([(r["ball"], r["q_parts"]) for r in q_parts], "ball int, q_parts int")
+        part = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+        # at most PIVOTS rows each
+        self.queries = (q.join(F.broadcast(q_parts), "ball")
+                        .select("id", "v", "label", F.col("ball").alias("q_ball"), part(1, "q_parts").alias("q_part")))
+        self.gallery = (g.withColumnRenamed("ball", "g_ball").join(F.broadcast(self.parts), "g_ball")
+                        .select("id", "v", "label", "g_ball", part(2, "g_parts").alias("g_part")))
+
+    def own(self) -> DataFrame:
+        """(id, q_ball, q_part, g_ball): each query with its own ball."""
+        return self.queries.select("id", "q_ball", "q_part", F.col("q_ball").alias("g_ball"))
+
+    def open(self, edges: DataFrame) -> DataFrame:
+        """The other balls that can hold a row as similar as ``edge`` (null: all)."""
+        pivots, radii = self.pivots, self.radii
+
+        def reach(batches):
+            import numpy as np
+            import pandas as pd
+            ball = np.array(sorted(radii), "int32")
+            radius = np.array([radii[x] for x in ball])
+            for b in batches:
+                if not len(b):
+                    continue
+                v = np.stack(b["v"].to_numpy())
+                bound = v @ pivots.value[ball].T + np.linalg.norm(v, axis=1)[:, None] * radius[None, :] + BOUND_SLACK
+                edge = b["edge"].fillna(-np.inf).to_numpy(float)
+                r, c = np.nonzero((bound >= edge[:, None]) & (ball[None, :] != b["q_ball"].to_numpy()[:, None]))
+                yield pd.DataFrame({"id": b["id"].to_numpy()[r], "q_ball": b["q_ball"].to_numpy()[r], "q_part": b["q_part"].to_numpy()[r], "g_ball": ball[c]})
+
+        known = self.queries.join(edges, "id", "left").select("id", "v", "q_ball", "q_part", "edge")
+        return cut_lineage(known.mapInPandas(reach, "id bigint, q_ball int, q_part int, g_ball int"))
+
+    def block_pairs(self, links: DataFrame) -> DataFrame:
+        """Distinct (q_ball, q_part, g_ball, g_part) that must be multiplied."""
+        return (links.select("q_ball", "q_part", "g_ball").distinct().join(F.broadcast(self.parts), "g_ball")
+                .select("q_ball", "q_part", "g_ball", F.explode(F.sequence(F.lit(0), F.col("g_parts") - 1)).alias("g_part")))
+
+    def products(self, links: DataFrame, fn: Callable, schema: str) -> DataFrame:
+        key = ["q_ball", "q_part", "g_ball", "g_part"]
+        left = (links.distinct().join(self.queries, ["id", "q_ball", "q_part"]).join(F.broadcast(self.parts), "g_ball")
+                .withColumn("g_part", F.explode(F.sequence(F.lit(0), F.col("g_parts") - 1))).select("id", "v", "label", *key))
+        right = self.gallery.join(self.block_pairs(links), ["g_ball", "g_part"]).select("id", "v", "label", *key).toDF("id", "v", "label", *key)  # fresh attributes
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(fn, schema)
 
 
 def knn_vote(top: DataFrame, temperature: float = 0.07) -> DataFrame:

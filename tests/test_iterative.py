@@ -136,6 +136,41 @@ def test_nearest_matches_brute_force(cloud, block):
         assert [got[i][k] for k in range(1, 8)] == want
 
 
+def test_nearest_skips_most_blocks_of_clustered_data(spark):
+    rng = np.random.default_rng(3)
+    v = np.repeat(unit(rng, 12, 24), 100, axis=0) + rng.normal(scale=0.01, size=(1200, 24))
+    v = np.concatenate([v, np.repeat(v[:1], 300, axis=0)])                 # one ball of copies is cut into parts
+    unscaled = v * rng.uniform(0.5, 2, size=(len(v), 1))
+    df = spark.createDataFrame([(i, [float(x) for x in r], 0) for i, r in enumerate(unscaled)], "vec_id long, embedding array<double>, label int").repartition(4)
+    for normalize in (True, False):
+        w = unscaled / np.linalg.norm(unscaled, axis=1, keepdims=True) if normalize else unscaled
+        sim = np.round(w @ w.T, 9)
+        np.fill_diagonal(sim, -9)
+        got = {}
+        for r in N.nearest(df, df, 5, exclude_self=True, normalize=normalize, rows_per_block=32).collect():
+            got.setdefault(r["q_id"], {})[r["rank"]] = r["sim"]
+        want = -np.sort(-sim, axis=1)[:, :5]
+        assert np.allclose([[got[i][k] for k in range(1, 6)] for i in range(len(v))], want, atol=2e-9)
+    side = N._side(df, "vec_id", "embedding", "label", True)
+    balls = N.Balls(side, side, 38, 10)
+    every = balls.queries.select("q_ball", "q_part").distinct().count() * balls.gallery.select("g_ball", "g_part").distinct().count()
+    w = v / np.linalg.norm(v, axis=1, keepdims=True)
+    edges = spark.createDataFrame([(i, float(x)) for i, x in enumerate(-np.sort(-np.round(w @ w.T, 9), axis=1)[:, 5])], "id long, edge double")
+    done = balls.block_pairs(balls.own()).count() + balls.block_pairs(balls.open(edges)).count()
+    assert done < 0.4 * every           # 12 % hold a neighbour of the same cluster
+
+
+def test_nearest_with_few_or_odd_rows(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    some = spark.createDataFrame([(i, [float(i % 7), 1.0], None if i % 3 else 1) for i in range(60)] + [(99, [float("nan"), 1.0], 1)], schema)
+    none = some.filter("vec_id < 0")
+    for block in (2, 5000):
+        assert N.nearest(none, some, 3, rows_per_block=block).count() == 0 and N.nearest(some, none, 3, rows_per_block=block).count() == 0
+        got = N.nearest(some, some, 100, rows_per_block=block)             # fewer rows than asked for: all that are comparable
+        assert got.groupBy("q_id").count().filter("count <> 60").count() == 0 and got.select("q_id").distinct().count() == 60
+        assert got.filter("q_id = 99 OR g_id = 99").count() == 0
+
+
 def brute_dbscan(v, eps, m):
     near = np.round(v @ v.T, 9) >= 1 - eps - 1e-12
     core = near.sum(axis=1) >= m
