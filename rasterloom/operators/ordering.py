@@ -135,23 +135,101 @@ def carry_forward(df: DataFrame, value: str, by: Sequence[str], pos: str, name:
     return same_keys(local, carry, [*by, "_slice"]).withColumn(name, filled).drop("_slice", "_last", "_carry")
 
 
+HISTOGRAM_BUCKETS = 2048
+BROADCAST_GROUPS, BROADCAST_KEY_BYTES = 50_000, 16_000_000      # of a table with a row per large group
+
+
 def percentiles(df: DataFrame, by: Sequence[str], value: str, ps: Mapping[str, float],
                 rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per group, one column per entry of ``ps``.
+    """Exact percentiles with linear interpolation, one row per group, one column per entry of ``ps``; NULLs take no part, NaN is largest.
 
-    Equal values are counted first, so only distinct values are sorted, slice by slice.
+    A selection, not a sort. One pass counts the groups. Where none exceeds ``rows_per_slice`` each is one sorted array. Otherwise
+    histograms narrow the wanted ranks down: a pass counts equal-width buckets of every interval that holds one (only bucket counts
+    are shuffled), and the buckets that hold ranks are the next intervals, until each holds one value or at most ``rows_per_slice``
+    rows, which are sorted. The input is read again in every pass and never written.
     """
     by = list(by)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    sized = running(counted, [value], by, rank=None, sums={"_cum": "_c"}, totals={"_n": "_c"}, rows_per_slice=rows_per_slice)
-    aggs = []
+    vals = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    finite = F.when(F.abs("_v") < float("inf"), F.col("_v"))
+    facts = cut_lineage(vals.groupBy(*by).agg(F.count("*").alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi")))
+    if (facts.agg(F.max("_n")).first()[0] or 0) <= rows_per_slice:
+        listed = vals.groupBy(*by).agg(F.sort_array(F.collect_list("_v")).alias("_a"))
+        return listed.withColumn("_n", F.size("_a")).select(*by, *_interpolated(ps, lambda k: F.get("_a", k.cast("int"))))
+    found = _select_ranks(vals, facts, by, list(ps.values()), rows_per_slice)
+    packed = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_x"))).alias("_m"))
+    both = same_keys(facts, packed, by) if by else with_one(facts, packed)
+    return both.select(*by, *_interpolated(ps, lambda k: F.try_element_at("_m", k)))
+
+
+def _interpolated(ps: Mapping[str, float], nth) -> list[Column]:
+    """Percentile columns from ``nth(k)``, the k-th smallest of ``_n`` values."""
+    out = []
     for name, p in ps.items():
         at = F.lit(float(p)) * (F.col("_n") - 1)
-        inside = [(k >= F.col("_cum") - F.col("_c")) & (k < F.col("_cum")) for k in (F.floor(at), F.ceil(at))]
-        lo, hi = (F.max(F.when(c, F.col(value).cast("double"))) for c in inside)
-        part = F.max(at - F.floor(at))
-        aggs.append((lo + (hi - lo) * part).alias(name))
-    return sized.groupBy(*by).agg(*aggs)
+        lo, hi = nth(F.floor(at)), nth(F.ceil(at))
+        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+    return out
+
+
+def _with_groups(vals: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with the columns of their group; the group table is broadcast only if it is counted to be short."""
+    if not by:
+        return with_one(vals, groups)
+    size = groups.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*by)))).alias("bytes")).first()
+    small = size["n"] <= BROADCAST_GROUPS and (size["bytes"] or 0) <= BROADCAST_KEY_BYTES
+    return same_keys(vals, F.broadcast(groups) if small else groups, by)
+
+
+def _select_ranks(vals: DataFrame, facts: DataFrame, by: list[str], ps: Sequence[float], limit: int) -> DataFrame:
+    """(by, _k, _x): the 0-based ranks next to every percentile and the values there."""
+    at = [F.lit(float(p)) * (F.col("_n") - 1) for p in ps]
+    wanted = facts.select(*by, F.array_distinct(F.array(*[f(a) for a in at for f in (F.floor, F.ceil)])).alias("_ks"))
+    # an interval: its finite bounds (whole = every value of the group), the rows below it and the rows in it
+    spans = facts.select(*by, F.lit(True).alias("whole"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.lit(0).cast("bigint").alias("base"), F.col("_n").alias("n"))
+    span = F.struct("whole", "lo", "hi", "base", "n")
+    ready, solved = [spans.filter(F.col("n") <= limit)], []
+    spans, first = spans.filter(F.col("n") > limit), True
+
+    def inside(table, first=False):
+        if first:
+            return _with_groups(vals, table.select(*by, span.alias("s")), by)
+        packed = table.groupBy(*by).agg(F.collect_list(span).alias("_spans"))
+        # a generator is evaluated once a row, and rows outside all intervals end here
+        hit = F.filter("_spans", lambda s: s["whole"] | F.col("_v").between(s["lo"], s["hi"]))
+        return _with_groups(vals, packed, by).select(*by, "_v", F.explode(hit).alias("s"))
+
+    while True:
+        lo, hi, top = F.col("s.lo"), F.col("s.hi"), HISTOGRAM_BUCKETS - 1
+        step = F.floor(F.coalesce(F.try_divide(F.col("_v") / 2 - lo / 2, hi / 2 - lo / 2), F.lit(0.0)) * HISTOGRAM_BUCKETS)
+        slot = (F.when(F.isnan("_v"), top + 2).when(F.col("_v") == float("inf"), top + 1).when(F.col("_v") == float("-inf"), -1)
+                 .otherwise(F.least(F.greatest(step, F.lit(0)), F.lit(top))))
+        counted = inside(spans, first).groupBy(*by, "s", slot.cast("int").alias("slot")).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        earlier = Window.partitionBy(*by, "s").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+        counted = counted.withColumn("base", F.col("s.base") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        counted = same_keys(counted, wanted, by) if by else with_one(counted, wanted)
+        held = F.filter("_ks", lambda k: (k >= F.col("base")) & (k < F.col("base") + F.col("n")))
+        counted = cut_lineage(counted.withColumn("_ks", held).filter(F.size("_ks") > 0))
+        one = F.col("lo") == F.col("hi")
+        solved.append(counted.filter(one).select(*by, F.explode("_ks").alias("_k"), F.col("lo").alias("_x")))
+        # bounds that rounding cannot part any more are sorted as well
+        stuck = (F.col("n") <= limit) | (F.col("n") == F.col("s.n")) & (F.col("lo") == lo) & (F.col("hi") == hi)
+        nxt = counted.filter(~one).select(*by, F.lit(False).alias("whole"), "lo", "hi", "base", "n", stuck.alias("stuck"))
+        ready.append(nxt.filter("stuck").drop("stuck"))
+        spans, first = nxt.filter("NOT stuck").drop("stuck"), False
+        if not spans.take(1):
+            break
+    rest = ready[0]
+    for part in ready[1:]:
+        rest = rest.unionByName(part)
+    if rest.take(1):
+        listed = inside(rest).groupBy(*by, "s").agg(F.sort_array(F.collect_list("_v")).alias("_a"))
+        listed = same_keys(listed, wanted, by) if by else with_one(listed, wanted)
+        held = F.filter("_ks", lambda k: (k >= F.col("s.base")) & (k < F.col("s.base") + F.size("_a")))
+        solved.append(listed.select(*by, "s", "_a", F.explode(held).alias("_k")).select(*by, "_k", F.get("_a", (F.col("_k") - F.col("s.base")).cast("int")).alias("_x")))
+    out = solved[0]
+    for part in solved[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def nth_smallest(df: DataFrame, value: str, tie: Sequence[str], n: int, by: Sequence[str] = ()) -> DataFrame:

@@ -62,6 +62,29 @@ def test_percentiles(df, rows, size):
         assert np.allclose([got[g]["a"], got[g]["b"], got[g]["c"]], want)
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+@pytest.mark.parametrize("size", [40, 10_000])
+def test_percentiles_of_odd_values(spark, by, size):
+    rng = np.random.default_rng(6)
+    groups = {"wide": [float(v) for v in np.exp(rng.normal(scale=60, size=300))], "huge": [1.7e308, -1.7e308, 1e308, 0.0, 5e-324, 1e-323] * 3,
+              None: [float(v) for v in rng.normal(size=200)] + [3.0] * 150, "ends": [float("inf"), float("-inf"), 2.0, 1.0, float("nan"), 0.5] * 4}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("wide", None)] * 5
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    ps = {"lo": 0.0, "a": 0.25, "b": 0.5, "hi": 1.0}
+    got = {r["g"] if by else "all": r for r in O.percentiles(df, by, "v", ps, rows_per_slice=size).collect()}
+    for g, vs in groups.items() if by else [("all", [v for _, v in rows if v is not None])]:
+        vs = sorted(vs, key=lambda v: (np.isnan(v), v))
+        for name, p in ps.items():
+            at = p * (len(vs) - 1)
+            lo, hi = vs[int(np.floor(at))], vs[int(np.ceil(at))]
+            with np.errstate(invalid="ignore", over="ignore"):
+                want = np.float64(lo) + (np.float64(hi) - lo) * (at - np.floor(at))
+            assert np.array_equal([got[g][name]], [want], equal_nan=True), (g, name)
+    assert len(got) == (len(groups) if by else 1)
+    nothing = O.percentiles(df.filter("false"), by, "v", ps, rows_per_slice=size).collect()
+    assert nothing == [] if by else nothing[0]["b"] is None
+
+
 def test_nth_smallest(df, rows):
     values = sorted(r[2] for r in rows)
     assert O.nth_smallest(df, "v", ["id"], 17).first()["nth"] == values[17]
