@@ -8,8 +8,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .joins import neighbour_diff
 from .ordering import drawn, hash_order
+from .stencil import BLOCK, differing, dilated, over_blocks
 
 S = "sample_id"
 
@@ -198,12 +198,28 @@ EDGE_NEIGHBOURS = ((-1, 0), (0, 1), (1, 1), (1, -1))
 
 
 def edge_map(df: DataFrame, label: str, width: int = 3, ignore: int = 255) -> DataFrame:
-    """Boundary pixels (sample_id, y, x) after dilation by a width x width square."""
-    marks = neighbour_diff(df, S, label, EDGE_NEIGHBOURS, ignore, carry=["h", "w"]).select(S, "h", "w", "y", "x").distinct()
+    """Boundary pixels (sample_id, y, x) after dilation by a width x width square, in one shuffle by blocks of pixels."""
     lo, hi = width // 2 - (width - 1), width // 2
-    grown = (marks.withColumn("y", F.explode(F.sequence(F.greatest(F.col("y") + lo, F.lit(0)), F.least(F.col("y") + hi, F.col("h") - 1))))
-             .withColumn("x", F.explode(F.sequence(F.greatest(F.col("x") + lo, F.lit(0)), F.least(F.col("x") + hi, F.col("w") - 1)))))
-    return grown.select(S, "y", "x").distinct()
+    slim = df.select(S, "y", "x", "h", "w", F.col(label).alias("v")).filter(F.col("v") != ignore)
+    types = dict(slim.dtypes)
+
+    def grow(table):
+        import numpy as np
+        import pyarrow as pa
+        b, y, x = (table.column(c).to_numpy().astype(np.int64) for c in ("_block", "y", "x"))
+        first = np.searchsorted(b, np.arange(b[-1] + 1))                    # a row of each block: its sample, size and position
+        at = np.unique(differing(table, "v", EDGE_NEIGHBOURS, None)[0])
+        gb, gy, gx = dilated(b[at], y[at], x[at], lo, hi)
+        h, w, yb, xb = (table.column(c).to_numpy()[first][gb] for c in ("h", "w", "_yb", "_xb"))
+        mine = (gy >= 0) & (gx >= 0) & (gy < h) & (gx < w) & (gy // BLOCK == yb) & (gx // BLOCK == xb)
+        out = table.select([S]).take(pa.array(first[gb[mine]]))
+        for name, pos in (("y", gy), ("x", gx)):
+            out = out.append_column(name, pa.array(pos[mine]).cast(table.schema.field(name).type))
+        return out
+
+    # a mark reaches lo..hi, and whether a pixel is marked depends on one pixel more
+    reach = (-hi - 1, -lo + 1)
+    return over_blocks(slim, S, reach, reach, grow, f"{S} {types[S]}, y {types['y']}, x {types['x']}", from_zero=True)
 
 
 # --- volumes: the same with a z axis of size d ----------------------------------------------------

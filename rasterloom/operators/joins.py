@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import token_index
 from .ordering import percentiles, with_one
+from .stencil import BLOCK, differing, over_blocks
 
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000      # of a dimension table
 
@@ -48,19 +49,31 @@ def unknown_classes(train: DataFrame, other: DataFrame, label: str) -> DataFrame
 
 def neighbour_diff(pixels: DataFrame, sample: str, value: str, offsets: Sequence[tuple[int, int]] = ((1, 0), (0, 1)),
                    ignore: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
-    """Pixel pairs (pixel, neighbour at dy, dx) with different values, by a shifted equi-join.
+    """Pixel pairs (pixel, neighbour at dy, dx) with different values, in one shuffle by blocks of pixels.
 
-    ``carry`` columns of the pixel stay in the result.
+    ``carry`` columns of the pixel stay in the result. NULL values differ from nothing; repeated positions pair with each other's copies.
     """
-    shift = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets]))
+    slim = pixels.select(sample, "y", "x", *carry, F.col(value).alias("v")).filter("v IS NOT NULL")
     if ignore is not None:
-        pixels = pixels.filter(F.col(value) != ignore)
-    base = pixels.select(sample, "y", "x", F.col(value).alias("v"))
-    moved = pixels.select(sample, "y", "x", *carry, F.col(value).alias("v"), shift.alias("o")).select(
-        sample, *carry, F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("v").alias("v0"), "o.dy", "o.dx",
-        (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    both = moved.join(base, [sample, "y", "x"])
-    return both.filter(F.col("v0") != F.col("v")).select(sample, *carry, F.col("y0").alias("y"), F.col("x0").alias("x"), "dy", "dx", "v0", "v")
+        slim = slim.filter(F.col("v") != ignore)
+    types = dict(slim.dtypes)
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in (sample, *carry, "y", "x")], "dy int", "dx int", f"v0 {types['v']}", f"v {types['v']}"])
+    offsets = list(offsets)
+
+    def pairs(table):
+        import numpy as np
+        import pyarrow as pa
+        at, other, which = differing(table, "v", offsets, BLOCK)
+        mine = table.select([sample, *carry, "y", "x"]).take(pa.array(at))
+        step = np.asarray(offsets, dtype=np.int32)[which].reshape(-1, 2)
+        values = table.column("v").combine_chunks()
+        new = {"dy": pa.array(step[:, 0]), "dx": pa.array(step[:, 1]), "v0": values.take(pa.array(at)), "v": values.take(pa.array(other))}
+        for name, col in new.items():
+            mine = mine.append_column(name, col)
+        return mine
+
+    reach = [(min(o[i] for o in offsets), max(o[i] for o in offsets)) for i in (0, 1)]
+    return over_blocks(slim, sample, *reach, pairs, schema)
 
 
 def pair_dates(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
