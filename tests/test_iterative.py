@@ -243,6 +243,29 @@ def test_perfect_clusters(cloud):
     assert C.purity(t).first()["purity"] == 1 and C.hungarian_accuracy(t).first()["hungarian_accuracy"] == 1
 
 
+def test_kmeans_restarts_advance_alone(spark, cloud):
+    rows = cloud[1].filter("vec_id < 120").select("vec_id", "embedding")
+    single = [C.kmeans(rows, 4, n_init=1, seed=7 + i)[1] for i in range(3)]
+    together = C.kmeans(rows, 4, n_init=3, seed=7)
+    assert np.isclose(together[1], min(single), rtol=1e-9)
+    v = np.array([r["embedding"] for r in together[0].collect()])
+    c = np.array([r["cluster"] for r in together[0].collect()])
+    # a fixed point: every row is nearest to the mean of its own cluster, and the cost is the sum of these distances
+    means = np.stack([v[c == i].mean(axis=0) for i in range(4)])
+    far = ((v[:, None] - means) ** 2).sum(axis=2)
+    assert (far.argmin(axis=1) == c).all() and np.isclose(far.min(axis=1).sum(), together[1])
+
+
+def test_kmeans_of_odd_rows(spark):
+    rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [3.0, 4.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out, cost = C.kmeans(d, 3, n_init=2)
+    got = {r["vec_id"]: r["cluster"] for r in out.collect()}
+    assert cost == 0.0 and got[1] == got[2] != got[5] and got[3] is None and got[4] is None
+    out, cost = C.kmeans(d.filter("false"), 3, n_init=2)
+    assert cost == 0.0 and out.columns == ["vec_id", "embedding", "cluster"] and out.count() == 0
+
+
 def test_kmeans_finds_the_centres(cloud):
     rows, cost = C.kmeans(cloud[1].filter("vec_id < 120"), 4, n_init=3)
     assert C.purity(C.contingency(rows.withColumn("truth", F.col("vec_id") % 4), "truth", "cluster")).first()["purity"] > 0.9
