@@ -206,6 +206,26 @@ def _(t):
     return check(out, "label", "raster_id")
 
 
+@query("m10_infer_with_rejects", f"""WITH {STRICT}, p AS (SELECT *, unnest(range(crop_x, crop_x+crop_w)) x FROM (SELECT *, unnest(range(crop_y, crop_y+crop_h)) y FROM tl)),
+m AS (SELECT raster_id, y+y0 yy, x+x0 xx, arg_max((tile_no+y+x)%5, tile_no) l FROM p GROUP BY ALL), c AS (SELECT raster_id, COUNT(*) n, SUM(l*(yy*37+xx*11+1)) s FROM m GROUP BY raster_id)
+SELECT raster_id, CASE WHEN width<28 OR height<28 THEN 'rejected' ELSE 'accepted' END kind, CASE WHEN width<28 OR height<28 THEN 'too_small' END reject, COALESCE(n, 0) n, CAST(COALESCE(s, 0) AS BIGINT) checksum
+FROM rs LEFT JOIN c USING (raster_id)""")
+def _(t):
+    make = _pixel_model(1, lambda n, y, x: {"label": (n + y + x) % 5})
+    out = P.with_rejects(rs(t), lambda ok: P.infer_raster(ok, make, "raster_id bigint, tile_no int, y int, x int, label int", 28, 20), window=28)
+    sums = [F.count("y").alias("n"), F.coalesce(F.sum(F.col("label") * (F.col("y") * 37 + F.col("x") * 11 + 1)), F.lit(0)).cast("bigint").alias("checksum")]
+    return out.groupBy("raster_id", "kind", "reject").agg(*sums)
+
+
+@query("m9_extract_with_rejects", """WITH rs AS (SELECT p_partkey AS raster_id, 30 + p_size AS width, 25 + p_partkey % 50 AS height FROM part)
+SELECT raster_id, CASE WHEN width%4<>0 OR height%4<>0 THEN 'rejected' ELSE 'accepted' END kind, CASE WHEN width%4<>0 OR height%4<>0 THEN 'indivisible' END reject,
+CAST(CASE WHEN width%4<>0 OR height%4<>0 THEN 0 ELSE (width//4)*(height//4) END AS BIGINT) n FROM rs""")
+def _(t):
+    make = _pixel_model(4, lambda n, y, x: {"class_id": 0, "value": n * 10.0 + y + x})
+    out = P.with_rejects(rs(t), lambda ok: P.extract_tiled(ok, make, "raster_id bigint, tile_no int, y int, x int, class_id int, value double", 32, 0.25, 4), stride=4)
+    return out.groupBy("raster_id", "kind", "reject").agg(F.count("y").alias("n"))
+
+
 # --- geometry ------------------------------------------------------------------------------------------
 def gq(select, where=""):
     """Checksum of gt after moving pixels: select gives y, x, v."""
