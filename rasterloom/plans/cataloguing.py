@@ -109,6 +109,24 @@ def _(t):
     return S.join_captions(img, ann, "c_custkey", "o_orderpriority", "o_orderkey").withColumn("captions", F.array_join("captions", "|"))
 
 
+@query("sc14_caption_files", """WITH i AS (SELECT c_custkey, c_custkey // 200 AS block, COALESCE(string_agg(o_orderpriority, '|' ORDER BY o_orderkey), '') AS captions
+ FROM customer LEFT JOIN orders ON o_custkey=c_custkey GROUP BY c_custkey)
+SELECT CAST(block AS INT) block, c_custkey AS image_id, c_custkey || '.jpg' AS file_name, captions, CAST(NULL AS VARCHAR) AS error FROM i WHERE block % 5 <> 3
+UNION ALL SELECT DISTINCT CAST(block AS INT), CAST(NULL AS BIGINT), NULL, NULL, 'malformed' FROM i WHERE block % 5 = 3""")
+def _(t):
+    # files of 200 images each; every fifth is cut in the middle
+    block = F.floor(F.col("c_custkey") / 200).cast("int").alias("block")
+    images = t.customer.groupBy(block).agg(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.concat("c_custkey", F.lit(".jpg")).alias("file_name"))).alias("images"))
+    known = t.orders.join(t.customer.select(F.col("c_custkey")), F.col("o_custkey") == F.col("c_custkey"))
+    notes = known.groupBy(block).agg(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("c_custkey").alias("image_id"), F.col("o_orderpriority").alias("caption"))).alias("annotations"))
+    text = F.to_json(F.struct("images", "annotations"))
+    docs = images.join(notes, "block", "left").select("block", F.when(F.col("block") % 5 == 3, F.substring(text, 1, 1000)).otherwise(text).alias("value"))
+    path = scratch_path(t.spark, "captions")
+    docs.repartition("block").write.partitionBy("block").text(path)
+    out = S.parse_captions(t.spark.read.schema("value string, block int").text(path, wholetext=True), "value", ["block"])
+    return out.withColumn("captions", F.array_join("captions", "|"))
+
+
 @query("sc15_read_sample_list", "SELECT doc_id, 'media/' || doc_id || '.jpg' AS img_path, 'maps/' || doc_id || '.png' AS seg_map_path, CASE lang WHEN 'fr' THEN 0 WHEN 'en' THEN 1 ELSE 255 END || ',255' AS new_ids FROM documents")
 def _(t):
     text = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat(F.lit("media/"), "doc_id", F.lit(".jpg")).alias("image")).alias("media"),

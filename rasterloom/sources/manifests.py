@@ -215,6 +215,43 @@ def join_captions(images: DataFrame, annotations: DataFrame, image_id: str = "im
     return images.join(packed, image_id, "left").withColumn("captions", F.coalesce(F.transform("_c", lambda s: s[caption]), F.array().cast("array<string>"))).drop("_c")
 
 
+def _parsed(df: DataFrame, text: str, schema: str, needed: str) -> DataFrame:
+    """``_j``, the JSON document, and ``error``: malformed, or missing_<needed> where that list is not there."""
+    j = df.withColumn("_j", F.from_json(text, f"{schema}, _corrupt_record string"))
+    bad = F.col("_j").isNull() | F.col("_j._corrupt_record").isNotNull()
+    return j.withColumn("error", F.when(bad, "malformed").when(F.col(f"_j.{needed}").isNull(), f"missing_{needed}"))
+
+
+def parse_captions(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
+    """Caption annotation documents -> (keys, image_id, file_name, captions, error), a row per listed image.
+
+    Captions stand in the order of their ids; an image without any has an empty list, a caption of an unlisted image is left out. A document that
+    cannot be read is one row with ``error`` and no image. ``keys`` name a document and must not be NULL.
+    """
+    keys = list(keys)
+    docs = _parsed(df, text, "images array<struct<id: bigint, file_name: string>>, annotations array<struct<id: bigint, image_id: bigint, caption: string>>", "images")
+    good = docs.filter("error IS NULL")
+    images = good.select(*keys, F.inline("_j.images")).withColumnRenamed("id", "image_id")
+    notes = good.select(*keys, F.inline("_j.annotations")).filter("caption IS NOT NULL")
+    packed = notes.groupBy(*keys, "image_id").agg(F.array_sort(F.collect_list(F.struct("id", "caption"))).alias("_c"))
+    captions = F.coalesce(F.transform("_c", lambda c: c["caption"]), F.array().cast("array<string>")).alias("captions")
+    rows = images.join(packed, [*keys, "image_id"], "left").select(*keys, "image_id", "file_name", captions, F.lit(None).cast("string").alias("error"))
+    return rows.unionByName(docs.filter("error IS NOT NULL").select(*keys, "error"), allowMissingColumns=True)
+
+
+def scan_captions(spark: SparkSession, path: str) -> DataFrame:
+    """Caption files of a folder or glob on any file system of the cluster, a task reads whole files."""
+    return parse_captions(_texts(spark, path).withColumn("file", F.input_file_name()), "value", ["file"])
+
+
+def scan_sample_lists(spark: SparkSession, path: str, used_labels: Sequence[str] | None = None) -> DataFrame:
+    """Sample-list files: rows of ``parse_sample_list`` with ``file`` and ``error``; a file that cannot be read is one row with its error."""
+    docs = _parsed(_texts(spark, path).withColumn("file", F.input_file_name()), "value", "samples array<struct<media: struct<image: string>>>", "samples")
+    docs = docs.select("file", "value", "error")
+    rows = parse_sample_list(docs.filter("error IS NULL"), "value", used_labels, ["file"]).withColumn("error", F.lit(None).cast("string"))
+    return rows.unionByName(docs.filter("error IS NOT NULL").select("file", "error"), allowMissingColumns=True)
+
+
 def parse_sample_list(df: DataFrame, text: str, used_labels: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Sample list with image and label-map locations; ``used_labels`` adds new ids of the kept classes."""
     j = F.from_json(text, "samples array<struct<media: struct<image: string>, label_map: string, classes: array<string>>>")["samples"]
