@@ -144,6 +144,11 @@ def overlap_pixels(tile: int, overlap: float) -> int:
 
 def feature_tiles(rasters: DataFrame, tile: int, overlap: float, stride: int = 1) -> DataFrame:
     """Tiles for a feature grid of ``stride`` pixels; rasters not divisible by it are left out (see ``indivisible``)."""
+    return feature_overlaps(rasters, tile, overlap, stride).drop("left", "right", "top", "bottom")
+
+
+def feature_overlaps(rasters: DataFrame, tile: int, overlap: float, stride: int = 1) -> DataFrame:
+    """``tile_overlaps`` of ``feature_tiles``, read off the start lists: nothing moves, so the tiles of a raster stay together."""
     step = tile - overlap_pixels(tile, overlap)
     if tile % stride or step % stride:
         raise ValueError(f"tile {tile} and tile step {step} must be divisible by {stride}")
@@ -151,9 +156,16 @@ def feature_tiles(rasters: DataFrame, tile: int, overlap: float, stride: int = 1
 
     def starts(length):
         return F.when(length <= tile, F.array(F.lit(0))).otherwise(_strict_starts(F.greatest(length, F.lit(tile)), tile, step))
+    def around(start, axis_starts, size, before, after):
+        """Overlaps with the starts next to this one."""
+        lo = F.array_max(F.filter(axis_starts, lambda s: s < start))
+        hi = F.array_min(F.filter(axis_starts, lambda s: s > start))
+        zero = F.lit(0)
+        return [F.greatest(zero, F.coalesce(lo + F.col(size) - start, zero)).alias(before), F.greatest(zero, F.coalesce(start + F.col(size) - hi, zero)).alias(after)]
     d = _cross(ok, starts(F.col("height")), starts(F.col("width")))
-    return d.select("raster_id", "tile_no", F.col("_x").alias("x0"), F.col("_y").alias("y0"), F.least(F.lit(tile), F.col("width") - F.col("_x")).cast("int").alias("w"),
-                    F.least(F.lit(tile), F.col("height") - F.col("_y")).cast("int").alias("h"), "width", "height")
+    d = d.select("raster_id", "tile_no", F.col("_x").alias("x0"), F.col("_y").alias("y0"), F.least(F.lit(tile), F.col("width") - F.col("_x")).cast("int").alias("w"),
+                 F.least(F.lit(tile), F.col("height") - F.col("_y")).cast("int").alias("h"), "width", "height")
+    return d.select("*", *around(F.col("x0"), starts(F.col("width")), "w", "left", "right"), *around(F.col("y0"), starts(F.col("height")), "h", "top", "bottom"))
 
 
 def indivisible(rasters: DataFrame, stride: int) -> DataFrame:
@@ -185,11 +197,18 @@ def _ramp(pos: Column, length: Column, before: Column, after: Column, first: Col
     return F.least(F.when((b > 0) & ~first & (pos < b), up).otherwise(one), F.when((a > 0) & ~last & (i >= 0), down).otherwise(one))
 
 
+TILE_FACTS = ("left", "right", "top", "bottom", "x0", "y0", "w", "h", "width", "height")
+
+
 def blend_tiles(tiles: DataFrame, values: DataFrame, stride: int = 1) -> DataFrame:
     """Weighted merge of overlapping tiles; ``tiles`` come from ``tile_overlaps``, values are (raster_id, tile_no, y, x, class_id, value)."""
-    cols = ("left", "right", "top", "bottom", "x0", "y0", "w", "h", "width", "height")
-    t = tiles.select("raster_id", "tile_no", *[F.floor(F.col(c) / stride).alias(c) for c in cols])
-    d = lookup_join(values.select("raster_id", "tile_no", "y", "x", "class_id", "value"), t, ["raster_id", "tile_no"], "inner")
+    v = values.select("raster_id", "tile_no", "y", "x", "class_id", "value")
+    return blend_carried(lookup_join(v, tiles.select("raster_id", "tile_no", *TILE_FACTS), ["raster_id", "tile_no"], "inner"), stride)
+
+
+def blend_carried(values: DataFrame, stride: int = 1) -> DataFrame:
+    """The same for values that carry the columns ``TILE_FACTS`` of their tile: they are not joined, and move once, as sums by pixel."""
+    d = values.select("raster_id", "y", "x", "class_id", "value", *[F.floor(F.col(c) / stride).alias(c) for c in TILE_FACTS])
     wy = _ramp(F.col("y"), F.col("h"), F.col("top"), F.col("bottom"), F.col("y0") == 0, F.col("y0") + F.col("h") == F.col("height"))
     wx = _ramp(F.col("x"), F.col("w"), F.col("left"), F.col("right"), F.col("x0") == 0, F.col("x0") + F.col("w") == F.col("width"))
     d = d.withColumn("_w", wy * wx).withColumn("y", F.col("y") + F.col("y0")).withColumn("x", F.col("x") + F.col("x0"))
@@ -215,19 +234,23 @@ def uncovered(rasters: DataFrame, tiles: DataFrame) -> DataFrame:
     return rasters.join(gaps("x0", "w", "width").union(gaps("y0", "h", "height")).distinct(), "raster_id", "left_semi")
 
 
+BOX = ("x0", "y0", "ax", "ay", "bx", "by")
+
+
 def owned_boxes(tiles: DataFrame) -> DataFrame:
-    """Part of each grid window that no later window overwrites, in raster coordinates [ax, bx) x [ay, by).
+    """Grid windows with the part no later window overwrites, in raster coordinates: their columns and [ax, bx) x [ay, by).
 
     Grids are products of two axes and later windows win, so a window owns its crop up to where the
     crop of the next column or row starts. Of windows shifted onto the same place the last one stays.
     """
     spot = ["raster_id", "x0", "y0"]
-    last = tiles.groupBy(*spot).agg(F.max(F.struct("tile_no", "crop_x", "crop_y", "crop_w", "crop_h")).alias("t")).select(*spot, "t.*")
+    rest = [c for c in tiles.columns if c not in (*spot, "tile_no")]
+    last = tiles.groupBy(*spot).agg(F.max(F.struct("tile_no", *rest)).alias("t")).select(*spot, "t.*")
     ax, ay = F.col("x0") + F.col("crop_x"), F.col("y0") + F.col("crop_y")
     row, col = Window.partitionBy("raster_id", "y0").orderBy("x0"), Window.partitionBy("raster_id", "x0").orderBy("y0")
     last = last.withColumn("ax", ax).withColumn("ay", ay)
     bx, by = F.col("ax") + F.col("crop_w"), F.col("ay") + F.col("crop_h")
-    return last.select("raster_id", "tile_no", "x0", "y0", "ax", "ay", F.least(bx, F.coalesce(F.lead("ax").over(row), bx)).alias("bx"),
+    return last.select(*tiles.columns, "ax", "ay", F.least(bx, F.coalesce(F.lead("ax").over(row), bx)).alias("bx"),
                        F.least(by, F.coalesce(F.lead("ay").over(col), by)).alias("by"))
 
 
@@ -239,10 +262,7 @@ def stitch(tiles: DataFrame, values: DataFrame, label: str = "label", grid: bool
     """
     v = values.select("raster_id", "tile_no", "y", "x", label)
     if grid:
-        d = lookup_join(v, owned_boxes(tiles), ["raster_id", "tile_no"], "inner")
-        d = d.withColumn("y", F.col("y") + F.col("y0")).withColumn("x", F.col("x") + F.col("x0"))
-        mine = (F.col("y") >= F.col("ay")) & (F.col("y") < F.col("by")) & (F.col("x") >= F.col("ax")) & (F.col("x") < F.col("bx"))
-        return d.filter(mine).select("raster_id", "y", "x", label)
+        return stitch_carried(lookup_join(v, owned_boxes(tiles).select("raster_id", "tile_no", *BOX), ["raster_id", "tile_no"], "inner"), label)
     t = tiles.select("raster_id", "tile_no", "x0", "y0", "crop_x", "crop_y", "crop_w", "crop_h")
     d = lookup_join(v, t, ["raster_id", "tile_no"], "inner")
     own = (F.col("y") >= F.col("crop_y")) & (F.col("y") < F.col("crop_y") + F.col("crop_h")) & (F.col("x") >= F.col("crop_x")) & (F.col("x") < F.col("crop_x") + F.col("crop_w"))
@@ -250,6 +270,20 @@ def stitch(tiles: DataFrame, values: DataFrame, label: str = "label", grid: bool
     return d.groupBy("raster_id", "y", "x").agg(F.max_by(label, "tile_no").alias(label))
 
 
+def stitch_carried(values: DataFrame, label: str = "label") -> DataFrame:
+    """The same for values that carry the columns ``BOX`` of their window: no pixel moves."""
+    d = values.withColumn("y", F.col("y") + F.col("y0")).withColumn("x", F.col("x") + F.col("x0"))
+    mine = (F.col("y") >= F.col("ay")) & (F.col("y") < F.col("by")) & (F.col("x") >= F.col("ax")) & (F.col("x") < F.col("bx"))
+    return d.filter(mine).select("raster_id", "y", "x", label)
+
+
+def own_pixels(frame):
+    """``stitch_carried`` inside the task that scores the windows (pandas)."""
+    y, x = frame["y"] + frame["y0"], frame["x"] + frame["x0"]
+    mine = (y >= frame["ay"]) & (y < frame["by"]) & (x >= frame["ax"]) & (x < frame["bx"])
+    return frame.assign(y=y, x=x).drop(columns=list(BOX))[mine]
+
+
 def _merge(df: DataFrame, keys: Sequence[str], transform, scores: str) -> DataFrame:
     long = df.select(*keys, F.posexplode(transform(F.col(scores))).alias("class_id", "p"))
     return long.groupBy(*keys, "class_id").agg(F.avg("p").alias("p"))

@@ -127,10 +127,10 @@ SELECT raster_id, CAST(y+y0 AS BIGINT) y, CAST(x+x0 AS BIGINT) x, 0 AS class_id,
 
 @query("a32_blend_tiles", BLEND)
 def _(t):
-    ov = T.tile_overlaps(T.feature_tiles(rf(t), 32, 0.25, 4))
+    ov = T.feature_overlaps(rf(t), 32, 0.25, 4)
     v = ov.withColumn("y", F.explode(F.sequence(F.lit(0), (F.col("h") / 4).cast("int") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), (F.col("w") / 4).cast("int") - 1)))
-    v = v.select("raster_id", "tile_no", "y", "x", F.lit(0).alias("class_id"), (F.col("tile_no") * 10 + F.col("y") + F.col("x")).cast("double").alias("value"))
-    return r6(T.blend_tiles(ov, v, 4))
+    v = v.select("raster_id", "y", "x", F.lit(0).alias("class_id"), (F.col("tile_no") * 10 + F.col("y") + F.col("x")).cast("double").alias("value"), *T.TILE_FACTS)
+    return r6(T.blend_carried(v, 4))
 
 
 @query("a31_merge_windows", f"""WITH {PIXELS}, tl AS (SELECT DISTINCT sample_id, GREATEST(LEAST(y,h-6),0) y0, GREATEST(LEAST(x,w-6),0) x0 FROM (SELECT *, unnest(range(0,w-2,4)) x FROM (SELECT *, unnest(range(0,h-2,4)) y FROM rasters))),
@@ -170,10 +170,10 @@ def _(t):
 @query("g19_stitch", f"""WITH {STRICT}, p AS (SELECT *, unnest(range(crop_x, crop_x+crop_w)) x FROM (SELECT *, unnest(range(crop_y, crop_y+crop_h)) y FROM tl)),
 m AS (SELECT raster_id, y+y0 yy, x+x0 xx, arg_max(tile_no*100+y*3+x, tile_no) l FROM p GROUP BY ALL) SELECT raster_id, COUNT(*) n, CAST(SUM(l*(yy*37+xx*11+1)) AS BIGINT) checksum FROM m GROUP BY raster_id""")
 def _(t):
-    tiles = T.grid_strict(rs(t), 28, 20)
+    tiles = T.owned_boxes(T.grid_strict(rs(t), 28, 20))
     v = tiles.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(27)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(27))))
-    v = v.select("raster_id", "tile_no", "y", "x", (F.col("tile_no") * 100 + F.col("y") * 3 + F.col("x")).alias("label"))
-    return check(T.stitch(tiles, v), "label", "raster_id")
+    v = v.select("raster_id", "y", "x", (F.col("tile_no") * 100 + F.col("y") * 3 + F.col("x")).alias("label"), *T.BOX)
+    return check(T.stitch_carried(v), "label", "raster_id")
 
 
 def _pixel_model(stride, value):
