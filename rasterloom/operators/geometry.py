@@ -159,23 +159,33 @@ def random_crop(df: DataFrame, size: int, max_ratio: float, label: str, seed: in
 def mosaic(df: DataFrame, partners: DataFrame, scale: tuple[int, int], center: tuple[int, int], label: str, fill: int = 255) -> DataFrame:
     """Four samples on a 2H x 2W canvas around ``center`` (x, y): (sample_id, y, x, label).
 
-    ``partners`` has (sample_id, slot 1..3, partner); slots run top right, bottom left, bottom right.
+    ``partners`` has (sample_id, slot 1..3, partner); slots run top right, bottom left, bottom right. A resized sample, at most
+    H x W pixels, moves as one row of positions and labels; the quarters of a canvas do not overlap, so none meets another.
     """
     sh, sw = scale
     cx, cy = center
-    own = df.select(S).distinct().select(S, F.lit(0).alias("slot"), F.col(S).alias("_src"))
-    members = own.unionByName(partners.select(S, "slot", F.col("partner").alias("_src")))
+    members = (df.select(S).distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(3)))).join(partners.select(S, "slot", "partner"), [S, "slot"], "left")
+               .select(S, "slot", F.when(F.col("slot") == 0, F.col(S)).otherwise(F.col("partner")).alias("_src")))
     r = F.least(F.lit(float(sh)) / F.col("h"), F.lit(float(sw)) / F.col("w"))
     small = resize_nearest(df.select(F.col(S).alias("_src"), "h", "w", "y", "x", label), F.floor(F.col("h") * r), F.floor(F.col("w") * r))
-    d = small.join(members, "_src")
-    left, top = F.col("slot").isin(0, 2), F.col("slot").isin(0, 1)
+    packed = (small.groupBy("_src", "h", "w").agg(F.collect_list(F.struct((F.col("y") * F.col("w") + F.col("x")).alias("at"), F.col(label).alias("v"))).alias("l"))
+              .select("_src", "h", "w", F.col("l.at").alias("_at"), F.col("l.v").alias("_v")))
+    d = members.join(packed, "_src", "left")
     # left/top parts end at the centre, right/bottom parts start there; the canvas cuts the rest
-    d = d.withColumn("x", F.when(left, F.col("x") + cx - F.col("w")).otherwise(F.col("x") + cx))
-    d = d.withColumn("y", F.when(top, F.col("y") + cy - F.col("h")).otherwise(F.col("y") + cy))
-    d = d.filter(F.col("x").between(0, 2 * sw - 1) & F.col("y").between(0, 2 * sh - 1)).select(S, "y", "x", label, F.lit(1).alias("_p"))
-    canvas = (df.select(S).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(2 * sh - 1))))
-              .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(2 * sw - 1)))).withColumn(label, F.lit(fill)).withColumn("_p", F.lit(0)))
-    return d.unionByName(canvas).groupBy(S, "y", "x").agg(F.max_by(label, "_p").alias(label))
+    dx, dy = F.when(F.col("slot").isin(0, 2), cx - F.col("w")).otherwise(cx), F.when(F.col("slot").isin(0, 1), cy - F.col("h")).otherwise(cy)
+    place = lambda y, x, v: F.struct(y.cast("int").alias("y"), x.cast("int").alias("x"), v.alias(label))
+    parts = F.transform(F.arrays_zip("_at", "_v"), lambda p: place(F.floor(p["_at"] / F.col("w")) + dy, p["_at"] % F.col("w") + dx, p["_v"]))
+    d = d.withColumn("_put", F.coalesce(F.filter(parts, lambda p: p["x"].between(0, 2 * sw - 1) & p["y"].between(0, 2 * sh - 1)), F.array().cast(f"array<struct<y:int,x:int,{label}:{dict(df.dtypes)[label]}>>")))
+    empty, quarter = F.array().cast("array<int>"), F.lit(None)
+    for slot in range(4):
+        ys = (max(cy, 0), 2 * sh) if slot > 1 else (0, min(cy, 2 * sh))
+        xs = (max(cx, 0), 2 * sw) if slot % 2 else (0, min(cx, 2 * sw))
+        n_y, n_x = (max(0, hi - lo) for lo, hi in (ys, xs))
+        cells = F.transform(F.sequence(F.lit(0), F.lit(n_y * n_x - 1)), lambda i: ((F.floor(i / n_x) + ys[0]) * 2 * sw + i % n_x + xs[0]).cast("int")) if n_y * n_x else empty  # noqa: B023
+        quarter = F.when(F.col("slot") == slot, cells).otherwise(quarter)
+    free = F.array_except(quarter, F.transform("_put", lambda p: p["y"] * 2 * sw + p["x"]))
+    rest = F.transform(free, lambda i: place(F.floor(i / (2 * sw)), i % (2 * sw), F.lit(fill).cast(dict(df.dtypes)[label])))
+    return d.select(S, F.inline(F.concat("_put", rest)))
 
 
 def depth_mix(img: DataFrame, depth: DataFrame, left: str, width: str, value: str = "value", factor: float = 1.0) -> DataFrame:

@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import scoring, tiles as T
+from rasterloom.operators import geometry as G, scoring, tiles as T
 from rasterloom.plans import reports as P
 
 
@@ -55,3 +55,36 @@ def test_overlaps_of_a_grid(spark):
         got = T.feature_overlaps(r, tile, overlap)
         want = T.tile_overlaps(T.feature_tiles(r, tile, overlap)).select(*got.columns)
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+@pytest.mark.parametrize("center", [(11, 9), (0, 20), (24, 3), (30, 9)])
+def test_mosaic(spark, center):
+    """Against brute force: parts beyond the canvas, an unknown and a missing partner, a sample that lacks a pixel."""
+    sizes, scale = {1: (9, 14), 2: (30, 8), 3: (5, 5), 4: (12, 12)}, (10, 12)
+    rows = [(s, h, w, y, x, s * 1000 + y * 40 + x) for s, (h, w) in sizes.items() for y in range(h) for x in range(w) if (s, y, x) != (3, 0, 0)]
+    df = spark.createDataFrame(rows, "sample_id long, h int, w int, y int, x int, gt int").repartition(3)
+    pairs = [(s, k, (s * 3 + k) % 6) for s in sizes for k in (1, 2, 3) if (s, k) != (2, 3)]
+    got = G.mosaic(df, spark.createDataFrame(pairs, "sample_id long, slot int, partner long"), scale, center, "gt")
+    values, want = {(s, y, x): v for s, _, _, y, x, v in rows}, {}
+    for s, slot, src in [(s, 0, s) for s in sizes] + pairs:
+        for q in [(y, x) for y in range(20) for x in range(24)] if slot == 0 else []:
+            want.setdefault((s, *q), 255)
+        if src not in sizes:
+            continue
+        h, w = sizes[src]
+        r = min(scale[0] / h, scale[1] / w)
+        nh, nw = int(h * r), int(w * r)
+        for y in range(nh):
+            for x in range(nw):
+                at = (s, y + center[1] - (nh if slot < 2 else 0), x + center[0] - (nw if slot in (0, 2) else 0))
+                v = values.get((src, y * h // nh, x * w // nw))
+                if v is not None and 0 <= at[1] < 20 and 0 <= at[2] < 24:
+                    want[at] = v
+    got_rows = [tuple(x) for x in got.select("sample_id", "y", "x", "gt").collect()]
+    assert sorted(got_rows) == sorted((*k, v) for k, v in want.items())
+
+
+def test_mosaic_pixels_move_packed(spark):
+    df = spark.range(3).selectExpr("id as sample_id", "4 as h", "4 as w", "1 as y", "1 as x", "7 as gt")
+    plan = physical(G.mosaic(df, df.selectExpr("sample_id", "1 as slot", "sample_id as partner"), (4, 4), (4, 4), "gt"))
+    assert not any("y#" in line for line in plan.splitlines() if "Exchange" in line)
