@@ -1,8 +1,9 @@
 """Pixels stay where they are made: shuffles of plans, and results of the forms without a join."""
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import geometry as G, scoring, tiles as T
+from rasterloom.operators import geometry as G, neighbors as N, scoring, tiles as T
 from rasterloom.plans import reports as P
 
 
@@ -88,3 +89,31 @@ def test_mosaic_pixels_move_packed(spark):
     df = spark.range(3).selectExpr("id as sample_id", "4 as h", "4 as w", "1 as y", "1 as x", "7 as gt")
     plan = physical(G.mosaic(df, df.selectExpr("sample_id", "1 as slot", "sample_id as partner"), (4, 4), (4, 4), "gt"))
     assert not any("y#" in line for line in plan.splitlines() if "Exchange" in line)
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(2000, 8))
+    v[100:140] = v[100]                                          # copies tie
+    rows = [(i, [float(x) for x in r], i % 4) for i, r in enumerate(v)]
+    return v / np.linalg.norm(v, axis=1, keepdims=True), spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+
+
+def test_blocks_of_the_shuffle_do_not_grow_with_the_table(spark, vectors):
+    side = N._side(vectors[1], "vec_id", "embedding", "label", True)
+    few = int(np.ceil(np.sqrt(N.PAIRS_PER_CORE * spark.sparkContext.defaultParallelism)))
+    assert [N.shipped_blocks(side, n, 10) for n in (0, 15, 2000, 200_000)] == [1, 2, few, few]
+    assert N.shipped_blocks(side, 10 ** 9, 10) == int(np.ceil(10 ** 9 * 9 * 8 / N.SHIP_BYTES))      # bounded in memory
+
+
+@pytest.mark.parametrize("balls_from", [500, 10 ** 6])
+def test_nearest_in_pieces(vectors, balls_from):
+    v, df = vectors
+    sim = np.round(v @ v.T, 9)
+    np.fill_diagonal(sim, -9)
+    got = {}
+    for r in N.nearest(df, df, 5, exclude_self=True, rows_per_block=40, balls_from=balls_from).collect():
+        got.setdefault(r["q_id"], {})[r["rank"]] = r["g_id"]
+    for i in range(len(v)):
+        assert [got[i][k] for k in range(1, 6)] == list(np.lexsort((np.arange(len(v)), -sim[i]))[:5])
