@@ -95,22 +95,26 @@ def select_bands(df: DataFrame, order: Sequence[str], imputes: Mapping[str, str]
     """Reorder bands and fill a wanted band from its source band when it is absent from the whole sample.
 
     ``imputes`` maps target -> source. Adds ``band_index``; a band with neither is left out (audit it).
-    Every row is sent to the targets it can serve, a real band beats an imputed one.
+    A real band beats an imputed one; of repeated values of one position and band the largest counts.
     """
     keys = [c for c in df.columns if c not in (band, "value")]
-    served: dict[str, list[tuple[int, str, int]]] = {}
-    for i, name in enumerate(order):
-        served.setdefault(name, []).append((i, name, 0))
-        if name in imputes:
-            served.setdefault(imputes[name], []).append((i, name, 1))
-    rows = [F.when(F.col(band) == src, F.array(*[
-        F.struct(F.lit(i).alias("band_index"), F.lit(n).alias("_b"), F.lit(p).alias("_p")) for i, n, p in targets]))
-        for src, targets in served.items()]
-    out = df.withColumn("_t", F.coalesce(*rows)).select(*keys, "value", F.inline("_t"))
     if not any(name in imputes for name in order):
-        return out.select(*keys, "band_index", F.col("_b").alias(band), "value")      # nothing to choose between
-    best = F.min_by("value", "_p").alias("value")
-    return out.groupBy(*keys, "band_index", F.col("_b").alias(band)).agg(best)
+        served: dict[str, list[tuple[int, str]]] = {}
+        for i, name in enumerate(order):
+            served.setdefault(name, []).append((i, name))
+        rows = [F.when(F.col(band) == src, F.array(*[F.struct(F.lit(i).alias("band_index"), F.lit(n).alias("_b")) for i, n in targets])) for src, targets in served.items()]
+        return df.withColumn("_t", F.coalesce(*rows)).select(*keys, "value", F.inline("_t")).select(*keys, "band_index", F.col("_b").alias(band), "value")   # nothing to choose between
+    # one row per position moves, with the values of all bands that can serve
+    sources = list(dict.fromkeys(s for name in order for s in (name, imputes.get(name)) if s is not None))
+    at = {s: i for i, s in enumerate(sources)}
+    mine = {s: F.col(band) == s for s in sources}
+    wide = df.filter(F.col(band).isin(sources)).groupBy(*keys).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(f"_h{at[s]}") for s, c in mine.items()],
+                                                                  *[F.max(F.when(c, F.col("value"))).alias(f"_v{at[s]}") for s, c in mine.items()])
+    picks = []
+    for i, name in enumerate(order):
+        pick = lambda s: F.when(F.col(f"_h{at[s]}"), F.struct(F.lit(i).alias("band_index"), F.lit(name).alias(band), F.col(f"_v{at[s]}").alias("value")))  # noqa: B023, E731
+        picks.append(F.coalesce(pick(name), pick(imputes[name])) if name in imputes else pick(name))
+    return wide.select(*keys, F.inline(F.filter(F.array(*picks), lambda p: p.isNotNull())))
 
 
 def impute_stats(stats: DataFrame, order: Sequence[str], imputes: Mapping[str, str], band: str = "band") -> DataFrame:

@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import geometry as G, neighbors as N, scoring, tiles as T
+from rasterloom.operators import bands as B, geometry as G, neighbors as N, scoring, tiles as T
 from rasterloom.plans import reports as P
 
 
@@ -117,3 +117,12 @@ def test_nearest_in_pieces(vectors, balls_from):
         got.setdefault(r["q_id"], {})[r["rank"]] = r["g_id"]
     for i in range(len(v)):
         assert [got[i][k] for k in range(1, 6)] == list(np.lexsort((np.arange(len(v)), -sim[i]))[:5])
+
+
+def test_select_bands_moves_a_row_for_each_position(spark):
+    rows = [(1, "R", 1.0), (1, "G", 2.0), (1, "B", 3.0), (2, "R", 4.0), (2, "B", 5.0), (3, "G", None), (3, "R", 6.0), (4, "unused", 7.0), (5, "B", 8.0)]
+    df = spark.createDataFrame(rows, "y int, band string, value double")
+    out = B.select_bands(df, ["B", "G", "N"], {"G": "R", "N": "R"})
+    got = {tuple(r) for r in out.select("y", "band_index", "band", "value").collect()}
+    assert got == {(1, 0, "B", 3.0), (1, 1, "G", 2.0), (1, 2, "N", 1.0), (2, 0, "B", 5.0), (2, 1, "G", 4.0), (2, 2, "N", 4.0), (3, 1, "G", None), (3, 2, "N", 6.0), (5, 0, "B", 8.0)}
+    assert not any("band_index" in line for line in physical(out).splitlines() if "Exchange" in line)
