@@ -12,12 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.vectors import dot, l2_normalize
+from ..functions.vectors import l2_normalize
 from ..session import cut_lineage
-from .clustering import ari, contingency, estimate_knee, hungarian_accuracy, nmi, purity, silhouette
+from .clustering import ari, contingency, estimate_knee, folded_silhouettes, hungarian_accuracy, nmi, purity, silhouette
 from .embeddings import FOLD_ROWS, vector_mean
 from .graph import connected_components
-from .joins import lookup_join
 from .neighbors import ROWS_PER_BLOCK, SIM_DIGITS, _side, block_pairs, nearest
 from .ordering import rank_rows
 
@@ -34,29 +33,30 @@ def core_similarities(df: DataFrame, ms: Sequence[int], key: str = "vec_id", vec
 
 
 def block_forest(weight, a_node, b_node):
-    """Edges (row, column) of a maximum spanning forest of a bipartite graph; entries of minus infinity are no edges, and rows and
-    columns of equal node number are one node. Rounds of Borůvka: every component takes its best edge."""
+    """Edge numbers of a maximum spanning forest of the graph with edges (a_node[i], b_node[i]) of these weights, nodes numbered from 0.
+    Rounds of Borůvka: every component takes its best edge, of equal ones the first."""
     import numpy as np
-    label_a, label_b = a_node.copy(), b_node.copy()
-    n, out = int(max(a_node.max(), b_node.max())) + 1, []
+    order = np.argsort(-weight, kind="stable")
+    n, out = int(max(a_node.max(initial=-1), b_node.max(initial=-1))) + 1, []
+    label_a, label_b = a_node[order], b_node[order]
     while True:
-        open_ = np.where(label_a[:, None] == label_b[None, :], -np.inf, weight)
-        col, row = open_.argmax(1), open_.argmax(0)
-        i, j = np.concatenate([np.arange(len(a_node)), row]), np.concatenate([col, np.arange(len(b_node))])
-        owner, w = np.concatenate([label_a, label_b]), open_[i, j]
-        use = np.isfinite(w)
-        if not use.any():
-            return np.unique(np.array(out or np.empty((0, 2)), int).reshape(-1, 2), axis=0)
-        i, j, owner, w = i[use], j[use], owner[use], w[use]
-        order = np.lexsort((-w, owner))
-        first = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
-        out.extend(zip(i[first].tolist(), j[first].tolist()))
+        open_ = np.flatnonzero(label_a != label_b)
+        if not len(open_):
+            return np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
+        order, label_a, label_b = order[open_], label_a[open_], label_b[open_]
+        best = np.full(n, len(order))
+        for label in (label_a, label_b):                        # written from the last to the first, so the best one stays
+            own = np.full(n, len(order))
+            own[label[::-1]] = np.arange(len(order))[::-1]
+            best = np.minimum(best, own)
+        first = np.unique(best[best < len(order)])
+        out.append(order[first])
         root = np.arange(n)
         while True:                                             # join the components at both ends
-            low = np.minimum(root[label_a[i[first]]], root[label_b[j[first]]])
+            low = np.minimum(root[label_a[first]], root[label_b[first]])
             new = root.copy()
-            np.minimum.at(new, label_a[i[first]], low)
-            np.minimum.at(new, label_b[j[first]], low)
+            np.minimum.at(new, label_a[first], low)
+            np.minimum.at(new, label_b[first], low)
             new = new[new]
             if np.array_equal(new, root):
                 break
@@ -64,28 +64,47 @@ def block_forest(weight, a_node, b_node):
         label_a, label_b = root[label_a], root[label_b]
 
 
+def close_pairs(va, vb, least: float, slab: int):
+    """(rows of ``va``, rows of ``vb``, similarity) of all pairs from ``least`` on, for one piece of at most ``slab`` x ``slab`` pairs after the other."""
+    import numpy as np
+    high = max(1, slab // 8)
+    for i in range(0, len(va), high):
+        for j in range(0, len(vb), slab):
+            sim = va[i:i + high] @ vb[j:j + slab].T
+            r, c = np.nonzero(sim >= least - 1e-8)              # rounded below; most pairs are out before
+            yield r + i, c + j, np.round(sim[r, c], SIM_DIGITS)
+
+
 def reachability_edges(rows: DataFrame, floors: Sequence[float], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """(m, src, dst, sim): edges that hold all clusters of the m-th core similarity at thresholds of ``floors[m]`` or more."""
-    digits, floors = SIM_DIGITS, list(floors)
+    """(m, src, dst, sim): edges that hold all clusters of the m-th core similarity at thresholds of ``floors[m]`` or more.
+
+    A task multiplies its two blocks piece by piece and keeps the forest of the pieces so far, so it holds one piece and a forest.
+    """
+    floors = list(floors)
 
     def fn(a, b):
         import numpy as np
         import pandas as pd
         parts = [pd.DataFrame({"m": [], "src": [], "dst": [], "sim": []})]
         if len(a) and len(b):
-            sim = np.round(np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T, digits)
             ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
             node = np.unique(np.concatenate([ia, ib]), return_inverse=True)[1]
+            na, nb = node[:len(ia)], node[len(ia):]
             cores = [np.array(x["cores"].tolist(), float) for x in (a, b)]
-            for m, floor in enumerate(floors):
-                w = np.fmin(sim, np.minimum(cores[0][:, m][:, None], cores[1][:, m][None, :]))
-                w[~(np.isfinite(cores[0][:, m])[:, None] & np.isfinite(cores[1][:, m])[None, :] & (w >= floor - SLACK))] = -np.inf
-                edges = block_forest(w, node[:len(ia)], node[len(ia):])
-                parts.append(pd.DataFrame({"m": m, "src": ia[edges[:, 0]], "dst": ib[edges[:, 1]], "sim": w[edges[:, 0], edges[:, 1]]}))
+            kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))] * len(floors)
+            for r, c, sim in close_pairs(np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()), min(floors), rows_per_block):
+                for m, floor in enumerate(floors):
+                    own = np.minimum(cores[0][r, m], cores[1][c, m])
+                    w = np.minimum(sim, own)
+                    use = np.isfinite(own) & (w >= floor - SLACK)
+                    r_, c_, w_ = (np.concatenate(x) for x in zip(kept[m], (r[use], c[use], w[use])))
+                    best = block_forest(w_, na[r_], nb[c_])
+                    kept[m] = r_[best], c_[best], w_[best]
+            parts += [pd.DataFrame({"m": m, "src": ia[r], "dst": ib[c], "sim": w}) for m, (r, c, w) in enumerate(kept)]
         return pd.concat(parts)
 
     n = rows.count()
-    return cut_lineage(block_pairs(rows, rows, "id", fn, "m int, src bigint, dst bigint, sim double", rows_per_block, n, n))
+    return cut_lineage(block_pairs(rows, rows, "id", fn, "m int, src bigint, dst bigint, sim double", rows_per_block, n, n, mirrored=True))
 
 
 def dbscan_settings(df: DataFrame, settings: Sequence[tuple[int, float]], key: str = "vec_id", vec: str = "embedding", cores: DataFrame | None = None,
@@ -108,7 +127,7 @@ def dbscan_settings(df: DataFrame, settings: Sequence[tuple[int, float]], key: s
     least = core.groupBy("root").agg(F.min("id").alias("component"))
     core = cut_lineage(core.join(least, "root").select("setting", "id", "component"))
     # border rows: one pass for all settings, over the components of a core row in each of them
-    n_settings, digits, thresholds = len(limits), SIM_DIGITS, [t for _, t in limits]
+    n_settings, thresholds = len(limits), [t for _, t in limits]
     placed = core.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("setting", "component"))).alias("at"))
     full = rows.select("id", "v").join(placed, "id").select("id", "v", F.array(*[F.element_at("at", F.lit(s)) for s in range(n_settings)]).alias("comps"))
     some = rows.filter(~F.array_contains(F.array(*is_core), F.lit(True)) | F.array_contains(F.array(*is_core), F.lit(False))).select("id", "v")
@@ -118,14 +137,23 @@ def dbscan_settings(df: DataFrame, settings: Sequence[tuple[int, float]], key: s
         import pandas as pd
         parts = [pd.DataFrame({"setting": [], "id": [], "component": []})]
         if len(a) and len(b):
-            sim, none = np.round(np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T, digits), np.iinfo(np.int64).max
+            none, ids = np.iinfo(np.int64).max, a["id"].to_numpy()
             comps = np.array([[none if c is None or c != c else int(c) for c in row] for row in b["comps"].tolist()], np.int64)
-            for s, t in enumerate(thresholds):
-                best = np.where(sim >= t - SLACK, comps[:, s][None, :], none).min(1)
-                parts.append(pd.DataFrame({"setting": s, "id": a["id"][best < none], "component": best[best < none]}))
+            best = np.full((n_settings, len(a)), none)
+            for r, c, sim in close_pairs(np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()), min(thresholds), rows_per_block):
+                for s, t in enumerate(thresholds):
+                    near = sim >= t - SLACK
+                    own = r[near]                               # in ascending order
+                    if len(own):
+                        start = np.flatnonzero(np.diff(own, prepend=-1))
+                        best[s, own[start]] = np.minimum(best[s, own[start]], np.minimum.reduceat(comps[c[near], s], start))
+            parts += [pd.DataFrame({"setting": s, "id": ids[at < none], "component": at[at < none]}) for s, at in enumerate(best)]
         return pd.concat(parts)
 
-    border = block_pairs(some, full, "id", lowest, "setting int, id bigint, component bigint", rows_per_block).groupBy("setting", "id").agg(F.min("component").alias("border"))
+    def least_of(found):
+        return found.groupby(["setting", "id"], as_index=False)["component"].min()
+
+    border = block_pairs(some, full, "id", lowest, "setting int, id bigint, component bigint", rows_per_block, merge=least_of).groupBy("setting", "id").agg(F.min("component").alias("border"))
     every = rows.select("id", F.explode(F.sequence(F.lit(0), F.lit(n_settings - 1))).alias("setting"))
     out = every.join(core, ["setting", "id"], "left").join(border, ["setting", "id"], "left")
     return out.select("setting", F.col("id").alias(key), F.coalesce("component", "border").alias("component"))
@@ -140,15 +168,7 @@ def silhouettes(df: DataFrame, by: str, cluster: str, vec: str) -> DataFrame:
         keys = [r[0] for r in sizes.select(by).collect()]       # one for each clustering
         parts = [silhouette(df.filter(F.col(by) == k), cluster, vec).select(F.lit(k).alias(by), "silhouette") for k in keys]
         return _union(parts)
-    table = sums.groupBy(by).agg(F.collect_list(F.struct("c", "m", "n")).alias("_t"))
-    far = F.transform("_t", lambda r: F.struct(r["c"].alias("c"), r["n"].alias("n"), (1 - dot(F.col("v"), r["m"])).alias("d")))
-    rows = lookup_join(unit, table, [by], "inner").withColumn("_d", far)
-    own = F.filter("_d", lambda r: r["c"] == F.col("c"))[0]
-    others = F.transform(F.filter("_d", lambda r: r["c"] != F.col("c")), lambda r: r["d"])
-    d = rows.select(by, own["n"].alias("n"), own["d"].alias("own"), F.array_min(others).alias("b"))
-    a = F.col("own") * F.col("n") / (F.col("n") - 1)
-    s = F.when(F.col("n") > 1, F.coalesce(F.try_divide(F.col("b") - a, F.greatest(a, F.col("b"))), F.lit(0.0))).otherwise(0.0)
-    return d.groupBy(by).agg(F.avg(s).alias("s")).join(sizes, by).select(by, F.when((F.col("_k") > 1) & (F.col("_big") > 1), F.col("s")).alias("silhouette"))
+    return folded_silhouettes(unit, sums, [by]).join(sizes, by).select(by, F.when((F.col("_k") > 1) & (F.col("_big") > 1), F.col("s")).alias("silhouette"))
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -174,7 +194,7 @@ def dbscan_report(df: DataFrame, min_samples: Sequence[int] = (5, 10, 20), multi
     cores = core_similarities(df, ms)
     base = {m: estimate_knee(cores.select(F.col("id").alias("vec_id"), F.get("distances", F.lit(k)).alias("distance")), "vec_id").first()["eps"] for k, m in enumerate(ms)}
     settings = [(m, x, max(base[m] * x, 2.220446049250313e-16)) for m in min_samples for x in multipliers]
-    found = dbscan_settings(df, [(m, eps) for m, _, eps in settings], cores=cores, ms=ms)
+    found = cut_lineage(dbscan_settings(df, [(m, eps) for m, _, eps in settings], cores=cores, ms=ms))     # read several times
     ids = rank_rows(found.filter("component IS NOT NULL").select("setting", "component").distinct(), ["component"], ["setting"], "_r")
     named = found.join(ids, ["setting", "component"], "left").withColumn("cluster", F.coalesce(F.col("_r") - 1, F.lit(-1)).cast("int"))
     rows = cut_lineage(df.select("vec_id", "label", "embedding").join(named.select("setting", "vec_id", "cluster"), "vec_id"))

@@ -329,3 +329,45 @@ def test_assignment_of_many_clusters(spark):
                 m[a, b] = n
         assert abs(r["hungarian_accuracy"] - C.assign_max(m) / whole[r["g"]]) < 1e-12
     assert C.hungarian_accuracy(table.limit(0)).first()[0] is None
+
+
+def test_block_forest_holds_the_best_links():
+    from rasterloom.operators import density as D
+    rng = np.random.default_rng(8)
+    a, b, w = rng.integers(0, 40, 600), rng.integers(0, 40, 600), rng.integers(0, 30, 600) / 30
+    root, want = list(range(40)), 0.0
+    def find(x):
+        return x if root[x] == x else find(root[x])
+    for i in np.argsort(-w, kind="stable"):
+        if find(a[i]) != find(b[i]):
+            root[find(a[i])] = find(b[i])
+            want += w[i]
+    kept = D.block_forest(w, a, b)
+    assert len(kept) == 39 and abs(w[kept].sum() - want) < 1e-9
+    assert not len(D.block_forest(w[:0], a[:0], b[:0]))
+
+
+def test_mirrored_blocks_meet_once(spark):
+    from rasterloom.operators.neighbors import block_pairs
+    df = spark.range(60)
+    def fn(x, y):
+        import pandas as pd
+        return pd.MultiIndex.from_product([x["id"], y["id"]], names=["a", "b"]).to_frame(index=False) if len(x) and len(y) else pd.DataFrame({"a": [], "b": []})
+    got = {(r["a"], r["b"]) for r in block_pairs(df, df, "id", fn, "a bigint, b bigint", 10, 60, 60, mirrored=True).collect()}
+    assert {(min(p), max(p)) for p in got} == {(i, j) for i in range(60) for j in range(i, 60)} and len(got) < 3000
+
+
+def test_silhouettes_of_many_settings_read_no_means_per_row(spark):
+    from rasterloom.operators import density as D
+    df = spark.createDataFrame([(s, i % (2 + s), [1.0 + (i % (2 + s)), float(i % 5), 1.0]) for s in range(3) for i in range(60)], "setting int, cluster int, embedding array<double>")
+    got = D.silhouettes(df, "setting", "cluster", "embedding")
+    for r in got.collect():
+        one = df.filter(F.col("setting") == r["setting"])
+        v = np.array([x["embedding"] for x in one.collect()])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        c, k = np.array([x["cluster"] for x in one.collect()]), 2 + r["setting"]
+        d = 1 - v @ np.array([v[c == j].mean(0) for j in range(k)]).T
+        n = np.bincount(c)[c]
+        own, d[np.arange(len(c)), c] = d[np.arange(len(c)), c] * n / (n - 1), np.inf
+        assert abs(r["silhouette"] - ((d.min(1) - own) / np.maximum(d.min(1), own)).mean()) < 1e-9
+    assert "array_min(" not in got._jdf.queryExecution().optimizedPlan().toString()
