@@ -371,3 +371,21 @@ def test_silhouettes_of_many_settings_read_no_means_per_row(spark):
         own, d[np.arange(len(c)), c] = d[np.arange(len(c)), c] * n / (n - 1), np.inf
         assert abs(r["silhouette"] - ((d.min(1) - own) / np.maximum(d.min(1), own)).mean()) < 1e-9
     assert "array_min(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kmeans_passes_read_packed_rows(spark, monkeypatch):
+    """Blocks of a few rows each give the sums of all rows and restarts; no pass converts rows one by one."""
+    rng = np.random.default_rng(6)
+    v, centres = rng.normal(size=(90, 3)), rng.normal(size=(2, 4, 3))
+    df = spark.createDataFrame([([float(x) for x in r], i) for i, r in enumerate(v)], "v array<double>, h long").repartition(3)
+    monkeypatch.setattr(C, "PACK_BYTES", 200)
+    packed = C._packed(df)
+    assert packed.count() >= 12 and dict(packed.dtypes)["v"] == "binary"
+    sums, sizes, cost = C._assigned_sums(packed, centres)
+    monkeypatch.setattr(C, "SUMMED_HERE", 1)
+    assert all(np.allclose(a, b) for a, b in zip(C._assigned_sums(packed, centres), (sums, sizes, cost)))
+    for r in range(2):
+        far = ((v[:, None, :] - centres[r][None]) ** 2).sum(2)
+        own = far.argmin(1)
+        assert sizes[r].tolist() == np.bincount(own, minlength=4).tolist() and abs(cost[r] - far.min(1).sum()) < 1e-9
+        assert np.allclose(sums[r], [v[own == c].sum(0) for c in range(4)])
