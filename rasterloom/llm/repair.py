@@ -108,14 +108,13 @@ class ChunkEncoder:
     def of(self, chunks: list[str]) -> list[bytes]:
         """Ids of distinct chunks."""
         found = list(map(self.new.get, chunks))
-        missing = []
-        for i, got in enumerate(found):
-            if got is None:
+        missing = [i for i, got in enumerate(found) if got is None]
+        if self.old:
+            for i in missing:
                 got = self.old.get(chunks[i])
-                if got is None:
-                    missing.append(i)
-                else:
+                if got is not None:
                     self.new[chunks[i]] = found[i] = got
+            missing = [i for i in missing if found[i] is None]
         self.chunks([chunks[i] for i in missing])
         for i in missing:
             found[i] = self.new[chunks[i]]
@@ -156,6 +155,22 @@ def encoder(spec: str) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
+def numbers_of(code: np.ndarray, slot: np.ndarray, chosen: np.ndarray, chosen_slot: np.ndarray, slots: int) -> np.ndarray:
+    """The place of each code in ``chosen`` (ascending), or -1, by hash slots; only codes in slots of several chosen ones are searched for."""
+    table = np.full(slots, -1, np.int32)
+    table[chosen_slot] = np.arange(len(chosen), dtype=np.int32)
+    own = table[slot]
+    own[chosen[own] != code] = -1                       # an empty slot meets the last one, which is not its code
+    shared = chosen_slot[table[chosen_slot] != np.arange(len(chosen))]
+    if len(shared):
+        several = np.zeros(slots, bool)
+        several[shared] = True
+        again = np.flatnonzero(several[slot])
+        found = np.minimum(np.searchsorted(chosen, code[again]), len(chosen) - 1)
+        own[again] = np.where(chosen[found] == code[again], found, -1)
+    return own
+
+
 def replace_pairs(ids: np.ndarray, last: np.ndarray, first_new: int, least: int = 8):
     """(symbols, last flags, rules, rule lengths). ``last`` marks the last id of each document.
 
@@ -165,19 +180,20 @@ def replace_pairs(ids: np.ndarray, last: np.ndarray, first_new: int, least: int
     seq, last = ids.astype(np.int64), last.copy()
     rules, lengths = [np.empty((0, 2), np.int64)], np.empty(0, np.int64)
     slots, made, since = 1 << SLOT_BITS, 0, 0
+    spread = lambda code: (code ^ code >> 29) * 0x9E3779B97F4A7C1 >> 31 & (slots - 1)
     while len(seq) > 1:
         new = seq >= since
         at = np.flatnonzero((new[:-1] | new[1:]) & ~last[:-1])
         code = seq[at] << 32 | seq[at + 1]
-        own = (code ^ code >> 29) * 0x9E3779B97F4A7C1 >> 31 & (slots - 1)
-        full = (np.bincount(own, minlength=slots) >= least)[own]
+        slot = spread(code)
+        full = (np.bincount(slot, minlength=slots) >= least)[slot]
         at, code = at[full], code[full]
         chosen, times = np.unique(code, return_counts=True)
         chosen = chosen[times >= least]
         if not len(chosen):
             break
-        own = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
-        fit = chosen[own] == code
+        own = numbers_of(code, slot[full], chosen, spread(chosen), slots)
+        fit = own >= 0
         at, own = at[fit], own[fit]
         # overlapping places: every other one of a run, from the left
         start = np.concatenate([[True], np.diff(at) > 1])

@@ -430,3 +430,15 @@ def test_long_runs_of_numbers():
     for k in [*range(0, 300, 7), 62, 63, 64, 65, 127, 128, 2000]:
         text = "table " + " ".join(str(10 + i % 80) for i in range(k)) + " (212) 555-0199 now"
         assert [text[a:b] for kind, a, b in pii.field_spans(text, model, []) if kind == "phone"] == ["(212) 555-0199"], k
+
+
+def test_rules_are_looked_up_by_slot():
+    """Codes of one slot, of an empty slot and of a slot whose chosen code is another."""
+    from rasterloom.llm import repair
+    rng = np.random.default_rng(3)
+    chosen = np.unique(rng.integers(0, 10_000, 300)) << 32 | 7
+    code = np.concatenate([chosen, rng.integers(0, 10_000, 3000) << 32 | 7, chosen + 1])
+    slot = lambda c: (c >> 32) % 128
+    place = {int(c): i for i, c in enumerate(chosen)}
+    got = repair.numbers_of(code, slot(code), chosen, slot(chosen), 128)
+    assert got.tolist() == [place.get(int(c), -1) for c in code]
