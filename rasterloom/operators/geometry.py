@@ -218,7 +218,9 @@ def edge_map(df: DataFrame, label: str, width: int = 3, ignore: int = 255) -> Da
         import pyarrow as pa
         b, y, x = (table.column(c).to_numpy().astype(np.int64) for c in ("_block", "y", "x"))
         first = np.searchsorted(b, np.arange(b[-1] + 1))                    # a row of each block: its sample, size and position
-        at = np.unique(differing(table, "v", EDGE_NEIGHBOURS, None)[0])
+        marked = np.zeros(len(b), bool)
+        marked[differing(table, "v", EDGE_NEIGHBOURS, None)[0]] = True
+        at = np.flatnonzero(marked)
         gb, gy, gx = dilated(b[at], y[at], x[at], lo, hi)
         h, w, yb, xb = (table.column(c).to_numpy()[first][gb] for c in ("h", "w", "_yb", "_xb"))
         mine = (gy >= 0) & (gx >= 0) & (gy < h) & (gx < w) & (gy // BLOCK == yb) & (gx // BLOCK == xb)

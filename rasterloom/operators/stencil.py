@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK = 64
+DENSE = 64          # positions a row for which a table of all positions is built, else they are searched
 
 
 def over_blocks(df: DataFrame, sample: str, reach_y: tuple[int, int], reach_x: tuple[int, int], fn: Callable, schema: str, from_zero: bool = False,
@@ -75,21 +76,34 @@ def differing(table, value: str, offsets: Sequence[tuple[int, int]], block: int
     b, y, x = _places(table)
     own = np.arange(len(y)) if block is None else np.nonzero((y // block == table.column("_yb").to_numpy()) & (x // block == table.column("_xb").to_numpy()))[0]
     reach = max(max(abs(dy), abs(dx)) for dy, dx in offsets)
+    y, x = (p - table.column(c).to_numpy().astype(np.int64) * (block or BLOCK) for p, c in ((y, "_yb"), (x, "_xb")))      # from the corner of the block
     y0, x0 = y.min() - reach, x.min() - reach
     high, wide = y.max() + reach + 1 - y0, x.max() + reach + 1 - x0
     code = (b * high + (y - y0)) * wide + (x - x0)
-    order = np.argsort(code, kind="stable")
-    ranked = code[order]
     values = table.column(value).combine_chunks()
     pixels, others, which = [], [], []
+    size, at = int((b.max() + 1) * high * wide), None
+    if size <= DENSE * len(code) + DENSE:
+        at = np.full(size, -1, np.int32)                       # the row at each position
+        at[code] = np.arange(len(code), dtype=np.int32)
+        if not np.array_equal(at[code], np.arange(len(code))):
+            at = None                                          # rows of one position may repeat
+    if at is None:
+        order = np.argsort(code, kind="stable")
+        ranked = code[order]
     for i, (dy, dx) in enumerate(offsets):
         want = code[own] + dy * wide + dx
-        lo, hi = np.searchsorted(ranked, want, "left"), np.searchsorted(ranked, want, "right")
-        n = hi - lo                                            # rows of one position may repeat
-        at = np.repeat(own, n)
-        pixels.append(at)
-        others.append(order[np.repeat(lo, n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)])
-        which.append(np.full(len(at), i))
+        if at is not None:
+            found = at[want]
+            has = found >= 0
+            pixels.append(own[has])
+            others.append(found[has])
+        else:
+            lo, hi = np.searchsorted(ranked, want, "left"), np.searchsorted(ranked, want, "right")
+            n = hi - lo
+            pixels.append(np.repeat(own, n))
+            others.append(order[np.repeat(lo, n) + np.arange(len(pixels[-1])) - np.repeat(np.cumsum(n) - n, n)])
+        which.append(np.full(len(pixels[-1]), i))
     pixels, others, which = np.concatenate(pixels), np.concatenate(others), np.concatenate(which)
     unlike = pc.not_equal(values.take(pixels), values.take(others)).to_numpy(zero_copy_only=False)
     return pixels[unlike], others[unlike], which[unlike]
@@ -98,7 +112,18 @@ def differing(table, value: str, offsets: Sequence[tuple[int, int]], block: int
 def dilated(b, y, x, lo: int, hi: int):
     """Distinct positions (block number, y, x) of every mark moved by lo..hi in both directions."""
     import numpy as np
-    steps = np.arange(lo, hi + 1)
-    dy, dx = (g.ravel() for g in np.meshgrid(steps, steps, indexing="ij"))
-    grown = np.stack([np.repeat(b, len(dy)), (y[:, None] + dy).ravel(), (x[:, None] + dx).ravel()], axis=1)
-    return np.unique(grown, axis=0).T
+    if not len(b):
+        return np.empty((3, 0), np.int64)
+    b0, y0, x0 = b.min(), y.min() + lo, x.min() + lo
+    high, wide = y.max() + hi + 1 - y0, x.max() + hi + 1 - x0
+    code = ((b - b0) * high + (y - y0)) * wide + (x - x0)
+    moves = [dy * wide + dx for dy in range(lo, hi + 1) for dx in range(lo, hi + 1)]
+    size = int((b.max() + 1 - b0) * high * wide)
+    if size <= DENSE * len(code) + DENSE:
+        mark = np.zeros(size, bool)
+        for move in moves:
+            mark[code + move] = True
+        grown = np.flatnonzero(mark)
+    else:
+        grown = np.unique(np.concatenate([code + move for move in moves]))
+    return np.stack([grown // (high * wide) + b0, grown // wide % high + y0, grown % wide + x0])

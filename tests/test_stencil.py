@@ -58,3 +58,25 @@ def test_edge_map(df, image, width):
 def test_one_shuffle(df):
     plan = G.edge_map(df, "gt")._jdf.queryExecution().toString()
     assert plan.split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("dense", [64, 0])
+def test_positions_by_table_and_by_search(monkeypatch, dense):
+    """A table of positions, the search and repeated positions give the neighbours and the grown marks of brute force."""
+    import numpy as np
+    import pyarrow as pa
+    from rasterloom.operators import stencil
+    monkeypatch.setattr(stencil, "DENSE", dense)
+    rng = np.random.default_rng(5)
+    for repeats in (0, 5):
+        cells = rng.permutation(2 * 128)[:150]
+        cells = np.concatenate([cells, cells[:repeats]])
+        cells = cells[np.argsort(cells // 128, kind="stable")]
+        b, y, x, v = cells // 128, cells % 128 // 16 + 64, cells % 16 + 128, rng.integers(0, 3, len(cells))
+        t = pa.table({"_block": b, "_yb": np.ones(len(b), int), "_xb": np.full(len(b), 2), "y": y, "x": x, "v": v})
+        got = sorted(zip(*(a.tolist() for a in stencil.differing(t, "v", [(0, 1), (-1, 0)], 64))))
+        assert got == sorted((i, j, k) for k, (dy, dx) in enumerate([(0, 1), (-1, 0)]) for i in range(len(b)) for j in range(len(b))
+                             if b[i] == b[j] and y[j] == y[i] + dy and x[j] == x[i] + dx and v[i] != v[j])
+        want = sorted({(k, p + dy, q + dx) for k, p, q in zip(b.tolist(), y.tolist(), x.tolist()) for dy in (-1, 0, 1) for dx in (-1, 0, 1)})
+        assert list(zip(*stencil.dilated(b, y, x, -1, 1).tolist())) == want
+    assert stencil.dilated(b[:0], y[:0], x[:0], -1, 1).shape == (3, 0)
