@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import lookup
+from ..session import dealt
 from .joins import lookup_join
 from .ordering import rank_rows
 
@@ -103,13 +104,16 @@ def unpack_label(df: DataFrame, keys: Sequence[str], channel: str, value: str) -
 def label_anchor(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Anchor of each mask: row with most pixels (lowest on ties), its middle pixel.
 
-    ``df`` holds the set pixels. Rows of one mask are short, so only a row's columns are ranked.
+    ``df`` holds the set pixels. Rows of one mask are short, so only a row's columns are ranked. Pixels are dealt once by row, to
+    as many partitions as their number asks for.
     """
     keys = list(keys)
+    df = dealt(df, *keys, "y")
     rows = df.groupBy(*keys, "y").agg(F.count("*").alias("c"))
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct("y", "c"), F.struct("c", -F.col("y"))).alias("b"))
+    parts = df.rdd.getNumPartitions()
+    best = dealt(rows, *keys, wanted=parts).groupBy(*keys).agg(F.max_by(F.struct("y", "c"), F.struct("c", -F.col("y"))).alias("b"))
     best = best.select(*keys, F.col("b.y").alias("y"), F.col("b.c").alias("c"))
-    ranked = df.join(best, [*keys, "y"]).withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("x")) - 1)
+    ranked = dealt(df.join(best, [*keys, "y"]), *keys, wanted=parts).withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("x")) - 1)
     return ranked.filter(F.col("_i") == F.floor(F.col("c") / 2)).select(*keys, "y", "x")
 
 

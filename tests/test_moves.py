@@ -136,3 +136,17 @@ def test_small_slices_do_not_become_as_many_partitions(spark):
     for g in (0, 1, 2):
         want = sorted((i for i in range(30_000) if i % 3 == g), key=lambda i: (i * 7919 % 30011, i))
         assert [got[g or None, k + 1] for k in range(len(want))] == want
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    """Tables that are multiplied, and pixels that are sorted, get more partitions as they grow; regions and anchors stay the same."""
+    from rasterloom import session
+    from rasterloom.operators import labels, masks
+    assert session.spread(spark.range(100).coalesce(1), 4).rdd.getNumPartitions() == 25
+    df = spark.createDataFrame([(s, y, x, int((x * 7 + y * 5 + s) % 4 < 2)) for s in range(4) for y in range(9) for x in range(11)] + [(None, 1, 1, 1)], "sample_id int, y int, x int, v int")
+    def results():
+        return [sorted(map(str, d.collect())) for d in (masks.drop_small_regions(df, 6, "holes"), masks.drop_small_regions(df, 6, "islands"), labels.label_anchor(df, ["sample_id", "v"]))]
+    few = results()
+    monkeypatch.setattr(session, "TASK_ROWS", 20)
+    assert session.dealt(df, "sample_id", "y").rdd.getNumPartitions() == 20
+    assert results() == few
