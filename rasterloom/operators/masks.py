@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, dealt
 from .graph import connected_components
 from .ordering import running
 
@@ -58,7 +58,7 @@ def mask_to_box(df: DataFrame, mask: str = "sample_id", value: str = "v") -> Dat
 def region_runs(df: DataFrame, mask: str, value: str) -> DataFrame:
     """Horizontal runs of set pixels: (mask, y, island, x0, x1)."""
     row = Window.partitionBy(mask, "y").orderBy("x")
-    on = df.filter(F.col(value) != 0).select(mask, "y", "x", (F.col("x") - F.row_number().over(row)).alias("island"))
+    on = dealt(df.filter(F.col(value) != 0).select(mask, "y", "x"), mask, "y").select(mask, "y", "x", (F.col("x") - F.row_number().over(row)).alias("island"))
     return on.groupBy(mask, "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
 
 
@@ -139,10 +139,15 @@ def drop_small_regions(df: DataFrame, area: int, mode: str, mask: str = "sample_
     small = F.col("_n") < area
     gone = small if mode == "holes" else small & ~((F.col("_top") < area) & (F.col("component") == F.col("_first")))
     hit = runs.join(fate.filter(gone).select(mask, "component"), [mask, "component"])
-    pixels = hit.select(mask, "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.lit(True).alias("_hit"))
-    out = df.join(pixels, [mask, "y", "x"], "left").join(top.select(mask, (F.col("_small") > 0).alias("changed")), mask, "left")
-    return (out.withColumn(value, F.when(F.col("_hit"), F.lit(1 if mode == "holes" else 0)).otherwise(F.col(value)))
-               .withColumn("changed", F.coalesce("changed", F.lit(False))).drop("_hit"))
+    # facts of the mask and its runs reach the pixels by pieces of rows, which are dealt to as many partitions as the pixels ask for
+    piece = [mask, "y", "_c"]
+    by_piece = dealt(df.withColumn("_c", F.floor(F.col("x") / cell)), *piece)
+    reach = F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell)))
+    runs_of = hit.select(mask, "y", reach.alias("_c"), F.struct("x0", "x1").alias("_r")).groupBy(*piece).agg(F.collect_list("_r").alias("_runs"))
+    facts = by_piece.select(*piece).distinct().join(top.select(mask, (F.col("_small") > 0).alias("changed")), mask).join(runs_of, piece, "left")
+    inside = F.exists("_runs", lambda r: (F.col("x") >= r["x0"]) & (F.col("x") <= r["x1"]))
+    out = by_piece.join(facts, piece, "left").withColumn(value, F.when(inside, F.lit(1 if mode == "holes" else 0)).otherwise(F.col(value)))
+    return out.select(mask, "y", "x", *[c for c in df.columns if c not in (mask, "y", "x")], F.coalesce("changed", F.lit(False)).alias("changed"))
 
 
 def crop_pyramid(rasters: DataFrame, layers: int, ratio: float) -> DataFrame:
