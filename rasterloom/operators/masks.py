@@ -107,8 +107,8 @@ def regions(df: DataFrame, mask: str = "sample_id", value: str = "v", cell: int
     # many small blocks share a task call; a block is never split
     groups = 1 + runs.count() // RUNS_PER_CALL
     keyed = runs.withColumn("_k", F.struct(F.col(mask).alias("m"), F.floor(F.col("y") / block).alias("b"))).withColumn("_k", F.to_json("_k"))
-    dealt = keyed.groupBy(F.pmod(F.xxhash64("_k"), F.lit(groups)))
-    local = cut_lineage(dealt.applyInPandas(_label_block, schema).drop("node"))
+    called = dealt(keyed.withColumn("_g", F.pmod(F.xxhash64("_k"), F.lit(groups))), "_g").groupBy("_g")
+    local = cut_lineage(called.applyInPandas(lambda runs: _label_block(runs.drop(columns="_g")), schema).drop("node"))
     edge = F.pmod(F.col("y"), F.lit(block))
     reach = F.explode(F.sequence(F.floor((F.col("x0") - 1) / cell), F.floor((F.col("x1") + 1) / cell)))
     a = local.filter(edge == 0).select(mask, "y", "x0", "x1", F.col("local").alias("src"), reach.alias("_c"))
