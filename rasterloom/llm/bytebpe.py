@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import arrow_map, let, stored
 
 SLOT_BITS = 15
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000       # of each of a worker's two caches, about 30 MB each when full
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -1,16 +1,20 @@
 """Helpers the text operators share."""
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 
 #: White space that separates words: space and the control characters 9 to 13 (fixed values).
 SPACES = " \t\n\x0b\f\r"
 
+#: Bytes of rows that a Python worker gets at once in ``small_batches``; the lists made from a batch are several times as large.
+BATCH_BYTES = 4 << 20
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, also when the body's lambdas read it for each element."""
@@ -30,6 +34,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``stage(spark, ...)`` in a session that bounds Arrow batches by bytes, not only by rows, from then on: texts are long, and
+    a worker keeps what its largest batch took."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, *rest) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, *rest)
+    return run
+
+
 def arrow_map(df: DataFrame, fn: Callable[[list, list], dict], schema: str, keep: str, text: str) -> DataFrame:
     """Map batches of (keep, text as UTF-8 bytes) to columns named in ``schema``; ``keep`` stays the first column.
 
