@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -214,15 +214,19 @@ def filter_masks(df: DataFrame, iou: str, stability: str, iou_thresh: float, sta
     return df
 
 
-def box_iou(a: str = "", b: str = "k_") -> Column:
-    def c(p, n):
-        return F.col(p + n).cast("double")
-    iw = F.greatest(F.least(c(a, "x1"), c(b, "x1")) - F.greatest(c(a, "x0"), c(b, "x0")), F.lit(0.0))
-    ih = F.greatest(F.least(c(a, "y1"), c(b, "y1")) - F.greatest(c(a, "y0"), c(b, "y0")), F.lit(0.0))
-    areas = [(c(p, "x1") - c(p, "x0")) * (c(p, "y1") - c(p, "y0")) for p in (a, b)]
+def _iou(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """IoU of two boxes given as functions from a name to its column."""
+    p, q = (lambda n: a(n).cast("double")), (lambda n: b(n).cast("double"))
+    iw = F.greatest(F.least(p("x1"), q("x1")) - F.greatest(p("x0"), q("x0")), F.lit(0.0))
+    ih = F.greatest(F.least(p("y1"), q("y1")) - F.greatest(p("y0"), q("y0")), F.lit(0.0))
+    areas = [(c("x1") - c("x0")) * (c("y1") - c("y0")) for c in (p, q)]
     return F.coalesce(F.try_divide(iw * ih, areas[0] + areas[1] - iw * ih), F.lit(0.0))
 
 
+def box_iou(a: str = "", b: str = "k_") -> Column:
+    return _iou(lambda n: F.col(a + n), lambda n: F.col(b + n))
+
+
 def _cells(df: DataFrame, up: int, keep: Sequence[str]) -> DataFrame:
     """Each box in the cells it touches on its own level and ``up`` coarser ones (a few cells per level).
 
@@ -237,9 +241,27 @@ def _cells(df: DataFrame, up: int, keep: Sequence[str]) -> DataFrame:
     return d.select(*keep, "level", "cx", "cy", "native")
 
 
-def nms(df: DataFrame, iou: float, image: str = "image", key: str = "box_id", score: str = "score") -> DataFrame:
+BROADCAST_IMAGES = 1 << 20
+SMALL_IMAGE = 256       # boxes of an image up to which each is compared with all kept ones
+
+
+def _greedy(df: DataFrame, iou: float, image: str, order: Column) -> DataFrame:
+    """(image, o): the kept boxes of images of few boxes each, one fold an image; ``df`` holds proper boxes only."""
+    box = ["x0", "y0", "x1", "y1"]
+    ranked = F.sort_array(F.collect_list(F.struct(order.alias("o"), *box)), asc=False)
+    none = F.array().cast(f"array<struct<o:{df.select(order.alias('o')).schema['o'].dataType.simpleString()},{','.join(f'{c}:{dict(df.dtypes)[c]}' for c in box)}>>")
+
+    def step(kept: Column, b: Column) -> Column:
+        return F.when(F.exists(kept, lambda k: _iou(lambda n: b[n], lambda n: k[n]) > iou), kept).otherwise(F.concat(kept, F.array(b)))
+
+    folded = dealt(df, image).groupBy(image).agg(ranked.alias("_r")).select(image, F.aggregate("_r", none, step).alias("_kept"))
+    return folded.select(image, F.explode("_kept.o").alias("o"))
+
+
+def nms(df: DataFrame, iou: float, image: str = "image", key: str = "box_id", score: str = "score", small: int = SMALL_IMAGE) -> DataFrame:
     """Greedy suppression by descending score (ties by key), exact, without pairing boxes.
 
+    Images of at most ``small`` boxes are folded one by one: their boxes move once. In the others boxes meet in cells.
     Boxes with IoU above t differ in length by less than 1/t, so they share a cell on the level of the
     larger one. A box that leads there against every box it could conflict with has no better open
     rival and is kept; a round keeps all such boxes and drops what they suppress. Winners of one cell
@@ -252,9 +274,18 @@ def nms(df: DataFrame, iou: float, image: str = "image", key: str = "box_id", sc
     order = F.struct(F.col(score).alias("s"), (-F.col(key)).alias("k"))
     box, cell = ["x0", "y0", "x1", "y1"], [image, "level", "cx", "cy"]
     proper = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
-    slim = df.select(image, key, score, *box)
+    slim = df.select(image, key, score, *box).filter(F.col(image).isNotNull())
     kept = [slim.filter(~proper).select(image, key)]                    # zero area: overlaps nothing
-    live = cut_lineage(slim.filter(proper).groupBy(image, *box).agg(F.max(order).alias("o")))
+    many = cut_lineage(slim.filter(proper).groupBy(image).count().filter(F.col("count") > small).select(image))
+    n_many = many.count()                                               # at most one in ``small`` of the boxes
+    few = slim.filter(proper)
+    if n_many:
+        many = F.broadcast(many) if n_many <= BROADCAST_IMAGES else many
+        few = few.join(many, image, "left_anti")
+    kept.append(_greedy(few, iou, image, order).select(image, (-F.col("o.k")).alias(key)))
+    if not n_many:
+        return df.join(_union(kept), [image, key], "left_semi")
+    live = cut_lineage(slim.filter(proper).join(many, image, "left_semi").groupBy(image, *box).agg(F.max(order).alias("o")))
     while True:
         placed = _cells(live, up, [image, *box, "o"])
         leaders = placed.groupBy(*cell).agg(F.max("o").alias("_any"), F.max(F.when(F.col("native"), F.col("o"))).alias("_nat"))
