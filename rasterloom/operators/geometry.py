@@ -4,7 +4,8 @@ Operators that move pixels update ``h`` and ``w``; padding adds generated rows i
 """
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -133,27 +134,74 @@ def cutout(df: DataFrame, boxes: DataFrame, fills: Mapping[str, object], cell: i
     return marked.drop("_hit")
 
 
+def _draw(n: int, *parts: object) -> int:
+    """``ordering.drawn`` in Python."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) % n
+
+
+def _try_counts(size: int, seed: int, tries: int):
+    """Rows (sample, h, w, _s: the sample as text, y, x, label, _use: the label counts) to (sample, h, w, label, counts): pixels of the label in the box of each try."""
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # a sample of the batch: a run of rows with equal sample and size
+            new = np.zeros(b.num_rows, bool)
+            new[0] = True
+            for c in range(3):
+                new[1:] |= pc.not_equal(b.column(c).slice(1), b.column(c).slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+            first, of = np.flatnonzero(new), np.cumsum(new) - 1
+            at = pa.array(first)
+            keys = list(zip(*(b.column(c).take(at).to_pylist() for c in (3, 1, 2))))
+            boxes = {(k, h, w): [(_draw(h - min(h, size) + 1, seed, k, t, "y"), _draw(w - min(w, size) + 1, seed, k, t, "x")) for t in range(tries)] for k, h, w in set(keys)}
+            corner = np.array([boxes[k] for k in keys], np.int64)
+            high, wide = (np.array([min(k[i], size) for k in keys], np.int64)[of] for i in (1, 2))
+            y, x = (b.column(c).fill_null(-1).to_numpy().astype(np.int64) for c in (4, 5))
+            coded = b.column(6).dictionary_encode()
+            counted = b.column(7).to_numpy(zero_copy_only=False)
+            label, n = coded.indices.fill_null(0).to_numpy().astype(np.int64), max(1, len(coded.dictionary))
+            code, place = np.unique(of * n + label, return_inverse=True)
+            counts = np.zeros((len(code), tries), np.int64)
+            for t in range(tries):
+                oy, ox = corner[of, t, 0], corner[of, t, 1]
+                inside = counted & (y >= oy) & (y < oy + high) & (x >= ox) & (x < ox + wide)
+                counts[:, t] = np.bincount(place[inside], minlength=len(code))
+            hit = counts.any(axis=1)
+            owner, found = code[hit] // n, code[hit] % n
+            # a sample without a counted pixel has a row of zeros
+            none = np.setdiff1d(np.arange(len(first)), owner)
+            rows = pa.array(first[np.concatenate([owner, none])])
+            labels = pa.concat_arrays([coded.dictionary.take(pa.array(found)), pa.nulls(len(none), coded.dictionary.type)])
+            flat = np.concatenate([counts[hit].ravel(), np.zeros(len(none) * tries, np.int64)])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tries), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(rows) for c in range(3)], labels, lists], names=[S, "h", "w", "label", "counts"])
+    return run
+
+
 def random_crop(df: DataFrame, size: int, max_ratio: float, label: str, seed: int, tries: int = 10, ignore: int = 255, cell: int = 64) -> DataFrame:
     """Seeded crop offsets, the first of ``tries`` whose largest class stays below ``max_ratio`` (else the last).
 
-    A side shorter than ``size`` is kept whole. Candidate boxes meet pixels through coarse cells, so a pixel is copied only
-    for the tries that hold it and a large sample is no single key.
+    A side shorter than ``size`` is kept whole. Boxes follow from the sample and its size, which every pixel carries: tasks count
+    the pixels of each label in each try where they lie, and only counts are shuffled before the pixels meet the chosen box. So a
+    pixel moves once, and a large sample is no single key (``cell`` is no longer needed).
     """
+    kinds = dict(df.dtypes)
+    slim = df.dropna(subset=[S, "h", "w"]).select(S, "h", "w", F.col(S).cast("string").alias("_s"), "y", "x", label, F.coalesce(F.col(label) != ignore, F.lit(False)).alias("_use"))
+    part = slim.mapInArrow(_try_counts(size, seed, tries), f"{S} {kinds[S]}, h {kinds['h']}, w {kinds['w']}, label {kinds[label]}, counts array<int>")
+    dims = [S, "h", "w"]
+    # one shuffle by sample serves all groupings
+    each = part.repartition(S).select(*dims, "label", F.posexplode("counts").alias("try", "c"))
+    per = each.groupBy(*dims, "try", "label").agg(F.sum("c").alias("c")).groupBy(*dims, "try").agg(
+        ((F.count_if(F.col("c") > 0) > 1) & (F.try_divide(F.max("c"), F.sum("c")) < max_ratio)).alias("ok"))
+    chosen = per.groupBy(*dims).agg(F.coalesce(F.min(F.when(F.col("ok"), F.col("try"))), F.lit(tries - 1)).alias("try"))
     high, wide = F.least(F.col("h"), F.lit(size)), F.least(F.col("w"), F.lit(size))
-    dims = df.select(S, "h", "w").distinct()
-    tried = dims.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    boxes = tried.select(S, "try", high.alias("bh"), wide.alias("bw"), *[drawn(F.col(d) - n + 1, seed, F.col(S).cast("string"), F.col("try").cast("string"), a).cast("int").alias(f"o{a}")
-                                                                         for a, d, n in (("y", "h", high), ("x", "w", wide))])
-    cells = lambda a, n: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(a) + F.col(n) - 1) / cell)))
-    spread_boxes = boxes.withColumn("_cy", cells("oy", "bh")).withColumn("_cx", cells("ox", "bw"))
-    keyed = df.select(S, "y", "x", label, F.floor(F.col("y") / cell).alias("_cy"), F.floor(F.col("x") / cell).alias("_cx"))
-    inside = (F.col("y") >= F.col("oy")) & (F.col("y") < F.col("oy") + F.col("bh")) & (F.col("x") >= F.col("ox")) & (F.col("x") < F.col("ox") + F.col("bw"))
-    hits = keyed.join(spread_boxes, [S, "_cy", "_cx"]).filter(inside & (F.col(label) != ignore))
-    per = hits.groupBy(S, "try", label).agg(F.count("*").alias("c")).groupBy(S, "try").agg(
-        ((F.count("*") > 1) & (F.max("c") / F.sum("c") < max_ratio)).alias("ok"))
-    scored = boxes.join(per, [S, "try"], "left").withColumn("_k", F.when(F.col("ok"), F.col("try")).otherwise(F.lit(tries)))
-    pick = scored.groupBy(S).agg(F.min_by(F.struct("oy", "ox", "bh", "bw"), F.struct("_k", -F.col("try"))).alias("o")).select(S, "o.*")
-    return crop(df.join(pick, S), F.col("oy"), F.col("ox"), F.col("bh"), F.col("bw")).drop("oy", "ox", "bh", "bw")
+    offsets = [drawn(F.col(d) - n + 1, seed, F.col(S).cast("string"), F.col("try").cast("string"), a).cast("int").alias(f"o{a}") for a, d, n in (("y", "h", high), ("x", "w", wide))]
+    pick = chosen.select(S, *offsets, high.alias("bh"), wide.alias("bw"))
+    # a chosen box is one narrow row a sample: hashed, so pixels are not sorted
+    return crop(df.join(pick.hint("shuffle_hash"), S), F.col("oy"), F.col("ox"), F.col("bh"), F.col("bw")).drop("oy", "ox", "bh", "bw")
 
 
 def mosaic(df: DataFrame, partners: DataFrame, scale: tuple[int, int], center: tuple[int, int], label: str, fill: int = 255) -> DataFrame:
