@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,6 +78,19 @@ def _literal(values, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
+def slotted(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of each slot, codes ordered by slot and pair) of ``pair_ranks``, packed: the driver holds no objects of the pairs."""
+    own = array("q")
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                own.append(left << 40 | right << 20 | rank)
+    codes = np.sort(np.frombuffer(own, np.int64)) if own else np.empty(0, np.int64)
+    slots = ((codes >> 40) * 40503 + (codes >> 20 & (1 << 20) - 1) * 10007) % (1 << SLOT_BITS)
+    return np.concatenate([[0], np.cumsum(np.bincount(slots, minlength=1 << SLOT_BITS))]), codes[np.argsort(slots, kind="stable")]
+
+
 @dataclass
 class RankMap:
     """The pair ranks as literals: ``starts`` of each slot in ``codes``; a code is left, right and joined id in 20 bits each."""
@@ -86,12 +100,8 @@ class RankMap:
 
     @staticmethod
     def of(ranks: dict[bytes, int]) -> RankMap:
-        slots: dict[int, list[int]] = {}
-        for (a, b), m in sorted(pair_ranks(ranks).items()):
-            slots.setdefault((a * 40503 + b * 10007) % (1 << SLOT_BITS), []).append(a << 40 | b << 20 | m)
-        sizes = [len(slots.get(s, [])) for s in range(1 << SLOT_BITS)]
-        starts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-        return RankMap(_literal(starts, "int"), _literal([c for s in sorted(slots) for c in slots[s]], "bigint"), _literal([ranks[bytes([i])] for i in range(256)], "bigint"))
+        starts, codes = slotted(ranks)
+        return RankMap(_literal(starts, "int"), _literal(codes, "bigint"), _literal([ranks[bytes([i])] for i in range(256)], "bigint"))
 
     def joined(self, a: Column, b: Column) -> Column:
         """Id of the pair's bytes, or null."""
@@ -219,8 +229,8 @@ def build_codec(docs: DataFrame, path: str, pattern: str, text_col: str = "text"
     ranks = read_ranks(path)
     words = frequent_words(docs, text_col, dictionary_words).select("word").toArrow()["word"].to_pylist()
     spark, split = docs.sparkSession, regex.compile(pattern)
-    pieces = {w: split.findall(" " + w) for w in words if len(w) <= 64}
-    distinct = sorted({p for own in pieces.values() for p in own})
+    words = [w for w in words if len(w) <= 64]
+    distinct = sorted({p for w in words for p in split.findall(" " + w)})         # words are cut again below, cheaper than lists for each
     coded = {p: np.array([ranks[p.encode()]], "<u4").tobytes() for p in distinct if p.encode() in ranks}
     folded = [p for p in distinct if p not in coded]
     if folded:
@@ -235,7 +245,7 @@ def build_codec(docs: DataFrame, path: str, pattern: str, text_col: str = "text"
             coded |= {r["piece"]: np.array(r["ids"], "<u4").tobytes() for r in stored(encode_pieces(table, ranks), "pieces").toLocalIterator()}
         finally:
             spark.conf.set(length, before)
-    return Codec(ranks, pattern, {w: b"".join(coded[p] for p in own) for w, own in pieces.items()})
+    return Codec(ranks, pattern, {w: b"".join(coded[p] for p in split.findall(" " + w)) for w in words})
 
 
 def encoded(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

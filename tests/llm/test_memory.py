@@ -1,10 +1,14 @@
 """What Python workers of the pipeline hold at once."""
 from __future__ import annotations
 
+import tracemalloc
+
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from rasterloom.llm import bytebpe
 from rasterloom.llm.common import BATCH_BYTES, small_batches
 
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -37,3 +41,16 @@ def test_every_stage_bounds_its_batches(spark, tmp_path):
             assert spark.conf.get(SETTING) == str(BATCH_BYTES), name
     finally:
         spark.conf.set(SETTING, before)
+
+
+def test_packed_rank_map_holds_every_pair_in_little_memory():
+    ranks = bytebpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    tracemalloc.start()
+    starts, codes = bytebpe.slotted(ranks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pairs = bytebpe.pair_ranks(ranks)
+    assert len(codes) == len(pairs) and {(c >> 40, c >> 20 & 0xFFFFF): c & 0xFFFFF for c in codes.tolist()} == pairs
+    slot = [s for s in range(len(starts) - 1) for _ in range(starts[s + 1] - starts[s])]
+    assert slot == [((c >> 40) * 40503 + (c >> 20 & 0xFFFFF) * 10007) % (1 << bytebpe.SLOT_BITS) for c in codes.tolist()]
+    assert peak < 64 * len(pairs)
