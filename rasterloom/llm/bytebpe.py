@@ -3,7 +3,8 @@
 Encoding has two steps. First the distinct blank-separated words of all documents are counted; the most frequent
 ``dictionary_words`` of them (a documented bound) are cut by the split pattern and each distinct piece is encoded by Spark
 higher-order functions: a piece is an array of byte ids, and a fold joins, piece length minus one times, the neighbouring
-pair of lowest rank, leftmost first, looked up in a literal rank map (pairs hashed to slots of two literal arrays).
+pair of lowest rank, leftmost first, looked up in a rank map (pairs hashed to slots of two arrays: a table of one row, broadcast
+to blocks of pieces, as literals would stand in every copy and description of the plan that the driver makes).
 Second, all texts are put together from that dictionary. Words outside it go through the same fold, written in Python,
 in the task that meets them; so the dictionary only saves work, and results do not depend on its size. Texts are never
 shuffled.
@@ -25,11 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import arrow_map, let, stored
 
 SLOT_BITS = 15
+BLOCK_PIECES = 256
 CACHE_WORDS = 150_000       # of each of a worker's two caches, about 30 MB each when full
 
 
@@ -73,11 +75,6 @@ def fold(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 # --- the fold as higher-order functions ---------------------------------------------------------------
-def _literal(values, kind: str) -> Column:
-    """A long literal array; constant folding turns it into one value."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-
-
 def slotted(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """(starts of each slot, codes ordered by slot and pair) of ``pair_ranks``, packed: the driver holds no objects of the pairs."""
     own = array("q")
@@ -93,15 +90,22 @@ def slotted(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class RankMap:
-    """The pair ranks as literals: ``starts`` of each slot in ``codes``; a code is left, right and joined id in 20 bits each."""
+    """The pair ranks as columns: ``starts`` of each slot in ``codes``; a code is left, right and joined id in 20 bits each."""
     starts: Column
     codes: Column
     bytes_: Column
 
     @staticmethod
-    def of(ranks: dict[bytes, int]) -> RankMap:
+    def table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+        """(starts, codes, bytes): one row."""
+        import pyarrow as pa
         starts, codes = slotted(ranks)
-        return RankMap(_literal(starts, "int"), _literal(codes, "bigint"), _literal([ranks[bytes([i])] for i in range(256)], "bigint"))
+        row = {"starts": starts.astype(np.int32), "codes": codes, "bytes": np.array([ranks[bytes([i])] for i in range(256)], np.int64)}
+        return spark.createDataFrame(pa.table({n: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for n, v in row.items()}))
+
+    @staticmethod
+    def of(table: DataFrame) -> RankMap:
+        return RankMap(table["starts"], table["codes"], table["bytes"])
 
     def joined(self, a: Column, b: Column) -> Column:
         """Id of the pair's bytes, or null."""
@@ -125,9 +129,19 @@ class RankMap:
 
 
 def encode_pieces(pieces: DataFrame, ranks: dict[bytes, int], piece_col: str = "piece") -> DataFrame:
-    """(piece, ids): the distinct pieces of a table encoded by the higher-order fold. Pieces that are tokens are not among them."""
-    own = pieces.select(F.col(piece_col).alias("piece")).filter("piece <> ''").distinct()
-    return own.select("piece", RankMap.of(ranks).ids(F.encode("piece", "UTF-8")).alias("ids"))
+    """(piece, ids): the distinct pieces of a table encoded by the higher-order fold. Pieces that are tokens are not among them.
+
+    Pieces meet the rank map in blocks of about ``BLOCK_PIECES``, so that the map is set beside a block and not beside every piece.
+    """
+    spark = pieces.sparkSession
+    own = pieces.select(F.col(piece_col).alias("piece")).filter("piece <> ''")
+    block = F.pmod(F.xxhash64("piece"), F.lit(own.count() // BLOCK_PIECES + 1))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))             # a number that is asked for is not lowered for small tables
+    blocks = own.withColumn("block", block).repartition(parts, "block").groupBy("block").agg(F.collect_set("piece").alias("pieces"))
+    table = RankMap.table(spark, ranks)
+    ids = RankMap.of(table).ids
+    coded = F.transform("pieces", lambda p: F.struct(p.alias("piece"), ids(F.encode(p, "UTF-8")).alias("ids")))
+    return blocks.crossJoin(F.broadcast(table)).select(F.inline(coded))
 
 
 # --- texts ------------------------------------------------------------------------------------------------
@@ -235,16 +249,8 @@ def build_codec(docs: DataFrame, path: str, pattern: str, text_col: str = "text"
     folded = [p for p in distinct if p not in coded]
     if folded:
         import pyarrow as pa
-        # the literal map would be written out in every description of the plan that the driver keeps
-        length = "spark.sql.maxPlanStringLength"
-        before = spark.conf.get(length)
-        spark.conf.set(length, "10000")
-        try:
-            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            table = spark.createDataFrame(pa.table({"piece": pa.array(folded, pa.string())})).repartition(parts, "piece")
-            coded |= {r["piece"]: np.array(r["ids"], "<u4").tobytes() for r in stored(encode_pieces(table, ranks), "pieces").toLocalIterator()}
-        finally:
-            spark.conf.set(length, before)
+        table = spark.createDataFrame(pa.table({"piece": pa.array(folded, pa.string())}))
+        coded |= {r["piece"]: np.array(r["ids"], "<u4").tobytes() for r in stored(encode_pieces(table, ranks), "pieces").toLocalIterator()}
     return Codec(ranks, pattern, {w: b"".join(coded[p] for p in split.findall(" " + w)) for w in words})
 
 

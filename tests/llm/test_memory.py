@@ -54,3 +54,16 @@ def test_packed_rank_map_holds_every_pair_in_little_memory():
     slot = [s for s in range(len(starts) - 1) for _ in range(starts[s + 1] - starts[s])]
     assert slot == [((c >> 40) * 40503 + (c >> 20 & 0xFFFFF) * 10007) % (1 << bytebpe.SLOT_BITS) for c in codes.tolist()]
     assert peak < 64 * len(pairs)
+
+
+def test_rank_map_stands_in_no_plan_of_the_driver(spark, capsys):
+    ranks = bytebpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    pieces = [f" no{i:x}x{w}" for i in range(400) for w in ("", "häß", "日本", "ing")] + ["a", "zq", "", None]
+    table = spark.createDataFrame([(p,) for p in pieces + pieces[:50]], "piece string")
+    coded = bytebpe.encode_pieces(table, ranks)
+    capsys.readouterr()
+    coded.explain(True)
+    assert 0 < len(capsys.readouterr().out) < 50_000
+    got = [(r["piece"], r["ids"]) for r in coded.collect()]
+    assert len(got) == len(set(pieces)) - 2 and all(ids == bytebpe.fold(p.encode(), ranks) for p, ids in got if p.encode() not in ranks)
+    assert {p for p, _ in got} == {p for p in pieces if p}
