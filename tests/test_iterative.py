@@ -389,3 +389,98 @@ def test_kmeans_passes_read_packed_rows(spark, monkeypatch):
         own = far.argmin(1)
         assert sizes[r].tolist() == np.bincount(own, minlength=4).tolist() and abs(cost[r] - far.min(1).sum()) < 1e-9
         assert np.allclose(sums[r], [v[own == c].sum(0) for c in range(4)])
+
+
+def test_neighbour_lists_match_brute_force(spark):
+    """Blocks of any size, copies (ties by id), fewer rows than asked for; rows without a finite direction are in no list."""
+    from rasterloom.operators.nearlists import neighbour_lists
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(140, 6))
+    v[20:60] = v[20]
+    ids = np.array([int(i) for i in rng.permutation(140)]) * 7 - 300
+    odd = [(9001, [0.0] * 6), (9002, [float("nan")] + [1.0] * 5), (9003, None)]
+    df = spark.createDataFrame([(int(i), [float(x) for x in r]) for i, r in zip(ids, v)] + odd, "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sim = np.round(unit @ unit.T, 9)
+    for k, block in ((5, 4096), (5, 20), (60, 50), (200, 4096), (200, 30)):
+        got = {r["id"]: (r["near"], r["sims"]) for r in neighbour_lists(df, k, rows_per_block=block).collect()}
+        assert set(got) == {int(i) for i in ids}
+        for i, row in zip(ids, sim):
+            order = np.lexsort((ids, -row))[:k]
+            assert got[int(i)][0] == [int(x) for x in ids[order]] and np.allclose(got[int(i)][1], row[order], atol=2e-9)
+    assert neighbour_lists(df.limit(0), 3).count() == 0
+
+
+def test_products_of_copies_keep_the_first_ids(monkeypatch):
+    from rasterloom.operators import nearlists as L
+    monkeypatch.setattr(L, "PIECE", 16)
+    monkeypatch.setattr(L, "FIRST", 32)
+    monkeypatch.setattr(L, "WAITING", 50)
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(200, 4))
+    v[30:150] = v[30]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for rows, columns, found in ((v, v, L.product(v, None, 7)[0]), (v[:80], v[80:], L.product(v[:80], v[80:], 7)[0]), (v[80:], v[:80], L.product(v[:80], v[80:], 7)[1])):
+        sim = np.round(rows @ columns.T, 9)
+        want = np.lexsort((np.broadcast_to(np.arange(len(columns)), sim.shape), -sim), axis=1)[:, :7]
+        assert (found[0] == np.repeat(np.arange(len(rows)), 7)).all() and (found[1].reshape(-1, 7) == want).all()
+
+
+def _settings_by_brute_force(spark, v, settings, **kw):
+    from rasterloom.operators import density as D
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(int(i), [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in D.dbscan_settings(df, settings, **kw).collect():
+        got.setdefault(r["setting"], {})[r["vec_id"]] = r["component"]
+    for s, (m, eps) in enumerate(settings):
+        assert got[s] == brute_dbscan(unit, eps, m)
+
+
+def test_groups_of_copies_meet_although_no_list_holds_both(spark):
+    """Lists of the nearest rows are full of copies; neighbouring groups are joined by open rows only."""
+    turn = np.array([[np.cos(a), np.sin(a)] for a in (0.0, 0.1, 0.2, 1.0, 1.1, 2.0, 3.0)])
+    v = np.concatenate([np.repeat(turn[:6], 12, axis=0), turn[6:]])
+    settings = [(3, 0.0001), (3, 0.006), (5, 0.006), (5, 0.02)]
+    for block in (4096, 20):
+        _settings_by_brute_force(spark, v, settings, rows_per_block=block)
+
+
+def test_lists_alone_place_border_rows_and_one_cloud(spark, monkeypatch):
+    """One cloud that its lists join: no other pass multiplies rows, and forests too large for a task give the same components."""
+    from rasterloom.operators import density as D
+    rng = np.random.default_rng(14)
+    v = np.concatenate([rng.normal(size=5) + rng.normal(scale=0.2, size=(80, 5)), rng.normal(size=(20, 5))])
+    def forbidden(*args, **kw):
+        raise AssertionError("rows were multiplied again")
+    monkeypatch.setattr(D, "block_pairs", forbidden)
+    _settings_by_brute_force(spark, v, [(4, 0.03), (9, 0.06)])
+    _settings_by_brute_force(spark, v, [(4, 0.03), (9, 0.06)], most=10)
+
+
+def test_assignment_follows_the_short_side():
+    """Ten labels and 2,000 clusters take ten augmenting paths, not 2,000."""
+    import time
+    rng = np.random.default_rng(15)
+    gain = rng.integers(0, 50, (10, 2000)).astype(float)
+    start = time.process_time()
+    total = C.assign_max(gain)
+    assert time.process_time() - start < 5 and total == C.assign_max(gain.T) == 490.0
+    small = gain[:3, :5]
+    assert C.assign_max(small) == max(small[0, a] + small[1, b] + small[2, c] for a in range(5) for b in range(5) for c in range(5) if len({a, b, c}) == 3)
+
+
+def test_silhouettes_by_setting_match_single_ones(spark):
+    from rasterloom.operators import density as D
+    rng = np.random.default_rng(16)
+    rows = [([float(x) for x in rng.normal(size=4)], [int(i % 4) - 1, -1, 0, int(i % 9), int(i == 5) - 1, int(i)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "embedding array<double>, clusters array<int>").repartition(3)
+    got = {r["setting"]: r for r in D.silhouettes_by_setting(df, "clusters", "embedding").collect()}
+    blocks = {r["setting"]: r for r in D.silhouettes_by_setting(df, "clusters", "embedding", most=0).collect()}
+    assert set(got) == set(blocks) == set(range(6))
+    for s in range(6):
+        one = df.withColumn("c", F.col("clusters")[s])
+        for name, part in (("all", one), ("covered", one.filter("c >= 0"))):
+            want = C.silhouette(part, "c", "embedding").first()[0]
+            for found in (got[s][name], blocks[s][name]):
+                assert found == want or abs(found - want) < 1e-12
