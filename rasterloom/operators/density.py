@@ -25,7 +25,7 @@ from .embeddings import FOLD_ROWS, vector_mean
 from .graph import connected_components
 from .nearlists import exact, neighbour_lists, slack_of
 from .neighbors import ROWS_PER_BLOCK, SHIP_BYTES, _side, block_pairs
-from .ordering import rank_rows
+from .ordering import rank_rows, with_one
 
 SLACK = 1e-12
 NONE = (1 << 63) - 1      # no component
@@ -297,8 +297,8 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 def silhouettes_by_setting(df: DataFrame, clusters: str, vec: str, most: int = SHIP_BYTES) -> DataFrame:
     """(setting, all, covered): cosine silhouettes of the clusterings in the array ``clusters``, with and without the rows of cluster -1.
 
-    A row is read once for all clusterings and multiplied with all means, which go through the driver up to ``most`` bytes; more are
-    compared in blocks, one clustering after the other.
+    A row is read once for as many clusterings as have means of ``most`` bytes together, which go through the driver, and multiplied with all of
+    these; a clustering with more is compared in blocks.
     """
     rows = df.select(l2_normalize(F.col(vec)).alias("v"), F.col(clusters).alias("c"))
 
@@ -322,12 +322,28 @@ def silhouettes_by_setting(df: DataFrame, clusters: str, vec: str, most: int = S
     facts = [means.filter(test).groupBy("setting").agg(F.count("*").alias("k"), F.max("n").alias("big")).select("setting", ((F.col("k") > 1) & (F.col("big") > 1)).alias(name))
              for test, name in (("c IS NOT NULL", "_all"), ("c >= 0", "_covered"))]
     facts = facts[0].join(facts[1], "setting", "left")
-    if (means.agg(F.sum(F.size("m")) * 8).first()[0] or 0) > most:
-        each = df.select(vec, F.posexplode(clusters).alias("setting", "cluster"))
-        parts = [silhouettes(d, "setting", "cluster", vec).withColumnRenamed("silhouette", name) for d, name in ((each, "all"), (each.filter("cluster >= 0"), "covered"))]
-        return parts[0].join(parts[1], "setting", "left").select("setting", "all", "covered")
-    table = df.sparkSession.sparkContext.broadcast(means.toPandas().sort_values(["setting", "c"]))
-
+    slices, room, out = [], 0, []
+    for s, size in sorted(((r[0], r[1] * 8) for r in means.groupBy("setting").agg(F.sum(F.size("m"))).collect()), key=lambda x: x[1]):     # one row a setting
+        if size > most:
+            one = df.select(vec, F.get(clusters, F.lit(s)).alias("cluster"))
+            both = [silhouette(d, "cluster", vec).select(F.col("silhouette").alias(name)) for d, name in ((one, "all"), (one.filter("cluster >= 0"), "covered"))]
+            out.append(with_one(df.sparkSession.range(1).select(F.lit(s).alias("setting")), *both))
+        elif size > room:
+            slices.append([s])
+            room = most - size
+        else:
+            slices[-1].append(s)
+            room -= size
+    for own in slices:
+        table = df.sparkSession.sparkContext.broadcast(means.filter(F.col("setting").isin(own)).toPandas().sort_values(["setting", "c"]))
+        found = rows.mapInPandas(_silhouette_sums(table), "setting int, s double, n bigint, t double, k bigint").groupBy("setting").agg(
+            F.try_divide(F.sum("s"), F.sum("n")).alias("_s"), F.try_divide(F.sum("t"), F.sum("k")).alias("_t"))
+        out.append(found.join(facts, "setting").select("setting", F.when(F.col("_all"), F.col("_s")).alias("all"), F.when(F.col("_covered"), F.col("_t")).alias("covered")))
+    return _union(out) if out else df.sparkSession.createDataFrame([], "setting int, all double, covered double")
+
+
+def _silhouette_sums(table):
+    """Sums and numbers of silhouette values of the batches of a task, from the broadcast means (setting, c, m, n), for all and for covered rows."""
     def values(batches):
         import numpy as np
         import pandas as pd
@@ -352,9 +368,7 @@ def silhouettes_by_setting(df: DataFrame, clusters: str, vec: str, most: int = S
                                 total[which] += np.where((size[me] > 1) & (top != 0) & (me >= first), (b - a) / top, 0.0).sum()
                     yield pd.DataFrame({"setting": [s], "s": [total[0]], "n": [len(v)], "t": [total[1]], "k": [int((c[:, s] >= 0).sum())]})
 
-    found = rows.mapInPandas(values, "setting int, s double, n bigint, t double, k bigint").groupBy("setting").agg(
-        F.try_divide(F.sum("s"), F.sum("n")).alias("_s"), F.try_divide(F.sum("t"), F.sum("k")).alias("_t"))
-    return found.join(facts, "setting").select("setting", F.when(F.col("_all"), F.col("_s")).alias("all"), F.when(F.col("_covered"), F.col("_t")).alias("covered"))
+    return values
 
 
 def cluster_scores_by(df: DataFrame, by: str, label: str, cluster: str, silhouette: DataFrame) -> DataFrame:
@@ -372,8 +386,9 @@ def dbscan_report(df: DataFrame, min_samples: Sequence[int] = (5, 10, 20), multi
     ms = sorted(set(min_samples))
     cores = core_similarities(df, ms)
     base = {m: estimate_knee(cores.select(F.col("id").alias("vec_id"), F.get("distances", F.lit(k)).alias("distance")), "vec_id").first()["eps"] for k, m in enumerate(ms)}
-    settings = [(m, x, max(base[m] * x, 2.220446049250313e-16)) for m in min_samples for x in multipliers]
-    comps = cut_lineage(components_by_setting(df, [(m, eps) for m, _, eps in settings], cores, ms))
+    wanted = [(m, x, max(base[m] * x, 2.220446049250313e-16)) for m in min_samples for x in multipliers]
+    settings = sorted({(m, eps) for m, _, eps in wanted})           # with many copies distances are zero and all multipliers one setting
+    comps = cut_lineage(components_by_setting(df, settings, cores, ms))
     found = comps.select(F.col("id").alias("vec_id"), F.posexplode("comps").alias("setting", "component"))
     ids = rank_rows(found.filter("component IS NOT NULL").select("setting", "component").distinct(), ["component"], ["setting"], "_r")
     named = found.join(ids, ["setting", "component"], "left").select("vec_id", "setting", F.coalesce(F.col("_r") - 1, F.lit(-1)).cast("int").alias("cluster"))
@@ -384,7 +399,7 @@ def dbscan_report(df: DataFrame, min_samples: Sequence[int] = (5, 10, 20), multi
     facts = cut_lineage(rows.groupBy("setting").agg(F.avg(noise).alias("noise_ratio"), F.avg(1 - noise).alias("coverage"), F.count_if(F.col("cluster") >= 0).alias("_n")))
     covered = rows.filter("cluster >= 0").join(facts.filter("_n >= 3").select("setting"), "setting")
     prefixed = lambda d, p: d.select("setting", *[F.col(c).alias(p + c) for c in d.columns if c != "setting"])
-    names = df.sparkSession.createDataFrame([(s, m, float(x), float(e)) for s, (m, x, e) in enumerate(settings)], "setting int, min_samples int, eps_multiplier double, eps double")
+    names = df.sparkSession.createDataFrame([(settings.index((m, e)), m, float(x), float(e)) for m, x, e in wanted], "setting int, min_samples int, eps_multiplier double, eps double")
     values = cut_lineage(silhouettes_by_setting(wide, "clusters", "embedding"))
     scores = [prefixed(cluster_scores_by(d, "setting", "label", "cluster", values.select("setting", F.col(p).alias("silhouette"))), p + "_") for d, p in ((rows, "all"), (covered, "covered"))]
     return names.join(facts.drop("_n"), "setting").join(scores[0], "setting").join(scores[1], "setting", "left").drop("setting")

@@ -185,14 +185,14 @@ def neighbour_lists(df: DataFrame, k: int, key: str = "vec_id", vec: str = "embe
 
     rows = _side(df, key, vec, None, True).select("id", "v")
     packs = rows.withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(n_packs)).cast("int")).groupBy("pack").applyInArrow(packed, "pack int, dim int, ids binary, v binary")
-    packs = dealt(packs.withColumn("block", F.col("pack") % blocks), "block", wanted=2 * blocks)
+    packs = dealt(packs.withColumn("block", F.col("pack") % blocks), "block", wanted=8 * blocks)
     known = cut_lineage(packs.groupBy("block").applyInPandas(among, "pack int, block int, dim int, ids binary, v binary, n binary, near binary, sims binary, floor binary"))
     lists = known.select("pack", "ids", "n", "near", "sims")
     if blocks > 1:
         shipped = known.select("pack", "block", "dim", "ids", "v", "floor")
         left = shipped.filter(F.col("block") < blocks - 1).withColumn("a", F.col("block")).withColumn("b", F.explode(F.sequence(F.col("block") + 1, F.lit(blocks - 1))))
         right = shipped.toDF(*shipped.columns).filter("block > 0").withColumn("b", F.col("block")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("block") - 1)))
-        left, right = (dealt(d, "a", "b", wanted=blocks * (blocks - 1)) for d in (left, right))
+        left, right = (dealt(d, "a", "b", wanted=2 * blocks * (blocks - 1)) for d in (left, right))
         more = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(between, "pack int, n binary, near binary, sims binary")
         lists = lists.unionByName(more.withColumn("ids", F.lit(None).cast("binary")))
     return lists.groupBy("pack").applyInArrow(joined, "id bigint, near array<bigint>, sims array<double>")

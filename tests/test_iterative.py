@@ -476,11 +476,11 @@ def test_silhouettes_by_setting_match_single_ones(spark):
     rows = [([float(x) for x in rng.normal(size=4)], [int(i % 4) - 1, -1, 0, int(i % 9), int(i == 5) - 1, int(i)]) for i in range(90)]
     df = spark.createDataFrame(rows, "embedding array<double>, clusters array<int>").repartition(3)
     got = {r["setting"]: r for r in D.silhouettes_by_setting(df, "clusters", "embedding").collect()}
-    blocks = {r["setting"]: r for r in D.silhouettes_by_setting(df, "clusters", "embedding", most=0).collect()}
-    assert set(got) == set(blocks) == set(range(6))
+    blocks, slices = ({r["setting"]: r for r in D.silhouettes_by_setting(df, "clusters", "embedding", most=m).collect()} for m in (0, 400))
+    assert set(got) == set(blocks) == set(slices) == set(range(6))
     for s in range(6):
         one = df.withColumn("c", F.col("clusters")[s])
         for name, part in (("all", one), ("covered", one.filter("c >= 0"))):
             want = C.silhouette(part, "c", "embedding").first()[0]
-            for found in (got[s][name], blocks[s][name]):
+            for found in (got[s][name], blocks[s][name], slices[s][name]):
                 assert found == want or abs(found - want) < 1e-12
